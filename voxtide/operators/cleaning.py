@@ -130,18 +130,22 @@ def is_bot(text: Column | str, author: Column | str) -> Column:
     return bot_phrase(text) | bot_author(author)
 
 
-def exact_duplicates(df: DataFrame, text: str = "text", order: str = "ingest_seq") -> DataFrame:
-    """df plus `is_duplicate`: an earlier row of df has the same stripped, lower-cased text."""
-    hashed = df.withColumn("_hash", exact_hash(text))
+def repeated(df: DataFrame, key: str, order: str = "ingest_seq") -> DataFrame:
+    """df plus `is_duplicate`: an earlier row of df has the same key."""
     firsts = (
-        hashed.groupBy("_hash")
+        df.groupBy(key)
         .agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("_n"))
         .where(F.col("_n") > 1)
     )
-    out = attach_stats(hashed, firsts, ["_hash"], ["_first"], "_n", F.col(order))
+    out = attach_stats(df, firsts, [key], ["_first"], "_n", F.col(order))
     return out.select(*df.columns, F.coalesce(F.col("_first") != F.col(order), F.lit(False)).alias("is_duplicate"))
 
 
+def exact_duplicates(df: DataFrame, text: str = "text", order: str = "ingest_seq") -> DataFrame:
+    """df plus `is_duplicate`: an earlier row of df has the same stripped, lower-cased text."""
+    return repeated(df.withColumn("_hash", exact_hash(text)), "_hash", order).drop("_hash")
+
+
 def clean_rows(df: DataFrame, text: str = "text", author: str = "author", order: str = "ingest_seq") -> DataFrame:
     """df with cleaned_text and clean_status set. Duplicate beats bot beats too_short."""
     base = df.drop("cleaned_text", "clean_status")

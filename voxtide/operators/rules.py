@@ -57,21 +57,24 @@ def row_reason(text: str = "text", lang: str = "lang", detected: str | None = No
     )
 
 
-def rejection_reasons(df: DataFrame, text: str = "text", lang: str = "lang", order: str = "ingest_seq",
-                      detected: str | None = None, session: str | None = None,
-                      phrases: list[str] | None = None) -> DataFrame:
-    """df plus `reason`: the first failing rule, or null for accepted rows.
+JUDGED = ["_row_reason", "_hash", "_d1", "_d2"]
 
-    `session` names a column that scopes the duplicate memory; without one all
-    rows share it. `order` must be unique.
-    """
+
+def judge(df: DataFrame, text: str = "text", lang: str = "lang", detected: str | None = None,
+          session: str | None = None, phrases: list[str] | None = None) -> DataFrame:
+    """df plus what the order-dependent rule needs to know of a row; with these
+    columns the text itself is no longer needed. No shuffle."""
     scope = F.col(session).cast("string") if session else F.lit("all")
-    judged = (
+    return (
         df.withColumn("_row_reason", row_reason(text, lang, detected, phrases))
         .withColumn("_hash", F.when(F.col("_row_reason").isNull(), F.concat_ws(":", scope, fuzzy_hash(text))))
         .withColumn("_d1", F.xxhash64(text))
         .withColumn("_d2", F.xxhash64(F.lit(1), F.col(text)))
     )
+
+
+def settle(judged: DataFrame, order: str = "ingest_seq") -> DataFrame:
+    """Judged rows with `reason` in place of the helper columns."""
     # Two 64-bit digests stand for the first text: long buffers keep this a hash
     # aggregate with map-side combine.
     firsts = (
@@ -87,7 +90,18 @@ def rejection_reasons(df: DataFrame, text: str = "text", lang: str = "lang", ord
     out = attach_stats(judged, firsts, ["_hash"], ["_f1", "_f2"], "_n", F.col(order))
     differs = (F.col("_f1") != F.col("_d1")) | (F.col("_f2") != F.col("_d2"))
     reason = F.coalesce(F.col("_row_reason"), F.when(differs, "near_duplicate"))
-    return out.select(*df.columns, reason.alias("reason"))
+    return out.select(*[c for c in judged.columns if c not in JUDGED], reason.alias("reason"))
+
+
+def rejection_reasons(df: DataFrame, text: str = "text", lang: str = "lang", order: str = "ingest_seq",
+                      detected: str | None = None, session: str | None = None,
+                      phrases: list[str] | None = None) -> DataFrame:
+    """df plus `reason`: the first failing rule, or null for accepted rows.
+
+    `session` names a column that scopes the duplicate memory; without one all
+    rows share it. `order` must be unique.
+    """
+    return settle(judge(df, text, lang, detected, session, phrases), order)
 
 
 def rule_filter(df: DataFrame, **kwargs) -> DataFrame:
@@ -95,9 +109,11 @@ def rule_filter(df: DataFrame, **kwargs) -> DataFrame:
     return rejection_reasons(df, **kwargs).where(F.col("reason").isNull()).drop("reason")
 
 
-def rejection_summary(df: DataFrame, **kwargs) -> DataFrame:
+def rejection_summary(df: DataFrame, order: str = "ingest_seq", **kwargs) -> DataFrame:
+    """Rows per reason. Only the judged columns travel, never the text."""
+    narrow = judge(df, **kwargs).select(order, *JUDGED)
     return (
-        rejection_reasons(df, **kwargs)
+        settle(narrow, order)
         .groupBy(F.coalesce("reason", F.lit("accepted")).alias("reason"))
         .agg(F.count(F.lit(1)).alias("n"))
     )

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxtide.functions import vocab
+from voxtide.functions.text import exact_hash
 from voxtide.operators import cleaning, ingest, labels, relevance, rules, sentiment, state
-from voxtide.operators.votes import argmax, votes_array
 from voxtide.schema import CLEAN_STATUSES, POLARITY_LABELS, SUBJECTIVITY_LABELS
+from voxtide.session import cut_lineage
 
 
 def ingest_run(existing: DataFrame, raw: DataFrame, cap: int = vocab.DEFAULT_CAP) -> DataFrame:
@@ -74,12 +75,19 @@ def untrained_two_stage(rows: DataFrame) -> DataFrame:
 
 
 def opinion_report(posts: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Accepted, non-duplicate posts: rows, sentiment counts and mean score per platform."""
-    accepted = rules.rule_filter(posts)
-    unique = cleaning.exact_duplicates(accepted).where(~F.col("is_duplicate"))
-    scored = sentiment.lexicon_sentiment(unique, lexicon, ["post_id", "platform"])
+    """Accepted, non-duplicate posts: rows, sentiment counts and mean score per platform.
+
+    The texts are read twice, once to judge and once to score, and neither pass
+    shuffles them: what is decided across rows is decided on ids and hashes,
+    kept in the shared folder between the steps.
+    """
+    order = "ingest_seq"
+    narrow = rules.judge(posts).withColumn("_exact", exact_hash("text")).select(order, "platform", "_exact", *rules.JUDGED)
+    accepted = rules.settle(cut_lineage(narrow), order).where(F.col("reason").isNull())
+    unique = cleaning.repeated(cut_lineage(accepted), "_exact", order).where(~F.col("is_duplicate"))
+    scores = sentiment.lexicon_sentiment(posts, lexicon, [order])
     label = sentiment.sentiment_label("sentiment_score")
-    return scored.groupBy("platform").agg(
+    return unique.select(order, "platform").join(scores, order).groupBy("platform").agg(
         F.count(F.lit(1)).alias("n"),
         *[F.count_if(label == l).alias(l) for l in ("positive", "negative", "neutral")],
         F.round(F.avg("sentiment_score"), 4).alias("avg_score"),
