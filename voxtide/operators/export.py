@@ -57,7 +57,8 @@ def export_csv(df: DataFrame, path: str) -> None:
         elif kind == "string":
             c = F.nullif(c, F.lit(""))
         cells.append(c.alias(name))
-    df.select(*cells).write.csv(path, header=True, quote='"', escape='"', nullValue="", emptyValue="")
+    df.select(*cells).write.csv(path, header=True, quote='"', escape='"', nullValue="", emptyValue="",
+                                ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def export_jsonl(df: DataFrame, path: str) -> None:

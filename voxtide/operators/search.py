@@ -62,27 +62,27 @@ def field_stats(df: DataFrame, fields: list[str] = FIELDS) -> DataFrame:
     return flat.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"))
 
 
+def _bucket(term_buckets: int) -> Column:
+    return F.pmod(F.xxhash64("term"), F.lit(term_buckets)).cast("int")
+
+
 def write_index(df: DataFrame, path: str, fields: list[str] = FIELDS, term_buckets: int = 256,
                 key: str = "post_id") -> None:
-    """Postings and field statistics below `path`. Postings are laid out by a
-    hash of the term, so a search opens the folders of its own terms only."""
-    bucket = F.pmod(F.xxhash64("term"), F.lit(term_buckets)).cast("int")
-    (index_documents(df, fields, key).withColumn("bucket", bucket)
-     .repartition("bucket", F.pmod(F.xxhash64(key), F.lit(16)))
+    """Postings, one row per occurrence, laid out by a hash of the term: a search
+    opens the folders of its own terms only, and inside them the sort order lets
+    Parquet skip the other terms. A frequent term is spread over 64 parts."""
+    (occurrences(df, fields, key).withColumn("bucket", _bucket(term_buckets))
+     .repartition("bucket", F.pmod(F.xxhash64(key), F.lit(64)))
+     .sortWithinPartitions("bucket", "term", key, "field", "pos")
      .write.partitionBy("bucket").parquet(f"{path}/postings"))
-    field_stats(df, fields).write.parquet(f"{path}/field_stats")
-    lengths = F.array(*[
-        F.struct(F.lit(f).alias("field"), F.size(analyze(F.coalesce(f, F.lit("")))).alias("len")) for f in fields
-    ])
-    df.select(key, F.explode_outer(lengths).alias("l")).select(key, "l.*").write.parquet(f"{path}/lengths")
 
 
 def indexed_occurrences(spark, path: str, terms: list[str], term_buckets: int = 256) -> DataFrame:
     """field, post_id, term, pos of the given terms, read from a written index."""
-    buckets = [r[0] for r in spark.createDataFrame([(t,) for t in sorted(set(terms))], "term string").select(
-        F.pmod(F.xxhash64("term"), F.lit(term_buckets)).cast("int")).distinct().collect()]
-    postings = spark.read.parquet(f"{path}/postings").where(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
-    return postings.select("field", "post_id", "term", F.explode("positions").alias("pos"))
+    wanted = spark.createDataFrame([(t,) for t in sorted(set(terms))], "term string")
+    buckets = [r[0] for r in wanted.select(_bucket(term_buckets)).distinct().collect()]  # one per query term
+    postings = spark.read.parquet(f"{path}/postings")
+    return postings.where(F.col("bucket").isin(buckets) & F.col("term").isin(terms)).drop("bucket")
 
 
 def phrase_hits(occ: DataFrame, terms: list[str], key: str = "post_id") -> DataFrame:

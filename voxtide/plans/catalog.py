@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from voxtide.plans import catalog_ingest, catalog_labels, catalog_text  # noqa: F401
+from voxtide.plans import catalog_ingest, catalog_labels, catalog_search, catalog_text  # noqa: F401
 from voxtide.plans.registry import ORACLES, QUERIES, Query
 
 

@@ -11,7 +11,7 @@ from voxtide.plans import jobs
 from voxtide.plans.catalog_text import D_SCORING, d_top, d_votes
 from voxtide.plans.registry import d_list, d_trim, query
 from voxtide.schema import FINAL_LABELS, POLARITY_LABELS, SARCASM_LABELS, SUBJECTIVITY_LABELS
-from voxtide.session import shared_dir
+from voxtide.session import cut_lineage, shared_dir
 from voxtide.sources import tables
 
 SUB, POL = vocab.SUBJECTIVITY_TERMS, vocab.POLARITY_TERMS
@@ -526,7 +526,7 @@ def fleiss_kappa(spark, sf):
 
 
 def stage_rows(spark, sf):
-    return dataset.derive_stage_rows(finals_split(spark, sf)).persist()
+    return cut_lineage(dataset.derive_stage_rows(finals_split(spark, sf)))
 
 
 @query("train_stage")
