@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from voxtide.functions.text import as_col, half_even, utrim
 from voxtide.schema import FINAL_LABELS, POLARITY_LABELS, SUBJECTIVITY_LABELS
+from voxtide.session import cut_lineage
 
 # Anomaly counters, first match wins.
 ANOMALIES = [
@@ -112,8 +113,8 @@ def stratified_split(df: DataFrame, label: str = "label", ratio: float = 0.2, se
     cut-off per label.
     """
     hashed = df.withColumn("_h", F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))).cast("binary")))
-    hashed = hashed.withColumn("_b", F.substring("_h", 1, 4))
-    hist = hashed.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    narrow = cut_lineage(hashed.select(label, "_h", F.substring("_h", 1, 4).alias("_b"), F.col(key).cast("string").alias("_key")))
+    hist = narrow.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_n"))
     per_label = W.partitionBy(label)
     upto = F.sum("_n").over(per_label.orderBy("_b").rowsBetween(W.unboundedPreceding, 0))
     wanted = validation_size(F.sum("_n").over(per_label), ratio)
@@ -122,7 +123,7 @@ def stratified_split(df: DataFrame, label: str = "label", ratio: float = 0.2, se
         .where((F.col("_upto") >= F.col("_k")) & (F.col("_upto") - F.col("_en") < F.col("_k")))
         .select("_l", "_eb", (F.col("_k") - (F.col("_upto") - F.col("_en"))).alias("_need"))
     )
-    in_edge = hashed.select(F.col(label).alias("_l"), "_b", "_h", F.col(key).cast("string").alias("_key")).join(
+    in_edge = narrow.select(F.col(label).alias("_l"), "_b", "_h", "_key").join(
         F.broadcast(edge), ["_l"]).where(F.col("_b") == F.col("_eb"))
     rank = F.row_number().over(W.partitionBy("_l").orderBy("_h", "_key"))
     cut = in_edge.withColumn("_r", rank).where(F.col("_r") == F.col("_need")).select(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from voxtide.functions import vocab
 from voxtide.functions.text import as_col
 from voxtide.operators.skew import HOT_KEYS, first_per_key, top_n_per_key
+from voxtide.operators.votes import small_table
 from voxtide.schema import INGEST_COLUMNS
 from voxtide.session import cut_lineage
 
@@ -109,7 +110,7 @@ def preset_queries(spark: SparkSession, queries: list[str] | None = None) -> Dat
 
 def match_queries(df: DataFrame, queries: DataFrame) -> DataFrame:
     """Posts of the listed queries, tagged with the position in the list."""
-    return df.join(F.broadcast(queries), "query")
+    return df.join(small_table(queries), "query")
 
 
 def filter_min_replies(df: DataFrame, minimum: int = 0) -> DataFrame:
@@ -165,8 +166,10 @@ def new_rows(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """Incoming rows to append: the earliest of each post_id that is not stored yet,
     ingest columns only."""
     columns = [c for c in INGEST_COLUMNS if c in incoming.columns]
-    fresh = incoming.select(*columns).join(existing.select("post_id"), "post_id", "left_anti").select(*columns)
-    return first_per_key(fresh, ["post_id"], [F.col("ingest_seq")])
+    # one row per key first: a key that floods the batch is trimmed on the map
+    # side and does not reach the join
+    firsts = first_per_key(incoming.select(*columns), ["post_id"], [F.col("ingest_seq")])
+    return firsts.join(existing.select("post_id"), "post_id", "left_anti").select(*columns)
 
 
 def upsert_ignore(existing: DataFrame, incoming: DataFrame) -> DataFrame:

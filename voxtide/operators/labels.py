@@ -10,7 +10,7 @@ from pyspark.sql.window import Window as W
 
 from voxtide.functions import vocab
 from voxtide.functions.text import as_col, half_even, utrim
-from voxtide.operators.skew import first_per_key
+from voxtide.operators.skew import attach_lookup, first_per_key
 from voxtide.operators.state import pending_classification
 from voxtide.schema import POLARITY_LABELS, SUBJECTIVITY_LABELS
 
@@ -79,7 +79,7 @@ def binary_label_and_score(scores: Column | str, positive: str, order: list[str]
 def with_label_config(stages: DataFrame, config: DataFrame) -> DataFrame:
     """stages (stage, default_labels, default_positive) joined with whatever the
     saved config holds; what is missing gets its default."""
-    return stages.join(F.broadcast(config), "stage", "left").select(
+    return stages.join(config, "stage", "left").select(
         "stage",
         F.coalesce("labels", "default_labels").alias("labels"),
         F.coalesce("positive_label", "default_positive").alias("positive_label"),
@@ -200,8 +200,9 @@ def merge_annotations(rows: DataFrame, updates: DataFrame, columns: list[str], k
     if order:
         updates = first_per_key(updates, [key], [F.desc(order)])
     new = updates.select(F.col(key), *[F.col(c).alias(f"_new_{c}") for c in columns], F.lit(True).alias("_matched"))
-    joined = rows.join(new, key, "left")
-    kept = [c for c in rows.columns]
+    # record sets may repeat an id, blank ones above all
+    joined = attach_lookup(rows, new, key, [c for c in new.columns if c != key])
+    kept = list(rows.columns)
     added = [c for c in columns if c not in kept]
 
     def old(c: str) -> Column:

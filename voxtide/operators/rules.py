@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from voxtide.functions import vocab
 from voxtide.functions.text import NOT_WS, WORD, as_col, contains_any, fuzzy_hash, pattern_count, utrim, where_has
 from voxtide.operators.skew import attach_stats
+from voxtide.session import cut_lineage
 
 URL = f"https?://{NOT_WS}+"
 HASHTAG = f"#{WORD}+"
@@ -100,8 +101,17 @@ def rejection_reasons(df: DataFrame, text: str = "text", lang: str = "lang", ord
 
     `session` names a column that scopes the duplicate memory; without one all
     rows share it. `order` must be unique.
+
+    Texts are judged once; the cross-row rule is settled on ids and digests kept
+    in the shared folder, and the verdict is joined back by id.
     """
-    return settle(judge(df, text, lang, detected, session, phrases), order)
+    verdict = verdicts(df, order, text=text, lang=lang, detected=detected, session=session, phrases=phrases)
+    return df.join(verdict, order, "left").select(*df.columns, "reason")
+
+
+def verdicts(df: DataFrame, order: str = "ingest_seq", **kwargs) -> DataFrame:
+    """order, reason for every row of df."""
+    return settle(cut_lineage(judge(df, **kwargs).select(order, *JUDGED)), order)
 
 
 def rule_filter(df: DataFrame, **kwargs) -> DataFrame:
@@ -110,10 +120,9 @@ def rule_filter(df: DataFrame, **kwargs) -> DataFrame:
 
 
 def rejection_summary(df: DataFrame, order: str = "ingest_seq", **kwargs) -> DataFrame:
-    """Rows per reason. Only the judged columns travel, never the text."""
-    narrow = judge(df, **kwargs).select(order, *JUDGED)
+    """Rows per reason; the texts never travel."""
     return (
-        settle(narrow, order)
+        verdicts(df, order, **kwargs)
         .groupBy(F.coalesce("reason", F.lit("accepted")).alias("reason"))
         .agg(F.count(F.lit(1)).alias("n"))
     )

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from voxtide.functions import vocab
 from voxtide.functions.text import as_col, tokens
 from voxtide.operators.skew import top_n_per_key
+from voxtide.operators.votes import small_table
 
 
 def lexicon_table(spark: SparkSession, lexicon: dict[str, float] | None = None) -> DataFrame:
@@ -58,7 +59,7 @@ def lexicon_sentiment(df: DataFrame, lexicon: DataFrame, keys: list[str], text:
     )
     row = [*keys, "_mixed_case", "_but", "_bangs", "_asks"]
     per_token = prepared.select(*row, F.posexplode_outer("_z").alias("_pos", "_w"))
-    hits = per_token.join(F.broadcast(lexicon), F.lower(F.col("_w.t")) == F.col("term"), "left")
+    hits = per_token.join(small_table(lexicon), F.lower(F.col("_w.t")) == F.col("term"), "left")
 
     # Only tokens of the lexicon get past the guard below. What is done to them
     # stays out of the generated loop (higher-order functions are called, not

@@ -27,12 +27,27 @@ def attach_stats(rows: DataFrame, stats: DataFrame, keys: list[str], payload: li
                  count: str, spread_by: Column) -> DataFrame:
     """rows LEFT JOIN stats USING (keys), where a few keys may own most of rows.
 
-    `stats` has one row per key with its row count and fixed-width payload. Rows
-    of the heaviest keys get their payload from a broadcast of at most HOT_KEYS
-    rows; in the shuffled join those rows carry a spread number, so they scatter
-    over the partitions instead of meeting in one. Rows without a key scatter too.
+    `stats` has one row per key with its row count and fixed-width payload.
     """
-    hot = heaviest(stats, keys, count).select(
+    return _attach(rows, heaviest(stats, keys, count), stats, keys, payload, spread_by, F.col(count) < 0)
+
+
+def attach_lookup(rows: DataFrame, lookup: DataFrame, key: str, payload: list[str]) -> DataFrame:
+    """rows LEFT JOIN lookup USING (key) for a lookup with one row per key and
+    short values; the heaviest keys are found by counting rows."""
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    hot = lookup.join(F.broadcast(heaviest(counts, [key], "_n")), key)
+    return _attach(rows, hot, lookup, [key], payload, F.xxhash64(*rows.columns), F.isnull(key))
+
+
+def _attach(rows: DataFrame, hot: DataFrame, stats: DataFrame, keys: list[str], payload: list[str],
+            spread_by: Column, never: Column) -> DataFrame:
+    """Rows of the heaviest keys get their payload from a broadcast of at most
+    HOT_KEYS rows; in the shuffled join those rows carry a spread number, so they
+    scatter over the partitions instead of meeting in one. Rows without a key
+    scatter too. `never` is a condition on stats that holds for no row.
+    """
+    hot = hot.select(
         *[F.col(k).alias(f"_h_{k}") for k in keys],
         *[F.col(p).alias(f"_hp_{p}") for p in payload],
         F.lit(True).alias("_hot"),
@@ -50,12 +65,12 @@ def attach_stats(rows: DataFrame, stats: DataFrame, keys: list[str], payload: li
         *[F.col(p).alias(f"_cp_{p}") for p in payload],
         # zero for every row, but not a literal: a literal would be folded out
         # of the join keys and the hot rows would meet again
-        F.when(F.col(count) < 0, 1).otherwise(0).cast("long").alias("_c_spread"),
+        F.when(never, 1).otherwise(0).cast("long").alias("_c_spread"),
     )
     on_cold = [F.col(k) == F.col(f"_c_{k}") for k in keys] + [F.col("_spread") == F.col("_c_spread")]
     joined = tagged.join(cold, on_cold, "left")
     return joined.select(
-        *rows.columns,
+        *[c for c in rows.columns if c not in payload],
         *[F.when(F.col("_hot"), F.col(f"_hp_{p}")).otherwise(F.col(f"_cp_{p}")).alias(p) for p in payload],
     )
 

@@ -83,7 +83,7 @@ def opinion_report(posts: DataFrame, lexicon: DataFrame) -> DataFrame:
     """
     order = "ingest_seq"
     narrow = rules.judge(posts).withColumn("_exact", exact_hash("text")).select(order, "platform", "_exact", *rules.JUDGED)
-    accepted = rules.settle(cut_lineage(narrow), order).where(F.col("reason").isNull())
+    accepted = rules.settle(cut_lineage(narrow), order).where(F.col("reason").isNull()).select(order, "platform", "_exact")
     unique = cleaning.repeated(cut_lineage(accepted), "_exact", order).where(~F.col("is_duplicate"))
     scores = sentiment.lexicon_sentiment(posts, lexicon, [order])
     label = sentiment.sentiment_label("sentiment_score")

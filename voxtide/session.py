@@ -42,12 +42,22 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A new folder below the shared checkpoint folder."""
-    return os.path.join(checkpoint_root(spark), "voxtide", f"{purpose}-{uuid.uuid4().hex}")
+    """A new folder below the shared checkpoint folder, one tree per application."""
+    app = spark.sparkContext.applicationId
+    return os.path.join(checkpoint_root(spark), "voxtide", app, f"{purpose}-{uuid.uuid4().hex}")
+
+
+def clear_shared(spark: SparkSession) -> None:
+    """Remove what this application wrote below the shared folder, once its
+    results have been stored elsewhere."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(os.path.join(checkpoint_root(spark), "voxtide", spark.sparkContext.applicationId))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder and read back: the plan starts anew and
-    a lost executor costs a read instead of a recomputation."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint()
+    """df, written to the shared folder and read back. The plan starts anew, the
+    rows are computed once, and a lost executor costs a read."""
+    path = shared_dir(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
