@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from voxtide.functions import vocab
 from voxtide.functions.text import NOT_WS, as_col, collapse, contains_any, exact_hash, where_has, word_count
 from voxtide.operators.skew import attach_stats
+from voxtide.session import cut_lineage
 
 MARKUP_BODIES = "(?is)<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->"
 TAG = "</?[A-Za-z!][^>]*>"
@@ -132,7 +133,9 @@ def is_bot(text: Column | str, author: Column | str) -> Column:
 
 def repeated(df: DataFrame, key: str, order: str = "ingest_seq") -> DataFrame:
     """df plus `is_duplicate`: an earlier row of df has the same key."""
-    firsts = (
+    # written out: the table of repeated keys is read twice, and its known size
+    # lets Spark broadcast it where it is small
+    firsts = cut_lineage(
         df.groupBy(key)
         .agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("_n"))
         .where(F.col("_n") > 1)

@@ -29,7 +29,7 @@ def export_filter(df: DataFrame, platform: str = "all", sentiment: str = "all",
 
 def iso_time(c: Column | str) -> Column:
     """Timestamps as ISO-8601 text in UTC, fractions only where there are any."""
-    c = F.col(c) if isinstance(c, str) else c
+    c = F.to_utc_timestamp(F.col(c) if isinstance(c, str) else c, F.current_timezone())
     whole = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
     micros = F.date_format(c, "SSSSSS")
     return F.concat(whole, F.when(micros != "000000", F.concat(F.lit("."), micros)).otherwise(""), F.lit("+00:00"))

@@ -157,13 +157,23 @@ def sarcasm_evaluation(df: DataFrame, threshold: float = 0.5, metric: str = "f1"
     best = tune_threshold(df, "sarcastic", metric, gold, score, steps).select(
         F.col("threshold").alias("best_threshold"), F.col("metric_name").alias("best_threshold_metric"),
         F.col("metric_value").alias("best_threshold_metric_value"))
-    one = F.lit(1).alias("_one")  # both sides are one row
-    return at.select("*", one).join(F.broadcast(best.select("*", one)), "_one").drop("_one")
+    return side_by_side(at, best)
+
+
+def side_by_side(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Two one-row tables as one row, without a join: stacked, then folded."""
+    both = left.unionByName(right, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 def compare_models(left: DataFrame, right: DataFrame, key: str = "task") -> DataFrame:
     """accuracy and macro_f1 of two metric tables side by side."""
-    a = left.select(key, F.col("accuracy").alias("accuracy_a"), F.col("macro_f1").alias("macro_f1_a"))
-    b = right.select(key, F.col("accuracy").alias("accuracy_b"), F.col("macro_f1").alias("macro_f1_b"))
-    return a.join(b, key).withColumn("accuracy_gain", F.col("accuracy_b") - F.col("accuracy_a")).withColumn(
+    def side(df: DataFrame, suffix: str) -> DataFrame:
+        return df.select(key, F.col("accuracy").alias(f"accuracy_{suffix}"), F.col("macro_f1").alias(f"macro_f1_{suffix}"))
+
+    both = side(left, "a").unionByName(side(right, "b"), allowMissingColumns=True)
+    values = [c for c in both.columns if c != key]
+    out = both.groupBy(key).agg(*[F.max(c).alias(c) for c in values])
+    out = out.where(F.col("accuracy_a").isNotNull() & F.col("accuracy_b").isNotNull())
+    return out.withColumn("accuracy_gain", F.col("accuracy_b") - F.col("accuracy_a")).withColumn(
         "macro_f1_gain", F.col("macro_f1_b") - F.col("macro_f1_a"))

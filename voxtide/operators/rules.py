@@ -78,7 +78,7 @@ def settle(judged: DataFrame, order: str = "ingest_seq") -> DataFrame:
     """Judged rows with `reason` in place of the helper columns."""
     # Two 64-bit digests stand for the first text: long buffers keep this a hash
     # aggregate with map-side combine.
-    firsts = (
+    firsts = cut_lineage(
         judged.where(F.col("_row_reason").isNull())
         .groupBy("_hash")
         .agg(

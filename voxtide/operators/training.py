@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxtide.operators.labels import at_least, hierarchical_predict, score_map
-from voxtide.operators.metrics import METRICS, binary_metrics, multiclass_metrics, tune_threshold
+from voxtide.operators.metrics import METRICS, binary_metrics, multiclass_metrics, side_by_side, tune_threshold
 from voxtide.schema import FINAL_LABELS, POLARITY_LABELS, SUBJECTIVITY_LABELS
 
 REG_GRID = (0.01, 0.1)
@@ -70,8 +70,7 @@ def train_stage(rows: DataFrame, labels: list[str], positive: str, threshold_met
     plain = binary_metrics(scored.withColumn("predicted", F.when(at_least(F.col("score"), 0.5), positive).otherwise(other)), positive)
     tuned = tune_threshold(scored, positive, threshold_metric).select(
         F.col("threshold").alias("selected_threshold"), F.col("metric_value").alias("threshold_metric_value"))
-    one = F.lit(1).alias("_one")  # both sides are one row
-    return model, plain.select(*METRICS, one).join(F.broadcast(tuned.select("*", one)), "_one").drop("_one")
+    return model, side_by_side(plain.select(*METRICS), tuned)
 
 
 def train_hierarchical(stage_rows: DataFrame, **kwargs) -> tuple[dict[str, PipelineModel], DataFrame]:

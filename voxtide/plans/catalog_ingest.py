@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from voxtide.functions import vocab
 from voxtide.functions.text import fuzzy_hash
 from voxtide.operators import ingest, language, rules
+from voxtide.plans import jobs
 from voxtide.plans.registry import (
     D_NWS, D_WORD, WORD_BODY, d_any, d_collapse, d_count, d_fuzzy, d_list, d_trim, d_values, query,
 )
@@ -165,15 +166,14 @@ def union_posts_replies(spark, sf):
     return ingest.union_replies(posts, replies).select("post_id", "text", "is_reply", "parent_post_id")
 
 
-@query("ingest_first_wins", """with stored_part as (select ingest_seq, post_id, text from opinions where ingest_seq % 3 = 0),
-  incoming as (select ingest_seq, 'doc_' || cast(ingest_seq // 2 as varchar) post_id, text from opinions),
-  fresh as (select *, row_number() over (partition by post_id order by ingest_seq) rn from incoming
-            where post_id not in (select post_id from stored_part))
-  select ingest_seq, post_id, text from stored_part union all select ingest_seq, post_id, text from fresh where rn = 1""")
+@query("ingest_first_wins", """with incoming as (select ingest_seq, 'doc_' || cast((ingest_seq - ingest_seq % 2) * 2 as varchar) post_id, 'new ' || text as text from opinions),
+  fresh as (select *, row_number() over (partition by post_id order by ingest_seq) rn from incoming where post_id not in (select post_id from opinions))
+  select ingest_seq, post_id, text from opinions union all select ingest_seq, post_id, text from fresh where rn = 1""")
 def ingest_first_wins(spark, sf):
-    posts = tables.opinions(spark, sf).select("ingest_seq", "post_id", "text")
-    existing = posts.where("ingest_seq % 3 = 0")
-    incoming = posts.withColumn("post_id", F.expr("'doc_' || cast(ingest_seq div 2 as string)"))
+    # every incoming id occurs twice, and half of the ids are stored already
+    existing = tables.opinions(spark, sf).select("ingest_seq", "post_id", "text")
+    incoming = existing.selectExpr(
+        "ingest_seq", "'doc_' || cast((ingest_seq - ingest_seq % 2) * 2 as string) as post_id", "'new ' || text as text")
     return ingest.upsert_ignore(existing, incoming)
 
 
@@ -272,6 +272,16 @@ def rejection_reason(spark, sf):
     return rules.rejection_reasons(df, detected="detected").select("post_id", "reason")
 
 
+@query("ingest_run", f"""with raw as (select * exclude (post_id), 'bsky_' || ingest_seq post_id from opinions), {d_reasons('raw')},
+  capped as (select *, row_number() over (partition by query order by ingest_seq) rn from reasons where reason is null)
+  select post_id, 'bluesky' platform, query, text from capped where rn <= 100
+  union all select post_id, 'reddit', query, text from (select {D_COMMENT.format(parent="coalesce(parent_title, '')", text='text')} post_id,
+    'r/' || coalesce(subreddit, 'unknown') || ': ' || coalesce(parent_title, '') query, text from comments)""")
+def ingest_run(spark, sf):
+    stored = ingest.normalize_comments(tables.comments(spark, sf))
+    return jobs.ingest_run(stored, raw_posts(spark, sf)).select("post_id", "platform", "query", "text")
+
+
 @query("rule_filter", f"with {d_reasons()} select post_id, text from reasons where reason is null")
 def rule_filter(spark, sf):
     return rules.rule_filter(tables.opinions(spark, sf)).select("post_id", "text")

@@ -86,15 +86,14 @@ def label_config(spark, sf):
     saved = spark.createDataFrame([("subjectivity", None, None, 0.6)],
                                   "stage string, labels array<string>, positive_label string, decision_threshold double")
     config = labels.with_label_config(stages, saved)
-    wide = config.groupBy().pivot("stage", ["subjectivity", "polarity"]).agg(
-        F.first("decision_threshold").alias("t"), F.first("positive_label").alias("p"))
-    # one row of thresholds next to every scored row
-    one = F.lit(1).alias("_one")
-    df = tables.scored(spark, sf).select("*", one).join(F.broadcast(wide.select("*", one)), "_one")
-    return df.select(
+
+    def threshold(stage):
+        return config.where(F.col("stage") == stage).select("decision_threshold").scalar()
+
+    return tables.scored(spark, sf).select(
         "post_id",
-        labels.apply_threshold("opinionated_score", "opinionated", SUBJECTIVITY_LABELS, F.col("subjectivity_t")).alias("sub"),
-        labels.apply_threshold("positive_score", "positive", POLARITY_LABELS, F.col("polarity_t")).alias("pol"))
+        labels.apply_threshold("opinionated_score", "opinionated", SUBJECTIVITY_LABELS, threshold("subjectivity")).alias("sub"),
+        labels.apply_threshold("positive_score", "positive", POLARITY_LABELS, threshold("polarity")).alias("pol"))
 
 
 @query("hierarchical_predict", """select post_id, case when opinionated_score >= 0.6 then 'opinionated' else 'neutral' end stage1_label,

@@ -135,11 +135,8 @@ def highlight(spark, sf):
 def search_query(spark, sf):
     result = search.search(tables.stored(spark, sf), RARE, ["positive", "negative"], "2024-01-05", "2025-12-31")
     facets = result.facets.agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws("=", "sentiment_label", "n"))), " ").alias("facets"))
-    one = F.lit(1).alias("_one")  # count and facets are one row each
-    return (
-        result.docs.select("post_id", F.round("score", 6).alias("score"), "highlighted_text", one)
-        .join(F.broadcast(result.num_found.select("*", one)), "_one").join(F.broadcast(facets.select("*", one)), "_one").drop("_one")
-    )
+    return result.docs.select("post_id", F.round("score", 6).alias("score"), "highlighted_text",
+                              result.num_found.scalar().alias("num_found"), facets.scalar().alias("facets"))
 
 
 # ---- export ----------------------------------------------------------------------------

@@ -346,6 +346,15 @@ def relevance_batches(spark, sf):
     return scored.select("post_id", name.alias("relevance_label"), score.alias("relevance_score"))
 
 
+@query("score_with", f"""select post_id, {d_list(list(vocab.RELEVANCE_CANDIDATES))}[1 + length({D_SCORING}) % 3] as label, 0.8::double score from stored""")
+def score_with(spark, sf):
+    rows = tables.stored(spark, sf).select("post_id", relevance.scoring_text().alias("input"))
+    scored = scoring.score_with(rows, length_scorer, "input", ["post_id"], "length", batch_size=32)
+    best = F.array_max(F.map_values("scores"))
+    top = F.map_keys(F.map_filter("scores", lambda _, v: v == best))
+    return scored.select("post_id", F.get(top, F.lit(0)).alias("label"), best.alias("score"))
+
+
 @query("relevance_summary", """select count(*) filter (relevance_label = 'relevant') relevant, count(*) filter (relevance_label = 'spam') spam,
   count(*) filter (relevance_label = 'off_topic') off_topic from stored""")
 def relevance_summary(spark, sf):
@@ -438,3 +447,31 @@ def report_samples(spark, sf):
   count(*) filter (label = 'neutral') neutral, round(avg(sentiment_score), 4) avg_score from labelled_rows group by platform""")
 def opinion_report(spark, sf):
     return jobs.opinion_report(tables.opinions(spark, sf), sentiment.lexicon_table(spark))
+
+
+# ---- whole runs ------------------------------------------------------------------------
+
+
+@query("clean_run", f"""with pend as (select * from stored where clean_status is null), {d_statuses('pend')}
+  select s.post_id, coalesce(s.clean_status, t.clean_status) clean_status,
+    case when t.post_id is null then s.cleaned_text when t.clean_status = 'cleaned' then t.cleaned end cleaned_text
+  from stored s left join statuses t using (post_id)""")
+def clean_run(spark, sf):
+    return jobs.clean_run(tables.stored(spark, sf))[0].select("post_id", "clean_status", "cleaned_text")
+
+
+@query("sentiment_run", f"""with pend as (select * from stored where sentiment_score is null), {d_sentiment('pend')},
+  found as (select post_id, sentiment_score new_score, {D_LABEL} new_label from sentiment)
+  select post_id, coalesce(sentiment_score, new_score) sentiment_score, coalesce(sentiment_label, new_label) sentiment_label
+  from stored left join found using (post_id)""")
+def sentiment_run(spark, sf):
+    out = jobs.sentiment_run(tables.stored(spark, sf), sentiment.lexicon_table(spark))
+    return out.select("post_id", "sentiment_score", "sentiment_label")
+
+
+@query("relevance_run", f"""with pend as (select * from stored where relevance_label is null), {d_votes(REL, 'pend', D_SCORING)}
+  select post_id, coalesce(relevance_label, {d_top(REL_NAMES)}) relevance_label, round(coalesce(relevance_score, {d_top_score(3)}), 6) relevance_score
+  from stored left join votes using (post_id)""")
+def relevance_run(spark, sf):
+    out = jobs.relevance_run(tables.stored(spark, sf))
+    return out.select("post_id", "relevance_label", F.round("relevance_score", 6).alias("relevance_score"))

@@ -130,7 +130,7 @@ def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _documents_with_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id")
+    return documents(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id")
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
