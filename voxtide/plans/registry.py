@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def with_inputs(sql: str, **extra: str) -> str:
+def with_inputs(sql: str) -> str:
     """Put the input tables a statement names in front of it."""
     body = sql.strip()
     used = [n for n in CTES if re.search(rf"\b{n}\b", body)]
