@@ -33,15 +33,19 @@ class Units:
     id_type: str
 
 
-def deal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit_bytes: int = UNIT_BYTES) -> Units:
+def deal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit_bytes: int = UNIT_BYTES, carry: tuple[str, ...] = ()) -> Units:
     """One job counts the bytes; the number of units follows from them. Rows with
-    one id and one text share a unit, rows without an id are spread by text."""
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    one id and one text share a unit, rows without an id are spread by text.
+    Columns to carry along go by c0, c1, ..., so no name clashes."""
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+                       *[docs[c].alias(f"c{i}") for i, c in enumerate(carry)])
     n_bytes, = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")) + 64)).first()
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sized = (n_bytes or 0) // unit_bytes + 1
     n = max(sized, 8 * parts)
-    return Units(rows.withColumn("_unit", F.pmod(F.xxhash64("id", "text"), F.lit(n))), n, max(sized, parts), docs.schema[id_col].dataType.simpleString())
+    # a unit writes to every bucket: with little data in many units, fewer buckets keep each letter worth sending
+    buckets = max(sized, min(parts, (n_bytes or 0) // (400 * n)))
+    return Units(rows.withColumn("_unit", F.pmod(F.xxhash64("id", "text"), F.lit(n))), n, buckets, docs.schema[id_col].dataType.simpleString())
 
 
 def flat(column) -> pa.Array:
