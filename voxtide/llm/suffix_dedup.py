@@ -161,36 +161,37 @@ def suffix_mail(docs: DataFrame, id_col: str, text_col: str, least: int, groups:
         at = inner + np.repeat(np.cumsum(size) - size, count)
         rest = size[string] - inner
         wide = int(size.max())
-        suffix = np.lib.stride_tricks.sliding_window_view(np.append(data, np.zeros(wide, np.uint8)), wide)[at]
-        suffix[np.arange(wide) >= rest[:, None]] = 0
-        order = np.argsort(suffix.view(f"S{wide}").ravel(), kind="stable")
-        suffix, rest = suffix[order], rest[order]
-        same = suffix[1:] == suffix[:-1]
-        lcp = np.where(same.all(axis=1), wide, np.argmin(same, axis=1))
-        lcp = np.append(0, np.minimum(lcp, np.minimum(rest[1:], rest[:-1])))
-        own = owner[string[order]]
-        before = np.where(inner == 0, left[string], data[np.maximum(at - 1, 0)])[order]
-        turn = np.append(0, np.cumsum((before[1:] != before[:-1]) | (before[1:] >= START)))
-        smallest = own.copy()
+        windows = np.lib.stride_tricks.sliding_window_view(np.append(data, np.zeros(wide, np.uint8)), wide)
+        own, hit = owner[string], np.zeros(len(at), bool)
+        before = np.where(inner == 0, left[string], data[np.maximum(at - 1, 0)])
         found = []
-        for lo, hi, length, root in intervals(lcp.tolist(), least):
-            if root:
-                smallest[lo: hi + 1] = own[lo: hi + 1].min()
-            # left-maximal, or the rest of it stands in another bucket
-            if groups and (turn[hi] != turn[lo] or before[lo] == MIXED):
-                found.append((lo, hi, length))
-        hit = np.empty(len(order), bool)
-        hit[order] = smallest < own
+        for part in _ranges(np.ascontiguousarray(windows[:, :8]).view(">u8").ravel()[at].astype(np.uint64)):
+            suffix = windows[at[part]]
+            suffix[np.arange(wide) >= rest[part][:, None]] = 0
+            order = np.argsort(suffix.view(f"S{wide}").ravel(), kind="stable")
+            suffix, part = suffix[order], part[order]
+            same = suffix[1:] == suffix[:-1]
+            lcp = np.where(same.all(axis=1), wide, np.argmin(same, axis=1))
+            lcp = np.append(0, np.minimum(lcp, np.minimum(rest[part[1:]], rest[part[:-1]])))
+            ids, prior = own[part], before[part]
+            smallest = ids.copy()
+            turn = np.append(0, np.cumsum((prior[1:] != prior[:-1]) | (prior[1:] >= START)))
+            for lo, hi, length, root in intervals(lcp.tolist(), least):
+                if root:
+                    smallest[lo: hi + 1] = ids[lo: hi + 1].min()
+                # left-maximal, or the rest of it stands in another bucket
+                if groups and (turn[hi] != turn[lo] or prior[lo] == MIXED):
+                    found.append((_name(suffix[lo, :length]), length, part[lo: hi + 1]))
+            hit[part] = smallest < ids
         ends = np.cumsum(np.add.reduceat(count, np.cumsum([0] + held[:-1])))
         starts = np.append(0, ends[:-1])
         blobs = [np.uint32(b - a).tobytes() + np.packbits(hit[a:b]).tobytes() for a, b in zip(starts, ends)]
         if groups:
-            source = np.searchsorted(ends, order, side="right")
             extra: list[list] = [[] for _ in rows]
-            for lo, hi, length in found:
-                name = _name(suffix[lo, :length])
-                for i in range(lo, hi + 1):
-                    extra[source[i]].append((name, length, order[i] - starts[source[i]]))
+            for name, length, members in found:
+                for i in members.tolist():
+                    source = int(np.searchsorted(ends, i, side="right"))
+                    extra[source].append((name, length, i - starts[source]))
             blobs = [x + np.array(e, np.int64).tobytes() for x, e in zip(blobs, extra)]
         return pa.table({"_unit": table["_unit"], "bucket": table["bucket"], "blob": pa.array(blobs, pa.binary())})
 
@@ -200,6 +201,18 @@ def suffix_mail(docs: DataFrame, id_col: str, text_col: str, least: int, groups:
     return dealt, sent.groupBy("bucket").applyInArrow(array, U.MAIL)
 
 
+def _ranges(prefix: np.ndarray, size: int = 1 << 16):
+    """Ranges of the suffix array by leading bytes, of about `size` suffixes; one
+    prefix is never split."""
+    order = np.argsort(prefix, kind="stable")
+    cuts = np.append(np.flatnonzero(np.diff(prefix[order])) + 1, len(order))
+    at = 0
+    while at < len(order):
+        to = int(cuts[min(np.searchsorted(cuts, at + size), len(cuts) - 1)])
+        yield order[at:to]
+        at = to
+
+
 def _name(text: np.ndarray) -> int:
     return int(U.span_hashes(text.astype(np.uint64) + np.uint64(1), np.array([0]), np.array([len(text)])).view(np.int64)[0])
 
