@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxtide.llm.line_dedup import line_dedup
+from voxtide.llm.packing import pack
+from voxtide.llm.quality_rules import quality_rules
+from voxtide.llm.sharding import hilbert_shards
+from voxtide.llm.simhash_dedup import simhash_dedup
 from voxtide.llm.substring_dedup import substring_dedup
 from voxtide.llm.suffix_dedup import suffix_dedup
+from voxtide.llm.token_counts import prefix_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,14 +29,43 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rule")
+
+
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup(table(spark, sf_dir, "documents"), min_bytes=50)
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Query] = {
-    "op1_substring_dedup": op1_substring_dedup,
-    "op3_suffix_array_dedup": op3_suffix_array_dedup,
-}
+def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash_dedup(table(spark, sf_dir, "documents"), shingle=4, distance=4)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op6_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = hilbert_shards(table(spark, sf_dir, "documents"), shards=16)
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup(table(spark, sf_dir, "documents"), min_run=3)
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op9_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2, length=4096, with_ids=False)
+    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source")
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = prefix_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op1_substring_dedup, op2_quality_rules, op3_suffix_array_dedup, op5_simhash_dedup, op6_hilbert_sharding, op7_line_dedup,
+    op9_mixture_packing, op10_token_counts)}
 
 ORACLES: dict[str, str] = {}
