@@ -8,6 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxtide.llm.decontaminate import find_items
+from voxtide.llm.license_scan import license_scan
 from voxtide.llm.line_dedup import line_dedup
 from voxtide.llm.packing import pack
 from voxtide.llm.quality_rules import quality_rules
@@ -39,6 +41,10 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_dedup(table(spark, sf_dir, "documents"), shingle=4, distance=4)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
@@ -54,6 +60,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents")).drop("detections")
+
+
 def op9_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2, length=4096, with_ids=False)
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source")
@@ -65,7 +75,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_substring_dedup, op2_quality_rules, op3_suffix_array_dedup, op5_simhash_dedup, op6_hilbert_sharding, op7_line_dedup,
-    op9_mixture_packing, op10_token_counts)}
+    op1_substring_dedup, op2_quality_rules, op3_suffix_array_dedup, op4_decontamination, op5_simhash_dedup, op6_hilbert_sharding,
+    op7_line_dedup, op8_license_scan, op9_mixture_packing, op10_token_counts)}
 
 ORACLES: dict[str, str] = {}

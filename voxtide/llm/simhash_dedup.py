@@ -198,3 +198,17 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "r")
     lookup = cut_lineage(named.join(smallest, F.col("root") == F.col("r")).select("fingerprint", "root", "component_id"))
     return attach_lookup(marks, lookup, "fingerprint", ["root", "component_id"]).withColumnRenamed("id", id_col)
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4) -> DataFrame:
+    """The rows of docs, with all their columns, that stand first in their class:
+    the smallest id (null after all others), then the smallest hash of the text. Of
+    rows equal in id and text one stays. Other cases as in simhash_dedup."""
+    last = F.lit((1 << 63) - 1)
+    marks = simhash_dedup(docs, id_col, text_col, shingle, distance)
+    firsts = marks.groupBy("root").agg(F.min(F.struct(F.coalesce(id_col, last).alias("i"), F.col("th").alias("t"))).alias("f")).select("f.i", "f.t")
+    # names of the columns are set aside, so that none clashes
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)],
+                       F.coalesce(F.col(id_col).cast("long"), last).alias("_i"), F.xxhash64(F.col(text_col).cast("string")).alias("_t"))
+    kept = rows.join(firsts, (F.col("_i") == F.col("i")) & (F.col("_t") == F.col("t")), "left_semi").dropDuplicates(["_i", "_t"])
+    return kept.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])
