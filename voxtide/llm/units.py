@@ -44,7 +44,7 @@ def deal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit_b
     sized = (n_bytes or 0) // unit_bytes + 1
     n = max(sized, 8 * parts)
     # a unit writes to every bucket: with little data in many units, fewer buckets keep each letter worth sending
-    buckets = max(sized, min(parts, (n_bytes or 0) // (400 * n)))
+    buckets = max(sized, min(parts, (n_bytes or 0) // (1000 * n)))
     return Units(rows.withColumn("_unit", F.pmod(F.xxhash64("id", "text"), F.lit(n))), n, buckets, docs.schema[id_col].dataType.simpleString())
 
 
