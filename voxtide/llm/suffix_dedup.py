@@ -36,28 +36,39 @@ def intervals(lcp: list[int], least: int) -> list[tuple[int, int, int, bool]]:
 
 
 class _Unit:
-    """Bytes of a unit, its windows and the gram that is least in each."""
+    """Bytes of a unit, and its windows in runs that share the gram that is least in
+    each: first byte (at), number of windows (count), document and hash of the gram.
+    Documents are taken a few at a time, so that what is computed for every byte
+    stays small."""
+
+    SLICE = 1 << 17
 
     def __init__(self, table: pa.Table, least: int):
         self.data, self.offsets = U.text_bytes(table["text"])
         self.ids = U.flat(table["id"].cast(pa.int64())).fill_null(NO_ID).to_numpy(zero_copy_only=False)
-        count = np.maximum(np.diff(self.offsets) - least + 1, 0)
-        self.doc = np.repeat(np.arange(len(count)), count)
-        ends = np.cumsum(count)
-        self.at = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - count, count) + np.repeat(self.offsets[:-1], count)
-        self.hash = self.least = np.zeros(0, np.uint64)
-        if len(self.at):
-            gram = min(GRAM, least)
-            self.hash = _grams(self.data, gram)
-            low = (self.hash & ~np.uint64(0xFFFFFFFF)) | np.arange(len(self.hash), dtype=np.uint64)
-            self.least = _sliding_min(low, least - gram + 1)[self.at] & np.uint64(0xFFFFFFFF)
-
-    def groups(self) -> tuple[np.ndarray, np.ndarray]:
-        """First window and number of windows of every run that shares its least gram."""
-        new = np.diff(self.least.astype(np.int64), prepend=-1) != 0
-        new |= np.diff(self.doc, prepend=-1) != 0
-        first = np.flatnonzero(new)
-        return first, np.diff(np.append(first, len(self.at)))
+        parts, low = [], 0
+        while low < len(self.ids):
+            high = max(low + 1, int(np.searchsorted(self.offsets, self.offsets[low] + self.SLICE, side="right")) - 1)
+            parts.append(self._runs(low, high, least))
+            low = high
+        self.at, self.count, self.doc = (np.concatenate([np.zeros(0, np.int64), *[x[i] for x in parts]]) for i in range(3))
+        self.hash = np.concatenate([np.zeros(0, np.uint64), *[x[3] for x in parts]])
+
+    def _runs(self, low: int, high: int, least: int):
+        base = self.offsets[low]
+        data, offsets = self.data[base: self.offsets[high]], self.offsets[low: high + 1] - base
+        count = np.maximum(np.diff(offsets) - least + 1, 0)
+        if not count.sum():
+            return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
+        gram = min(GRAM, least)
+        hashes = _grams(data, gram)
+        key = (hashes & ~np.uint64(0xFFFFFFFF)) | np.arange(len(hashes), dtype=np.uint64)
+        key = _sliding_min(key, least - gram + 1) & np.uint64(0xFFFFFFFF)
+        doc = np.repeat(np.arange(len(count)), count)
+        at = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(offsets[:-1], count)
+        key = key[at].astype(np.int64)
+        first = np.flatnonzero((np.diff(key, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0))
+        return at[first] + base, np.diff(np.append(first, len(at))), doc[first] + low, hashes[key[first]]
 
 
 def _grams(data: np.ndarray, gram: int) -> np.ndarray:
@@ -93,8 +104,7 @@ def suffix_mail(docs: DataFrame, id_col: str, text_col: str, least: int, groups:
     def anchors(key, table):
         """Which least grams does another document have?"""
         unit = _Unit(U.in_order(table), least)
-        first, _ = unit.groups()
-        h, doc = unit.hash[unit.least[first].astype(np.int64)], unit.doc[first]
+        h, doc = unit.hash, unit.doc
         where, number, _ = U.distinct(h, None, buckets)
         low, high = np.full(len(where), len(unit.ids)), np.full(len(where), -1)
         np.minimum.at(low, number, doc)
@@ -104,18 +114,16 @@ def suffix_mail(docs: DataFrame, id_col: str, text_col: str, least: int, groups:
     def strings(key, table, replies):
         """Send the strings under the grams that others have, equal ones once."""
         me, unit = key[0].as_py(), _Unit(U.in_order(table), least)
-        first, count = unit.groups()
         flags, _ = U.answers(replies)
-        h = unit.hash[unit.least[first].astype(np.int64)]
+        h = unit.hash
         if not len(h):
             return U.mail(me, np.zeros(0, np.int64), pa.array([], pa.large_binary()))
         _, number, _ = U.distinct(h, None, buckets)
         hot = flags[number]
-        first, count, bucket = first[hot], count[hot], U.bucket_of(h[hot], buckets)
-        begin, doc = unit.at[first], unit.doc[first]
+        begin, count, doc, bucket = unit.at[hot], unit.count[hot], unit.doc[hot], U.bucket_of(h[hot], buckets)
         raw = unit.data.tobytes()
         seen: dict[bytes, int] = {}
-        index, left, owner, where = np.empty(len(first), np.int64), [], [], []
+        index, left, owner, where = np.empty(len(begin), np.int64), [], [], []
         for i, (b, n, d) in enumerate(zip(begin.tolist(), (count + least - 1).tolist(), doc.tolist())):
             before = raw[b - 1] if b > unit.offsets[d] else START
             k = seen.setdefault(raw[b: b + n], len(seen))
@@ -137,7 +145,7 @@ def suffix_mail(docs: DataFrame, id_col: str, text_col: str, least: int, groups:
         for a, b in zip(cuts[:-1], cuts[1:]):
             size = np.array([len(x) for x in text[a:b]], np.uint16)
             blobs.append(b"".join([np.uint32(b - a).tobytes(), owner[a:b].tobytes(), left[a:b].tobytes(), size.tobytes(), *text[a:b]]))
-        memo = np.array([len(text), len(first)], np.int64).tobytes() + np.array([len(x) - least + 1 for x in text], np.int64).tobytes() + owner.tobytes() + b"".join(
+        memo = np.array([len(text), len(begin)], np.int64).tobytes() + np.array([len(x) - least + 1 for x in text], np.int64).tobytes() + owner.tobytes() + b"".join(
             np.asarray(x, np.int64).tobytes() for x in (begin, doc, place[index]))
         return pa.concat_tables([U.note(me, memo), U.mail(me, where[cuts[:-1]], pa.array(blobs, pa.large_binary()))])
 
@@ -154,10 +162,23 @@ def suffix_mail(docs: DataFrame, id_col: str, text_col: str, least: int, groups:
             sizes.append(np.frombuffer(blob, np.uint16, n, 4 + 10 * n).astype(np.int64))
             texts.append(np.frombuffer(blob, np.uint8, -1, 4 + 12 * n))
             held.append(n)
-        owner, left, size, data = map(np.concatenate, (owners, lefts, sizes, texts))
+        all_owner, all_left, all_size, raw = *map(np.concatenate, (owners, lefts, sizes)), b"".join(x.tobytes() for x in texts)
+        # equal strings of different units stand in the array once
+        ends = np.cumsum(all_size)
+        index: dict[bytes, int] = {}
+        which = np.array([index.setdefault(raw[e - n: e], len(index)) for e, n in zip(ends.tolist(), all_size.tolist())], np.int64)
+        size = np.array([len(x) for x in index], np.int64)
+        owner, held_by = np.full(len(index), NO_ID), np.bincount(which)
+        np.minimum.at(owner, which, all_owner)
+        low, high = np.full(len(index), MIXED, np.int64), np.full(len(index), -1, np.int64)
+        np.minimum.at(low, which, all_left)
+        np.maximum.at(high, which, all_left)
+        left = np.where((low == high) & ((high < START) | (held_by == 1)), high, MIXED)
+        data = np.frombuffer(b"".join(index), np.uint8)
         count = size - least + 1
+        first = np.cumsum(count) - count
         string = np.repeat(np.arange(len(size)), count)
-        inner = np.arange(len(string)) - np.repeat(np.cumsum(count) - count, count)
+        inner = np.arange(len(string)) - np.repeat(first, count)
         at = inner + np.repeat(np.cumsum(size) - size, count)
         rest = size[string] - inner
         wide = int(size.max())
@@ -170,28 +191,39 @@ def suffix_mail(docs: DataFrame, id_col: str, text_col: str, least: int, groups:
             suffix[np.arange(wide) >= rest[part][:, None]] = 0
             order = np.argsort(suffix.view(f"S{wide}").ravel(), kind="stable")
             suffix, part = suffix[order], part[order]
-            same = suffix[1:] == suffix[:-1]
-            lcp = np.where(same.all(axis=1), wide, np.argmin(same, axis=1))
-            lcp = np.append(0, np.minimum(lcp, np.minimum(rest[part[1:]], rest[part[:-1]])))
+            lcp = np.append(0, np.minimum(_common(suffix), np.minimum(rest[part[1:]], rest[part[:-1]])))
             ids, prior = own[part], before[part]
             smallest = ids.copy()
             turn = np.append(0, np.cumsum((prior[1:] != prior[:-1]) | (prior[1:] >= START)))
-            for lo, hi, length, root in intervals(lcp.tolist(), least):
+            for lo, hi, length, root in _tree(lcp, least):
                 if root:
                     smallest[lo: hi + 1] = ids[lo: hi + 1].min()
                 # left-maximal, or the rest of it stands in another bucket
                 if groups and (turn[hi] != turn[lo] or prior[lo] == MIXED):
                     found.append((_name(suffix[lo, :length]), length, part[lo: hi + 1]))
+            if groups:  # a string held often is a group of its own, unless an interval of its length has it
+                wider = np.maximum(lcp, np.append(lcp[1:], 0))
+                for i in np.flatnonzero((prior == MIXED) & (wider < rest[part])):
+                    length = int(rest[part[i]])
+                    found.append((_name(suffix[i, :length]), length, part[i: i + 1]))
             hit[part] = smallest < ids
-        ends = np.cumsum(np.add.reduceat(count, np.cumsum([0] + held[:-1])))
+        all_count = all_size - least + 1
+        place = np.repeat(first[which], all_count) + np.arange(all_count.sum()) - np.repeat(np.cumsum(all_count) - all_count, all_count)
+        hit = hit[place] | np.repeat(all_owner > owner[which], all_count)
+        row_of = np.repeat(np.arange(len(held)), held)
+        ends = np.cumsum(np.bincount(row_of, weights=all_count, minlength=len(held)).astype(np.int64))
         starts = np.append(0, ends[:-1])
         blobs = [np.uint32(b - a).tobytes() + np.packbits(hit[a:b]).tobytes() for a, b in zip(starts, ends)]
         if groups:
+            begin = np.cumsum(all_count) - all_count
+            holders: dict[int, list[int]] = {}
+            for j, k in enumerate(which.tolist()):
+                holders.setdefault(k, []).append(j)
             extra: list[list] = [[] for _ in rows]
             for name, length, members in found:
-                for i in members.tolist():
-                    source = int(np.searchsorted(ends, i, side="right"))
-                    extra[source].append((name, length, i - starts[source]))
+                for w in members.tolist():
+                    for j in holders[int(string[w])]:
+                        extra[row_of[j]].append((name, length, begin[j] + inner[w] - starts[row_of[j]]))
             blobs = [x + np.array(e, np.int64).tobytes() for x, e in zip(blobs, extra)]
         return pa.table({"_unit": table["_unit"], "bucket": table["bucket"], "blob": pa.array(blobs, pa.binary())})
 
@@ -201,6 +233,22 @@ def suffix_mail(docs: DataFrame, id_col: str, text_col: str, least: int, groups:
     return dealt, sent.groupBy("bucket").applyInArrow(array, U.MAIL)
 
 
+def _common(suffix: np.ndarray) -> np.ndarray:
+    """Bytes that neighbouring rows have in common at their beginning."""
+    same = suffix[1:] == suffix[:-1]
+    return np.where(same.all(axis=1), suffix.shape[1], np.argmin(same, axis=1))
+
+
+def _tree(lcp: np.ndarray, least: int):
+    """intervals() over each stretch of the array where neighbours have `least` in common."""
+    near = lcp >= least
+    near[0] = False
+    edge = np.flatnonzero(np.diff(near.astype(np.int8), prepend=0, append=0))
+    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
+        for lo, hi, length, root in intervals([0, *lcp[a:b].tolist()], least):
+            yield a - 1 + lo, a - 1 + hi, length, root
+
+
 def _ranges(prefix: np.ndarray, size: int = 1 << 16):
     """Ranges of the suffix array by leading bytes, of about `size` suffixes; one
     prefix is never split."""
