@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxtide.llm import sql
 from voxtide.llm.decontaminate import find_items
 from voxtide.llm.license_scan import license_scan
 from voxtide.llm.line_dedup import line_dedup
@@ -78,4 +79,4 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_substring_dedup, op2_quality_rules, op3_suffix_array_dedup, op4_decontamination, op5_simhash_dedup, op6_hilbert_sharding,
     op7_line_dedup, op8_license_scan, op9_mixture_packing, op10_token_counts)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_substring_dedup": sql.OP1, "op3_suffix_array_dedup": sql.OP3, "op7_line_dedup": sql.OP7}
