@@ -68,7 +68,8 @@ class _Unit:
         at = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(offsets[:-1], count)
         key = key[at].astype(np.int64)
         first = np.flatnonzero((np.diff(key, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0))
-        return at[first] + base, np.diff(np.append(first, len(at))), doc[first] + low, hashes[key[first]]
+        # least hashes are small ones: mixed again, they spread over the buckets
+        return at[first] + base, np.diff(np.append(first, len(at))), doc[first] + low, U.mix(hashes[key[first]] + np.uint64(1))
 
 
 def _grams(data: np.ndarray, gram: int) -> np.ndarray:
