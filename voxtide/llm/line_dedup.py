@@ -65,6 +65,10 @@ class _Unit:
                     self.marks.append((d, first, last, place, True))
         self.around = list(self.places)
 
+    def buckets(self, n: int) -> np.ndarray:
+        """Bucket of each fingerprint; least hashes are small ones, so they are mixed again."""
+        return U.bucket_of(U.mix(np.array([a[0] for a in self.around], np.uint64) + np.uint64(1)), n)
+
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = 3,
                carry: tuple[str, ...] = ()) -> DataFrame:
@@ -95,7 +99,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         me, unit = key[0].as_py(), _Unit(U.in_order(table), min_run)
         if not unit.around:
             return U.mail(me, np.zeros(0, np.int64), pa.array([], pa.large_binary()))
-        bucket = U.bucket_of(np.array([a[0] for a in unit.around], np.uint64), buckets)
+        bucket = unit.buckets(buckets)
         order = np.argsort(bucket, kind="stable")
         bucket = bucket[order]
         cuts = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist() + [len(bucket)]
@@ -137,7 +141,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         flags, _ = U.answers(replies)
         at = np.zeros(len(unit.around), np.int64)
         if unit.around:
-            bucket = U.bucket_of(np.array([a[0] for a in unit.around], np.uint64), buckets)
+            bucket = unit.buckets(buckets)
             order = np.argsort(bucket, kind="stable")
             counts = np.array([len(a) - min_run for a in unit.around], np.int64)
             at[order] = np.cumsum(counts[order]) - counts[order]
