@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from voxtide.functions import vocab
 from voxtide.functions.text import fuzzy_hash, utrim, word_count
-from voxtide.operators import rules, skew
+from voxtide.operators import language, rules, skew
 
 CASES = [
     ("lol", "en", "min_text_length"),
@@ -20,14 +20,24 @@ CASES = [
     ("AI tools changed the way I work every day!", "en", "near_duplicate"),
     ("AI tools changed the way I work every day", "en", None),
     ("an empty hint is not a missing hint", "", "language"),
-    ("no hint at all is accepted without detection", None, None),
+    ("without a hint the detected language decides", None, None),
+    ("ohne hinweis entscheidet die erkannte sprache", None, "language"),
+    ("1234 5678 9012 3456 no letters known: ☃☃☃"[:19], None, None),
 ]
 
 
-def test_one_case_per_rule(spark):
+@pytest.fixture(scope="module")
+def detector(spark):
+    rows = [("with the hint of the language that decides without it", "en"), ("die sprache entscheidet ohne den hinweis der erkannt ist", "de")]
+    return language.language_profile(spark.createDataFrame(rows, "text string, lang string"), ["de", "en"])
+
+
+def test_one_case_per_rule(spark, detector):
     df = spark.createDataFrame([(i, t, l) for i, (t, l, _) in enumerate(CASES)], "ingest_seq long, text string, lang string")
-    got = {r["ingest_seq"]: r["reason"] for r in rules.rejection_reasons(df).collect()}
+    got = {r["ingest_seq"]: r["reason"] for r in rules.rejection_reasons(df, detector).collect()}
     assert got == {i: reason for i, (_, _, reason) in enumerate(CASES)}
+    kept = [r["ingest_seq"] for r in rules.rule_filter(df, detector).collect()]
+    assert sorted(kept) == [i for i, r in got.items() if r is None]
 
 
 def test_empty_blocklist_means_default(spark):
@@ -53,22 +63,22 @@ def sequential(rows, scope):
 
 
 @pytest.mark.parametrize("scope", [None, "grp"])
-def test_near_duplicates_match_a_loop(spark, scope):
+def test_near_duplicates_match_a_loop(spark, detector, scope):
     rng = random.Random(5)
     stems = ["the same words again and again", "another post about tools today", "short"]
     rows = [(i, rng.choice(stems) + rng.choice(["", "!", "?", " ", "."]), rng.choice("ab")) for i in range(600)]
     df = spark.createDataFrame(rows, "ingest_seq long, text string, grp string").withColumn("lang", F.lit("en"))
-    got = {r["ingest_seq"]: r["reason"] for r in rules.rejection_reasons(df, session=scope).collect()}
+    got = {r["ingest_seq"]: r["reason"] for r in rules.rejection_reasons(df, detector, session=scope).collect()}
     assert got == sequential(rows, scope)
 
 
-def test_near_duplicates_with_more_keys_than_are_broadcast(spark, monkeypatch):
+def test_near_duplicates_with_more_keys_than_are_broadcast(spark, detector, monkeypatch):
     monkeypatch.setattr(skew, "HOT_KEYS", 3)
     monkeypatch.setattr(skew.heaviest, "__defaults__", (3,))
     rng = random.Random(6)
     rows = [(i, f"some longer words number {min(int(rng.expovariate(0.2)), 30)}" + rng.choice(["", "!"]), "a") for i in range(500)]
     df = spark.createDataFrame(rows, "ingest_seq long, text string, grp string").withColumn("lang", F.lit("en"))
-    got = {r["ingest_seq"]: r["reason"] for r in rules.rejection_reasons(df).collect()}
+    got = {r["ingest_seq"]: r["reason"] for r in rules.rejection_reasons(df, detector).collect()}
     assert got == sequential(rows, None)
 
 

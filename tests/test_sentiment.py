@@ -13,11 +13,22 @@ def scores(spark, texts):
 
 def test_three_sentences(spark):
     pos, neg, neu, empty = scores(spark, [
-        "I absolutely love AI tools, they make my work so much easier!",
-        "AI tools are terrible and useless, complete waste of time",
-        "AI tools exist and people use them for work", "",
+        "What a great garden, the roses are good this year.",
+        "The train was late again and the coffee was awful.",
+        "The library opens at nine on weekdays.", "",
     ])
-    assert pos >= 0.05 and neg <= -0.05 and neu == 0.0 and empty == 0.0
+    assert pos > 0.4 and neg < -0.2 and neu == 0.0 and empty == 0.0
+
+
+def test_rows_with_one_key_stay_apart(spark):
+    df = spark.createDataFrame([("a", "this is good"), ("a", "this is good"), ("a", None)], "post_id string, text string")
+    rows = lexicon_sentiment(df, lexicon_table(spark), ["post_id"])
+    one = round(1.9 / (1.9 ** 2 + 15) ** 0.5, 4)
+    assert sorted(r["sentiment_score"] for r in rows.collect()) == [0.0, one, one]
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    votes = relevance.candidate_scores(df, {"x": {"good": 5}, "y": {"bad": 3}}, ["post_id"], "text")
+    assert sorted(r["votes"] for r in votes.collect()) == [[0, 0], [5, 0], [5, 0]]
+    assert "Exchange" not in votes._jdf.queryExecution().executedPlan().toString()
 
 
 def test_rules(spark):
@@ -58,5 +69,5 @@ def test_language(spark):
     train = spark.createDataFrame([("the cat and the dog and the house of the man", "en"), ("der hund und die katze und das haus der frau", "de")], "text string, lang string")
     profile = language.language_profile(train, ["de", "en"])
     df = spark.createDataFrame([(1, "the dog of the house", None), (2, "der hund und die frau", None), (3, "???", None), (4, "x", "en")], "post_id long, text string, lang string")
-    got = {r["post_id"]: r["detected"] for r in language.with_detected(df, profile, ["de", "en"]).collect()}
+    got = {r["post_id"]: r["detected"] for r in language.with_detected(df, profile).collect()}
     assert got == {1: "en", 2: "de", 3: None, 4: None}

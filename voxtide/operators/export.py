@@ -66,24 +66,18 @@ def export_jsonl(df: DataFrame, path: str) -> None:
     df.write.option("ignoreNullFields", "false").json(path)
 
 
-def export_json(df: DataFrame, path: str) -> None:
-    """One JSON array for every written file: each partition is an array of its
-    own, so nothing is gathered in one place."""
+def export_json(df: DataFrame, path: str, rows_per_array: int = 100_000) -> None:
+    """JSON arrays of at most rows_per_array objects, each in a file of its own;
+    nothing is gathered in one place. Missing values are spelled out as null. No
+    rows give one empty array."""
     body = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
-
-    def as_array(batches):
-        import pandas as pd
-
-        first = True
-        for pdf in batches:
-            lines = []
-            for obj in pdf["value"]:
-                lines.append(("[\n  " if first else "  ,") + obj)
-                first = False
-            yield pd.DataFrame({"value": lines})
-        yield pd.DataFrame({"value": ["[]" if first else "]"]})
-
-    df.select(body.alias("value")).mapInPandas(as_array, "value string").write.text(path)
+    # rows of a task are numbered in the order it reads them; a run of numbers is an array
+    numbered = df.select(body.alias("b"), F.monotonically_increasing_id().alias("n")).withColumn("part", F.floor(F.col("n") / rows_per_array))
+    arrays = numbered.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("n", "b"))).alias("o"))
+    lines = arrays.select(F.concat(F.lit("["), F.array_join(F.transform("o", lambda x: x["b"]), ","), F.lit("]")).alias("value"))
+    if df.isEmpty():
+        lines = df.sparkSession.createDataFrame([("[]",)], "value string")
+    lines.write.option("maxRecordsPerFile", 1).text(path)
 
 
 def predictions_jsonl(predictions: DataFrame, path: str) -> None:

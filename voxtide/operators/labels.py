@@ -13,6 +13,7 @@ from voxtide.functions.text import as_col, half_even, utrim
 from voxtide.operators.skew import attach_lookup, first_per_key
 from voxtide.operators.state import pending_classification
 from voxtide.schema import POLARITY_LABELS, SUBJECTIVITY_LABELS
+from voxtide.session import cut_lineage
 
 
 def _names(values: list[str]) -> Column:
@@ -93,9 +94,10 @@ def hierarchical_predict(df: DataFrame, stage1, stage2, threshold1: float = 0.5,
                          labels1: list[str] = SUBJECTIVITY_LABELS, positive1: str = "opinionated",
                          labels2: list[str] = POLARITY_LABELS, positive2: str = "positive") -> DataFrame:
     """Two-stage labels. stage1/stage2 take a frame and return it with a map
-    column `scores`; stage 2 is only given the opinionated rows."""
+    column `scores`; stage 2 is only given the opinionated rows. What stage 1 gives
+    is kept in the shared folder, so that it sees each row once."""
     label1, score1 = binary_label_and_score("scores", positive1, labels1, threshold1)
-    first = stage1(df).withColumn("stage1_label", label1).withColumn("stage1_score", score1).drop("scores")
+    first = cut_lineage(stage1(df).withColumn("stage1_label", label1).withColumn("stage1_score", score1).drop("scores"))
     neutral = (
         first.where(F.col("stage1_label") != "opinionated")
         .withColumn("stage2_label", F.lit(None).cast("string"))
@@ -196,9 +198,9 @@ def hierarchical_updates(predictions: DataFrame, key: str = "post_id") -> DataFr
 def merge_annotations(rows: DataFrame, updates: DataFrame, columns: list[str], key: str = "post_id",
                       order: str | None = None) -> DataFrame:
     """rows with `columns` set for the ids in updates; new columns go to the end
-    and stay blank elsewhere. With `order`, the last update of an id wins."""
-    if order:
-        updates = first_per_key(updates, [key], [F.desc(order)])
+    and stay blank elsewhere. Of several updates of an id the last by `order` wins;
+    without an order the largest by the updated columns does, so that no row multiplies."""
+    updates = first_per_key(updates, [key], [F.desc(c) for c in ([order] if order else columns)])
     new = updates.select(F.col(key), *[F.col(c).alias(f"_new_{c}") for c in columns], F.lit(True).alias("_matched"))
     # record sets may repeat an id, blank ones above all
     joined = attach_lookup(rows, new, key, [c for c in new.columns if c != key])

@@ -1,66 +1,93 @@
 """Language of texts that carry no hint: character-trigram Naive Bayes.
 
-The profile keeps the `top` most frequent trigrams of each language (as in
-Cavnar & Trenkle, 1994), so it is bounded by top * languages rows and can be
-broadcast. Log-probabilities are kept in whole thousandths.
+The model is a vector of BUCKETS weights per language: every trigram of every
+text counts, in the bucket that its three code points give; trigrams that share a
+bucket share a weight. So the model has one size whatever the corpus, nothing is
+left out of the counts, and detection needs no join: each row is scored where it
+lies, with numpy on Arrow batches. Log-probabilities are whole thousandths.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from voxtide.functions.text import as_col
-from voxtide.operators.votes import argmax, token_votes, votes_array
-
-TOP = 400
-
-
-def trigrams(text: Column | str) -> Column:
-    """Overlapping trigrams of the lower-cased letters; a look-ahead makes this
-    one linear pass, whatever the length of the text."""
-    letters = F.concat(F.lit(" "), F.btrim(F.regexp_replace(F.lower(as_col(text)), "[^\\p{L}]+", " ")), F.lit(" "))
-    return F.regexp_extract_all(letters, F.lit("(?=(...))"), F.lit(1))
-
-
-def language_profile(df: DataFrame, languages: list[str], text: str = "text", lang: str = "lang",
-                     top: int = TOP) -> DataFrame:
-    """term, w0..wn-1: log-probability (thousandths, add-one smoothed) per language."""
-    counts = (
-        df.where(F.col(lang).isin(languages))
-        .select(F.col(lang).alias("lang"), F.explode_outer(trigrams(text)).alias("term"))
-        .where(F.col("term").isNotNull())
-        .groupBy("lang", "term").agg(F.count(F.lit(1)).alias("n"))
-    )
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "term"))
-    kept = counts.withColumn("_rank", rank).where(F.col("_rank") <= top)
-    wide = kept.groupBy("term").agg(
-        *[F.coalesce(F.sum(F.when(F.col("lang") == l, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, l in enumerate(languages)]
-    )
-    # at most top * languages rows: one task is enough for the totals
-    everything = W.partitionBy(F.lit(1))
-    size = F.count(F.lit(1)).over(everything)
-    cols = [F.col("term")]
-    for i in range(len(languages)):
-        share = (F.col(f"n{i}") + 1).cast("double") / (F.sum(f"n{i}").over(everything) + size).cast("double")
-        cols.append(F.round(F.log(share) * 1000, 0).cast("bigint").alias(f"w{i}"))
-    return wide.select(*cols)
-
-
-def detect_language(df: DataFrame, profile: DataFrame, languages: list[str], key: str = "post_id",
-                    text: str = "text") -> DataFrame:
-    """key, detected: the best language, or null where no trigram of the text is known."""
-    votes = token_votes(df, trigrams(text), [key], F.broadcast(profile), len(languages))
-    scores = votes_array(len(languages))
-    known = F.col("v0") < 0
-    names = F.array(*[F.lit(l) for l in languages])
-    return votes.select(key, F.when(known, F.element_at(names, argmax(scores) + 1)).alias("detected"))
-
-
-def with_detected(df: DataFrame, profile: DataFrame, languages: list[str], key: str = "post_id",
-                  text: str = "text", lang: str = "lang") -> DataFrame:
-    """df plus `detected`; only rows without a hint are exploded and joined."""
-    hinted = df.where(F.col(lang).isNotNull()).withColumn("detected", F.lit(None).cast("string"))
-    bare = df.where(F.col(lang).isNull())
-    return hinted.unionByName(bare.join(detect_language(bare, profile, languages, key, text), key, "left"))
+
+BUCKETS = 1 << 14
+STEP = 961, 31  # bucket of a, b, c: (961 a + 31 b + c) % BUCKETS
+
+
+def letters(text: Column | str) -> Column:
+    """The lower-cased letters, anything else one space, with a space around."""
+    return F.concat(F.lit(" "), F.btrim(F.regexp_replace(F.lower(as_col(text)), "[^\\p{L}]+", " ")), F.lit(" "))
+
+
+def trigram_buckets(text: str | None) -> np.ndarray:
+    codes = np.frombuffer((text or "").encode("utf-32-le"), np.uint32).astype(np.int64)
+    return (STEP[0] * codes[:-2] + STEP[1] * codes[1:-1] + codes[2:]) % BUCKETS
+
+
+@dataclass(frozen=True)
+class Detector:
+    """Weights, BUCKETS x languages."""
+    weights: np.ndarray
+    languages: list[str]
+
+    def best(self, text: Column | str) -> Column:
+        """The best language of a text (the first one on ties), or null where no
+        bucket of it is known. Row by row: no shuffle, rows with one key stay apart."""
+        weights, names = self.weights, self.languages
+
+        @F.pandas_udf("string")
+        def pick(texts: pd.Series) -> pd.Series:
+            out = []
+            for x in texts:
+                votes = weights[trigram_buckets(x)].sum(axis=0)
+                out.append(names[int(votes.argmax())] if votes[0] < 0 else None)
+            return pd.Series(out, dtype=object)
+
+        return pick(letters(text))
+
+    def without_hint(self, text: Column | str, lang: Column | str) -> Column:
+        """Detected language where there is no hint; null, and no text handed over, where there is one."""
+        return self.best(F.when(as_col(lang).isNull(), as_col(text)))
+
+
+def language_profile(df: DataFrame, languages: list[str], text: str = "text", lang: str = "lang") -> Detector:
+    """Log-probabilities (thousandths, add-one smoothed over the buckets that any
+    text has; 0 where none has). All rows with one of the languages count; each task
+    sums its rows before the shuffle, and at most BUCKETS rows reach the driver."""
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros((len(languages), BUCKETS), np.int64)
+        for pdf in batches:
+            for name, own in zip(pdf["lang"], pdf["letters"]):
+                found, n = np.unique(trigram_buckets(own), return_counts=True)
+                sums[languages.index(name), found] += n
+        used = np.flatnonzero(sums.any(axis=0))
+        yield pd.DataFrame({"bucket": used, **{f"n{i}": sums[i, used] for i in range(len(languages))}})
+
+    fields = [f"n{i}" for i in range(len(languages))]
+    rows = df.where(F.col(lang).isin(languages)).select(F.col(lang).alias("lang"), letters(text).alias("letters"))
+    parts = rows.mapInPandas(count, "bucket long, " + ", ".join(f"{f} long" for f in fields))
+    counts = np.zeros((BUCKETS, len(languages)), np.int64)
+    for r in parts.groupBy("bucket").agg(*[F.sum(f).alias(f) for f in fields]).collect():
+        counts[r["bucket"]] = r[1:]
+    seen = counts.any(axis=1)
+    share = (counts + 1) / np.maximum(counts.sum(axis=0) + seen.sum(), 1)
+    return Detector(np.where(seen[:, None], np.round(np.log(share) * 1000), 0).astype(np.int64), languages)
+
+
+def detect_language(df: DataFrame, detector: Detector, key: str = "post_id", text: str = "text") -> DataFrame:
+    """key, detected for every row."""
+    return df.select(key, detector.best(text).alias("detected"))
+
+
+def with_detected(df: DataFrame, detector: Detector, text: str = "text", lang: str = "lang") -> DataFrame:
+    """df plus `detected`, null for rows that have a hint."""
+    return df.withColumn("detected", detector.without_hint(text, lang))

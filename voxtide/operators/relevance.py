@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from voxtide.functions import vocab
 from voxtide.functions.text import as_col, blank_or, tokens
-from voxtide.operators.votes import argmax, softmax, token_votes, votes_array, weight_table
+from voxtide.operators.votes import argmax, softmax, token_votes, votes_array
 from voxtide.schema import RELEVANCE_LABELS
 
 
@@ -22,8 +22,7 @@ def candidate_scores(df: DataFrame, weights: dict[str, dict[str, int]], keys: li
     Texts without a known term get the same score for every label.
     """
     labels = list(weights)
-    table = F.broadcast(weight_table(df.sparkSession, weights))
-    votes = token_votes(df, tokens(F.lower(as_col(text))), keys, table, len(labels))
+    votes = token_votes(df, tokens(F.lower(as_col(text))), keys, weights)
     arr = votes_array(len(labels))
     return votes.select(*keys, arr.alias("votes"), softmax(F.transform(arr, lambda v: v / 1000.0)).alias("scores"))
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from voxtide.functions import vocab
 from voxtide.functions.text import NOT_WS, WORD, as_col, contains_any, fuzzy_hash, pattern_count, utrim, where_has
+from voxtide.operators.language import Detector
 from voxtide.operators.skew import attach_stats
 from voxtide.session import cut_lineage
 
@@ -25,11 +26,11 @@ def too_short(text: Column | str) -> Column:
     return F.char_length(utrim(text)) < vocab.MIN_TEXT_LENGTH
 
 
-def english(lang: Column | str, detected: Column | str | None = None) -> Column:
+def english(lang: Column | str, detected: Column | str) -> Column:
     """A hint decides alone (an empty one is not English); without a hint the
     detected language decides, and an undetectable text is accepted."""
     lang = as_col(lang)
-    fallback = F.lit(True) if detected is None else F.coalesce(as_col(detected) == "en", F.lit(True))
+    fallback = F.coalesce(as_col(detected) == "en", F.lit(True))
     return F.when(lang.isNotNull(), lang.startswith("en")).otherwise(fallback)
 
 
@@ -46,8 +47,7 @@ def blocklisted(text: Column | str, phrases: list[str] | None = None) -> Column:
     return contains_any(F.lower(as_col(text)), [p.lower() for p in (phrases or vocab.BLOCKLIST)])
 
 
-def row_reason(text: str = "text", lang: str = "lang", detected: str | None = None,
-               phrases: list[str] | None = None) -> Column:
+def row_reason(detected: Column | str, text: str = "text", lang: str = "lang", phrases: list[str] | None = None) -> Column:
     """First failing rule among those that look at one row only."""
     return (
         F.when(too_short(text), "min_text_length")
@@ -61,13 +61,20 @@ def row_reason(text: str = "text", lang: str = "lang", detected: str | None = No
 JUDGED = ["_row_reason", "_hash", "_d1", "_d2"]
 
 
-def judge(df: DataFrame, text: str = "text", lang: str = "lang", detected: str | None = None,
+def with_row_reason(df: DataFrame, detector: Detector, text: str = "text", lang: str = "lang",
+                    phrases: list[str] | None = None) -> DataFrame:
+    """df plus `_row_reason`, found where the text lies; rows without a hint are detected."""
+    tagged = df.withColumn("_detected", detector.without_hint(text, lang))
+    return tagged.withColumn("_row_reason", row_reason("_detected", text, lang, phrases)).drop("_detected")
+
+
+def judge(df: DataFrame, detector: Detector, text: str = "text", lang: str = "lang",
           session: str | None = None, phrases: list[str] | None = None) -> DataFrame:
     """df plus what the order-dependent rule needs to know of a row; with these
     columns the text itself is no longer needed. No shuffle."""
     scope = F.col(session).cast("string") if session else F.lit("all")
     return (
-        df.withColumn("_row_reason", row_reason(text, lang, detected, phrases))
+        with_row_reason(df, detector, text, lang, phrases)
         .withColumn("_hash", F.when(F.col("_row_reason").isNull(), F.concat_ws(":", scope, fuzzy_hash(text))))
         .withColumn("_d1", F.xxhash64(text))
         .withColumn("_d2", F.xxhash64(F.lit(1), F.col(text)))
@@ -94,35 +101,47 @@ def settle(judged: DataFrame, order: str = "ingest_seq") -> DataFrame:
     return out.select(*[c for c in judged.columns if c not in JUDGED], reason.alias("reason"))
 
 
-def rejection_reasons(df: DataFrame, text: str = "text", lang: str = "lang", order: str = "ingest_seq",
-                      detected: str | None = None, session: str | None = None,
-                      phrases: list[str] | None = None) -> DataFrame:
+def near_duplicates(df: DataFrame, detector: Detector, order: str = "ingest_seq", **kwargs) -> DataFrame:
+    """order of the rows that only the order-dependent rule rejects."""
+    return cut_lineage(verdicts(df, detector, order, **kwargs).where(F.col("reason") == "near_duplicate").select(order))
+
+
+def rejection_reasons(df: DataFrame, detector: Detector, text: str = "text", lang: str = "lang", order: str = "ingest_seq",
+                      session: str | None = None, phrases: list[str] | None = None) -> DataFrame:
     """df plus `reason`: the first failing rule, or null for accepted rows.
 
     `session` names a column that scopes the duplicate memory; without one all
     rows share it. `order` must be unique.
 
-    Texts are judged once; the cross-row rule is settled on ids and digests kept
-    in the shared folder, and the verdict is joined back by id.
+    Rules on one row are judged where the row lies. The cross-row rule is settled
+    on ids and digests kept in the shared folder; only the ids it rejects are
+    joined back. A caller that drops the text shuffles none.
     """
-    verdict = verdicts(df, order, text=text, lang=lang, detected=detected, session=session, phrases=phrases)
-    return df.join(verdict, order, "left").select(*df.columns, "reason")
+    repeats = near_duplicates(df, detector, order, text=text, lang=lang, session=session, phrases=phrases)
+    flagged = repeats.select(F.col(order).alias("_o"), F.lit(True).alias("_repeat"))
+    tagged = with_row_reason(df, detector, text, lang, phrases)
+    joined = tagged.join(flagged, F.col(order) == F.col("_o"), "left")
+    return joined.select(*df.columns, F.coalesce("_row_reason", F.when(F.col("_repeat"), "near_duplicate")).alias("reason"))
 
 
-def verdicts(df: DataFrame, order: str = "ingest_seq", **kwargs) -> DataFrame:
+def verdicts(df: DataFrame, detector: Detector, order: str = "ingest_seq", **kwargs) -> DataFrame:
     """order, reason for every row of df."""
-    return settle(cut_lineage(judge(df, **kwargs).select(order, *JUDGED)), order)
+    return settle(cut_lineage(judge(df, detector, **kwargs).select(order, *JUDGED)), order)
 
 
-def rule_filter(df: DataFrame, **kwargs) -> DataFrame:
-    """Accepted rows only."""
-    return rejection_reasons(df, **kwargs).where(F.col("reason").isNull()).drop("reason")
+def rule_filter(df: DataFrame, detector: Detector, text: str = "text", lang: str = "lang", order: str = "ingest_seq",
+                session: str | None = None, phrases: list[str] | None = None) -> DataFrame:
+    """Accepted rows only. Rows that fail by themselves are dropped where they lie;
+    the rest meets the ids of rejected near duplicates in an anti-join."""
+    repeats = near_duplicates(df, detector, order, text=text, lang=lang, session=session, phrases=phrases)
+    passed = with_row_reason(df, detector, text, lang, phrases).where(F.col("_row_reason").isNull()).select(*df.columns)
+    return passed.join(repeats, order, "left_anti").select(*df.columns)
 
 
-def rejection_summary(df: DataFrame, order: str = "ingest_seq", **kwargs) -> DataFrame:
+def rejection_summary(df: DataFrame, detector: Detector, order: str = "ingest_seq", **kwargs) -> DataFrame:
     """Rows per reason; the texts never travel."""
     return (
-        verdicts(df, order, **kwargs)
+        verdicts(df, detector, order, **kwargs)
         .groupBy(F.coalesce("reason", F.lit("accepted")).alias("reason"))
         .agg(F.count(F.lit(1)).alias("n"))
     )

@@ -7,6 +7,7 @@ batches over the executors.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -17,6 +18,14 @@ Scorer = Callable[[list[str]], list[dict[str, float]]]
 _LOADED: dict[str, Scorer] = {}
 
 
+def loaded(token: str, load: Callable[[], Scorer]) -> Scorer:
+    """The scorer of a token, built once in this Python process. Tasks reach the
+    module's own table through this function, not a copy that travels with them."""
+    if token not in _LOADED:
+        _LOADED[token] = load()
+    return _LOADED[token]
+
+
 def cut_tokens(text: str, limit: int | None) -> str:
     """A model's own input limit, counted in white-space tokens."""
     if not limit:
@@ -33,12 +42,11 @@ def score_with(df: DataFrame, load: Callable[[], Scorer], text: str, keys: list[
     encoders); by default whole texts are scored.
     """
     key_fields = [df.schema[k] for k in keys]
+    token = f"{name}-{uuid.uuid4().hex}"  # two scorers of one name do not meet
     schema = T.StructType([*key_fields, T.StructField("scores", T.MapType(T.StringType(), T.DoubleType()))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if name not in _LOADED:
-            _LOADED[name] = load()
-        scorer = _LOADED[name]
+        scorer = loaded(token, load)
         for pdf in batches:
             texts = [cut_tokens(t or "", max_tokens) for t in pdf[text]]
             scores: list[dict[str, float]] = []

@@ -119,6 +119,8 @@ def phrase_match(df: DataFrame, query: str, fields: list[str] = FIELDS, key: str
     if query == "*":
         return df.select(key)
     terms = query_terms(query)
+    if not terms:  # no word, no match
+        return df.select(key).where(F.lit(False))
     hits = phrase_hits(occ, terms, key) if occ is not None else phrase_starts(field_tokens(df, fields, key), terms, key)
     return hits.select(key).distinct()
 
@@ -130,6 +132,8 @@ def relevance_scores(df: DataFrame, query: str, fields: list[str] = FIELDS, key:
     terms. Statistics are one row per field (and term), joined by broadcast.
     """
     terms = query_terms(query)
+    if not terms:
+        return df.select(key, F.lit(0.0).alias("score")).where(F.lit(False))
     distinct = sorted(set(terms))
     # one look at each document: its length and where the query's terms stand
     per_field = field_tokens(df, fields, key)

@@ -1,9 +1,7 @@
 """Lexicon sentiment of the raw text, and the report built on it.
 
 Rule constants follow Hutto & Gilbert (2014); the vocabulary is a table and can
-be replaced. Each token is exploded together with the three tokens before it, so
-negators and intensifiers need no window, and a row's valences are summed in
-whole millionths, so the sum does not depend on the order of partitions.
+be replaced. A row's valences are summed in whole millionths.
 """
 
 from __future__ import annotations
@@ -14,7 +12,7 @@ from pyspark.sql import functions as F
 from voxtide.functions import vocab
 from voxtide.functions.text import as_col, tokens
 from voxtide.operators.skew import top_n_per_key
-from voxtide.operators.votes import small_table
+from voxtide.operators.votes import literal_map
 
 
 def lexicon_table(spark: SparkSession, lexicon: dict[str, float] | None = None) -> DataFrame:
@@ -23,9 +21,10 @@ def lexicon_table(spark: SparkSession, lexicon: dict[str, float] | None = None)
 
 
 def _booster(token: Column) -> Column:
+    """What a lower-cased word adds to the valence after it."""
     return (
-        F.when(F.lower(token).isin(vocab.BOOST_WORDS), F.lit(vocab.BOOST))
-        .when(F.lower(token).isin(vocab.DAMPEN_WORDS), F.lit(-vocab.BOOST))
+        F.when(token.isin(vocab.BOOST_WORDS), F.lit(vocab.BOOST))
+        .when(token.isin(vocab.DAMPEN_WORDS), F.lit(-vocab.BOOST))
         .otherwise(F.lit(0.0))
     )
 
@@ -38,50 +37,54 @@ def _shouted(token: Column) -> Column:
     return (F.upper(token) == token) & (F.lower(token) != token)
 
 
+MAX_TERMS = 50_000
+
+
 def lexicon_sentiment(df: DataFrame, lexicon: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """keys plus sentiment_score in [-1, 1]; rows without a known word score 0."""
+    """keys plus sentiment_score in [-1, 1]; rows without a known word score 0.
+
+    Scored inside the row: the places of lexicon words are picked by a hash-set
+    test, and each is valued with the three words before it. No shuffle, and rows
+    that share a key stay rows of their own. The lexicon becomes part of the plan;
+    one of more than MAX_TERMS words is refused.
+    """
+    rows = lexicon.select("term", F.col("valence").cast("double")).limit(MAX_TERMS + 1).collect()
+    if len(rows) > MAX_TERMS:
+        raise ValueError(f"a lexicon has at most {MAX_TERMS} terms")
+    values = {r["term"]: r["valence"] for r in rows}
     plain = F.replace(F.col(text), F.lit("’"), F.lit("'"))
-    prepared = df.select(*keys, F.col(text).alias("_text"), tokens(plain, "'").alias("_toks"))
+    prepared = df.select(
+        *keys, F.col(text).alias("_text"), F.coalesce(tokens(plain, "'"), F.array().cast("array<string>")).alias("_toks"),
+    ).select(*keys, "_text", "_toks", F.transform("_toks", F.lower).alias("_low"))
+    place = F.filter(F.transform("_low", lambda t, i: F.when(t.isin(list(values)), i)), lambda i: i.isNotNull())
     prepared = prepared.select(
-        *keys,
+        *keys, "_toks", "_low", place.alias("_places"),
         # a shouted word only counts where the text is not shouted as a whole
         F.col("_text").rlike("\\p{Ll}").alias("_mixed_case"),
-        F.when(F.col("_text").rlike("(?i)but"), F.array_position(F.transform("_toks", F.lower), "but"))
-        .otherwise(F.lit(0)).alias("_but"),
+        F.coalesce(F.array_position("_low", "but"), F.lit(0)).alias("_but"),
         F.least(_char_count("!"), F.lit(vocab.MAX_EXCLAIM)).alias("_bangs"),
         _char_count("?").alias("_asks"),
-        F.arrays_zip(
-            F.col("_toks").alias("t"),
-            F.concat(F.array(F.lit("")), F.col("_toks")).alias("p1"),
-            F.concat(F.array(F.lit(""), F.lit("")), F.col("_toks")).alias("p2"),
-            F.concat(F.array(F.lit(""), F.lit(""), F.lit("")), F.col("_toks")).alias("p3"),
-        ).alias("_z"),
     )
-    row = [*keys, "_mixed_case", "_but", "_bangs", "_asks"]
-    per_token = prepared.select(*row, F.posexplode_outer("_z").alias("_pos", "_w"))
-    hits = per_token.join(small_table(lexicon), F.lower(F.col("_w.t")) == F.col("term"), "left")
-
-    # Only tokens of the lexicon get past the guard below. What is done to them
-    # stays out of the generated loop (higher-order functions are called, not
-    # inlined), which keeps that loop small enough for the JIT compiler.
-    v0 = F.col("valence")
-    before = F.array(*[F.struct(F.col(f"_w.{p}").alias("t"), F.lit(d).alias("d"))
-                       for p, d in zip(("p1", "p2", "p3"), vocab.BOOST_DECAY)])
-    shouted = F.when(F.col("_mixed_case") & _shouted(F.col("_w.t")), vocab.CAPS).otherwise(0.0)
-    push = F.aggregate(before, F.lit(0.0), lambda acc, x: acc + _booster(x["t"]) * x["d"])
-    negators = F.size(F.filter(before, lambda x: F.lower(x["t"]).isin(vocab.NEGATIONS)))
+    valence = literal_map(values)
     factors = F.array(*[F.lit(round(vocab.NEGATE ** k, 6)) for k in range(4)])
-    signed = (v0 + F.signum(v0) * (shouted + push)) * F.element_at(factors, negators + 1)
-    place = F.col("_pos") + 1
-    side = (
-        F.when((F.col("_but") > 0) & (place < F.col("_but")), vocab.BUT_BEFORE)
-        .when((F.col("_but") > 0) & (place > F.col("_but")), vocab.BUT_AFTER)
-        .otherwise(1.0)
-    )
-    # the guard comes first: most tokens are not in the lexicon
-    micro = F.when(v0.isNull(), F.lit(0)).otherwise(F.round(signed * side * 1e6, 0).cast("bigint"))
-    sums = hits.groupBy(*row).agg(F.sum(micro).alias("_micro"))
-    return sums.select(*keys, compound(F.col("_micro"), F.col("_bangs"), F.col("_asks")).alias("sentiment_score"))
+
+    def micro(i: Column) -> Column:
+        """Valence of the word at a place, in whole millionths."""
+        before = [F.coalesce(F.get("_low", i - k), F.lit("")) for k in (1, 2, 3)]
+        word, v = F.get("_toks", i), F.element_at(valence, F.get("_low", i))
+        shouted = F.when(F.col("_mixed_case") & _shouted(word), vocab.CAPS).otherwise(0.0)
+        push = sum((_booster(b) * F.lit(d) for b, d in zip(before, vocab.BOOST_DECAY)), F.lit(0.0))
+        negators = sum((F.when(b.isin(vocab.NEGATIONS), 1).otherwise(0) for b in before), F.lit(0))
+        signed = (v + F.signum(v) * (shouted + push)) * F.element_at(factors, negators + 1)
+        side = (
+            F.when((F.col("_but") > 0) & (i + 1 < F.col("_but")), vocab.BUT_BEFORE)
+            .when((F.col("_but") > 0) & (i + 1 > F.col("_but")), vocab.BUT_AFTER)
+            .otherwise(1.0)
+        )
+        return F.round(signed * side * 1e6, 0).cast("bigint")
+
+    total = F.aggregate("_places", F.lit(0).cast("bigint"), lambda acc, i: acc + micro(i))
+    return prepared.select(*keys, compound(total, F.coalesce("_bangs", F.lit(0)), F.coalesce("_asks", F.lit(0))).alias("sentiment_score"))
 
 
 def compound(micro: Column, bangs: Column, asks: Column) -> Column:

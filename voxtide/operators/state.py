@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxtide.operators.skew import first_per_key
+
 TASKS = ("subjectivity", "polarity")
 RESETS = {
     "sentiment": ["sentiment_score", "sentiment_label"],
@@ -34,12 +36,16 @@ def pending_classification(df: DataFrame, task: str, platform: str | None = None
     return out if platform in (None, "all") else out.where(F.col("platform") == platform)
 
 
-def apply_updates(base: DataFrame, updates: DataFrame, columns: list[str], key: str = "post_id") -> DataFrame:
-    """base with `columns` replaced for the keys in updates (one row per key).
+def apply_updates(base: DataFrame, updates: DataFrame, columns: list[str], key: str = "post_id", order: str | None = None) -> DataFrame:
+    """base with `columns` replaced for the keys in updates.
+
+    Of several updates of a key the last by `order` wins; without an order the
+    largest by the updated columns does, so that no row multiplies.
 
     A matched flag decides, not coalesce: an update may set a null on purpose.
     Keys that base does not hold are ignored.
     """
+    updates = first_per_key(updates, [key], [F.desc(c) for c in ([order] if order else columns)])
     new = updates.select(F.col(key), *[F.col(c).alias(f"_new_{c}") for c in columns], F.lit(True).alias("_matched"))
     joined = base.join(new, key, "left")
     return joined.select(*[

@@ -23,7 +23,7 @@ def _features() -> list:
     return [
         RegexTokenizer(inputCol="text", outputCol="_tok", pattern="[^\\p{L}\\p{N}_]+", toLowercase=True),
         HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=FEATURES),
-        IDF(inputCol="_tf", outputCol="_features", minDocFreq=2),
+        IDF(inputCol="_tf", outputCol="_features"),
     ]
 
 

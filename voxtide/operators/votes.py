@@ -1,18 +1,13 @@
-"""Weighted votes of tokens for classes: the one shape behind language
-detection, candidate-label scoring and lexicon lookups.
+"""Weighted votes of tokens for classes, summed inside the row.
 
-Tokens are exploded and met with a small weight table by a broadcast join;
-integer weights are then summed per row. All tokens of a row sit in one map
-task, so the partial aggregate leaves about one record per row to shuffle, and
-integer sums do not depend on the order of summation.
-
-Explodes are the outer kind throughout the library: for the inner kind Spark adds
-a "size > 0" filter below, which would compute the token array a second time.
+Tokens outside the vocabulary are dropped by a hash-set test, the weights of the
+rest are whole numbers and are added up by a higher-order function. Nothing is
+exploded, joined or shuffled, and rows that share a key stay rows of their own.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_BROADCAST_ROWS = 200_000
@@ -24,22 +19,20 @@ def small_table(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def weight_table(spark: SparkSession, weights: dict[str, dict[str, int]]) -> DataFrame:
-    """{class: {term: weight}} as one row per term with a weight column per class (w0, w1, ...)."""
-    classes = list(weights)
+def literal_map(values: dict) -> Column:
+    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+
+
+def token_votes(df: DataFrame, tokens: Column, keys: list[str], weights: dict[str, dict[str, int]]) -> DataFrame:
+    """keys plus v0..vn-1: summed weights of the row's tokens by class; no hit gives zeros."""
     terms = sorted({t for w in weights.values() for t in w})
-    rows = [(t, *[weights[c].get(t, 0) for c in classes]) for t in terms]
-    schema = "term string, " + ", ".join(f"w{i} bigint" for i in range(len(classes)))
-    return spark.createDataFrame(rows, schema)
-
-
-def token_votes(df: DataFrame, tokens: Column, keys: list[str], table: DataFrame, n_classes: int) -> DataFrame:
-    """keys plus v0..vn-1: summed weights of the row's tokens; no hit gives zeros."""
-    exploded = df.select(*keys, F.explode_outer(tokens).alias("term"))
-    hits = exploded.join(table, "term", "left")
-    return hits.groupBy(*keys).agg(
-        *[F.coalesce(F.sum(f"w{i}"), F.lit(0)).alias(f"v{i}") for i in range(n_classes)],
-    )
+    hits = df.select(*keys, F.filter(F.coalesce(tokens, F.array().cast("array<string>")), lambda t: t.isin(terms)).alias("_hits"))
+
+    def votes(own: dict[str, int]) -> Column:
+        table = literal_map({t: own.get(t, 0) for t in terms})
+        return F.aggregate("_hits", F.lit(0).cast("long"), lambda acc, t: acc + F.element_at(table, t).cast("long"))
+
+    return hits.select(*keys, *[votes(own).alias(f"v{i}") for i, own in enumerate(weights.values())])
 
 
 def votes_array(n: int) -> Column:

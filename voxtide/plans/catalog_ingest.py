@@ -185,17 +185,32 @@ D_TAGS = d_count("text", f"#{D_WORD}+")
 D_BLOCK = d_any("lower(text)", vocab.BLOCKLIST)
 
 
-def d_row_reason(fallback: str = "true") -> str:
+D_LETTERS = "' ' || trim(regexp_replace(lower(text), '[^\\p{L}]+', ' ', 'g')) || ' '"
+D_CODES = f"list_transform(string_split({D_LETTERS}, ''), lambda c: unicode(c))"
+D_TERMS = (f"unnest(list_transform(range(1, greatest(len(c) - 1, 1)), lambda i: (c[i] * {language.STEP[0]} + c[i + 1] * {language.STEP[1]} + c[i + 2]) "
+           f"% {language.BUCKETS})) term")
+D_GRAMS = f"chars as (select ingest_seq, {D_CODES} c from opinions), grams as (select ingest_seq, {D_TERMS} from chars)"
+D_PROFILE = f"""dchars as (select lang, {D_CODES} c from documents where lang in ({', '.join(f"'{l}'" for l in LANGS)})),
+  dgrams as (select lang, {D_TERMS} from dchars), counts as (select lang, term, count(*) n from dgrams group by lang, term),
+  wide as (select term, {', '.join(f"coalesce(sum(n) filter (lang = '{l}'), 0) n{i}" for i, l in enumerate(LANGS))} from counts group by term),
+  profile as (select term, {', '.join(f"cast(round(ln(cast(n{i} + 1 as double) / cast((select sum(n{i}) + count(*) from wide) as double)) * 1000) as bigint) w{i}" for i in range(len(LANGS)))} from wide)"""
+D_DETECT = f"""{D_GRAMS}, {D_PROFILE},
+  votes as (select ingest_seq, {', '.join(f'coalesce(sum(w{i}), 0) v{i}' for i in range(len(LANGS)))} from grams join profile using (term) group by ingest_seq),
+  found as (select ingest_seq, case when v0 < 0 then {d_list(LANGS)}[list_position([v0, v1, v2, v3], greatest(v0, v1, v2, v3))] end detected from votes)"""
+
+
+def d_row_reason() -> str:
+    """Needs the common tables of D_DETECT and a join with `found`."""
     return f"""case when {D_SHORT} then 'min_text_length'
-  when not (case when lang is not null then starts_with(lang, 'en') else {fallback} end) then 'language'
+  when not (case when lang is not null then starts_with(lang, 'en') else coalesce(detected = 'en', true) end) then 'language'
   when {D_URLS} > {vocab.MAX_URLS} then 'url_density'
   when {D_TAGS} > {vocab.MAX_HASHTAGS} then 'hashtag_density'
   when {D_BLOCK} then 'keyword_blocklist' end"""
 
 
-def d_reasons(source: str = "opinions", fallback: str = "true", scope: str = "0") -> str:
-    """Common table `reasons`: the source rows with their first failing rule."""
-    return f"""judged as (select *, {d_row_reason(fallback)} row_reason, {d_fuzzy('text')} h, {scope} scope from {source}),
+def d_reasons(source: str = "opinions", scope: str = "0") -> str:
+    """Common tables of the detection, and `reasons`: the source rows with their first failing rule."""
+    return f"""{D_DETECT}, judged as (select s.*, {d_row_reason()} row_reason, {d_fuzzy('text')} h, {scope} scope from {source} s left join found using (ingest_seq)),
   firsts as (select scope, h, arg_min(text, ingest_seq) first_text from judged where row_reason is null group by scope, h),
   reasons as (select j.* exclude (row_reason, h, scope), coalesce(row_reason, case when f.first_text <> j.text then 'near_duplicate' end) reason
     from judged j left join firsts f on f.h = j.h and f.scope = j.scope)"""
@@ -206,34 +221,20 @@ def rule_min_length(spark, sf):
     return tables.opinions(spark, sf).select("post_id", rules.too_short("text").alias("fails"))
 
 
-D_LETTERS = "' ' || trim(regexp_replace(lower(text), '[^\\p{L}]+', ' ', 'g')) || ' '"
-D_GRAMS = f"""chars as (select post_id, string_split({D_LETTERS}, '') c from opinions),
-  grams as (select post_id, unnest(list_transform(range(1, greatest(len(c) - 1, 1)), lambda i: c[i] || c[i + 1] || c[i + 2])) term from chars)"""
-D_PROFILE = f"""dchars as (select lang, string_split({D_LETTERS}, '') c from documents where lang in ({', '.join(f"'{l}'" for l in LANGS)})),
-  dgrams as (select lang, unnest(list_transform(range(1, greatest(len(c) - 1, 1)), lambda i: c[i] || c[i + 1] || c[i + 2])) term from dchars),
-  counts as (select lang, term, count(*) n from dgrams group by lang, term),
-  kept as (select * from (select *, row_number() over (partition by lang order by n desc, term) r from counts) where r <= {language.TOP}),
-  wide as (select term, {', '.join(f"coalesce(sum(n) filter (lang = '{l}'), 0) n{i}" for i, l in enumerate(LANGS))} from kept group by term),
-  profile as (select term, {', '.join(f"cast(round(ln(cast(n{i} + 1 as double) / cast((select sum(n{i}) + count(*) from wide) as double)) * 1000) as bigint) w{i}" for i in range(len(LANGS)))} from wide)"""
-D_DETECT = f"""{D_GRAMS}, {D_PROFILE},
-  votes as (select post_id, {', '.join(f'coalesce(sum(w{i}), 0) v{i}' for i in range(len(LANGS)))} from grams join profile using (term) group by post_id),
-  found as (select post_id, case when v0 < 0 then {d_list(LANGS)}[list_position([v0, v1, v2, v3], greatest(v0, v1, v2, v3))] end detected from votes)"""
-
-
 def profile_of(spark, sf):
     return language.language_profile(tables.documents(spark, sf), LANGS)
 
 
-@query("lang_detect", f"with {D_DETECT} select post_id, detected from opinions left join found using (post_id)")
+@query("lang_detect", f"with {D_DETECT} select post_id, detected from opinions left join found using (ingest_seq)")
 def lang_detect(spark, sf):
-    return language.detect_language(tables.opinions(spark, sf), profile_of(spark, sf), LANGS)
+    return language.detect_language(tables.opinions(spark, sf), profile_of(spark, sf))
 
 
 @query("rule_language", f"""with {D_DETECT} select post_id,
   case when lang is not null then starts_with(lang, 'en') else coalesce(detected = 'en', true) end passes
-  from opinions left join found using (post_id)""")
+  from opinions left join found using (ingest_seq)""")
 def rule_language(spark, sf):
-    df = language.with_detected(tables.opinions(spark, sf), profile_of(spark, sf), LANGS)
+    df = language.with_detected(tables.opinions(spark, sf), profile_of(spark, sf))
     return df.select("post_id", rules.english("lang", "detected").alias("passes"))
 
 
@@ -261,15 +262,13 @@ def fuzzy_hash_query(spark, sf):
 
 @query("rule_near_duplicate", f"with {d_reasons()} select post_id, coalesce(reason = 'near_duplicate', false) fails from reasons")
 def rule_near_duplicate(spark, sf):
-    df = rules.rejection_reasons(tables.opinions(spark, sf))
+    df = rules.rejection_reasons(tables.opinions(spark, sf), profile_of(spark, sf))
     return df.select("post_id", F.coalesce(F.col("reason") == "near_duplicate", F.lit(False)).alias("fails"))
 
 
-@query("rejection_reason", f"""with {D_DETECT}, judged_in as (select opinions.*, detected from opinions left join found using (post_id)),
-  {d_reasons('judged_in', "coalesce(detected = 'en', true)")} select post_id, reason from reasons""")
+@query("rejection_reason", f"with {d_reasons()} select post_id, reason from reasons")
 def rejection_reason(spark, sf):
-    df = language.with_detected(tables.opinions(spark, sf), profile_of(spark, sf), LANGS)
-    return rules.rejection_reasons(df, detected="detected").select("post_id", "reason")
+    return rules.rejection_reasons(tables.opinions(spark, sf), profile_of(spark, sf)).select("post_id", "reason")
 
 
 @query("ingest_run", f"""with raw as (select * exclude (post_id), 'bsky_' || ingest_seq post_id from opinions), {d_reasons('raw')},
@@ -279,19 +278,19 @@ def rejection_reason(spark, sf):
     'r/' || coalesce(subreddit, 'unknown') || ': ' || coalesce(parent_title, '') query, text from comments)""")
 def ingest_run(spark, sf):
     stored = ingest.normalize_comments(tables.comments(spark, sf))
-    return jobs.ingest_run(stored, raw_posts(spark, sf)).select("post_id", "platform", "query", "text")
+    return jobs.ingest_run(stored, raw_posts(spark, sf), profile_of(spark, sf)).select("post_id", "platform", "query", "text")
 
 
 @query("rule_filter", f"with {d_reasons()} select post_id, text from reasons where reason is null")
 def rule_filter(spark, sf):
-    return rules.rule_filter(tables.opinions(spark, sf)).select("post_id", "text")
+    return rules.rule_filter(tables.opinions(spark, sf), profile_of(spark, sf)).select("post_id", "text")
 
 
 @query("rejection_summary", f"with {d_reasons()} select coalesce(reason, 'accepted') reason, count(*) n from reasons group by 1")
 def rejection_summary(spark, sf):
-    return rules.rejection_summary(tables.opinions(spark, sf))
+    return rules.rejection_summary(tables.opinions(spark, sf), profile_of(spark, sf))
 
 
 @query("filter_session_scope", f"with {d_reasons(scope='platform')} select post_id, platform, reason from reasons")
 def filter_session_scope(spark, sf):
-    return rules.rejection_reasons(tables.opinions(spark, sf), session="platform").select("post_id", "platform", "reason")
+    return rules.rejection_reasons(tables.opinions(spark, sf), profile_of(spark, sf), session="platform").select("post_id", "platform", "reason")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from voxtide.functions import vocab
@@ -19,45 +21,75 @@ SUB_LABELS, POL_LABELS = list(SUB), list(POL)
 
 # ---- spellings and thresholds ------------------------------------------------------
 
-# label spellings as scorers emit them, dealt over the rows of a table
-MODEL_SPELLINGS = [" Neutral", "opinionated ", "LABEL_0", "label_1"]
-SARCASM_SPELLINGS = ["Sarcastic", "sarcasm", "Non_Sarcastic", "not-sarcastic", "non sarcasm", *vocab.SARCASM_HYPOTHESES.values()]
-EVAL_SPELLINGS = [*vocab.EVALUATION_LABELS, "Very_Sarcastic"]
+SAR = vocab.SARCASM_TERMS
+_PLACES = {"opinionated": (SUB, "ka"), "positive": (POL, "kb"), "sarcastic": (SAR, "kc")}
+D_GOLD = """case when quality = 1 then 'opinionated' else 'neutral' end gold,
+  case when toxic = 1 then 'negative' when quality = 1 then 'positive' else 'neutral' end gold3,
+  case when toxic = 1 then 'sarcastic' else 'non-sarcastic' end sarcastic_gold"""
+
+
+def labelled_posts(spark, sf):
+    return tables.opinions(spark, sf).join(tables.table(spark, sf, "labels"), F.col("ingest_seq") == F.col("doc_id"))
+
+
+def scored(spark, sf):
+    """post_id, gold labels from the label table, and candidate-label scores of the texts."""
+    keys = ["post_id", "text", "quality", "toxic"]
+    df = labelled_posts(spark, sf).select(*keys)
+    for label, (terms, _) in _PLACES.items():
+        df = relevance.candidate_scores(df, terms, keys, "text").withColumn(
+            f"{label}_score", F.round(F.get("scores", F.lit(list(terms).index(label))), 6)).drop("votes", "scores")
+        keys = [*keys, f"{label}_score"]
+    return df.selectExpr("post_id", *re.split(r",\s+(?=case)", D_GOLD), *[f"{label}_score" for label in _PLACES])
+
+
+tables.CTES["scored"] = f"""with src as (select post_id, text, quality, toxic from opinions join labels on doc_id = ingest_seq),
+  {', '.join(d_votes(terms, 'src', 'text', name=n) for terms, n in _PLACES.values())}
+  select src.post_id, {D_GOLD}, {', '.join(f'round({n}.e{list(terms).index(label)}, 6) {label}_score' for label, (terms, n) in _PLACES.items())}
+  from src {' '.join(f'join {n} using (post_id)' for _, n in _PLACES.values())}"""
 
 
-def spelled(spark, sf, spellings):
-    names = F.array(*[F.lit(s) for s in spellings])
-    return tables.documents(spark, sf).select(
-        "doc_id", F.element_at(names, (F.col("doc_id") % len(spellings) + 1).cast("int")).alias("raw"))
+# How scorers spell their labels: for each language the words for 1 and 0.
+MODEL_SPELLINGS = {"en": ("opinionated ", " Neutral"), "de": ("label_1", "LABEL_0"), "es": ("Opinionated", "label_0"), "fr": ("LABEL_1", "neutral")}
+SARCASM_SPELLINGS = {"en": ("Sarcastic", "Non_Sarcastic"), "de": ("sarcasm", "not-sarcastic"), "fr": (" SARCASM", "non sarcasm"),
+                     "es": tuple(vocab.SARCASM_HYPOTHESES[l] for l in ("sarcastic", "non-sarcastic"))}
+EVAL_SPELLINGS = {"en": ("LABEL_1", "LABEL_0"), "de": ("sarcasm", "non_sarcasm"), "es": ("Very_Sarcastic", "not_sarcasm"), "fr": ("sarcastic", "Non-Sarcastic")}
 
 
-def d_spelled(spellings):
-    return f"(select doc_id, {d_list(spellings)}[doc_id % {len(spellings)} + 1] raw from documents)"
+def spelling(column, spellings):
+    """The label in a 0/1 column of the label table as the scorer of the text's language spells it."""
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    return "case lang " + " ".join(f"when '{l}' then case {column} when 1 then {quote(one)} when 0 then {quote(zero)} end" for l, (one, zero) in spellings.items()) + " end"
 
 
-@query("normalize_model_label", f"""select doc_id, {d_list(['neutral', 'opinionated', 'neutral', 'opinionated'])}[doc_id % 4 + 1] label from documents""")
+def spelled(spark, sf, column, spellings):
+    both = tables.documents(spark, sf).join(tables.table(spark, sf, "labels"), "doc_id")
+    return both.selectExpr("doc_id", spelling(column, spellings) + " as raw")
+
+
+def d_spelled(column, spellings):
+    return f"(select doc_id, quality, toxic, {spelling(column, spellings)} raw from documents join labels using (doc_id))"
+
+
+@query("normalize_model_label", f"select doc_id, case quality when 1 then 'opinionated' else 'neutral' end label from {d_spelled('quality', MODEL_SPELLINGS)}")
 def normalize_model_label(spark, sf):
-    return spelled(spark, sf, MODEL_SPELLINGS).select(
-        "doc_id", labels.normalize_model_label("raw", SUBJECTIVITY_LABELS).alias("label"))
+    return spelled(spark, sf, "quality", MODEL_SPELLINGS).select("doc_id", labels.normalize_model_label("raw", SUBJECTIVITY_LABELS).alias("label"))
 
 
-@query("normalize_sarcasm_label", f"""select doc_id, case when raw = '{vocab.SARCASM_HYPOTHESES["sarcastic"]}' then 'sarcastic'
-  when raw = '{vocab.SARCASM_HYPOTHESES["non-sarcastic"]}' then 'non-sarcastic'
-  when replace(replace(replace(lower(raw), '_', ''), '-', ''), ' ', '') in ('sarcastic', 'sarcasm') then 'sarcastic' else 'non-sarcastic' end as label
-  from {d_spelled(SARCASM_SPELLINGS)}""")
+@query("normalize_sarcasm_label", f"select doc_id, case toxic when 1 then 'sarcastic' else 'non-sarcastic' end as label from {d_spelled('toxic', SARCASM_SPELLINGS)}")
 def normalize_sarcasm_label(spark, sf):
-    return spelled(spark, sf, SARCASM_SPELLINGS).select("doc_id", labels.normalize_sarcasm_label("raw").alias("label"))
+    return spelled(spark, sf, "toxic", SARCASM_SPELLINGS).select("doc_id", labels.normalize_sarcasm_label("raw").alias("label"))
 
 
 @query("evaluation_label_map", f"""select doc_id, case raw when 'LABEL_0' then 'non-sarcastic' when 'LABEL_1' then 'sarcastic' when 'non_sarcasm' then 'non-sarcastic'
-  when 'sarcasm' then 'sarcastic' when 'not_sarcasm' then 'non-sarcastic' else replace(lower(raw), '_', '-') end as label from {d_spelled(EVAL_SPELLINGS)}""")
+  when 'sarcasm' then 'sarcastic' when 'not_sarcasm' then 'non-sarcastic' else replace(lower(raw), '_', '-') end as label from {d_spelled('toxic', EVAL_SPELLINGS)}""")
 def evaluation_label_map(spark, sf):
-    return spelled(spark, sf, EVAL_SPELLINGS).select("doc_id", labels.evaluation_label("raw").alias("label"))
+    return spelled(spark, sf, "toxic", EVAL_SPELLINGS).select("doc_id", labels.evaluation_label("raw").alias("label"))
 
 
 @query("apply_threshold", "select post_id, case when opinionated_score >= 0.6 then 'opinionated' else 'neutral' end as label from scored")
 def apply_threshold(spark, sf):
-    return tables.scored(spark, sf).select("post_id", labels.apply_threshold(
+    return scored(spark, sf).select("post_id", labels.apply_threshold(
         "opinionated_score", "opinionated", SUBJECTIVITY_LABELS, 0.6).alias("label"))
 
 
@@ -72,7 +104,7 @@ def stage2_map():
 @query("binary_label_and_score", """select post_id, case when opinionated_score >= 0.6 then 'opinionated' else 'neutral' end as label,
   round(case when opinionated_score >= 0.6 then opinionated_score else 1 - opinionated_score end, 6) score from scored""")
 def binary_label_and_score(spark, sf):
-    df = tables.scored(spark, sf).withColumn("scores", stage1_map())
+    df = scored(spark, sf).withColumn("scores", stage1_map())
     label, score = labels.binary_label_and_score("scores", "opinionated", SUBJECTIVITY_LABELS, 0.6)
     return df.select("post_id", label.alias("label"), F.round(score, 6).alias("score"))
 
@@ -90,7 +122,7 @@ def label_config(spark, sf):
     def threshold(stage):
         return config.where(F.col("stage") == stage).select("decision_threshold").scalar()
 
-    return tables.scored(spark, sf).select(
+    return scored(spark, sf).select(
         "post_id",
         labels.apply_threshold("opinionated_score", "opinionated", SUBJECTIVITY_LABELS, threshold("subjectivity")).alias("sub"),
         labels.apply_threshold("positive_score", "positive", POLARITY_LABELS, threshold("polarity")).alias("pol"))
@@ -103,7 +135,7 @@ def label_config(spark, sf):
   case when opinionated_score >= 0.6 then case when positive_score >= 0.8 then 'positive' else 'negative' end else 'neutral' end final_label from scored""")
 def hierarchical_predict(spark, sf):
     out = labels.hierarchical_predict(
-        tables.scored(spark, sf), lambda d: d.withColumn("scores", stage1_map()),
+        scored(spark, sf), lambda d: d.withColumn("scores", stage1_map()),
         lambda d: d.withColumn("scores", stage2_map()), 0.6, 0.8)
     return out.select("post_id", "stage1_label", F.round("stage1_score", 6).alias("stage1_score"), "stage2_label",
                       F.round("stage2_score", 6).alias("stage2_score"), "final_label")
@@ -151,9 +183,6 @@ def classify_run(spark, sf):
     return jobs.classify_run(tables.stored(spark, sf)).select("post_id", "subjectivity_label", "polarity_label")
 
 
-SAR = vocab.SARCASM_TERMS
-
-
 @query("sarcasm_label", f"""with {d_votes(SAR, 'stored', D_SCORING)} select post_id, case when v0 >= v1 then 'sarcastic' else 'non-sarcastic' end sarcasm_label,
   round(e0, 6) sarcasm_score from votes""")
 def sarcasm_label(spark, sf):
@@ -173,7 +202,8 @@ def annotation_text(spark, sf):
     return tables.labelled(spark, sf).select("post_id", labels.annotation_text().alias("input"))
 
 
-CELL = "case doc_id % 6 when 0 then null when 1 then '' when 2 then ' NaN ' when 3 then 'None' when 4 then '0.875432149' else 'inf' end"
+# a cell of a record set: blank in two spellings, or a number
+CELL = "case when lang = 'fr' then ' NaN ' when n_chars < 400 then '' when lang = 'es' then source else cast(n_chars as string) || '.2500004' end"
 
 
 @query("missing_value", f"select doc_id, coalesce(lower(trim({CELL})), '') in ('', 'nan', 'none', 'null') missing from documents")
@@ -181,7 +211,8 @@ def missing_value(spark, sf):
     return tables.documents(spark, sf).selectExpr("doc_id", f"{CELL} as cell").select("doc_id", labels.missing_value("cell").alias("missing"))
 
 
-@query("format_score", f"select doc_id, case when doc_id % 6 = 4 then '0.875432' else '' end formatted from documents")
+@query("format_score", f"""with c as (select doc_id, {CELL} cell from documents)
+  select doc_id, case when isfinite(try_cast(cell as double)) then printf('%.6f', try_cast(cell as double)) else '' end formatted from c""")
 def format_score(spark, sf):
     return tables.documents(spark, sf).selectExpr("doc_id", f"{CELL} as cell").select("doc_id", labels.format_score("cell").alias("formatted"))
 
@@ -201,7 +232,7 @@ def annotation_candidates(spark, sf):
     case when u.post_id is not null then u.s else '' end subjectivity_score from labelled r left join u using (post_id)""")
 def merge_annotations(spark, sf):
     label, score = labels.binary_label_and_score("scores", "opinionated", SUBJECTIVITY_LABELS, 0.5)
-    updates = tables.scored(spark, sf).where("positive_score >= 0.3").withColumn("scores", stage1_map()).select(
+    updates = scored(spark, sf).where("positive_score >= 0.3").withColumn("scores", stage1_map()).select(
         "post_id", label.alias("subjectivity_detection"), labels.format_score(score).alias("subjectivity_score"))
     rows = tables.labelled(spark, sf).select("post_id", "subjectivity_detection")
     return labels.merge_annotations(rows, updates, ["subjectivity_detection", "subjectivity_score"])
@@ -337,8 +368,8 @@ LOGITS = [0.37, 0.59, 0.71]
 
 
 def logits(spark, sf):
-    """Three made-up logits per scored row."""
-    return tables.scored(spark, sf).select(
+    """Three logits per scored row, mixed from the scores of its text."""
+    return scored(spark, sf).select(
         "post_id", "gold3", F.array(*[F.col("opinionated_score") * a - F.col("positive_score") * (1 - a) for a in LOGITS]).alias("logits"))
 
 
@@ -359,7 +390,7 @@ def softmax_positive(spark, sf):
 
 
 def predicted(spark, sf):
-    return tables.scored(spark, sf).withColumn("predicted", labels.apply_threshold(
+    return scored(spark, sf).withColumn("predicted", labels.apply_threshold(
         "opinionated_score", "opinionated", SUBJECTIVITY_LABELS, 0.5))
 
 
@@ -441,7 +472,7 @@ def d_sweep(gold: str, score: str, pos: str, source: str) -> str:
 @query("tune_threshold", f"""with {d_sweep('gold', 'opinionated_score', 'opinionated', 'scored')} select round(t, 6) threshold, 'macro_f1' metric_name, round(macro_f1, 6) metric_value,
   round(accuracy, 6) accuracy, true_positive, false_positive from bm order by macro_f1 desc, abs(t - 0.5::double), t limit 1""")
 def tune_threshold(spark, sf):
-    out = metrics.tune_threshold(tables.scored(spark, sf), "opinionated", "macro_f1", score="opinionated_score")
+    out = metrics.tune_threshold(scored(spark, sf), "opinionated", "macro_f1", score="opinionated_score")
     return rounded(out.select("threshold", "metric_name", "metric_value", "accuracy", "true_positive", "false_positive"))
 
 
@@ -449,7 +480,7 @@ def tune_threshold(spark, sf):
   select positive_support + negative_support samples, 0.5::double threshold, {', '.join(f'round(bm.{m}, 6) {m}' for m in ('accuracy', '"precision"', 'recall', 'f1', 'macro_f1', 'weighted_f1'))},
   round(best.t, 6) best_threshold, 'f1' best_threshold_metric, round(best.f1, 6) best_threshold_metric_value from bm, best where bm.t = 0.5""")
 def sarcasm_evaluation(spark, sf):
-    return rounded(metrics.sarcasm_evaluation(tables.scored(spark, sf), gold="sarcastic_gold", score="sarcastic_score"))
+    return rounded(metrics.sarcasm_evaluation(scored(spark, sf), gold="sarcastic_gold", score="sarcastic_score"))
 
 
 @query("pretrained_vs_trained", f"""with a as (with {d_counts('gold', 'opinionated_score >= 0.5', 'opinionated', 'scored')}, {d_binary('cf')} select * from bm),
@@ -459,7 +490,7 @@ def sarcasm_evaluation(spark, sf):
 def pretrained_vs_trained(spark, sf):
     sides = []
     for score in ("opinionated_score", "positive_score"):
-        pred = tables.scored(spark, sf).withColumn("predicted", labels.apply_threshold(score, "opinionated", SUBJECTIVITY_LABELS, 0.5))
+        pred = scored(spark, sf).withColumn("predicted", labels.apply_threshold(score, "opinionated", SUBJECTIVITY_LABELS, 0.5))
         sides.append(metrics.binary_metrics(pred, "opinionated").withColumn("task", F.lit("subjectivity")))
     return rounded(metrics.compare_models(*sides))
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from voxtide.functions import vocab
 from voxtide.operators import export, labels, rules, search, sentiment
 from voxtide.plans import jobs
-from voxtide.plans.catalog_ingest import d_row_reason
-from voxtide.plans.catalog_labels import stage1_map, stage2_map
+from voxtide.plans.catalog_ingest import D_DETECT, d_row_reason, profile_of
+from voxtide.plans.catalog_labels import scored, stage1_map, stage2_map
 from voxtide.plans.catalog_text import D_LABEL, d_sentiment
 from voxtide.plans.registry import WORD_BODY, query
 from voxtide.session import shared_dir
@@ -197,7 +197,7 @@ def export_jsonl(spark, sf):
 def predictions_jsonl(spark, sf):
     path = shared_dir(spark, "predictions")
     out = labels.hierarchical_predict(
-        tables.scored(spark, sf), lambda d: d.withColumn("scores", stage1_map()), lambda d: d.withColumn("scores", stage2_map()))
+        scored(spark, sf), lambda d: d.withColumn("scores", stage1_map()), lambda d: d.withColumn("scores", stage2_map()))
     out = out.select("post_id", "stage1_label", "final_label")
     export.predictions_jsonl(out, path)
     return read_json(spark, path, out)
@@ -224,16 +224,16 @@ def stream_ingest_dedup(spark, sf):
     return spark.read.schema(df.schema).parquet(stored).select("post_id", "ingest_seq", "text")
 
 
-@query("stream_annotate", f"""with {d_sentiment('opinions')} select post_id, {d_row_reason()} row_reason, sentiment_score, {D_LABEL} sentiment_label
-  from opinions join sentiment using (post_id)""")
+@query("stream_annotate", f"""with {d_sentiment('opinions')}, {D_DETECT} select post_id, {d_row_reason()} row_reason, sentiment_score, {D_LABEL} sentiment_label
+  from opinions join sentiment using (post_id) left join found using (ingest_seq)""")
 def stream_annotate(spark, sf):
     landed, stored, checkpoint = (shared_dir(spark, n) for n in ("landed", "annotated", "state"))
     df = tables.opinions(spark, sf).select("post_id", "text", "lang")
     land(df, landed, late_copy=False)
-    lexicon = sentiment.lexicon_table(spark)
+    lexicon, detector = sentiment.lexicon_table(spark), profile_of(spark, sf)
 
     def label(batch):
-        tagged = batch.withColumn("row_reason", rules.row_reason("text", "lang"))
+        tagged = rules.with_row_reason(batch, detector).withColumnRenamed("_row_reason", "row_reason")
         scores = sentiment.lexicon_sentiment(tagged, lexicon, ["post_id", "row_reason"])
         return scores.withColumn("sentiment_label", sentiment.sentiment_label("sentiment_score"))
 

@@ -8,7 +8,7 @@ from voxtide.functions import vocab
 from voxtide.functions.text import word_count
 from voxtide.operators import cleaning, relevance, scoring, sentiment, state
 from voxtide.plans import jobs
-from voxtide.plans.catalog_ingest import d_reasons, d_strip
+from voxtide.plans.catalog_ingest import d_reasons, d_strip, profile_of
 from voxtide.plans.registry import D_NWS, WORD_BODY, d_any, d_collapse, d_list, d_trim, d_values, d_words, query
 from voxtide.schema import CLEAN_STATUSES
 from voxtide.sources import tables
@@ -446,7 +446,7 @@ def report_samples(spark, sf):
   select platform, count(*) n, count(*) filter (label = 'positive') positive, count(*) filter (label = 'negative') negative,
   count(*) filter (label = 'neutral') neutral, round(avg(sentiment_score), 4) avg_score from labelled_rows group by platform""")
 def opinion_report(spark, sf):
-    return jobs.opinion_report(tables.opinions(spark, sf), sentiment.lexicon_table(spark))
+    return jobs.opinion_report(tables.opinions(spark, sf), sentiment.lexicon_table(spark), profile_of(spark, sf))
 
 
 # ---- whole runs ------------------------------------------------------------------------

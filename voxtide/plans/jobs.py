@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 from voxtide.functions import vocab
 from voxtide.functions.text import exact_hash
 from voxtide.operators import cleaning, ingest, labels, relevance, rules, sentiment, state
+from voxtide.operators.language import Detector
 from voxtide.schema import CLEAN_STATUSES, POLARITY_LABELS, SUBJECTIVITY_LABELS
 from voxtide.session import cut_lineage
 
 
-def ingest_run(existing: DataFrame, raw: DataFrame, cap: int = vocab.DEFAULT_CAP) -> DataFrame:
+def ingest_run(existing: DataFrame, raw: DataFrame, detector: Detector, cap: int = vocab.DEFAULT_CAP) -> DataFrame:
     """Landed hits to the stored table: filter, cap per query, first-wins append."""
     posts = ingest.normalize_posts(raw)
-    accepted = rules.rule_filter(posts)
+    accepted = rules.rule_filter(posts, detector)
     capped = ingest.cap_per_key(accepted, "query", cap)
     return ingest.upsert_ignore(existing, capped.drop("lang", "reply_count"))
 
@@ -74,7 +75,7 @@ def untrained_two_stage(rows: DataFrame) -> DataFrame:
     return neutral.unionByName(pol)
 
 
-def opinion_report(posts: DataFrame, lexicon: DataFrame) -> DataFrame:
+def opinion_report(posts: DataFrame, lexicon: DataFrame, detector: Detector) -> DataFrame:
     """Accepted, non-duplicate posts: rows, sentiment counts and mean score per platform.
 
     The texts are read twice, once to judge and once to score, and neither pass
@@ -82,7 +83,7 @@ def opinion_report(posts: DataFrame, lexicon: DataFrame) -> DataFrame:
     kept in the shared folder between the steps.
     """
     order = "ingest_seq"
-    narrow = rules.judge(posts).withColumn("_exact", exact_hash("text")).select(order, "platform", "_exact", *rules.JUDGED)
+    narrow = rules.judge(posts, detector).withColumn("_exact", exact_hash("text")).select(order, "platform", "_exact", *rules.JUDGED)
     accepted = rules.settle(cut_lineage(narrow), order).where(F.col("reason").isNull()).select(order, "platform", "_exact")
     unique = cleaning.repeated(cut_lineage(accepted), "_exact", order).where(~F.col("is_duplicate"))
     scores = sentiment.lexicon_sentiment(posts, lexicon, [order])

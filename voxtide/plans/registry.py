@@ -30,7 +30,11 @@ def query(name: str, sql: str | None = None):
 def with_inputs(sql: str) -> str:
     """Put the input tables a statement names in front of it."""
     body = sql.strip()
-    used = [n for n in CTES if re.search(rf"\b{n}\b", body)]
+    text, used = body, []
+    for n in reversed(CTES):  # a table may name those before it
+        if re.search(rf"\b{n}\b", text):
+            used.insert(0, n)
+            text += CTES[n]
     ctes = [f"{n} as ({CTES[n]})" for n in used]
     if not ctes:
         return body

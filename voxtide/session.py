@@ -29,11 +29,15 @@ def build_session(app: str = "voxtide", cpus: int | None = None, **conf) -> Spar
 def checkpoint_root(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder.
 
-    Only where the session names none (tests, laptops) is a local folder made
-    and set, so that checkpoints of the same session land there too.
+    A session on this machine alone (tests, laptops) that names none gets a local
+    folder, and its checkpoints land there too. On any other master a folder that
+    all executors share has to be named.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="voxtide-")
         spark.sparkContext.setCheckpointDir(root)
     elif not spark.sparkContext.getCheckpointDir():

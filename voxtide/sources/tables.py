@@ -73,17 +73,6 @@ LABELLED = {
     "sarcasm_detection": "case when doc_id % 19 = 0 then null when (doc_id * 31) % 11 < 3 then 'Sarcastic' else 'non-sarcastic' end",
 }
 
-# Gold label and model scores for the metric operators.
-SCORED = {
-    "post_id": "'doc_' || cast(doc_id as string)",
-    "gold": "case when quality = 1 then 'opinionated' else 'neutral' end",
-    "gold3": "case when toxic = 1 then 'negative' when quality = 1 then 'positive' else 'neutral' end",
-    "opinionated_score": "cast(((doc_id * 37) % 101) / 100.0 as double)",
-    "positive_score": "cast(((doc_id * 59) % 101) / 100.0 as double)",
-    "sarcastic_gold": "case when (doc_id * 31) % 11 < 3 then 'sarcastic' else 'non-sarcastic' end",
-    "sarcastic_score": "cast((doc_id * 71 + 13) % 997 as double) / cast(996 as double)",
-}
-
 EDGES = {
     "post_id": "cast(conv_id as string) || '-' || cast(turn as string)",
     "parent_post_id": "case when turn > 0 then cast(conv_id as string) || '-' || cast(case when conv_id % 2 = 0 then turn - 1 "
@@ -113,12 +102,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The text table. Text work is bound by CPU, so a table of fewer files than
-    cores is dealt out by key; one of many files is read as it lies. A rebalance
-    keeps text predicates above the exchange, where the cores are."""
-    df = table(spark, sf_dir, "documents")
-    cores = spark.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.hint("rebalance", cores, "doc_id")
+    """The text table, as it lies."""
+    return table(spark, sf_dir, "documents")
 
 
 def opinions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,10 +122,6 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents_with_labels(spark, sf_dir).selectExpr(*_select(LABELLED))
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "labels").selectExpr(*_select(SCORED))
-
-
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").selectExpr(*_select(EDGES))
 
@@ -158,7 +139,6 @@ CTES = {
     "opinions": _cte(OPINIONS, "documents"),
     "stored": _cte(STORED, "documents"),
     "labelled": _cte(LABELLED, "labels join documents using (doc_id)"),
-    "scored": _cte(SCORED, "labels"),
     "edges": _cte(EDGES, "conversations"),
     "comments": _cte(COMMENTS, "conversations"),
 }
