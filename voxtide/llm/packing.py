@@ -16,7 +16,7 @@ from pyspark.sql.window import Window as W
 
 from voxtide.session import cut_lineage
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000  # of each of two generations
 MAX_QUEUES = 4096
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -32,13 +32,20 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, texts: list[str], end_id: int) -> list[bytes]:
         split = [_WORD.findall(x) for x in texts]
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        known = self.words
-        missing = list({w for words in split for w in words if w not in known})
+        if len(self.words) > CACHE_WORDS:  # what is used again moves on to the next generation
+            self.words, self.older = {}, self.words
+        known, older = self.words, self.older
+        missing = []
+        for word in {w for words in split for w in words if w not in known}:
+            kept = older.get(word)
+            if kept is None:
+                missing.append(word)
+            else:
+                known[word] = kept
         for at in range(0, len(missing), 4096):
             part = missing[at: at + 4096]
             for word, got in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
