@@ -106,7 +106,8 @@ LEMMA_SUFFIXES = [
 ]
 LEMMA_MIN_LENGTH = 4
 
-# Valence per word, from -4 to 4.
+# Valence per word, from -4 to 4; these and the lists below are a selection from the
+# lexicon published with Hutto & Gilbert (2014), which is under the MIT licence.
 SENTIMENT_LEXICON = {
     "amazing": 2.8, "awesome": 3.1, "beautiful": 2.9, "benefit": 2.0, "benefits": 1.6, "best": 3.2,
     "better": 1.9, "brilliant": 2.8, "clever": 2.0, "cool": 1.3, "creative": 1.9, "easier": 1.8,

@@ -1,7 +1,8 @@
 """Text normalisation and clean status.
 
-The whole chain is Column functions on one row: no shuffle, no Python. The only
-shuffle of a cleaning run is the duplicate check, on a 16-byte hash.
+The whole chain is Column functions on one row: no shuffle, no Python. Duplicates
+are settled on ids and 16-byte hashes; rows then meet the ids of duplicates, a
+join that Spark broadcasts where that table is small.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ MARKUP_BODIES = "(?is)<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->"
 TAG = "</?[A-Za-z!][^>]*>"
 EMOJI_HINT = "[\\x{2600}-\\x{27BF}\\x{2B50}\\x{1F300}-\\x{1FAFF}]"
 TOKEN = "#\\s*(?:\\w+(?:'\\w+)?|[^\\w\\s])|\\w+(?:'\\w+)?|[^\\w\\s]"
-# Own: one look at the author name for every bot pattern.
-BOT_AUTHOR = "(?i)bot(?:[^\\p{L}\\p{N}_]|\\z)|automod"
+# Patterns of bot author names.
+BOT_AUTHORS = [r"bot\b", r"\.bot$", r"automod"]
 
 
 def strip_html(text: Column | str) -> Column:
@@ -124,7 +125,7 @@ def bot_phrase(text: Column | str, phrases: list[str] | None = None) -> Column:
 
 
 def bot_author(author: Column | str) -> Column:
-    return F.coalesce(as_col(author).rlike(BOT_AUTHOR), F.lit(False))
+    return F.coalesce(as_col(author).rlike("(?iU)" + "|".join(BOT_AUTHORS)), F.lit(False))
 
 
 def is_bot(text: Column | str, author: Column | str) -> Column:
@@ -144,26 +145,34 @@ def repeated(df: DataFrame, key: str, order: str = "ingest_seq") -> DataFrame:
     return out.select(*df.columns, F.coalesce(F.col("_first") != F.col(order), F.lit(False)).alias("is_duplicate"))
 
 
+def duplicate_ids(df: DataFrame, text: str = "text", order: str = "ingest_seq") -> DataFrame:
+    """order of the rows whose stripped, lower-cased text stands in an earlier row.
+    Settled on ids and hashes; kept in the shared folder, so that its size is known."""
+    narrow = df.select(order, exact_hash(text).alias("_hash"))
+    return cut_lineage(repeated(narrow, "_hash", order).where("is_duplicate").select(F.col(order).alias("_dup")))
+
+
 def exact_duplicates(df: DataFrame, text: str = "text", order: str = "ingest_seq") -> DataFrame:
-    """df plus `is_duplicate`: an earlier row of df has the same stripped, lower-cased text."""
-    return repeated(df.withColumn("_hash", exact_hash(text)), "_hash", order).drop("_hash")
+    """df plus `is_duplicate`: an earlier row of df has the same stripped,
+    lower-cased text. Only the ids of duplicates are joined to df."""
+    joined = df.join(duplicate_ids(df, text, order), F.col(order) == F.col("_dup"), "left")
+    return joined.withColumn("is_duplicate", F.col("_dup").isNotNull()).drop("_dup")
 
 
 def clean_rows(df: DataFrame, text: str = "text", author: str = "author", order: str = "ingest_seq") -> DataFrame:
-    """df with cleaned_text and clean_status set. Duplicate beats bot beats too_short."""
+    """df with cleaned_text and clean_status set. Duplicate beats bot beats
+    too_short. Rows are cleaned where they lie and then meet the ids of duplicates,
+    so a caller that wants statuses alone moves no text."""
     base = df.drop("cleaned_text", "clean_status")
-    rows = exact_duplicates(base, text, order)
-    # rejected rows go through the chain as nulls, which costs nothing
-    rows = rows.withColumn("_bot", is_bot(text, author))
+    # bot rows go through the chain as nulls, which costs nothing
+    rows = base.withColumn("_bot", is_bot(text, author))
+    rows = with_clean_text(rows, F.when(~F.col("_bot"), F.col(text)), "_clean").withColumn("_short", word_count("_clean") < vocab.MIN_WORD_COUNT)
+    joined = rows.join(duplicate_ids(base, text, order), F.col(order) == F.col("_dup"), "left")
+    status = (
+        F.when(F.col("_dup").isNotNull(), "duplicate").when(F.col("_bot"), "bot").when(F.col("_short"), "too_short").otherwise("cleaned")
+    )
     return (
-        with_clean_text(rows, F.when(~(F.col("is_duplicate") | F.col("_bot")), F.col(text)), "_clean")
-        .withColumn(
-            "clean_status",
-            F.when(F.col("is_duplicate"), "duplicate")
-            .when(F.col("_bot"), "bot")
-            .when(word_count("_clean") < vocab.MIN_WORD_COUNT, "too_short")
-            .otherwise("cleaned"),
-        )
+        joined.withColumn("clean_status", status)
         .withColumn("cleaned_text", F.when(F.col("clean_status") == "cleaned", F.col("_clean")))
         .select(*base.columns, "cleaned_text", "clean_status")
     )
