@@ -33,21 +33,35 @@ def test_phrase(spark):
     df = table(spark)
     assert ids(search.phrase_match(df, "AI tools")) == ["a", "c", "d"]
     assert ids(search.phrase_match(df, "*")) == ["a", "b", "c", "d"]
-    occ = search.occurrences(df)
-    for q in ("AI tools", "tools", "ai", "tools for ai", "ai ai"):
-        assert ids(search.phrase_match(df, q)) == ids(search.phrase_match(df, q, occ=occ)), q
+    index = search.Index(shared_dir(spark, "index"), 4)
+    search.write_index(df, index.path, term_buckets=4)
+    for q in ("AI tools", "tools", "ai", "tools for ai", "ai ai", "!!!", ""):
+        assert ids(search.phrase_match(df, q)) == ids(search.phrase_match(df, q, index=index)), q
+        plain, read = ({r["post_id"]: round(r["score"], 9) for r in search.relevance_scores(df, q, index=i).collect()} for i in (None, index))
+        assert plain == read, q
+    assert ids(search.phrase_match(df, "!!!")) == [] and search.search(df, "!!!").num_found.first()[0] == 0
+
+
+def test_search_reads_the_index_only(spark):
+    df = table(spark)
+    index = search.Index(shared_dir(spark, "index"), 4)
+    search.write_index(df, index.path, term_buckets=4)
+    plan = search.relevance_scores(df, "ai tools", index=index)._jdf.queryExecution().executedPlan().toString()
+    scans = re.findall(r"PartitionFilters: \[(.*?)\], PushedFilters: (.*?), ReadSchema: struct<(.*?)>", plan)
+    assert len([s for s in scans if "bucket" in s[0] and "In(term" in s[1]]) == 2
+    assert len(scans) == 3 and not any("text" in columns for *_, columns in scans)
 
 
 def test_phrases_match_a_scan(spark):
     rng = random.Random(1)
     docs = [(str(i), " ".join(rng.choice("aabc") for _ in range(rng.randrange(0, 12)))) for i in range(200)]
     df = spark.createDataFrame(docs, "post_id string, text string").withColumn("cleaned_text", F.lit(None).cast("string"))
-    path = shared_dir(spark, "index")
-    search.write_index(df, path, term_buckets=4)
+    index = search.Index(shared_dir(spark, "index"), 4)
+    search.write_index(df, index.path, term_buckets=4)
     for q in ("a", "a a", "a b a", "a a a", "c b"):
         want = sorted(i for i, t in docs if re.search(rf"(?:^| ){q}(?: |$)", t))
         assert ids(search.phrase_match(df, q)) == want
-        assert ids(search.phrase_match(df, q, occ=search.indexed_occurrences(spark, path, q.split(), 4))) == want
+        assert ids(search.phrase_match(df, q, index=index)) == want
 
 
 def test_search_call(spark):
@@ -55,7 +69,6 @@ def test_search_call(spark):
     assert [r["post_id"] for r in result.docs.collect()] == ["d", "a"]
     assert result.num_found.first()[0] == 3
     assert {r["sentiment_label"]: r["n"] for r in result.facets.collect()} == {"positive": 2}
-    result.close()
     ranked = [r["post_id"] for r in search.search(table(spark), "ai tools", sort="nonsense").docs.collect()]
     assert set(ranked) == {"a", "c", "d"} and ranked[0] in ("a", "c")
 

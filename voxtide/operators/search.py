@@ -9,13 +9,14 @@ number of terms, and only occurrences of query terms are shuffled.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxtide.functions.text import WORD_BODY, tokens
 from voxtide.operators.metrics import ratio
+from voxtide.session import cut_lineage
 
 FIELDS = ["text", "cleaned_text"]
 K1, B = 1.2, 0.75
@@ -68,37 +69,61 @@ def _bucket(term_buckets: int) -> Column:
 
 def write_index(df: DataFrame, path: str, fields: list[str] = FIELDS, term_buckets: int = 256,
                 key: str = "post_id") -> None:
-    """Postings, one row per occurrence, laid out by a hash of the term: a search
-    opens the folders of its own terms only, and inside them the sort order lets
-    Parquet skip the other terms. A frequent term is spread over 64 parts."""
-    (occurrences(df, fields, key).withColumn("bucket", _bucket(term_buckets))
+    """Postings, one row per occurrence with the length of its field, laid out by a
+    hash of the term: a search opens the folders of its own terms only, and inside
+    them the sort order lets Parquet skip the other terms. A frequent term is spread
+    over 64 parts. Beside them, in how many documents each term stands, and the
+    number and mean length of the fields."""
+    lengths = field_tokens(df, fields, key)
+    occ = lengths.select("field", key, F.col("len"), F.posexplode_outer("toks").alias("pos", "term")).where(F.col("term").isNotNull())
+    (occ.withColumn("bucket", _bucket(term_buckets))
      .repartition("bucket", F.pmod(F.xxhash64(key), F.lit(64)))
      .sortWithinPartitions("bucket", "term", key, "field", "pos")
      .write.partitionBy("bucket").parquet(f"{path}/postings"))
+    postings = df.sparkSession.read.parquet(f"{path}/postings")
+    (postings.groupBy("bucket", "term", "field").agg(F.countDistinct(key).alias("n_docs"))
+     .repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/terms"))
+    field_stats(df, fields).write.parquet(f"{path}/fields")
 
 
-def indexed_occurrences(spark, path: str, terms: list[str], term_buckets: int = 256) -> DataFrame:
-    """field, post_id, term, pos of the given terms, read from a written index."""
-    wanted = spark.createDataFrame([(t,) for t in sorted(set(terms))], "term string")
-    buckets = [r[0] for r in wanted.select(_bucket(term_buckets)).distinct().collect()]  # one per query term
-    postings = spark.read.parquet(f"{path}/postings")
-    return postings.where(F.col("bucket").isin(buckets) & F.col("term").isin(terms)).drop("bucket")
+@dataclass(frozen=True)
+class Index:
+    """A written index."""
+
+    path: str
+    term_buckets: int = 256
+
+    def _of_terms(self, spark: SparkSession, table: str, terms: list[str]) -> DataFrame:
+        wanted = spark.createDataFrame([(t,) for t in sorted(set(terms))], "term string")
+        buckets = [r[0] for r in wanted.select(_bucket(self.term_buckets)).distinct().collect()]  # one per query term
+        return spark.read.parquet(f"{self.path}/{table}").where(F.col("bucket").isin(buckets) & F.col("term").isin(terms)).drop("bucket")
+
+    def occurrences(self, spark: SparkSession, terms: list[str]) -> DataFrame:
+        """field, post_id, len, pos, term of the given terms."""
+        return self._of_terms(spark, "postings", terms)
+
+    def statistics(self, spark: SparkSession, terms: list[str]) -> DataFrame:
+        """field, n_docs, avg_len, df0, df1, ... for the given terms in order: one row per field."""
+        found = self._of_terms(spark, "terms", terms).groupBy(F.col("field").alias("f")).agg(
+            *[F.coalesce(F.sum(F.when(F.col("term") == t, F.col("n_docs"))), F.lit(0)).alias(f"df{i}") for i, t in enumerate(terms)])
+        fields = spark.read.parquet(f"{self.path}/fields")
+        return fields.join(F.broadcast(found), F.col("field") == F.col("f")).drop("f")
 
 
 def phrase_hits(occ: DataFrame, terms: list[str], key: str = "post_id") -> DataFrame:
-    """field, post_id, freq: how often the phrase starts in each field."""
+    """field, post_id, len, freq: how often the phrase starts in each field."""
     if len(terms) == 1:
-        return occ.where(F.col("term") == terms[0]).groupBy("field", key).agg(F.count(F.lit(1)).alias("freq"))
+        return occ.where(F.col("term") == terms[0]).groupBy("field", key, "len").agg(F.count(F.lit(1)).alias("freq"))
     offsets = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(i).alias("i")) for i, t in enumerate(terms)])
     mine = F.filter(offsets, lambda o: o["t"] == F.col("term"))
     starts = (
         occ.where(F.col("term").isin(sorted(set(terms))))
-        .select("field", key, "pos", F.explode(mine).alias("o"))
-        .groupBy("field", key, (F.col("pos") - F.col("o.i")).alias("start"))
+        .select("field", key, "len", "pos", F.explode(mine).alias("o"))
+        .groupBy("field", key, "len", (F.col("pos") - F.col("o.i")).alias("start"))
         .agg(F.count(F.lit(1)).alias("votes"))
         .where(F.col("votes") == len(terms))
     )
-    return starts.groupBy("field", key).agg(F.count(F.lit(1)).alias("freq"))
+    return starts.groupBy("field", key, "len").agg(F.count(F.lit(1)).alias("freq"))
 
 
 def field_tokens(df: DataFrame, fields: list[str] = FIELDS, key: str = "post_id") -> DataFrame:
@@ -112,41 +137,48 @@ def field_tokens(df: DataFrame, fields: list[str] = FIELDS, key: str = "post_id"
 
 
 def phrase_match(df: DataFrame, query: str, fields: list[str] = FIELDS, key: str = "post_id",
-                 occ: DataFrame | None = None) -> DataFrame:
+                 index: Index | None = None) -> DataFrame:
     """post_id of rows that hold the whole query as a phrase in any field; `*` is
-    everything. With `occ` (a written index) only postings are read; without, the
-    texts are read once and each row decides for itself."""
+    everything, a query without a word nothing. With an index only the postings of
+    its terms are read; without, the texts are read once and each row decides for itself."""
     if query == "*":
         return df.select(key)
     terms = query_terms(query)
-    if not terms:  # no word, no match
+    if not terms:
         return df.select(key).where(F.lit(False))
-    hits = phrase_hits(occ, terms, key) if occ is not None else phrase_starts(field_tokens(df, fields, key), terms, key)
-    return hits.select(key).distinct()
+    if index:
+        return phrase_hits(index.occurrences(df.sparkSession, terms), terms, key).select(key).distinct()
+    return phrase_starts(field_tokens(df, fields, key), terms, key).select(key).distinct()
 
 
-def relevance_scores(df: DataFrame, query: str, fields: list[str] = FIELDS, key: str = "post_id") -> DataFrame:
+def relevance_scores(df: DataFrame, query: str, fields: list[str] = FIELDS, key: str = "post_id",
+                     index: Index | None = None) -> DataFrame:
     """post_id, score: BM25 of the phrase, summed over the fields it occurs in.
 
     Phrase frequency stands for tf and the idf is the sum over the distinct
-    terms. Statistics are one row per field (and term), joined by broadcast.
+    terms. Statistics are one row per field, joined by broadcast. With an index no
+    text is read.
     """
     terms = query_terms(query)
     if not terms:
         return df.select(key, F.lit(0.0).alias("score")).where(F.lit(False))
     distinct = sorted(set(terms))
-    # one look at each document: its length and where the query's terms stand
-    per_field = field_tokens(df, fields, key)
-    n_terms = F.array(*[F.array_contains("toks", t).cast("int") for t in distinct])
-    stats = per_field.groupBy("field").agg(
-        F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"),
-        *[F.sum(n_terms[i]).alias(f"df{i}") for i in range(len(distinct))],
-    )
+    if index:
+        stats = index.statistics(df.sparkSession, distinct)
+        hits = phrase_hits(index.occurrences(df.sparkSession, terms), terms, key)
+    else:
+        # one look at each document: its length and where the query's terms stand
+        per_field = field_tokens(df, fields, key)
+        n_terms = F.array(*[F.array_contains("toks", t).cast("int") for t in distinct])
+        stats = per_field.groupBy("field").agg(
+            F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"),
+            *[F.sum(n_terms[i]).alias(f"df{i}") for i in range(len(distinct))],
+        )
+        hits = phrase_starts(per_field, terms, key)
     idf = sum([
         F.log(1 + (F.col("n_docs") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)) for i in range(len(distinct))
     ], F.lit(0.0))
     stats = stats.select("field", "avg_len", idf.alias("idf"))  # one row per field
-    hits = phrase_starts(per_field, terms, key)
     tf = F.col("freq") * (K1 + 1) / (F.col("freq") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     scored = hits.join(F.broadcast(stats), "field").select(key, (F.col("idf") * tf).alias("s"))
     return scored.groupBy(key).agg(F.sum("s").alias("score"))
@@ -221,35 +253,38 @@ def highlight(text: Column | str, query: str) -> Column:
 
 @dataclass
 class SearchResult:
-    """Frames of one search; call close() when they are no longer needed."""
+    """Frames of one search."""
 
     docs: DataFrame
     num_found: DataFrame
     facets: DataFrame
-    matches: DataFrame = field(repr=False)
-
-    def close(self) -> None:
-        self.matches.unpersist()
 
 
 def match_set(df: DataFrame, query: str = "*", sentiment: list[str] | None = None,
-              date_from: str = "", date_to: str = "", key: str = "post_id") -> DataFrame:
+              date_from: str = "", date_to: str = "", key: str = "post_id", index: Index | None = None) -> DataFrame:
     """All rows of the filtered match set with their score, unsorted."""
     filtered = date_range_filter(sentiment_filter(df, sentiment), date_from, date_to)
     if query == "*":
         return filtered.withColumn("score", F.lit(1.0))
     # statistics belong to the whole table, the filter to the result
-    return filtered.join(relevance_scores(df, query, key=key), key)
+    return filtered.join(relevance_scores(df, query, key=key, index=index), key)
+
+
+MAX_PAGE = 10_000
 
 
 def search(df: DataFrame, query: str = "*", sentiment: list[str] | None = None, date_from: str = "",
            date_to: str = "", sort: str = "relevance", start: int = 0, rows: int = 10,
-           key: str = "post_id") -> SearchResult:
-    """Page, count and facets of one query. The narrow match set is kept while
-    the three are computed; texts are fetched for the page only."""
-    matches = match_set(df, query, sentiment, date_from, date_to, key).select(
-        key, "score", "likes", "reposts", "created_at", "sentiment_label").persist()
-    page = paginate(matches, sort_columns(sort, key), start, rows)
-    texts = df.select(key, "platform", "author", "text", "cleaned_text")
+           key: str = "post_id", index: Index | None = None) -> SearchResult:
+    """Page, count and facets of one query. The narrow match set is written to the
+    shared folder and serves all three; texts are fetched for the page only, by the
+    at most `rows` keys on it."""
+    if rows > MAX_PAGE:
+        raise ValueError(f"a page has at most {MAX_PAGE} rows")
+    matches = cut_lineage(match_set(df, query, sentiment, date_from, date_to, key, index).select(
+        key, "score", "likes", "reposts", "created_at", "sentiment_label"))
+    page = cut_lineage(paginate(matches, sort_columns(sort, key), start, rows))
+    keys = [r[0] for r in page.select(key).collect()]
+    texts = df.where(F.col(key).isin(keys)).select(key, "platform", "author", "text", "cleaned_text")
     docs = texts.join(F.broadcast(page), key).withColumn("highlighted_text", highlight("text", query))
-    return SearchResult(docs.orderBy(*sort_columns(sort, key)), num_found(matches), sentiment_facets(matches), matches)
+    return SearchResult(docs.orderBy(*sort_columns(sort, key)), num_found(matches), sentiment_facets(matches))

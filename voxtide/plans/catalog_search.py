@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from voxtide.functions import vocab
@@ -43,6 +46,19 @@ def d_scores(phrase: str) -> str:
     from hits join fields using (post_id, field) join fs using (field) group by post_id)"""
 
 
+@lru_cache(maxsize=8)
+def _written_index(app: str, sf: str) -> search.Index:
+    spark = SparkSession.active()
+    index = search.Index(shared_dir(spark, "index"), 64)
+    search.write_index(tables.stored(spark, sf), index.path, term_buckets=index.term_buckets)
+    return index
+
+
+def index_of(spark, sf) -> search.Index:
+    """The table's index: written once in an application, then read by every query."""
+    return _written_index(spark.sparkContext.applicationId, sf)
+
+
 @query("index_documents", f"""with {D_FIELDS} select field, term, post_id, array_to_string(list_sort(list(pos)), ' ') positions, count(*) tf from occ group by field, term, post_id""")
 def index_documents(spark, sf):
     return search.index_documents(tables.stored(spark, sf)).withColumn("positions", F.array_join("positions", " "))
@@ -55,16 +71,12 @@ def phrase_match(spark, sf):
 
 @query("phrase_match_indexed", f"with {d_hits(PHRASE)} select distinct post_id from hits")
 def phrase_match_indexed(spark, sf):
-    path = shared_dir(spark, "index")
-    df = tables.stored(spark, sf)
-    search.write_index(df, path, term_buckets=16)
-    occ = search.indexed_occurrences(spark, path, search.query_terms(PHRASE), term_buckets=16)
-    return search.phrase_match(df, PHRASE, occ=occ)
+    return search.phrase_match(tables.stored(spark, sf), PHRASE, index=index_of(spark, sf))
 
 
 @query("relevance_score", f"with {d_scores(PHRASE)} select post_id, round(score, 6) score from scores")
 def relevance_score(spark, sf):
-    return search.relevance_scores(tables.stored(spark, sf), PHRASE).withColumn("score", F.round("score", 6))
+    return search.relevance_scores(tables.stored(spark, sf), PHRASE, index=index_of(spark, sf)).withColumn("score", F.round("score", 6))
 
 
 @query("sentiment_filter", "select post_id, sentiment_label from stored where sentiment_label in ('positive', 'neutral')")
@@ -99,7 +111,7 @@ D_MATCH = f"{d_scores(RARE)}, matches as (select s.*, score from stored s join s
 
 
 def matches(spark, sf):
-    return search.match_set(tables.stored(spark, sf), RARE, ["positive", "negative"], "2024-01-05", "2025-12-31")
+    return search.match_set(tables.stored(spark, sf), RARE, ["positive", "negative"], "2024-01-05", "2025-12-31", index=index_of(spark, sf))
 
 
 @query("num_found", f"with {D_MATCH} select count(*) num_found from matches")
@@ -133,7 +145,7 @@ def highlight(spark, sf):
   select post_id, round(score, 6) score, {d_highlight(RARE)} highlighted_text, (select count(*) from matches) num_found,
   (select string_agg(sentiment_label || '=' || n, ' ' order by sentiment_label) from (select sentiment_label, count(*) n from matches group by 1)) facets from page""")
 def search_query(spark, sf):
-    result = search.search(tables.stored(spark, sf), RARE, ["positive", "negative"], "2024-01-05", "2025-12-31")
+    result = search.search(tables.stored(spark, sf), RARE, ["positive", "negative"], "2024-01-05", "2025-12-31", index=index_of(spark, sf))
     facets = result.facets.agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws("=", "sentiment_label", "n"))), " ").alias("facets"))
     return result.docs.select("post_id", F.round("score", 6).alias("score"), "highlighted_text",
                               result.num_found.scalar().alias("num_found"), facets.scalar().alias("facets"))
