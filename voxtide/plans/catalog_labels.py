@@ -238,6 +238,34 @@ def merge_annotations(spark, sf):
     return labels.merge_annotations(rows, updates, ["subjectivity_detection", "subjectivity_score"])
 
 
+def d_candidates(*targets):
+    missing = " or ".join(D_MISSING.format(c=c) for c in targets)
+    return f"cand as (select post_id, {D_ANNOTATE} as text from labelled where ({missing}) and {D_ANNOTATE} <> '')"
+
+
+_OPI, _POS, _SARC = SUB_LABELS.index("opinionated"), POL_LABELS.index("positive"), list(SAR).index("sarcastic")
+TARGETS = ["subjectivity_detection", "polarity_detection"]
+
+
+@query("annotate_hierarchical_run", f"""with {d_candidates(*TARGETS)}, {d_votes(SUB, 'cand', 'text', name='va')}, {d_votes(POL, 'cand', 'text', name='vb')},
+  u as (select post_id, va.e{_OPI} >= 0.5 opinionated, vb.e{_POS} >= 0.5 positive, printf('%.6f', case when va.e{_OPI} >= 0.5 then va.e{_OPI} else va.e{1 - _OPI} end) s1,
+    printf('%.6f', case when vb.e{_POS} >= 0.5 then vb.e{_POS} else vb.e{1 - _POS} end) s2 from va join vb using (post_id))
+  select r.post_id, r.subjectivity_detection, case when u.post_id is null then '' when opinionated then 'opinionated' else 'neutral' end subjectivity_label, coalesce(s1, '') subjectivity_score,
+    case when opinionated then case when positive then 'positive' else 'negative' end else '' end polarity_label, case when opinionated then s2 else '' end polarity_score
+  from labelled r left join u using (post_id)""")
+def annotate_hierarchical_run(spark, sf):
+    out, _ = jobs.annotate_hierarchical_run(tables.labelled(spark, sf), TARGETS)
+    return out.select("post_id", "subjectivity_detection", "subjectivity_label", "subjectivity_score", "polarity_label", "polarity_score")
+
+
+@query("annotate_sarcasm_run", f"""with {d_candidates('sarcasm_detection')}, {d_votes(SAR, 'cand', 'text', name='va')},
+  u as (select post_id, case when e{_SARC} >= 0.5 then 'sarcastic' else 'non-sarcastic' end l, printf('%.6f', e{_SARC}) s from va)
+  select r.post_id, case when u.post_id is null then r.sarcasm_detection else u.l end sarcasm_detection, coalesce(s, '') sarcasm_score from labelled r left join u using (post_id)""")
+def annotate_sarcasm_run(spark, sf):
+    out, _ = jobs.annotate_sarcasm_run(tables.labelled(spark, sf), "sarcasm_detection")
+    return out.select("post_id", "sarcasm_detection", "sarcasm_score")
+
+
 D_LENGTHS = f"lens as (select length(text) len from opinions where length({d_trim('text')}) > 0)"
 D_P95 = "(select list_sort(list(len))[1 + cast(round_even((count(*) - 1) * 0.95::double, 0) as bigint)] from lens)"
 

@@ -93,3 +93,32 @@ def opinion_report(posts: DataFrame, lexicon: DataFrame, detector: Detector) ->
         *[F.count_if(label == l).alias(l) for l in ("positive", "negative", "neutral")],
         F.round(F.avg("sentiment_score"), 4).alias("avg_score"),
     )
+
+
+def _map_scorer(terms: dict[str, dict[str, int]]):
+    """A stage that scores candidate labels and gives them as a map."""
+    def score(df: DataFrame) -> DataFrame:
+        scored = relevance.candidate_scores(df, terms, df.columns, "text")
+        names = list(terms)
+        return scored.withColumn("scores", labels.score_map(names, [F.get("scores", F.lit(i)) for i in range(len(names))])).drop("votes")
+    return score
+
+
+def annotate_hierarchical_run(records: DataFrame, targets: list[str], force: bool = False, key: str = "post_id") -> tuple[DataFrame, DataFrame]:
+    """(records with labels and scores filled in, statistics of the run): rows that
+    lack one of the targets are scored for subjectivity, the opinionated ones for
+    polarity. `key` is unique among the rows that are scored."""
+    todo = cut_lineage(labels.annotation_candidates(records, targets, force, key))
+    found = labels.hierarchical_predict(todo, _map_scorer(vocab.SUBJECTIVITY_TERMS), _map_scorer(vocab.POLARITY_TERMS))
+    updates = labels.hierarchical_updates(found, key)
+    columns = [c for c in updates.columns if c != key]
+    return labels.merge_annotations(records, updates, columns, key), labels.annotation_stats(todo)
+
+
+def annotate_sarcasm_run(records: DataFrame, target: str, force: bool = False, key: str = "post_id") -> tuple[DataFrame, DataFrame]:
+    """(records with target and sarcasm_score filled in, statistics of the run)."""
+    todo = cut_lineage(labels.annotation_candidates(records, [target], force, key))
+    scored = _map_scorer(vocab.SARCASM_TERMS)(todo)
+    label, score = labels.sarcasm_prediction(F.col("scores"))
+    updates = scored.select(key, label.alias(target), labels.format_score(score).alias("sarcasm_score"))
+    return labels.merge_annotations(records, updates, [target, "sarcasm_score"], key), labels.annotation_stats(todo)
