@@ -70,3 +70,17 @@ def test_csv_chain_and_stats(spark):
 def test_bot_phrases_ignore_case(spark):
     df = spark.createDataFrame([(p.upper(),) for p in vocab.BOT_PHRASES] + [("robots are fine",)], "t string")
     assert [r[0] for r in df.select(cleaning.bot_phrase("t")).collect()] == [True] * len(vocab.BOT_PHRASES) + [False]
+
+
+def test_entities_and_emoji(spark):
+    cases = {
+        "it&#8217;s caf&eacute; &#x1F970;": "it\u2019s caf\u00e9 \U0001F970", "a &amp;lt; b &lt; c": "a &lt; b < c", "&#38;gt; &bogus; &#0; &#xD800;": "&gt; &bogus; &#0; &#xD800;",
+        "&nbsp;x&copy;": " x\u00a9", "&": "&", "": "", None: None, "<b>AT&amp;T</b>": " AT&T ",
+    }
+    df = spark.createDataFrame([(t,) for t in cases], "t string")
+    got = {r["t"]: r["o"] for r in df.select("t", cleaning.strip_html("t").alias("o")).collect()}
+    assert got == cases
+    named = {r["t"]: r["o"] for r in spark.createDataFrame([("ok \U0001F970\U0001F973!",), ("\U0001F600",), ("none",), (None,)], "t string").select(
+        "t", cleaning.demojize("t").alias("o")).collect()}
+    assert named == {"ok \U0001F970\U0001F973!": "ok  smiling_face_with_smiling_eyes_and_three_hearts  face_with_party_horn_and_party_hat !",
+                     "\U0001F600": " grinning_face ", "none": "none", None: None}

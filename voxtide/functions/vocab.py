@@ -7,6 +7,9 @@ passing another table to the operator that takes it.
 
 from __future__ import annotations
 
+import unicodedata
+from html.entities import name2codepoint
+
 # ---- Fixed values ---------------------------------------------------------
 
 BLOCKLIST = [
@@ -55,9 +58,8 @@ KAPPA_BANDS = [(0.20, "slight"), (0.40, "fair"), (0.60, "moderate"), (0.80, "sub
 
 # ---- Seed vocabularies (own) ----------------------------------------------
 
-HTML_ENTITIES = {
-    "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&",
-}
+# Every named entity of HTML 4, from Python's own table; a hard space is a space.
+HTML_ENTITIES = {f"&{name};": chr(code) for name, code in sorted(name2codepoint.items())} | {"&apos;": "'", "&nbsp;": " "}
 
 # (pattern, replacement), applied in order to text that holds an apostrophe.
 CONTRACTION_RULES = [
@@ -87,6 +89,13 @@ EMOJI_NAMES = {
     "❌": "cross_mark", "⭐": "star", "❤": "red_heart", "💔": "broken_heart", "💩": "pile_of_poo",
 }
 
+# Where emoji stand in Unicode; names beyond those above follow the character's own.
+EMOJI_RANGES = [(0x2600, 0x27BF), (0x2B50, 0x2B50), (0x1F300, 0x1FAFF)]
+EMOJI_NAMES = {
+    chr(c): unicodedata.name(chr(c)).lower().replace(" ", "_").replace("'", "")
+    for low, high in EMOJI_RANGES for c in range(low, high + 1) if unicodedata.category(chr(c)) in ("So", "Sk")
+} | EMOJI_NAMES
+
 IRREGULAR_LEMMAS = {
     "men": "man", "women": "woman", "children": "child", "people": "people", "feet": "foot",
     "teeth": "tooth", "mice": "mouse", "geese": "goose", "lives": "life", "wives": "wife",

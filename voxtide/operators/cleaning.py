@@ -13,24 +13,52 @@ from pyspark.sql import functions as F
 from voxtide.functions import vocab
 from voxtide.functions.text import NOT_WS, as_col, collapse, contains_any, exact_hash, where_has, word_count
 from voxtide.operators.skew import attach_stats
+from voxtide.operators.votes import literal_map
 from voxtide.session import cut_lineage
 
 MARKUP_BODIES = "(?is)<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->"
 TAG = "</?[A-Za-z!][^>]*>"
+ENTITY = "&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
 EMOJI_HINT = "[\\x{2600}-\\x{27BF}\\x{2B50}\\x{1F300}-\\x{1FAFF}]"
 TOKEN = "#\\s*(?:\\w+(?:'\\w+)?|[^\\w\\s])|\\w+(?:'\\w+)?|[^\\w\\s]"
 # Patterns of bot author names.
 BOT_AUTHORS = [r"bot\b", r"\.bot$", r"automod"]
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _replace_all(text: Column, found: Column, value) -> Column:
+    """text with each of the found strings replaced by value(string), in order."""
+    return F.aggregate(found, text, lambda acc, x: F.replace(acc, x, value(x)))
+
+
+def decode_entities(text: Column | str) -> Column:
+    """Named and numeric entities as the characters they stand for, in one pass:
+    what an ampersand's own entity uncovers is not decoded again."""
+    text = as_col(text)
+    names = literal_map(vocab.HTML_ENTITIES)
+
+    def char(e: Column) -> Column:
+        digits = F.when(e.rlike("^&#[xX]"), F.conv(F.substring(e, 4, 6), 16, 10)).otherwise(F.regexp_extract(e, "[0-9]+", 0))
+        code = digits.try_cast("long")
+        valid = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        numeric = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        return F.coalesce(F.when(e.startswith("&#"), numeric).otherwise(F.element_at(names, e)), e)
+
+    def last_amp(found: Column) -> Column:
+        return F.concat(F.filter(found, lambda e: char(e) != "&"), F.filter(found, lambda e: char(e) == "&"))
+
+    return let(text, lambda t: where_has(t, "&", let(
+        F.array_distinct(F.regexp_extract_all(t, F.lit(ENTITY), F.lit(0))), lambda found: _replace_all(t, last_amp(found), char)), t))
+
+
 def strip_html(text: Column | str) -> Column:
     """Markup out, a space in its place; entities decoded."""
     text = as_col(text)
-    bare = where_has(text, "<", F.regexp_replace(F.regexp_replace(text, MARKUP_BODIES, " "), TAG, " "), text)
-    out = bare
-    for entity, char in vocab.HTML_ENTITIES.items():
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return where_has(bare, "&", out, bare)
+    return decode_entities(where_has(text, "<", F.regexp_replace(F.regexp_replace(text, MARKUP_BODIES, " "), TAG, " "), text))
 
 
 def expand_contractions(text: Column | str) -> Column:
@@ -43,12 +71,11 @@ def expand_contractions(text: Column | str) -> Column:
 
 
 def demojize(text: Column | str, names: dict[str, str] | None = None) -> Column:
-    """Emoji to ` name `; texts without one are passed through untouched."""
+    """Emoji to ` name `; characters without a name stay."""
     text = as_col(text)
-    out = text
-    for emoji, name in (names or vocab.EMOJI_NAMES).items():
-        out = F.replace(out, F.lit(emoji), F.lit(f" {name} "))
-    return F.when(text.rlike(EMOJI_HINT), out).otherwise(text)
+    table = literal_map(names or vocab.EMOJI_NAMES)
+    name = lambda e: F.coalesce(F.concat(F.lit(" "), F.element_at(table, e), F.lit(" ")), e)
+    return let(text, lambda t: _replace_all(t, F.array_distinct(F.regexp_extract_all(t, F.lit(EMOJI_HINT), F.lit(0))), name))
 
 
 def lowercase(text: Column | str) -> Column:

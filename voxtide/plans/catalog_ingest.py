@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from voxtide.functions import vocab
 from voxtide.functions.text import fuzzy_hash
+from voxtide.operators.cleaning import ENTITY
 from voxtide.operators import ingest, language, rules
 from voxtide.plans import jobs
 from voxtide.plans.registry import (
@@ -105,9 +106,14 @@ def comment_quality_gate(spark, sf):
 def d_strip(x: str) -> str:
     out = f"regexp_replace({x}, '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->', ' ', 'g')"
     out = f"regexp_replace({out}, '</?[A-Za-z!][^>]*>', ' ', 'g')"
-    for entity, char in vocab.HTML_ENTITIES.items():
-        out = f"replace({out}, '{entity}', '{char.replace(chr(39), chr(39) * 2)}')"
-    return out
+    quote = lambda t: "'" + t.replace("'", "''") + "'"
+    names = "map {" + ", ".join(f"{quote(e)}: {quote(c)}" for e, c in vocab.HTML_ENTITIES.items()) + "}"
+    code = "case when regexp_matches(e, '^&#[xX]') then cast('0x' || substr(e, 4, length(e) - 4) as bigint) else cast(regexp_extract(e, '[0-9]+') as bigint) end"
+    char = f"""coalesce(case when starts_with(e, '&#') then case when {code} > 0 and {code} <= 1114111 and not {code} between 55296 and 57343 then chr(cast({code} as int)) end
+      else {names}[e] end, e)"""
+    found = f"list_distinct(regexp_extract_all({out}, '{ENTITY}'))"
+    ordered = f"list_concat(list_filter({found}, lambda e: {char} <> '&'), list_filter({found}, lambda e: {char} = '&'))"
+    return f"case when contains({out}, '&') then list_reduce(list_prepend({out}, {ordered}), lambda a, e: replace(a, e, {char})) else {out} end"
 
 
 @query("page_text", f"""select page_id, {d_collapse(d_strip("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"))} title,

@@ -29,10 +29,9 @@ def d_contract(x: str) -> str:
 
 
 def d_demojize(x: str) -> str:
-    out = x
-    for emoji, name in vocab.EMOJI_NAMES.items():
-        out = f"replace({out}, '{emoji}', ' {name} ')"
-    return out
+    names = "map {" + ", ".join(f"'{e}': ' {n} '" for e, n in vocab.EMOJI_NAMES.items()) + "}"
+    found = f"list_distinct(regexp_extract_all({x}, '{cleaning.EMOJI_HINT}'))"
+    return f"list_reduce(list_prepend({x}, {found}), lambda a, e: replace(a, e, coalesce({names}[e], e)))"
 
 
 def d_lemma(t: str) -> str:
