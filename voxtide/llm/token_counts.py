@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,7 +19,7 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
-CACHE_PIECES = 300_000
+CACHE_PIECES = 400_000  # of each of two generations
 
 
 def _byte_names() -> dict[str, int]:
@@ -45,72 +46,89 @@ class PrefixCounter:
         special = {t["content"] for t in model["added_tokens"]}
         self.vocab = {raw(t): i for t, i in model["model"]["vocab"].items() if t not in special}
         pairs = (m.split(" ") if isinstance(m, str) else m for m in model["model"]["merges"])
-        self.rank = {(raw(a), raw(b)): i for i, (a, b) in enumerate(pairs)}
+        self.rank: dict[tuple[int, int], int] = {}
+        self.made: dict[int, tuple[int, int, int]] = {}  # token -> rank of its merge, left part, right part
+        for i, (a, b) in enumerate(pairs):
+            a, b = raw(a), raw(b)
+            key = self.vocab[a], self.vocab[b]
+            self.rank[key] = i
+            self.made.setdefault(self.vocab[a + b], (i, *key))
         self.longest = max(map(len, self.vocab))
         self.split = regex.compile(SPLIT)
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
-        self.pairs: dict[tuple[bytes, bytes], bool] = {}
+        self.pairs: dict[tuple[int, int], bool] = {}
         self.pieces: dict[str, tuple[int, bytes]] = {}
-
-    def merge(self, data: bytes) -> list[bytes]:
-        """Plain byte-pair encoding, for pairs of tokens."""
-        parts = [data[i: i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            best = min(((self.rank.get(p, 1 << 60), i) for i, p in enumerate(zip(parts, parts[1:]))))
-            if best[0] == 1 << 60:
-                break
-            a, b = parts[best[1]], parts[best[1] + 1]
-            out, i = [], 0
-            while i < len(parts):
-                if i + 1 < len(parts) and parts[i] == a and parts[i + 1] == b:
-                    out.append(a + b)
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
-        return parts
-
-    def follows(self, a: bytes, b: bytes) -> bool:
-        known = self.pairs.get((a, b))
-        if known is None:
-            if len(self.pairs) > 4 * CACHE_PIECES:
-                self.pairs.clear()
-            known = self.pairs[a, b] = self.merge(a + b) == [a, b]
-        return known
+        self.older: dict[str, tuple[int, bytes]] = {}
+
+    def _apart(self, a: int, b: int) -> bool:
+        """Whether encoding the texts of two tokens together gives both back.
+
+        The merges that make a and b are undone, the latest first (of equal ones the
+        right one, since the left is made first). In between, the parts that meet at
+        the seam must not merge before the next step on either side: a merge of equal
+        rank on the left comes first, one on the right comes after."""
+        byte = (-1, 0, 0)
+        ahead_a = ahead_b = len(self.rank)
+        while True:
+            meets = self.rank.get((a, b))
+            if meets is not None and meets < ahead_a and meets <= ahead_b:
+                return False
+            made_a, made_b = self.made.get(a, byte), self.made.get(b, byte)
+            if made_a[0] < 0 and made_b[0] < 0:
+                return True
+            if made_a[0] > made_b[0]:
+                ahead_a, a = made_a[0], made_a[2]
+            else:
+                ahead_b, b = made_b[0], made_b[1]
 
     def prefixes(self, data: bytes) -> list[int]:
         """Counts of data[:0], data[:1], ..., data."""
-        count, last, vocab = [0], [b""], self.vocab
+        count, last, vocab, pairs, longest = [0], [-1], self.vocab, self.pairs, self.longest
         for end in range(1, len(data) + 1):
-            for start in range(max(0, end - self.longest), end):
-                token = data[start: end]
-                if token in vocab and (not start or self.follows(last[start], token)):
-                    count.append(count[start] + 1)
-                    last.append(token)
-                    break
+            for start in range(end - 1, (end - longest if end > longest else 0) - 1, -1):
+                token = vocab.get(data[start: end])
+                if token is None:
+                    continue
+                if start:
+                    key = last[start], token
+                    follows = pairs.get(key)
+                    if follows is None:
+                        if len(pairs) > 2 * CACHE_PIECES:
+                            pairs.clear()
+                        follows = pairs[key] = self._apart(*key)
+                    if not follows:
+                        continue
+                count.append(count[start] + 1)
+                last.append(token)
+                break
         return count
 
     def piece(self, text: str) -> tuple[int, bytes]:
         """Count of a piece, and what each of its characters adds (int16)."""
         known = self.pieces.get(text)
         if known is None:
-            if len(self.pieces) > CACHE_PIECES:
-                self.pieces.clear()
-            data = text.encode()
-            counts = np.array(self.prefixes(data), np.int64)
-            if text in CONTRACTIONS and len(text) > 2:  # cut short, it is an apostrophe and a letter
-                counts[2] = 2
-            if len(data) != len(text):
-                counts = counts[np.append(0, np.cumsum([len(c.encode()) for c in text]))]
-            known = self.pieces[text] = int(counts[-1]), np.diff(counts).astype("<i2").tobytes()
+            known = self.older.get(text)
+            if known is None:
+                known = self._count_piece(text)
+            if len(self.pieces) > CACHE_PIECES:  # what is used again moves on to the next generation
+                self.pieces, self.older = {}, self.pieces
+            self.pieces[text] = known
         return known
 
+    def _count_piece(self, text: str) -> tuple[int, bytes]:
+        data = text.encode()
+        counts = self.prefixes(data)
+        if text in CONTRACTIONS and len(text) > 2:  # cut short, it is an apostrophe and a letter
+            counts[2] = 2
+        if len(data) != len(text):  # prefixes end where characters do
+            counts = [counts[0], *(counts[i] for i in range(1, len(data) + 1) if i == len(data) or data[i] & 0xC0 != 0x80)]
+        return counts[-1], array("h", map(int.__sub__, counts[1:], counts)).tobytes()
+
     def plain(self, text: str) -> tuple[int, list[bytes]]:
         """Count and steps of a text without special tokens."""
-        total, steps, get, spaces = 0, [], self.pieces.get, None
+        total, steps, spaces = 0, [], None
         for piece in self.split.findall(text):
-            n, step = get(piece) or self.piece(piece)
+            n, step = self.pieces.get(piece) or self.piece(piece)
             if spaces is not None and piece[0].isspace():
                 # as long as the text ended here, this character belonged to the run of white space
                 run, before, done = spaces
