@@ -56,8 +56,6 @@ def test_repeat_groups_have_all_occurrences(given):
         string = strings.pop()
         everywhere = {(d, i) for d, t in text.items() for i in range(len(t) - n + 1) if t[i: i + n] == string} if len(groups) < 50 else places
         assert places == everywhere
-        left = {text[d][s - 1: s] if s else (d,) for d, s in places}
-        assert len(left) > 1 or True  # a group may begin where a bucket's string begins
 
 
 @pytest.mark.parametrize("table", ["edge", "given"])
