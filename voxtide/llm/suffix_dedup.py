@@ -146,8 +146,10 @@ def suffix_mail(docs: DataFrame, id_col: str, text_col: str, least: int, groups:
         for a, b in zip(cuts[:-1], cuts[1:]):
             size = np.array([len(x) for x in text[a:b]], np.uint16)
             blobs.append(b"".join([np.uint32(b - a).tobytes(), owner[a:b].tobytes(), left[a:b].tobytes(), size.tobytes(), *text[a:b]]))
-        memo = np.array([len(text), len(begin)], np.int64).tobytes() + np.array([len(x) - least + 1 for x in text], np.int64).tobytes() + owner.tobytes() + b"".join(
-            np.asarray(x, np.int64).tobytes() for x in (begin, doc, place[index]))
+        # places rise along a unit, so what is kept of them are small steps
+        memo = b"".join([
+            np.array([len(text), len(begin)], np.int64).tobytes(), owner.tobytes(), np.array([len(x) - least + 1 for x in text], np.int32).tobytes(),
+            *(np.asarray(x, np.int32).tobytes() for x in (np.diff(begin, prepend=0), np.diff(doc, prepend=0), place[index]))])
         return pa.concat_tables([U.note(me, memo), U.mail(me, where[cuts[:-1]], pa.array(blobs, pa.large_binary()))])
 
     def array(key, table):
@@ -267,11 +269,11 @@ def _name(text: np.ndarray) -> int:
 
 
 def _memo(notes: list[bytes]):
-    memo = np.frombuffer(notes[0], np.int64)
-    n, m = int(memo[0]), int(memo[1])
-    windows, owner = memo[2: 2 + n], memo[2 + n: 2 + 2 * n]
-    begin, doc, place = memo[2 + 2 * n:].reshape(3, m)
-    return windows, owner, begin, doc, place
+    n, m = np.frombuffer(notes[0], np.int64, 2).tolist()
+    owner = np.frombuffer(notes[0], np.int64, n, 16)
+    rest = np.frombuffer(notes[0], np.int32, -1, 16 + 8 * n).astype(np.int64)
+    windows, (begin, doc, place) = rest[:n], rest[n:].reshape(3, m)
+    return windows, owner, np.cumsum(begin), np.cumsum(doc), place
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = 50) -> DataFrame:
