@@ -66,6 +66,48 @@ def test_lines(request, table, run):
     same(got, brute.lines(rows_of(docs), run))
 
 
+def long_lines():
+    word = lambda a, n: " ".join(f"{a}{i}" for i in range(n))
+    one, two, short, three = word("a", 52), word("b", 30) + "\n" + word("c", 20), word("d", 49), "p q\nr\ns t"
+    return [(1, one), (2, f"x y\n{one}\nz"), (3, one.replace(" ", "  ")), (4, two), (5, f"k\n{two}\n{short}"), (6, two.replace("\n", "\nm\n")), (7, short), (8, f"{one}\n{two}"),
+            (9, f"{one}\n\nend"), (10, f"v\n{one}\nend"), (11, three), (12, f"{three}\nw\n{one}\n{one}"), (None, short), (13, f"{one}\nend")]
+
+
+def brute_passages(rows, k, n_words):
+    """Later windows of k lines, or of fewer with n_words words, go."""
+    import xxhash
+
+    seen, out = set(), [None] * len(rows)
+    for n in sorted(range(len(rows)), key=lambda i: (brute.INF if rows[i]["doc_id"] is None else rows[i]["doc_id"], xxhash.xxh64_intdigest((rows[i]["text"] or "").encode()) >> 1)):
+        all_lines = (rows[n]["text"] or "").split("\n")
+        own, gone = [(i, brute.words(x)) for i, x in enumerate(all_lines) if brute.words(x)], set()
+        for size in range(1, k + 1):
+            for i in range(len(own) - size + 1):
+                window = tuple(" ".join(x) for _, x in own[i: i + size])
+                if size == k or sum(len(x) for _, x in own[i: i + size]) >= n_words:
+                    if window in seen:
+                        gone.update(j for j, _ in own[i: i + size])
+                    seen.add(window)
+        out[n] = (rows[n]["doc_id"], len(own), len(gone), "\n".join(x for i, x in enumerate(all_lines) if i not in gone))
+    return out
+
+
+def test_long_lines_are_runs(spark, edge, given):
+    own = spark.createDataFrame(long_lines(), "doc_id long, text string")
+    for docs in (own, edge, given):
+        for k in (1, 3):
+            got = [(r.doc_id, r.n_lines, r.n_removed, r.kept_text) for r in line_dedup(docs, min_run=k, min_words=50).collect()]
+            same(got, brute_passages(rows_of(docs), k, 50))
+
+
+def test_pipeline_cuts_long_lines(spark):
+    import corpus_pipeline
+
+    own = spark.createDataFrame([(i, t, "en", "s0", len(t)) for i, t in long_lines()], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, own, "").collect()}
+    assert got[1] == long_lines()[0][1] and got[2] == "x y\nz" and got[3] == "" and got[5] == "k\n" + long_lines()[6][1] and got[8] == "" and got[7] == got[None]
+
+
 def test_winnow_guarantee():
     a, b = [9, 4, 7, 7, 1, 8, 3, 3, 2], [5, 7, 7, 1, 8, 6]
     shared = {a[p] for p, *_ in winnow(a, 3)} & {b[p] for p, *_ in winnow(b, 3)}

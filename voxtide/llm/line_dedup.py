@@ -13,17 +13,18 @@ from voxtide.llm import units as U
 NO_ID = np.iinfo(np.int64).max
 
 
-def _lines(text: bytes) -> tuple[list[bytes], list[int], list[int]]:
-    """All lines of a text; the numbers and hashes of those that have a word.
-    White space does not count: words are joined by one space."""
+def _lines(text: bytes) -> tuple[list[bytes], list[int], list[int], list[int]]:
+    """All lines of a text; the numbers, hashes and word counts of those that have
+    a word. White space does not count: words are joined by one space."""
     lines = text.split(b"\n")
-    where, hashes = [], []
+    where, hashes, sizes = [], [], []
     for i, line in enumerate(lines):
         words = line.split()
         if words:
             where.append(i)
             hashes.append(xxhash.xxh64_intdigest(b" ".join(words)))
-    return lines, where, hashes
+            sizes.append(len(words))
+    return lines, where, hashes, sizes
 
 
 def winnow(hashes: list[int], run: int) -> list[tuple[int, int, int]]:
@@ -42,27 +43,39 @@ def winnow(hashes: list[int], run: int) -> list[tuple[int, int, int]]:
     return out
 
 
+def wordy(hashes: list[int], sizes: list[int], run: int, words: int) -> list[tuple[int, int, int]]:
+    """(hash, start, number of lines) of the windows of less than `run` lines that
+    hold `words` words and more."""
+    total = np.append(0, np.cumsum(sizes, dtype=np.int64))
+    return [(xxhash.xxh64_intdigest(np.array(hashes[i: i + n], np.uint64).tobytes(), n), i, n)
+            for n in range(1, run) for i in np.flatnonzero(total[n:] - total[:-n] >= words).tolist()]
+
+
 class _Unit:
-    def __init__(self, table: pa.Table, run: int):
+    def __init__(self, table: pa.Table, run: int, words: int | None):
         """Fingerprints of a unit with the lines around them, as far as a window
-        reaches both ways. Equal surroundings are kept once, at their first place."""
+        reaches both ways. Equal surroundings are kept once, at their first place.
+        A wordy window of fewer lines stands for itself: it is its own fingerprint,
+        and `run` times its hash are its only surroundings."""
         self.texts = [x.encode() for x in U.flat(table["text"]).to_pylist()]
         ids = [NO_ID if x is None else x for x in U.flat(table["id"]).to_pylist()]
         self.lines, self.where, self.places, self.marks, self.orders = [], [], {}, [], []
         for d, text in enumerate(self.texts):
-            lines, where, hashes = _lines(text)
+            lines, where, hashes, sizes = _lines(text)
             self.lines.append(lines)
             self.where.append(where)
             tie = None
-            for at, first, last in winnow(hashes, run):
-                around = (hashes[at], *hashes[first: last + run])
+            found = [((hashes[at], *hashes[first: last + run]), first, last, run) for at, first, last in winnow(hashes, run)]
+            if words is not None:
+                found += [((h,) * (run + 1), i, i, n) for h, i, n in wordy(hashes, sizes, run, words)]
+            for around, first, last, n in found:
                 place = self.places.setdefault(around, len(self.places))
                 if place == len(self.orders):
                     tie = xxhash.xxh64_intdigest(text) >> 1 if tie is None else tie
                     self.orders.append((ids[d], tie, first))
-                    self.marks.append((d, first, last, place, False))
+                    self.marks.append((d, first, last, n, place, False))
                 else:
-                    self.marks.append((d, first, last, place, True))
+                    self.marks.append((d, first, last, n, place, True))
         self.around = list(self.places)
 
     def buckets(self, n: int) -> np.ndarray:
@@ -71,9 +84,11 @@ class _Unit:
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = 3,
-               carry: tuple[str, ...] = ()) -> DataFrame:
+               carry: tuple[str, ...] = (), min_words: int | None = None) -> DataFrame:
     """Delete every line that lies in a run of min_run consecutive lines which
     also stands earlier, in a document with a smaller id or further up in the same.
+    With min_words, runs of fewer lines count too if they have that many words; one
+    long line is enough.
 
     Winnowing: of every window of min_run line hashes the least is a fingerprint.
     Fingerprints of all documents are joined by value; each comes with the lines
@@ -96,7 +111,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     buckets = dealt.buckets
 
     def send(key, table):
-        me, unit = key[0].as_py(), _Unit(U.in_order(table), min_run)
+        me, unit = key[0].as_py(), _Unit(U.in_order(table), min_run, min_words)
         if not unit.around:
             return U.mail(me, np.zeros(0, np.int64), pa.array([], pa.large_binary()))
         bucket = unit.buckets(buckets)
@@ -137,7 +152,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def cut(key, table, replies):
         table = U.in_order(table)
-        unit = _Unit(table, min_run)
+        unit = _Unit(table, min_run, min_words)
         flags, _ = U.answers(replies)
         at = np.zeros(len(unit.around), np.int64)
         if unit.around:
@@ -146,10 +161,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             counts = np.array([len(a) - min_run for a in unit.around], np.int64)
             at[order] = np.cumsum(counts[order]) - counts[order]
         gone: list[set[int]] = [set() for _ in unit.texts]
-        for d, first, last, place, later in unit.marks:
+        for d, first, last, n, place, later in unit.marks:
             for w in range(first, last + 1):
                 if later or flags[at[place] + w - first]:
-                    gone[d].update(unit.where[d][w: w + min_run])
+                    gone[d].update(unit.where[d][w: w + n])
         kept, spans = [], []
         for lines, out in zip(unit.lines, gone):
             kept.append(b"\n".join(x for i, x in enumerate(lines) if i not in out).decode())
