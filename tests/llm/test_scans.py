@@ -81,6 +81,21 @@ def test_rules_reject_junk_and_keep_the_good(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i in got if got[i][0]}
 
 
+def test_each_stratum_is_certified_by_its_own_good_rows(spark):
+    """In "en" symbols mark junk; in "no labels" and "few" good rows have them too."""
+    rnd = random.Random(4)
+    rows, labels = [], []
+    for i in range(8300):
+        stratum = "en" if i < 8000 else "few" if i < 8200 else "no labels"
+        junk = stratum == "en" and i % 5 == 0
+        rows.append((i, " ".join("".join(rnd.choice("abcdefghijklmnop") for _ in range(5)) + "#" * (junk or stratum != "en") for _ in range(60)), stratum))
+        if stratum == "en" or stratum == "few" and i % 50 == 0:
+            labels.append((i, int(not junk), 0, ""))
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string, lang string"), labels_of(spark, labels)
+    assert {r.doc_id for r in Q.keep_good(docs, known).collect()} == {i for i in range(8300) if i >= 8000 or i % 5}
+    assert {r.doc_id for r in Q.quality_rules(docs, known).where("not kept").collect()} == {i for i in range(0, 8000, 5)}
+
+
 def test_keep_good_matches_verdicts(edge, spark):
     labels = labels_of(spark, [(4, 1, 0, ""), (12, 0, 0, "")])
     kept = Q.keep_good(edge, labels)
