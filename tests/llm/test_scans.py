@@ -247,6 +247,46 @@ def test_mixture_is_deficit_round_robin():
         assert (cuts[:len(have)] == np.array(have).reshape(-1, len(tokens))).all() and (cuts[-1] == tokens).all()
 
 
+def test_small_queues_need_no_more_windows_than_tokens(monkeypatch):
+    from voxtide.llm import packing
+
+    seen, served = [], Mixture.served
+    monkeypatch.setattr(Mixture, "served", lambda self, window: (seen.append(len(window) * len(self.tokens)), served(self, window))[1])
+    tokens = np.array([500, 4_000_000_000] + [7] * 18)
+    out = [np.concatenate(x) for x in zip(*Mixture(tokens, tokens / tokens.sum(), 4096).pieces(np.array([0, 2]), np.array([0, 0]), np.array([500, 7])))]
+    assert [out[3][out[0] == r].sum() for r in (0, 1)] == [500, 7] and sum(seen) < 20 * 5 * 2 * 510
+
+    # against all windows, in slices of any size
+    tokens = np.array([40, 9000, 300, 3])
+    queue, start, size = np.array([0, 0, 1, 2, 3, 1]), np.array([0, 25, 0, 100, 1, 4000]), np.array([25, 15, 900, 1, 2, 5000])
+    for cells in (4, 64, 1 << 20):
+        monkeypatch.setattr(packing, "CELLS", cells, raising=False)
+        m = Mixture(tokens, tokens / tokens.sum(), 16)
+        got = {tuple(map(int, x)) for part in m.pieces(queue, start, size) for x in zip(*part)}
+        cuts = served(m, np.arange(-(-int(tokens.sum()) // 16) + 1))
+        want = set()
+        for w, (before, after) in enumerate(zip(cuts, cuts[1:])):
+            for r, (q, s, n) in enumerate(zip(queue, start, size)):
+                a, b = max(before[q], s), min(after[q], s + n)
+                if b > a:
+                    want.add((r, w, int(a), int(b - a), int((after - before)[:q].sum() + a - before[q])))
+        assert got == want
+
+
+def test_named_sources_keep_their_share_among_many(spark, monkeypatch):
+    from voxtide.llm import packing
+
+    monkeypatch.setattr(packing, "MAX_QUEUES", 2)
+    docs = spark.createDataFrame([(i, "a b c d e f g " * 10, None if i % 6 == 5 else f"s{i % 6}") for i in range(120)], "doc_id long, text string, source string")
+    out = pack(docs, P.path("word_bpe_49k.json"), length=64, shares={"s3": 1.0, None: 1.0}).collect()
+    first = check_packing(docs, out, 64)[0]
+    tokens = collections.Counter()
+    for p in first:
+        tokens[p.source] += p.length
+    # 1 : 1 : 4 x 1/6 for the others together
+    assert abs(tokens["s3"] - 24) <= 2 and abs(tokens[None] - 24) <= 2
+
+
 def test_named_shares_and_repeated_rows(edge):
     out = pack(edge, P.path("word_bpe_49k.json"), length=64, shares={"s0": 5.0, None: 1.0}).collect()
     check_packing(edge, out, 64)

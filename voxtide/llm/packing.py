@@ -18,6 +18,8 @@ from voxtide.session import cut_lineage
 
 CACHE_WORDS = 600_000  # of each of two generations
 MAX_QUEUES = 4096
+CELLS = 1 << 20  # windows x queues, or windows of documents, that are looked at together
+NEAR = np.arange(-2, 3)  # how far window_of may be off
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -108,13 +110,37 @@ class Mixture:
         return (np.interp(time, self.times, self.fluid) // self.length).astype(np.int64)
 
     def pieces(self, queue: np.ndarray, start: np.ndarray, size: np.ndarray):
-        """Cut runs of places [start, start + size) of queues at the windows.
-        Returns run number, window, first place, length, offset in the window."""
-        low = np.maximum(self.window_of(queue, start) - 2, 0)
-        high = self.window_of(queue, start + size - 1) + 2
-        count = high - low + 1
-        run = np.repeat(np.arange(len(start)), count)
-        window = np.repeat(low - np.cumsum(count) + count, count) + np.arange(len(run))
+        """Cut runs of places [start, start + size) of queues at the windows. Yields
+        run number, window, first place, length, offset in the window, for some of
+        the pieces at a time.
+
+        A run has pieces in no more windows than it has tokens. Where its windows are
+        many more, as its queue has few tokens a window, only those near the tokens'
+        own are looked at."""
+        low = np.maximum(self.window_of(queue, start) + NEAR[0], 0)
+        high = self.window_of(queue, start + size - 1) + NEAR[-1]
+        count = np.minimum(high - low + 1, len(NEAR) * size)
+        sparse = high - low + 1 > count
+        part = (np.cumsum(count) - count) // CELLS
+        for own in np.split(np.arange(len(start)), np.flatnonzero(np.diff(part)) + 1):
+            full = own[~sparse[own]]
+            n = count[full]
+            runs = [np.repeat(full, n)]
+            windows = [np.repeat(low[full] - np.cumsum(n) + n, n) + np.arange(len(runs[0]))]
+            for r in own[sparse[own]].tolist():
+                place = np.arange(start[r], start[r] + size[r])
+                near = np.unique(np.maximum(self.window_of(np.full(len(place), queue[r]), place)[:, None] + NEAR, 0))
+                runs.append(np.full(len(near), r))
+                windows.append(near)
+            run, window = np.concatenate(runs), np.concatenate(windows)
+            order = np.lexsort((run, window))
+            run, window = run[order], window[order]
+            new = np.cumsum(np.diff(window, prepend=window[:1]) != 0)
+            chunk = new // max(1, CELLS // len(self.tokens))
+            for at in np.split(np.arange(len(run)), np.flatnonzero(np.diff(chunk)) + 1):
+                yield self._cut(run[at], window[at], queue, start, size)
+
+    def _cut(self, run: np.ndarray, window: np.ndarray, queue: np.ndarray, start: np.ndarray, size: np.ndarray):
         need, at = np.unique(window, return_inverse=True)
         before, after = self.served(need), self.served(need + 1)
         q = queue[run]
@@ -164,8 +190,9 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, length: int = 4096, shares
     Texts are tokenized once, into a table in the shared folder. Queue starts are
     prefix sums over (source, task); that small table meets the ids by a join that
     Spark broadcasts only if the written file is below its threshold. The driver
-    holds one number per source; beyond MAX_QUEUES sources they share queues by
-    hash (each queue keeps the proportion of its sources together).
+    holds one number per source; beyond MAX_QUEUES sources those that `shares`
+    does not name share queues by hash (each queue keeps the proportion of its
+    sources together).
 
     A null or empty text is end_id alone. A null source is a source of its own.
     Rows with one id, or a null id, are documents of their own. Extra columns are
@@ -180,7 +207,9 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, length: int = 4096, shares
     n_sources = sums.select("source").distinct().count()
     queue = F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), "source"))
     if n_sources > MAX_QUEUES:
-        queue = F.pmod(F.xxhash64("source"), F.lit(MAX_QUEUES)).cast("string")
+        named = [x for x in shares or {} if x is not None]
+        own = F.coalesce(F.col("source").isin(named), F.lit(None in (shares or {})))
+        queue = F.when(own, queue).otherwise(F.pmod(F.xxhash64("source"), F.lit(MAX_QUEUES)).cast("string"))
     by_task = W.partitionBy("queue").orderBy("seg", "source").rowsBetween(W.unboundedPreceding, -1)
     starts = cut_lineage(sums.withColumn("queue", queue).withColumn("before", F.coalesce(F.sum("n").over(by_task), F.lit(0))))
     totals = starts.groupBy("queue").agg(F.sum("n").alias("n"), F.min("source").alias("source")).orderBy("queue").collect()
@@ -204,16 +233,16 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, length: int = 4096, shares
                 which = np.array([names[x] for x in batch["queue"].to_pylist()])
                 size = batch["n"].to_numpy(zero_copy_only=False)
                 begin = batch["before"].to_numpy(zero_copy_only=False) + batch["local"].to_numpy(zero_copy_only=False)
-                run, window, place, count, offset = mixture.pieces(which, begin, size)
-                start = place - begin[run]
                 docs_ids = [np.frombuffer(x.as_buffer(), kind).astype("<u4") for x in batch["ids"]]
-                bodies = [docs_ids[r][s: s + c].tobytes() for r, s, c in zip(run.tolist(), start.tolist(), count.tolist())]
-                yield pa.record_batch({
-                    "id": batch["id"].take(pa.array(run)), "start": pa.array(start, pa.int64()), "length": pa.array(count, pa.int64()),
-                    "ids": pa.array(bodies if with_ids else [None] * len(bodies), pa.binary()), "ids_crc32": pa.array([zlib.crc32(x) for x in bodies], pa.int64()),
-                    "doc_tokens": pa.array(size[run], pa.int64()), "sequence_id": pa.array(window, pa.int64()), "offset": pa.array(offset, pa.int64()),
-                    "source": batch["source"].take(pa.array(run)),
-                })
+                for run, window, place, count, offset in mixture.pieces(which, begin, size):
+                    start = place - begin[run]
+                    bodies = [docs_ids[r][s: s + c].tobytes() for r, s, c in zip(run.tolist(), start.tolist(), count.tolist())]
+                    yield pa.record_batch({
+                        "id": batch["id"].take(pa.array(run)), "start": pa.array(start, pa.int64()), "length": pa.array(count, pa.int64()),
+                        "ids": pa.array(bodies if with_ids else [None] * len(bodies), pa.binary()), "ids_crc32": pa.array([zlib.crc32(x) for x in bodies], pa.int64()),
+                        "doc_tokens": pa.array(size[run], pa.int64()), "sequence_id": pa.array(window, pa.int64()), "offset": pa.array(offset, pa.int64()),
+                        "source": batch["source"].take(pa.array(run)),
+                    })
 
     out = joined.select("id", "source", "ids", "n", "local", "queue", "before").mapInArrow(
         cut, f"id {docs.schema[id_col].dataType.simpleString()}, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string")
