@@ -9,7 +9,8 @@ SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()),
     T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType()),
     # names that the operators use themselves
-    *[T.StructField(n, T.StringType()) for n in ("id", "_unit", "bucket", "kept_text", "n_words", "fingerprint", "th", "i", "_i", "c0", "_n_chars", "stratum", "shard", "queue", "seg")],
+    *[T.StructField(n, T.StringType()) for n in ("id", "_unit", "bucket", "kept_text", "n_words", "fingerprint", "th", "i", "_i", "c0", "_n_chars", "stratum", "shard", "queue", "seg",
+                                                  "g", "lo", "hi", "n", "digest", "altered", "path", "root", "_at", "y", "h", "size", "runs", "best", "kept", "score")],
 ])
 
 
@@ -25,7 +26,7 @@ def edge_rows():
         (11, lines + "\n" + lines), (12, "x " * 300), (13, "y"), (14, "é日本 " * 60), (15, "日本語" * 400), (16, "A b C d e F " * 30), (17, "same line\n" * 12),
         (18, "a b c d"), (19, "A B C D"), (-5, passage + "\n\n" + lines), (20, "\x00\x01 zero " * 20), (21, "one two three"),
     ]
-    return [(i, t, rnd.choice(["en", "de", None]), rnd.choice(["s0", "s1", None]), None if t is None else len(t), *(["clash"] * 15)) for i, t in texts]
+    return [(i, t, rnd.choice(["en", "de", None]), rnd.choice(["s0", "s1", None]), None if t is None else len(t), *(["clash"] * (len(SCHEMA) - 5))) for i, t in texts]
 
 
 @pytest.fixture(scope="session")
