@@ -7,6 +7,7 @@ import zlib
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from fixtures import rows_of, same
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from voxtide.llm import decontaminate as D
 from voxtide.llm import license_scan as L
 from voxtide.llm import quality_rules as Q
-from voxtide.llm.packing import Mixture, pack
+from voxtide.llm.packing import Mixture, WordEncoder, pack
 from voxtide.llm.sharding import hilbert_index, hilbert_shards, write_shards
 from voxtide.llm.token_counts import PrefixCounter, chars_within, prefix_counts, tokens_at
 
@@ -392,3 +393,38 @@ def test_empty_tables(spark, empty):
     assert hilbert_shards(empty).count() == 0 and L.license_scan(empty).count() == 0
     assert pack(empty, P.path("word_bpe_49k.json")).count() == 0 and prefix_counts(empty, P.path("byte_bpe_50k.json")).count() == 0
     assert D.find_items(empty, spark.createDataFrame([(1, "a b c")], "item_id long, text string")).count() == 0
+
+
+def word_texts():
+    rnd = random.Random(6)
+    odd = ["<|endoftext|>.", "x<|endoftext|>,", "<|ENDOFTEXT|>", "It's,", "DON'T!", "É,", "ÀÉ;:", "a×,", "÷.", "n…,", "e\u0301.", ".\u0301.", "日本,", "x1,", "1.", "...", "A", "ÉTÉ?!)", "(abc)", "\u00a0ab.", "İI,", "ΣΑΣ.", "a<b,"]
+    words = odd + ["".join(rnd.choice("abcXYZéÉ.,") for _ in range(rnd.randint(1, 6))) for _ in range(300)]
+    return ["", " \n", *odd, *[" ".join(rnd.choice(words) for _ in range(rnd.randint(1, 60))) for _ in range(40)]]
+
+
+@pytest.mark.parametrize("most", [5, 100, 1000])
+def test_words_give_the_ids_of_the_whole_text(most):
+    coder = WordEncoder(P.path("word_bpe_49k.json"), most)
+    texts = word_texts()
+    for part in (texts[:30], texts[30:], texts, texts[::-1]):
+        ids, at = coder.encode(pa.array(part), 2)
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [x.ids + [2] for x in coder.tokenizer.encode_batch(part, add_special_tokens=False)]
+        assert len(coder.used) <= most + len({w for t in part for w in brute.words(t)}) * 2
+
+
+def test_words_that_share_a_hash_keep_their_own_ids(monkeypatch):
+    from voxtide.llm import units
+
+    monkeypatch.setattr(units.Words, "hashes", lambda self: (self.ends - self.starts).astype(np.uint64))
+    coder = WordEncoder(P.path("word_bpe_49k.json"))
+    texts = word_texts()
+    for _ in range(2):
+        ids, at = coder.encode(pa.array(texts), 2)
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [x.ids + [2] for x in coder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_vocabularies_that_keep_capitals_are_not_cut():
+    from voxtide.llm import units
+
+    assert WordEncoder(P.path("byte_bpe_50k.json")).split is units.words_of
+    assert WordEncoder(P.path("word_bpe_49k.json")).split is not units.words_of

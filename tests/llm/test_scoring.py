@@ -167,6 +167,9 @@ def test_sentences_and_features():
     assert bags.start.tolist() == [0, 7, 0, 6, 0] and bags.end.tolist() == [5, 9, 5, 11, 1]
     parts = [bags.features[a:b].tolist() for a, b in zip(bags.first[:-1], bags.first[1:])]
     assert parts[2] == parts[3] and parts[0][:3] == parts[1] and len(parts[0]) == 6
+    both = T.joined([bags, T.bags_of(pa.array([None])), bags])
+    assert both.n == 11 and both.text.tolist() == [0, 0, 3, 3, 4, 6, 6, 9, 9, 10] and both.features.tolist() == bags.features.tolist() * 2
+    assert np.diff(both.first).tolist() == np.diff(bags.first).tolist() * 2
     long = T.bags_of(pa.array(["insulting insulted"])).features.reshape(2, 3)
     assert long[0, 1] == long[1, 1] and long[0, 2] == long[1, 2] and long[0, 0] != long[1, 0]
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -14,46 +13,144 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from voxtide.llm import units as U
+from voxtide.llm.quality_rules import _by_bytes
 from voxtide.session import cut_lineage
 
-CACHE_WORDS = 600_000  # of each of two generations
+CACHE_WORDS = 300_000
 MAX_QUEUES = 4096
 CELLS = 1 << 20  # windows x queues, or windows of documents, that are looked at together
 NEAR = np.arange(-2, 3)  # how far window_of may be off
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_CAPITAL, _CLOSING, _LETTER = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+_CAPITAL[65:91] = _LETTER[65:91] = _LETTER[97:123] = True
+_CLOSING[list(b".,;:!?)")] = True
+
+
+def pieces_of(texts) -> U.Words:
+    """The words of every text, cut and written so that fewer are distinct and each
+    still gives the ids it gives in the text: A-Z become a-z, and marks at the end of
+    a word stand by themselves where a Latin letter is before them (letters and marks
+    are never in one token, and neither joins with what follows). Words with a `<` stay
+    as they are, since a special token may be spelled in them."""
+    words = U.words_of(texts)
+    data, starts, ends = words.data, words.starts, words.ends
+    if not len(starts):
+        return words
+    angles = np.append(0, np.cumsum(data == 60))
+    plain = angles[ends] == angles[starts]
+    data = np.where(_CAPITAL[data], data | 32, data)
+    for a, b in zip(starts[~plain].tolist(), ends[~plain].tolist()):
+        data[a:b] = words.data[a:b]
+    # the last byte of a word that is no closing mark
+    last = np.maximum.accumulate(np.where(_CLOSING[data], -1, np.arange(len(data))))[ends - 1]
+    before = data[last - 1]
+    latin = _LETTER[data[last]] | ((last > 0) & (before == 0xC3) & (data[last] >= 0x80) & (data[last] != 0x97) & (data[last] != 0xB7))
+    cut = plain & (last >= starts) & (last < ends - 1) & latin
+    at = np.flatnonzero(cut) + 1
+    more = np.append(0, np.cumsum(cut))
+    return U.Words(data, words.offsets, np.insert(starts, at, last[cut] + 1), np.insert(ends, at - 1, last[cut] + 1), words.first + more[words.first])
 
 
 class WordEncoder:
-    """Ids of a text by the tokenizers library, for vocabularies that drop white
-    space and never join across it: each word is encoded by itself, and what a
-    word gives is remembered in a table of bounded size."""
+    """Ids of texts by the tokenizers library, for vocabularies that drop white space
+    and never join across it: each word is encoded by itself, or each of its `pieces_of`
+    if the vocabulary lowers its text, and what it gives is remembered.
+
+    The memory is a few numpy arrays: sorted hashes, and by entry the piece's bytes,
+    its ids and when it was last used. A batch is looked up as a whole; the bytes of
+    every piece are compared with the entry's, so a hash that two pieces share only
+    costs a call. Beyond CACHE_WORDS entries the half not used for longest goes.
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.words: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str], end_id: int) -> list[bytes]:
-        split = [_WORD.findall(x) for x in texts]
-        if len(self.words) > CACHE_WORDS:  # what is used again moves on to the next generation
-            self.words, self.older = {}, self.words
-        known, older = self.words, self.older
-        missing = []
-        for word in {w for words in split for w in words if w not in known}:
-            kept = older.get(word)
-            if kept is None:
-                missing.append(word)
+        self.most, self.clock = most, 0
+        probes = [["Ab.", "ab", "."], ["É,;", "É", ",;"], ["XyZ", "xyz"]]
+        whole = self._call([p[0] for p in probes])
+        self.split = pieces_of if all(w == sum(self._call(p[1:]), []) for w, p in zip(whole, probes)) else U.words_of
+        self.keys, self.entry = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted by key
+        self.used = np.zeros(0, np.int64)
+        self.bytes, self.byte_at = np.zeros(0, np.uint8), np.zeros(1, np.int64)
+        self.ids, self.id_at = np.zeros(0, self.kind), np.zeros(1, np.int64)
+
+    def _call(self, pieces: list[str]) -> list[list[int]]:
+        return [self.tokenizer.encode(x, add_special_tokens=False).ids for x in pieces]
+
+    def _forget(self) -> None:
+        keep = self.used >= np.partition(self.used, len(self.used) // 2)[len(self.used) // 2] if len(self.used) > self.most else np.ones(len(self.used), bool)
+        if keep.all():
+            if len(self.used) > self.most:  # all of one age
+                keep[:] = False
             else:
-                known[word] = kept
-        for at in range(0, len(missing), 4096):
-            part = missing[at: at + 4096]
-            for word, got in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                known[word] = np.array(got.ids, self.kind).tobytes()
-        end = np.array([end_id], self.kind).tobytes()
-        return [b"".join([*map(known.__getitem__, words), end]) for words in split]
+                return
+        number = np.cumsum(keep) - 1
+        own = keep[self.entry]
+        self.keys, self.entry = self.keys[own], number[self.entry[own]]
+        old = np.flatnonzero(keep)
+        self.bytes, self.byte_at = _gather(self.bytes, self.byte_at, old)
+        self.ids, self.id_at = _gather(self.ids, self.id_at, old)
+        self.used = self.used[keep]
+
+    def _learn(self, keys: np.ndarray, pieces: list[bytes]) -> None:
+        got = self._call([x.decode() for x in pieces])
+        new = np.arange(len(self.used), len(self.used) + len(keys))
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.entry = np.insert(self.keys, at, keys), np.insert(self.entry, at, new)
+        self.used = np.append(self.used, np.full(len(keys), self.clock))
+        self.bytes = np.append(self.bytes, np.frombuffer(b"".join(pieces), np.uint8))
+        self.byte_at = np.append(self.byte_at, self.byte_at[-1] + np.cumsum([len(x) for x in pieces]))
+        self.ids = np.append(self.ids, np.array([i for x in got for i in x], self.kind))
+        self.id_at = np.append(self.id_at, self.id_at[-1] + np.cumsum([len(x) for x in got]))
+
+    def encode(self, texts, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each with end_id after it, and their n + 1 offsets."""
+        words = self.split(texts)
+        self.clock += 1
+        self._forget()
+        distinct, where, own = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, distinct)
+        known = np.append(self.keys, np.uint64(0))[at] == distinct if len(self.keys) else np.zeros(len(distinct), bool)
+        raw = words.data.tobytes()
+        fresh = np.flatnonzero(~known | (at >= len(self.keys)))
+        if len(fresh):
+            self._learn(distinct[fresh], [raw[words.starts[i]: words.ends[i]] for i in where[fresh].tolist()])
+            at = np.searchsorted(self.keys, distinct)
+        entry = self.entry[at]
+        self.used[entry] = self.clock
+        entry = entry[own]
+        odd = np.flatnonzero(~_same(words, self.bytes, self.byte_at, entry))
+        ids, id_at = self.ids, self.id_at
+        extra = [raw[words.starts[i]: words.ends[i]] for i in odd.tolist()]
+        # two more entries for this call: the end, and pieces whose hash belongs to another
+        tail = [[end_id], *self._call([x.decode() for x in extra])]
+        entry[odd] = len(self.used) + 1 + np.arange(len(odd))
+        ids = np.append(ids, np.array([i for x in tail for i in x], self.kind))
+        id_at = np.append(id_at, id_at[-1] + np.cumsum([len(x) for x in tail]))
+        entry = np.insert(entry, words.first[1:], len(self.used))
+        out, bounds = _gather(ids, id_at, entry)
+        return out, bounds[words.first + np.arange(len(words.first))]
+
+
+def _gather(values: np.ndarray, at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The given rows of a ragged array, one after the other, and their offsets."""
+    size = at[rows + 1] - at[rows]
+    bounds = np.append(0, np.cumsum(size))
+    return values[np.repeat(at[rows] - bounds[:-1], size) + np.arange(bounds[-1])], bounds
+
+
+def _same(words: U.Words, values: np.ndarray, at: np.ndarray, entry: np.ndarray) -> np.ndarray:
+    """Whether each word has the bytes of its entry."""
+    size = words.ends - words.starts
+    ok = at[entry + 1] - at[entry] == size
+    size = np.where(ok, size, 0)
+    bounds = np.append(0, np.cumsum(size))
+    step = np.arange(bounds[-1])
+    unlike = words.data[np.repeat(words.starts - bounds[:-1], size) + step] != values[np.repeat(at[entry] - bounds[:-1], size) + step]
+    sums = np.append(0, np.cumsum(unlike))
+    return ok & (sums[bounds[1:]] == sums[bounds[:-1]])
 
 
 @lru_cache(maxsize=2)
@@ -159,16 +256,15 @@ def tokenize(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str
         seg, seen = TaskContext.get().partitionId(), {}
         encode = encoder(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                ids = encode.encode([x or "" for x in part["text"].to_pylist()], end_id)
-                n = [len(x) // encode.kind.itemsize for x in ids]
+            for part in _by_bytes(batch, 1 << 19):
+                ids, at = encode.encode(part["text"], end_id)
+                n = np.diff(at)
                 local = []
-                for source, k in zip(part["source"].to_pylist(), n):
+                for source, k in zip(part["source"].to_pylist(), n.tolist()):
                     local.append(seen.get(source, 0))
                     seen[source] = local[-1] + k
                 yield pa.record_batch({
-                    "id": part["id"], "source": part["source"], "ids": pa.array(ids, pa.binary()), "n": pa.array(n, pa.int64()),
+                    "id": part["id"], "source": part["source"], "ids": U.binaries(ids.view(np.uint8), at * encode.kind.itemsize).cast(pa.binary()), "n": pa.array(n, pa.int64()),
                     "seg": pa.array([seg] * len(n), pa.int64()), "local": pa.array(local, pa.int64()),
                 })
 

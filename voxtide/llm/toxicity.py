@@ -31,7 +31,7 @@ class Sample:
     `row_bytes` each and `bytes` together, those with the least hash of the id."""
     rows: int = 16_384
     row_bytes: int = 1 << 20
-    bytes: int = 48 << 20
+    bytes: int = 32 << 20
 
 
 @dataclass(frozen=True)
@@ -81,7 +81,7 @@ def bags_of(texts) -> Bags:
     for k in STEMS:
         cut = np.minimum(points[np.minimum(nth + k, len(points) - 1)], ends) if len(points) else ends
         keys.append(U.mix(U.span_hashes(values, starts, np.maximum(cut, starts)) + np.uint64(k)))
-    features = (np.stack(keys, axis=1).reshape(-1) & np.uint64((1 << BITS) - 1)).astype(np.int64)
+    features = (np.stack(keys, axis=1).reshape(-1) & np.uint64((1 << BITS) - 1)).astype(np.int32)
     sentence = stops[starts]
     new = np.flatnonzero(np.diff(sentence, prepend=-1))
     text = np.searchsorted(offsets, starts[new], side="right") - 1
@@ -89,6 +89,15 @@ def bags_of(texts) -> Bags:
     return Bags(features, np.append(new, len(starts)) * len(keys), text, starts[new] - offsets[text], last - offsets[text], n)
 
 
+def joined(parts: list[Bags]) -> Bags:
+    """The texts of all parts, one after the other."""
+    size = np.cumsum([0, *[len(p.features) for p in parts]])
+    texts = np.cumsum([0, *[p.n for p in parts]])
+    return Bags(
+        np.concatenate([p.features for p in parts]), np.append(np.concatenate([p.first[:-1] + k for p, k in zip(parts, size)]), size[-1]),
+        np.concatenate([p.text + k for p, k in zip(parts, texts)]), np.concatenate([p.start for p in parts]), np.concatenate([p.end for p in parts]), int(texts[-1]))
+
+
 def sentence_scores(bags: Bags, weights: np.ndarray, bias: float) -> np.ndarray:
     """The chance that each sentence is toxic."""
     if not len(bags.text):
@@ -116,7 +125,9 @@ def fit(bags: Bags, labels: np.ndarray, how: Fit = Fit()) -> tuple[np.ndarray, f
     each step followed by one towards 0, so features that only memorise a text lose
     their weight."""
     size = 1 << BITS
-    weights, seen = np.zeros(size), np.bincount(bags.features, minlength=size)
+    weights, seen = np.zeros(size), np.zeros(size, np.int64)
+    for at in range(0, len(bags.features), 1 << 20):
+        seen += np.bincount(bags.features[at: at + (1 << 20)], minlength=size)
     common = seen >= how.rare
     grown, bias, bias_grown = np.full(size, 1e-3), how.bias, 1e-3
     batch = max(1, min(how.batch, bags.n // 24))
@@ -164,7 +175,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         weights, bias = np.zeros(1 << BITS), how.bias
         if any(b.num_rows for b in parts):
             rows = pa.Table.from_batches(parts).sort_by([("place", "ascending"), ("h", "ascending"), ("id", "ascending")])
-            weights, bias = fit(bags_of(rows["text"]), rows["y"].to_numpy(), how)
+            # a slice at a time: what stays are 32-bit features
+            bags = joined([bags_of(part["text"]) for batch in rows.to_batches() for part in _by_bytes(batch, 1 << 19)])
+            weights, bias = fit(bags, rows["y"].to_numpy(), how)
         yield pa.record_batch({"weights": pa.array([weights.astype("<f4").tobytes()], pa.binary()), "bias": pa.array([float(bias)])})
 
     rows = sample_of(docs, labels, id_col, text_col, label_col, sample).withColumn("place", F.xxhash64("id"))
