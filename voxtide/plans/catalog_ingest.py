@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from voxtide.functions import vocab
 from voxtide.functions.text import fuzzy_hash
-from voxtide.operators import ingest, language, rules
+from voxtide.operators import ingest, language, rules, threads
 from voxtide.operators.cleaning import ENTITY
 from voxtide.plans import jobs
 from voxtide.plans.registry import (
@@ -146,24 +146,6 @@ def reply_candidates(spark, sf):
     return ingest.filter_min_replies(posts, 2).select("post_id", "reply_count")
 
 
-def accepted_edge():
-    return (F.col("node_type") == "threadViewPost") & ~rules.too_short("text") & ~rules.blocklisted("text")
-
-
-D_EDGE = f"""node_type = 'threadViewPost' and length({d_trim('text')}) >= 15 and not {d_any('lower(text)', vocab.BLOCKLIST)}"""
-
-
-@query("flatten_reply_tree", f"""with recursive walk as (
-  select post_id, parent_post_id, 0 depth from edges where parent_post_id is null
-  union all
-  select e.post_id, e.parent_post_id, w.depth + 1 from edges e join walk w on e.parent_post_id = w.post_id
-  where w.depth < 6 and {D_EDGE.replace('text', 'e.text').replace('node_type', 'e.node_type')})
-  select post_id, parent_post_id, cast(depth as int) depth from walk where depth > 0""")
-def flatten_reply_tree(spark, sf):
-    out = ingest.flatten_threads(tables.edges(spark, sf), accepted_edge(), 6)
-    return out.select("post_id", "parent_post_id", "depth")
-
-
 @query("union_posts_replies", """select post_id, text, false is_reply, cast(null as varchar) parent_post_id from opinions
   union all select post_id, text, true, parent_post_id from edges where parent_post_id is not null""")
 def union_posts_replies(spark, sf):
@@ -300,3 +282,23 @@ def rejection_summary(spark, sf):
 @query("filter_session_scope", f"with {d_reasons(scope='platform')} select post_id, platform, reason from reasons")
 def filter_session_scope(spark, sf):
     return rules.rejection_reasons(tables.opinions(spark, sf), profile_of(spark, sf), session="platform").select("post_id", "platform", "reason")
+
+
+@query("flatten_reply_tree", f"""with recursive {D_DETECT.replace('from opinions', 'from edges')},
+  judged as (select post_id, parent_post_id, ingest_seq, text, {d_fuzzy('text')} h, (parent_post_id is null or node_type = 'threadViewPost') and {d_row_reason()} is null ok
+    from edges left join found using (ingest_seq)),
+  paths as (select post_id, [ingest_seq] path, ok from judged where parent_post_id is null
+    union all select j.post_id, list_append(p.path, j.ingest_seq), j.ok from judged j join paths p on j.parent_post_id = p.post_id where len(p.path) <= 6),
+  turns as (select j.*, path, row_number() over (order by len(path) > 1, path) i from judged j join paths using (post_id)),
+  -- one row after the other, with what was dropped and what is remembered so far
+  walk as (select cast(0 as bigint) i, cast([] as varchar[]) dropped, cast([] as varchar[]) hashes, cast([] as varchar[]) texts
+    union all select t.i,
+      case when not t.ok or list_contains(dropped, parent_post_id) or (list_contains(hashes, t.h) and texts[list_position(hashes, t.h)] <> t.text) then list_append(dropped, t.post_id) else dropped end,
+      case when t.ok and not coalesce(list_contains(dropped, parent_post_id), false) and not list_contains(hashes, t.h) then list_append(hashes, t.h) else hashes end,
+      case when t.ok and not coalesce(list_contains(dropped, parent_post_id), false) and not list_contains(hashes, t.h) then list_append(texts, t.text) else texts end
+    from walk w join turns t on t.i = w.i + 1)
+  select post_id, parent_post_id, cast(len(path) - 1 as int) depth from turns
+  where len(path) > 1 and not list_contains((select dropped from walk order by i desc limit 1), post_id)""")
+def flatten_reply_tree(spark, sf):
+    out = threads.judged_threads(tables.edges(spark, sf), profile_of(spark, sf), F.col("node_type") == "threadViewPost", 6)
+    return out.select("post_id", "parent_post_id", "depth")

@@ -78,7 +78,10 @@ EDGES = {
     "parent_post_id": "case when turn > 0 then cast(conv_id as string) || '-' || cast(case when conv_id % 2 = 0 then turn - 1 "
                       "else (turn - 1) - (turn - 1) % 2 end as string) end",
     "node_type": "case when (conv_id + turn) % 11 = 0 then 'blockedPost' else 'threadViewPost' end",
-    "text": "text",
+    "text": "case when (conv_id * 3 + turn) % 7 = 1 then 'I agree, AI tools have been very useful' || repeat('!', cast((conv_id + turn) % 3 as int)) "
+            "when (conv_id + turn) % 23 = 5 then text || ' https://a.example/1 https://a.example/2 https://a.example/3 https://a.example/4' "
+            "when (conv_id + turn) % 29 = 5 then text || ' #a #b #c #d #e #f' when (conv_id + turn) % 31 = 5 then text || ' Buy now, limited offer' else text end",
+    "lang": "case when (conv_id + turn) % 13 = 6 then 'fr' when (conv_id + turn) % 5 > 0 then 'en' end",
     "ingest_seq": "conv_id * 1000 + turn",
 }
 
