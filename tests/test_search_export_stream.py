@@ -128,6 +128,48 @@ def test_stream_first_wins_and_restart(spark):
     assert got == {"a": "first", "b": "b", "c": "c"}
 
 
+def test_stream_keys_beyond_the_window(spark):
+    landed, stored, check = (shared_dir(spark, n) for n in ("landed", "stored", "check"))
+    schema, day = "ingest_seq long, post_id string, text string, at timestamp, x double", ["2026-01-01"]
+    at = "timestamp'2026-01-01 10:00:00.123456'"
+    empty = spark.createDataFrame([], schema).schema
+
+    def land(rows):
+        spark.createDataFrame(rows, "ingest_seq long, post_id string, text string").selectExpr("*", f"{at} at", "if(ingest_seq = 1, double('NaN'), 0.1) x").write.mode("append").parquet(landed)
+        streams.run_to_end(streams.dedup_ingest(streams.file_stream(spark, landed, empty, 8), stored, check, days=0, today=lambda: day[0]))
+
+    land([(1, "a", "first"), (2, "b", "b"), (0, None, "no key"), (3, "a", "again")])
+    day[0] = "2026-01-05"
+    land([(4, "c", "c"), (5, "a", "late")])
+    day[0] = "2026-01-09"
+    land([(6, "b", "late"), (7, "c", "late"), (8, "d", None)])
+    got = {r.post_id: (r.text, str(r["at"]), str(r.x)) for r in spark.read.schema(empty).parquet(stored).collect()}
+    when = "2026-01-01 10:00:00.123456"
+    assert got == {"a": ("first", when, "nan"), "b": ("b", when, "0.1"), "c": ("c", when, "0.1"), "d": (None, when, "0.1")}
+    # a batch reads the folders of its own buckets, of days that have left the window
+    old = streams.older_keys(spark, f"{stored}_keys", "2026-01-06", 99, [5])
+    assert all("bucket=5/" in f or "bucket=5" in f for f in old.inputFiles()) or not old.count()
+    plan = old._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "bucket" in plan.split("PartitionFilters")[1].split("]")[0]
+    assert streams.older_keys(spark, stored + "-none", "2026-01-06", 99, [5]) is None
+
+
+def test_stream_cost_does_not_follow_what_is_stored(spark):
+    """Ten batches of as many rows: in the window no stored key is read, and the store
+    is asked about the rows of the batch alone."""
+    landed, stored, check = (shared_dir(spark, n) for n in ("landed", "stored", "check"))
+    for b in range(10):
+        spark.range(b * 40, b * 40 + 50).selectExpr("id ingest_seq", "concat('k', id) post_id", "'t' text").coalesce(1).write.mode("append").parquet(landed)
+    query = streams.dedup_ingest(streams.file_stream(spark, landed, spark.createDataFrame([], "ingest_seq long, post_id string, text string").schema), stored, check)
+    streams.run_to_end(query)
+    batches = [p for p in query.recentProgress if p.numInputRows]
+    assert len(batches) == 10 and {p.numInputRows for p in batches} == {50}
+    assert all(p.stateOperators[0].numRowsUpdated <= 50 for p in batches)
+    assert batches[-1].stateOperators[0].numRowsTotal == 410
+    assert spark.read.schema("ingest_seq long, post_id string").parquet(stored).count() == 410
+    assert streams.older_keys(spark, f"{stored}_keys", "2020-01-01", 99, list(range(streams.BUCKETS))).count() == 0
+
+
 def test_stream_watermark_variant(spark):
     landed, out, check = (shared_dir(spark, n) for n in ("landed", "out", "check"))
     rows = [(i % 5, f"2026-01-01 00:00:{i:02d}") for i in range(20)]

@@ -7,41 +7,126 @@ a lost executor or driver leaves the same rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
+from collections.abc import Callable, Iterator
+from datetime import date, timedelta
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from voxtide.session import cut_lineage
 
-from voxtide.operators.ingest import new_rows
+STAMP = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def _stored(spark: SparkSession, path: str, schema: T.StructType, below: int) -> DataFrame:
-    """Rows of earlier batches; the folder of the running one does not count."""
-    full = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+BUCKETS = 64
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _packed(stream: DataFrame, key: str, order: str) -> DataFrame:
+    """key, order and the whole row as JSON; types and microseconds come back from it.
+
+    Within each Arrow batch only the first row of a key is kept, so a key that floods
+    the stream is trimmed before it is shuffled."""
+    def trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, first = batch.column("_key"), pc.sort_indices(batch, sort_keys=[("_key", "ascending"), ("_order", "ascending")])
+            sorted_keys = keys.take(first)
+            new = np.ones(len(first), bool)
+            if len(first) > 1:
+                new[1:] = pc.fill_null(pc.not_equal(sorted_keys[1:], sorted_keys[:-1]), True).to_numpy(zero_copy_only=False)
+            yield batch.take(first.filter(pa.array(new)))
+
+    row = F.to_json(F.struct(*stream.columns), {"timestampFormat": STAMP, "ignoreNullFields": "false"})
+    keyed = stream.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("_key"), F.col(order).cast("long").alias("_order"), row.alias("_row"))
+    return keyed.mapInArrow(trim, "_key string, _order long, _row string").withColumn("_arrived", F.current_timestamp())
+
+
+def first_in_window(stream: DataFrame, key: str = "post_id", order: str = "ingest_seq", days: int = 7) -> DataFrame:
+    """The first row by `order` of every key that the state store does not hold.
+
+    The store holds the keys seen in the last `days` of processing time: a lookup costs
+    the same however many rows are stored, and what the store keeps is bounded by the
+    window. Rows of one key meet in one group of a few rows, read as a stream."""
+    def first(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        known = state.exists
+        best: tuple | None = None
+        for part in parts:
+            if not known and len(part):
+                at = part["_order"].to_numpy().argmin()
+                if best is None or part["_order"].iloc[at] < best[0]:
+                    best = (part["_order"].iloc[at], part["_row"].iloc[at])
+        state.update((True,))
+        # the watermark follows the time of arrival `days` behind, so no row is ever late
+        state.setTimeoutTimestamp(max(state.getCurrentProcessingTimeMs(), state.getCurrentWatermarkMs() + 1))
+        if best is not None:
+            yield pd.DataFrame({"_key": [group[0]], "_row": [best[1]]})
+
+    arriving = _packed(stream, key, order).withWatermark("_arrived", f"{days} days")
+    return arriving.groupBy("_key").applyInPandasWithState(first, "_key string, _row string", "seen boolean", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def older_keys(spark: SparkSession, path: str, before: str, batch: int, buckets: list[int]) -> DataFrame | None:
+    """Keys stored on days before `before` by earlier batches, those of the given
+    buckets; None if there are none. Folders name day, batch and bucket, so only
+    those of the buckets asked for are listed for reading."""
+    schema = "_key string, day string, batch long, bucket int"
     try:
-        return spark.read.schema(full).parquet(path).where(F.col("batch") < below).drop("batch")
-    except Exception as error:  # nothing written yet
+        kept = spark.read.schema(schema).option("basePath", path).parquet(path)
+    except AnalysisException as error:  # nothing written yet
         if "PATH_NOT_FOUND" not in str(error):
             raise
-        return spark.createDataFrame([], schema)
-
-
-def dedup_ingest(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """First-wins ingest: the earliest row of a key in a batch is appended unless
-    an earlier batch has stored the key. Only keys are read back."""
-    schema = stream.schema
+        return None
+    return kept.where((F.col("day") < before) & (F.col("batch") < batch) & F.col("bucket").isin(buckets)).select("_key", "bucket")
+
+
+def dedup_ingest(stream: DataFrame, path: str, checkpoint: str, key: str = "post_id", order: str = "ingest_seq", days: int = 7,
+                 today: Callable[[], str] = lambda: date.today().isoformat()) -> StreamingQuery:
+    """First-wins ingest: the earliest row of a key in a micro-batch is appended unless
+    an earlier batch has stored the key. Rows without a key are not stored.
+
+    Keys of the last `days` are in the state store (RocksDB, unless the session names
+    another), so in the window a batch costs what it brings, not what is stored. Keys
+    that have left the window are found in a store beside the rows, `path`_keys, by day
+    and one of BUCKETS hash buckets: a batch reads the buckets that its own new keys
+    fall into, of days that have left the window only. Days are counted one more than
+    the state store keeps them, so no key is in neither.
+
+    A batch that is run again replaces its folders; the state store goes back to the
+    batch before, so the same rows come out.
+    """
+    spark = stream.sparkSession
+    schema, keys = stream.schema, f"{path}_keys"
+    if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "").endswith("HDFSBackedStateStoreProvider"):
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        stored = _stored(batch.sparkSession, path, schema, batch_id)
-        new_rows(stored, batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        spark, now = batch.sparkSession, today()
+        bucket = F.pmod(F.xxhash64("_key"), F.lit(BUCKETS)).cast("int")
+        found = cut_lineage(batch.withColumn("bucket", bucket))
+        left = (date.fromisoformat(now) - timedelta(days=days - 1)).isoformat()
+        touched = [r.bucket for r in found.select("bucket").distinct().collect()]  # BUCKETS at most
+        old = older_keys(spark, keys, left, batch_id, touched)
+        new = found if old is None else found.join(old, ["_key", "bucket"], "left_anti")
+        row = F.from_json("_row", schema, {"timestampFormat": STAMP})
+        new.select(row.alias("r")).select("r.*").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        found.select("_key", "bucket").repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{keys}/day={now}/batch={batch_id}")
+
+    return first_in_window(stream, key, order, days).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def dedup_within_watermark(stream: DataFrame, event_time: str = "created_at", delay: str = "7 days",
