@@ -127,3 +127,33 @@ def test_state(spark):
     assert state.pending_clean(state.reset_columns(base, "clean")).count() == 2
     with pytest.raises(ValueError):
         state.pending_classification(base, "mood")
+
+
+def test_label_store_shuffles_no_text(spark):
+    base = spark.createDataFrame([(f"p{i}", f"text {i} " * 20, "old", None if i % 2 else "bot", i) for i in range(300)],
+                                 "post_id string, text string, cleaned_text string, clean_status string, likes int")
+    steps = [
+        spark.createDataFrame([(f"p{i}", None if i % 4 == 0 else f"new {i}", "cleaned") for i in range(0, 400, 2)], "post_id string, cleaned_text string, clean_status string"),
+        spark.createDataFrame([("p4", "b", "x"), ("p4", "c", "a"), (None, "n", "n"), ("zz", "z", "z")], "post_id string, cleaned_text string, clean_status string"),
+    ]
+    likes = spark.createDataFrame([("p1", 7), ("p2", None)], "post_id string, likes int")
+    store, want = state.open_store(base, buckets=4), base
+    for updates in steps:
+        store = state.put_labels(spark, store, updates, ["cleaned_text", "clean_status"])
+        want = state.apply_updates(want, updates, ["cleaned_text", "clean_status"])
+    store = state.put_labels(spark, store, likes, ["likes"])
+    want = state.apply_updates(want, likes, ["likes"])
+    off = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = state.read_store(spark, store)
+        assert out.columns == base.columns
+        assert sorted(map(tuple, out.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and plan.count("SortMergeJoin") >= 2 and "Bucketed: true" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", off)
+    with pytest.raises(ValueError):
+        state.put_labels(spark, store, likes.withColumn("clean_status", F.lit("x")), ["likes", "clean_status"])
+    state.drop_store(spark, store)
+    assert not spark.catalog.tableExists(store.posts)

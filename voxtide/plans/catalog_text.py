@@ -249,6 +249,28 @@ def apply_updates(spark, sf):
     return out.select("post_id", "cleaned_text", "clean_status", "likes")
 
 
+@query("label_store", """with clean as (select 'doc_' || cast(doc_id * 2 as varchar) post_id,
+    case when doc_id % 3 = 0 then null else 'new ' || source end cleaned_text, 'cleaned' clean_status from documents where doc_id % 5 > 0
+    union all select 'doc_' || cast(doc_id * 2 as varchar), 'second ' || lang, 'duplicate' from documents where doc_id % 5 = 0),
+  scores as (select 'doc_' || cast(doc_id as varchar) post_id, n_chars / 7.0::double sentiment_score, 'neutral' sentiment_label from documents where doc_id % 4 = 1)
+  select post_id, s.text, case when c.post_id is not null then c.cleaned_text else s.cleaned_text end cleaned_text,
+    case when c.post_id is not null then c.clean_status else s.clean_status end clean_status,
+    case when x.post_id is not null then x.sentiment_score else s.sentiment_score end sentiment_score,
+    case when x.post_id is not null then x.sentiment_label else s.sentiment_label end sentiment_label
+  from stored s left join clean c using (post_id) left join scores x using (post_id)""")
+def label_store(spark, sf):
+    docs = tables.documents(spark, sf)
+    even = "'doc_' || cast(doc_id * 2 as string) as post_id"
+    clean = docs.selectExpr(even, "case when doc_id % 3 = 0 then null else 'new ' || source end as cleaned_text", "'cleaned' as clean_status")
+    again = docs.where("doc_id % 5 = 0").selectExpr(even, "'second ' || lang as cleaned_text", "'duplicate' as clean_status")
+    scores = docs.where("doc_id % 4 = 1").selectExpr("'doc_' || cast(doc_id as string) as post_id", "n_chars / double(7.0) as sentiment_score", "'neutral' as sentiment_label")
+    store = state.open_store(tables.stored(spark, sf))
+    for updates in (clean, again):
+        store = state.put_labels(spark, store, updates, ["cleaned_text", "clean_status"])
+    store = state.put_labels(spark, store, scores, ["sentiment_score", "sentiment_label"])
+    return state.read_store(spark, store).select("post_id", "text", "cleaned_text", "clean_status", "sentiment_score", "sentiment_label")
+
+
 @query("reset_columns", "select post_id, cast(null as double) sentiment_score, cast(null as varchar) sentiment_label, relevance_label from stored")
 def reset_columns(spark, sf):
     out = state.reset_columns(tables.stored(spark, sf), "sentiment")
