@@ -106,6 +106,40 @@ def test_export_columns_and_empty_csv(spark):
         export.replace_records_csv(back, path, path + "/")
 
 
+def scores_of(spark, df, phrase, index=None):
+    return {r.post_id: round(r.score, 9) for r in search.relevance_scores(df, phrase, index=index).collect()}
+
+
+def test_index_follows_the_table(spark, monkeypatch):
+    path, folder = shared_dir(spark, "table"), shared_dir(spark, "index")
+    schema = "post_id string, text string, cleaned_text string"
+    rows = [(f"p{i}", "a red fox " * (i % 4) + "and more", "red fox" if i % 3 else None) for i in range(40)]
+    view = lambda d: d.withColumn("text", F.upper("text"))
+
+    def land(part, mode="append"):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode(mode).parquet(path)
+        df = spark.read.schema(schema).parquet(path)
+        index = search.refresh_index(df, view, folder, term_buckets=4)
+        for phrase in ("red fox", "fox", "no such words"):
+            assert scores_of(spark, df, phrase, index) == pytest.approx(scores_of(spark, view(df), phrase))
+        return index
+
+    assert len(land(rows[:20]).segments) == 1
+    assert len(land(rows[20:30]).segments) == 2
+    three = land(rows[30:])
+    assert len(three.segments) == 3
+    df = spark.read.schema(schema).parquet(path)
+    assert search.refresh_index(df, view, folder, term_buckets=4) == three  # nothing new, nothing written
+    monkeypatch.setattr(search, "MAX_SEGMENTS", 3)
+    assert len(land([("q", "a red fox", None)]).segments) == 1
+    changed = land(rows[:5], "overwrite")
+    df = spark.read.schema(schema).parquet(path)
+    assert len(changed.segments) == 1 and len(scores_of(spark, df, "fox", changed)) == 4
+    assert len(search.refresh_index(df, view, folder, term_buckets=8).segments) == 1
+    gone = shared_dir(spark, "index")  # a folder that does not exist
+    assert scores_of(spark, df, "fox", search.refresh_index(df, view, gone, term_buckets=4))
+
+
 def test_json_array_per_file(spark):
     import json
     path = shared_dir(spark, "json")

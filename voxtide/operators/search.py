@@ -9,8 +9,12 @@ number of terms, and only occurrences of query terms are shuffled.
 from __future__ import annotations
 
 import re
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,12 +59,12 @@ def index_documents(df: DataFrame, fields: list[str] = FIELDS, key: str = "post_
 
 
 def field_stats(df: DataFrame, fields: list[str] = FIELDS) -> DataFrame:
-    """field, n_docs, avg_len over documents whose field is not empty."""
+    """field, n_docs, avg_len, total_len over documents whose field is not empty."""
     sizes = F.array(*[
         F.struct(F.lit(f).alias("field"), F.size(analyze(F.coalesce(f, F.lit("")))).alias("len")) for f in fields
     ])
     flat = df.select(F.explode_outer(sizes).alias("s")).select("s.*").where(F.col("len") > 0)
-    return flat.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"))
+    return flat.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"), F.sum("len").alias("total_len"))
 
 
 def _bucket(term_buckets: int) -> Column:
@@ -88,15 +92,19 @@ def write_index(df: DataFrame, path: str, fields: list[str] = FIELDS, term_bucke
 
 @dataclass(frozen=True)
 class Index:
-    """A written index."""
+    """A written index: one folder, or the segments of one, each an index of some rows."""
 
     path: str
     term_buckets: int = 256
+    segments: tuple[str, ...] = ()
+
+    def read(self, spark: SparkSession, table: str) -> DataFrame:
+        return reduce(DataFrame.unionByName, [spark.read.parquet(f"{p}/{table}") for p in self.segments or (self.path,)])
 
     def _of_terms(self, spark: SparkSession, table: str, terms: list[str]) -> DataFrame:
         wanted = spark.createDataFrame([(t,) for t in sorted(set(terms))], "term string")
         buckets = [r[0] for r in wanted.select(_bucket(self.term_buckets)).distinct().collect()]  # one per query term
-        return spark.read.parquet(f"{self.path}/{table}").where(F.col("bucket").isin(buckets) & F.col("term").isin(terms)).drop("bucket")
+        return self.read(spark, table).where(F.col("bucket").isin(buckets) & F.col("term").isin(terms)).drop("bucket")
 
     def occurrences(self, spark: SparkSession, terms: list[str]) -> DataFrame:
         """field, post_id, len, pos, term of the given terms."""
@@ -106,10 +114,69 @@ class Index:
         """field, n_docs, avg_len, df0, df1, ... for the given terms in order: one row per field."""
         found = self._of_terms(spark, "terms", terms).groupBy(F.col("field").alias("f")).agg(
             *[F.coalesce(F.sum(F.when(F.col("term") == t, F.col("n_docs"))), F.lit(0)).alias(f"df{i}") for i, t in enumerate(terms)])
-        fields = spark.read.parquet(f"{self.path}/fields")
+        fields = self.read(spark, "fields").groupBy("field").agg(F.sum("n_docs").alias("n_docs"), (F.sum("total_len") / F.sum("n_docs")).alias("avg_len"))
         return fields.join(F.broadcast(found), F.col("field") == F.col("f")).drop("f")
 
 
+MAX_SEGMENTS = 16
+MANIFEST = "segment string, term_buckets int, file string, size bigint, time timestamp, version bigint"
+
+
+def table_files(source: DataFrame) -> dict[str, tuple]:
+    """Size and time of every file that holds rows of a table, from the rows' metadata."""
+    rows = source.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct().collect()
+    return {r[0]: (r[1], r[2]) for r in rows}
+
+
+def read_manifest(spark: SparkSession, path: str) -> tuple[int, dict[str, dict[str, tuple]], int]:
+    """Version, files by segment, and term buckets of the index in a folder; version 0 if it holds none."""
+    try:
+        rows = spark.read.schema(MANIFEST).parquet(f"{path}/manifest").collect()  # one row per file of the table
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return 0, {}, 0
+    last = max((r.version for r in rows), default=0)
+    segments: dict[str, dict[str, tuple]] = {}
+    for r in rows:
+        if r.version == last:
+            segments.setdefault(r.segment, {})[r.file] = (r.size, r.time)
+    return last, segments, max((r.term_buckets for r in rows if r.version == last), default=0)
+
+
+def refresh_index(source: DataFrame, view: Callable[[DataFrame], DataFrame], path: str, fields: list[str] = FIELDS,
+                  term_buckets: int = 256, key: str = "post_id") -> Index:
+    """The index in a folder, brought to what the table `source` is now.
+
+    A segment knows which files it was made of, with their sizes and times. Files that
+    no segment knows become a new segment, so a table that grows costs what was added;
+    a segment with a file that has changed or gone is left out and its other files are
+    indexed anew. Beyond MAX_SEGMENTS all become one. `view` makes the documents of the
+    table's rows, each of them from one row; statistics are sums over the segments, so
+    results are those of one index over all rows.
+
+    The manifest is written last and names whole segments: a run that breaks off leaves
+    the version before in force. Nothing is remembered outside the folder.
+    """
+    spark = source.sparkSession
+    version, segments, buckets = read_manifest(spark, path)
+    now = table_files(source)
+    whole = {s: f for s, f in segments.items() if buckets == term_buckets and all(now.get(x) == v for x, v in f.items())}
+    known = {x for f in whole.values() for x in f}
+    fresh = {x: v for x, v in now.items() if x not in known}
+    if whole == segments and not fresh and version:
+        return Index(path, term_buckets, tuple(f"{path}/{s}" for s in sorted(whole)))
+    if len(whole) + 1 > MAX_SEGMENTS:
+        whole, fresh = {}, now
+    if fresh:
+        name = f"segment-{uuid.uuid4().hex}"
+        write_index(view(spark.read.schema(source.schema).parquet(*sorted(fresh))), f"{path}/{name}", fields, term_buckets, key)
+        whole[name] = fresh
+    rows = [(s, term_buckets, x, *v, version + 1) for s, f in whole.items() for x, v in f.items()]
+    spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+    return Index(path, term_buckets, tuple(f"{path}/{s}" for s in sorted(whole)))
+
+
 def phrase_hits(occ: DataFrame, terms: list[str], key: str = "post_id") -> DataFrame:
     """field, post_id, len, freq: how often the phrase starts in each field."""
     if len(terms) == 1:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
+import hashlib
+import os
 
-from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from voxtide.functions import vocab
@@ -46,17 +46,24 @@ def d_scores(phrase: str) -> str:
     from hits join fields using (post_id, field) join fs using (field) group by post_id)"""
 
 
-@lru_cache(maxsize=8)
-def _written_index(app: str, sf: str) -> search.Index:
-    spark = SparkSession.active()
-    index = search.Index(shared_dir(spark, "index"), 64)
-    search.write_index(tables.stored(spark, sf), index.path, term_buckets=index.term_buckets)
-    return index
+def index_folder(spark, sf) -> str:
+    """Where the application keeps the table's index; the same folder for every query."""
+    return os.path.join(os.path.dirname(shared_dir(spark, "index")), "index-" + hashlib.sha256(sf.encode()).hexdigest()[:16])
 
 
 def index_of(spark, sf) -> search.Index:
-    """The table's index: written once in an application, then read by every query."""
-    return _written_index(spark.sparkContext.applicationId, sf)
+    """The table's index as the table is now: its files are looked at in every query,
+    those that are new or changed are indexed, and a folder that is gone is made anew."""
+    return search.refresh_index(tables.documents(spark, sf), tables.stored_of, index_folder(spark, sf), term_buckets=64)
+
+
+@query("search_index", f"""with {D_FIELDS} select field, (select count(*) from fields g where g.field = o.field and len(toks) > 0) n_docs,
+  count(*) total_len, count(distinct term) n_terms from occ o group by field""")
+def search_index(spark, sf):
+    """A new index of the whole table, told by its fields."""
+    index = search.refresh_index(tables.documents(spark, sf), tables.stored_of, shared_dir(spark, "index"), term_buckets=64)
+    terms = index.read(spark, "terms").groupBy("field").agg(F.count(F.lit(1)).alias("n_terms"))
+    return index.read(spark, "fields").join(terms, "field").select("field", "n_docs", "total_len", "n_terms")
 
 
 @query("index_documents", f"""with {D_FIELDS} select field, term, post_id, array_to_string(list_sort(list(pos)), ' ') positions, count(*) tf from occ group by field, term, post_id""")

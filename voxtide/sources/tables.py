@@ -113,8 +113,13 @@ def opinions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).selectExpr(*_select(OPINIONS))
 
 
+def stored_of(docs: DataFrame) -> DataFrame:
+    """Stored posts as made of rows of the text table, one of each."""
+    return docs.selectExpr(*_select(STORED))
+
+
 def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).selectExpr(*_select(STORED))
+    return stored_of(documents(spark, sf_dir))
 
 
 def _documents_with_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
