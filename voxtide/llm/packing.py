@@ -17,7 +17,7 @@ from voxtide.llm import units as U
 from voxtide.llm.quality_rules import _by_bytes
 from voxtide.session import cut_lineage
 
-CACHE_WORDS = 700_000
+CACHE_WORDS = 1_000_000
 MAX_QUEUES = 4096
 CELLS = 1 << 20  # windows x queues, or windows of documents, that are looked at together
 NEAR = np.arange(-2, 3)  # how far window_of may be off
