@@ -60,7 +60,7 @@ def op6_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup(table(spark, sf_dir, "documents"), min_run=3)
+    out = line_dedup(table(spark, sf_dir, "documents"), min_run=3, min_words=50)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 

@@ -33,11 +33,13 @@ from d left join cut using (r)
 OP7 = r"""
 with d as (select row_number() over () r, doc_id, string_split(coalesce(text, ''), chr(10)) ls from documents),
 lines as (select r, doc_id, unnest(ls) line, unnest(range(0, len(ls))) i from d),
-named as (select *, array_to_string(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), ' ') w from lines),
-counted as (select *, row_number() over (partition by r order by i) j from named where w <> ''),
-w as (select a.r, a.doc_id, a.j, a.w || chr(10) || b.w || chr(10) || c.w k from counted a join counted b on a.r = b.r and b.j = a.j + 1 join counted c on a.r = c.r and c.j = a.j + 2),
-later as (select r, j from (select r, j, row_number() over (partition by k order by doc_id, r, j) n from w) where n > 1),
-gone as (select distinct c.r, c.i from later l join counted c on c.r = l.r and c.j between l.j and l.j + 2),
+named as (select *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') ws from lines),
+counted as (select *, array_to_string(ws, ' ') w, len(ws) c, row_number() over (partition by r order by i) j from named where len(ws) > 0),
+w as (select r, doc_id, j, 1 m, w k from counted where c >= 50
+  union all select a.r, a.doc_id, a.j, 2, a.w || chr(10) || b.w from counted a join counted b on a.r = b.r and b.j = a.j + 1 where a.c + b.c >= 50
+  union all select a.r, a.doc_id, a.j, 3, a.w || chr(10) || b.w || chr(10) || c.w from counted a join counted b on a.r = b.r and b.j = a.j + 1 join counted c on a.r = c.r and c.j = a.j + 2),
+later as (select r, j, m from (select r, j, m, row_number() over (partition by m, k order by doc_id, r, j) n from w) where n > 1),
+gone as (select distinct c.r, c.i from later l join counted c on c.r = l.r and c.j between l.j and l.j + l.m - 1),
 kept as (select r, string_agg(line, chr(10) order by i) t from lines anti join gone using (r, i) group by r),
 n as (select r, count(*) n from gone group by r), m as (select r, count(*) m from counted group by r)
 select doc_id, cast(coalesce(m, 0) as bigint) n_lines, cast(coalesce(n, 0) as bigint) n_removed, sha256(coalesce(t, '')) kept_sha256
