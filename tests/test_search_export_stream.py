@@ -150,6 +150,27 @@ def test_json_array_per_file(spark):
     assert sorted(o["id"] for o in objects) == [0, 1, 2, 3, 4] and all(o["missing"] is None for o in objects)
 
 
+def test_json_arrays_are_bounded(spark):
+    import json
+
+    def written(df, **limits):
+        path = shared_dir(spark, "json")
+        export.export_json(df, path, **limits)
+        return [r.value for r in spark.read.text(path).collect()]
+
+    word = F.concat(F.lit('"é\\'), F.col("id").cast("string"), F.lit(" "))
+    df = spark.range(0, 300, 1, 3).select("id", F.repeat(word, (F.col("id") % 50).cast("int")).alias("text"), F.lit(None).cast("int").alias("none"))
+    files = written(df, max_bytes=2000)
+    alone = max(len(json.dumps(r.asDict(), ensure_ascii=False, separators=(",", ":")).encode()) for r in df.collect())
+    assert alone < 2000 and all(len(f.encode()) <= 2000 for f in files)
+    assert sorted((o["id"], o["text"], o["none"]) for f in files for o in json.loads(f)) == sorted(map(tuple, df.collect()))
+    assert [len(json.loads(f)) for f in written(df.coalesce(1), rows_per_array=120)] == [120, 120, 60]
+    long = written(spark.range(4).select(F.repeat(F.lit("w "), 20_000).alias("t")), max_bytes=50_000)
+    assert len(long) == 4 and all(len(f) < 50_000 for f in long)
+    assert [len(json.loads(f)) for f in written(df.where("id < 3").coalesce(1), max_bytes=1)] == [1, 1, 1]
+    assert written(df.where("false")) == ["[]"]
+
+
 def test_stream_first_wins_and_restart(spark):
     landed, stored, check = (shared_dir(spark, n) for n in ("landed", "stored", "check"))
     schema = "ingest_seq long, post_id string, text string"

@@ -3,6 +3,10 @@ path it reads from; a table is replaced by pointing readers at the new folder.""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,15 +70,30 @@ def export_jsonl(df: DataFrame, path: str) -> None:
     df.write.option("ignoreNullFields", "false").json(path)
 
 
-def export_json(df: DataFrame, path: str, rows_per_array: int = 100_000) -> None:
-    """JSON arrays of at most rows_per_array objects, each in a file of its own;
-    nothing is gathered in one place. Missing values are spelled out as null. No
-    rows give one empty array."""
+MAX_FILE_BYTES = 64 << 20
+
+
+def export_json(df: DataFrame, path: str, rows_per_array: int = 100_000, max_bytes: int = MAX_FILE_BYTES) -> None:
+    """JSON arrays, each in a file of its own, of at most rows_per_array objects and
+    max_bytes bytes (an object that is larger alone has a file to itself). Every task
+    cuts its own rows as they come, so nothing is shuffled and a task holds one array
+    at most. Missing values are spelled out as null. No rows give one empty array."""
+    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[str] = []
+        size = 2  # the brackets
+        for batch in batches:
+            sizes = pc.binary_length(batch.column(0).cast(pa.large_binary())).to_pylist()
+            for body, n in zip(batch.column(0), sizes):
+                if parts and (len(parts) == rows_per_array or size + n + 1 > max_bytes):
+                    yield pa.record_batch({"value": pa.array([f"[{','.join(parts)}]"], pa.string())})
+                    parts, size = [], 2
+                parts.append(body.as_py())
+                size += n + (len(parts) > 1)
+        if parts:
+            yield pa.record_batch({"value": pa.array([f"[{','.join(parts)}]"], pa.string())})
+
     body = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
-    # rows of a task are numbered in the order it reads them; a run of numbers is an array
-    numbered = df.select(body.alias("b"), F.monotonically_increasing_id().alias("n")).withColumn("part", F.floor(F.col("n") / rows_per_array))
-    arrays = numbered.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("n", "b"))).alias("o"))
-    lines = arrays.select(F.concat(F.lit("["), F.array_join(F.transform("o", lambda x: x["b"]), ","), F.lit("]")).alias("value"))
+    lines = df.select(body.alias("value")).mapInArrow(arrays, "value string")
     if df.isEmpty():
         lines = df.sparkSession.createDataFrame([("[]",)], "value string")
     lines.write.option("maxRecordsPerFile", 1).text(path)
