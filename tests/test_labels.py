@@ -101,6 +101,23 @@ def test_p95(spark, n):
     assert labels.p95_nearest_rank(df, "v").first()["p95"] == want
 
 
+def test_p95_of_as_many_values_as_rows(spark):
+    import random
+
+    rng = random.Random(5)
+    big = [rng.randrange(-(1 << 62), 1 << 62) for _ in range(3000)] + [(1 << 62) + i for i in range(400)]
+    tiny = [rng.gauss(0, 1) * 10.0 ** rng.randint(-300, 300) for _ in range(3000)] + [1.7e308, -1.7e308]
+    for values, kind in ((big, "long"), (tiny, "double"), ([5] * 100, "int"), ([7] * 95 + [9] * 5, "long")):
+        df = spark.createDataFrame([(v,) for v in values] + [(None,)], f"v {kind}")
+        for share in (0.0, 0.5, 0.95, 1.0):
+            out = labels.p95_nearest_rank(df, "v", share)
+            assert out.first()[0] == sorted(values)[round((len(values) - 1) * share)]
+            assert out.dtypes == [("p95", {"long": "bigint"}.get(kind, kind))]
+            assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+    odd = spark.createDataFrame([(v,) for v in (math.nan, math.inf, 1.0, -math.inf, 2.0)], "v double")
+    assert [str(labels.p95_nearest_rank(odd, "v", s).first()[0]) for s in (0, 0.25, 0.5, 0.75, 1)] == ["-inf", "1.0", "2.0", "inf", "nan"]
+
+
 def test_stats(spark):
     df = spark.createDataFrame([("a" * n,) for n in range(1, 41)] + [("  ",)], "text string")
     s = labels.annotation_stats(df, batch_size=16, elapsed_seconds=2.0).first()

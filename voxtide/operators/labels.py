@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from voxtide.functions import vocab
@@ -216,21 +217,56 @@ def merge_annotations(rows: DataFrame, updates: DataFrame, columns: list[str], k
     ])
 
 
-def p95_nearest_rank(df: DataFrame, value: str, share: float = 0.95) -> DataFrame:
-    """sorted(values)[round((n - 1) * share)], half to even; 0 for no rows.
+RANGES = 1024
+
+
+def _spread(low, high, kind: T.DataType) -> Column:
+    """Where a value lies between low and high, as one of RANGES numbers that ascend
+    with the values: low is in the first, high in the last."""
+    if isinstance(kind, T.IntegralType):  # differences of whole numbers, exact
+        ratio = (F.col("_v").cast("decimal(38,0)") - F.lit(low).cast("decimal(38,0)")).cast("double") / float(high - low)
+    else:
+        ratio = (F.col("_v").cast("double") / 2 - low / 2) / (high / 2 - low / 2)
+    return F.least(F.floor(ratio * RANGES), F.lit(RANGES - 1))
+
 
-    A histogram over the distinct values is ranked, so the one-task window sees
-    as many rows as there are distinct lengths, not as there are texts.
+def p95_nearest_rank(df: DataFrame, value: str, share: float = 0.95) -> DataFrame:
+    """sorted(values)[round((n - 1) * share)], half to even; 0 for no rows. Nulls do not
+    count; infinities and NaN stand where sorting puts them.
+
+    Exact selection without sorting: the values between the bounds are counted in 1,024
+    ranges, and the range that holds the rank gives the next bounds, its least and
+    largest value, until they are one. What meets in one place are the counts of the
+    ranges, however many distinct values there are; three rounds narrow a billion whole
+    numbers down to one. The column is written once, before the first round.
     """
-    hist = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    all_rows = W.partitionBy(F.lit(1))
-    upto = F.sum("_n").over(all_rows.orderBy("_v").rowsBetween(W.unboundedPreceding, 0))
-    rank = half_even((F.sum("_n").over(all_rows) - 1) * share)
-    return (
-        hist.select("_v", upto.alias("_upto"), rank.alias("_rank"))
-        .where(F.col("_upto") > F.col("_rank"))
-        .agg(F.coalesce(F.min("_v"), F.lit(0)).alias("p95"))
-    )
+    kind = df.schema[value].dataType
+    values = cut_lineage(df.select(F.col(value).alias("_v")).where(F.col("_v").isNotNull()))
+    order = F.lit(1)  # finite values; the others are picked by their place
+    if isinstance(kind, T.FractionalType) and not isinstance(kind, T.DecimalType):
+        inf = F.lit(math.inf)
+        order = F.when(F.col("_v") == -inf, 0).when(F.isnan("_v"), 3).when(F.col("_v") == inf, 2).otherwise(1)
+    counts = {r[0]: r[1] for r in values.groupBy(order.alias("o")).count().collect()}
+    rank = round((sum(counts.values()) - 1) * share)
+    for part in sorted(counts):
+        if rank < counts[part]:
+            break
+        rank -= counts[part]
+    else:
+        part = 1
+    rows = values.where(order == part)
+    if part == 1 and counts.get(1):
+        low, high = rows.agg(F.min("_v"), F.max("_v")).first()
+        while low < high:
+            inside = rows.where(F.col("_v").between(low, high))
+            ranges = inside.groupBy(_spread(low, high, kind).alias("r")).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("low"), F.max("_v").alias("high"))
+            for r in sorted(ranges.collect(), key=lambda r: r.low):  # RANGES rows at most
+                if rank < r.n:
+                    low, high = r.low, r.high
+                    break
+                rank -= r.n
+        rows = rows.where(F.col("_v") == F.lit(low))
+    return rows.agg(F.coalesce(F.min("_v"), F.lit(0)).alias("p95"))
 
 
 def annotation_stats(records: DataFrame, text: str = "text", batch_size: int = 32,
