@@ -119,3 +119,11 @@ def test_training_and_ablation(spark):
     out = {r["variant"]: r for r in training.ablation_compare(stages, jobs.untrained_two_stage, max_iter=10, grid=(0.01,)).collect()}
     assert set(out) == {"hierarchical_trained", "no_training", "no_hierarchy"}
     assert out["no_hierarchy"]["accuracy"] == 1.0 and out["hierarchical_trained"]["accuracy"] == 1.0
+
+
+def test_split_is_the_same_however_many_labels(spark, monkeypatch):
+    rows = [(f"p{i}", "hot" if i % 3 == 0 else f"l{i % 17}") for i in range(900)]
+    df = spark.createDataFrame(rows, "post_id string, label string")
+    few = sorted(map(tuple, dataset.stratified_split(df, ratio=0.3).collect()))
+    monkeypatch.setattr(dataset, "MAX_BROADCAST_ROWS", 3)
+    assert sorted(map(tuple, dataset.stratified_split(df, ratio=0.3).collect())) == few

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from voxtide.functions.text import as_col, half_even, utrim
+from voxtide.operators.skew import attach_lookup
+from voxtide.operators.votes import MAX_BROADCAST_ROWS
 from voxtide.schema import FINAL_LABELS, POLARITY_LABELS, SUBJECTIVITY_LABELS
 from voxtide.session import cut_lineage
 
@@ -102,6 +104,12 @@ def validation_size(n: Column, ratio: float) -> Column:
     return F.when(n <= 1, F.lit(0)).otherwise(F.least(wanted, n - 1)).cast("bigint")
 
 
+def _of_label(rows: DataFrame, table: DataFrame, label: str, payload: list[str], few: bool) -> DataFrame:
+    """rows with what a table of one row per label says: by broadcast while the labels
+    are few, else by a shuffled join that scatters the heaviest labels."""
+    return rows.join(F.broadcast(table), label, "left") if few else attach_lookup(rows, table, label, payload)
+
+
 def stratified_split(df: DataFrame, label: str = "label", ratio: float = 0.2, seed: int = 42,
                      key: str = "post_id") -> DataFrame:
     """df plus `split`: per label exactly validation_size rows, chosen by the
@@ -118,17 +126,18 @@ def stratified_split(df: DataFrame, label: str = "label", ratio: float = 0.2, se
     per_label = W.partitionBy(label)
     upto = F.sum("_n").over(per_label.orderBy("_b").rowsBetween(W.unboundedPreceding, 0))
     wanted = validation_size(F.sum("_n").over(per_label), ratio)
-    edge = (
-        hist.select(F.col(label).alias("_l"), F.col("_b").alias("_eb"), F.col("_n").alias("_en"), upto.alias("_upto"), wanted.alias("_k"))
+    edge = cut_lineage(
+        hist.select(label, F.col("_b").alias("_eb"), F.col("_n").alias("_en"), upto.alias("_upto"), wanted.alias("_k"))
         .where((F.col("_upto") >= F.col("_k")) & (F.col("_upto") - F.col("_en") < F.col("_k")))
-        .select("_l", "_eb", (F.col("_k") - (F.col("_upto") - F.col("_en"))).alias("_need"))
+        .select(label, "_eb", (F.col("_k") - (F.col("_upto") - F.col("_en"))).alias("_need"))
     )
-    in_edge = narrow.select(F.col(label).alias("_l"), "_b", "_h", "_key").join(
-        F.broadcast(edge), ["_l"]).where(F.col("_b") == F.col("_eb"))
-    rank = F.row_number().over(W.partitionBy("_l").orderBy("_h", "_key"))
+    # one row per label in both tables
+    few = edge.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS
+    in_edge = _of_label(narrow, edge, label, ["_eb", "_need"], few).where(F.col("_b") == F.col("_eb"))
+    rank = F.row_number().over(W.partitionBy(label).orderBy("_h", "_key"))
     cut = in_edge.withColumn("_r", rank).where(F.col("_r") == F.col("_need")).select(
-        F.col("_l"), F.col("_h").alias("_ch"), F.col("_key").alias("_ck"))
-    joined = hashed.join(F.broadcast(cut), F.col(label) == F.col("_l"), "left")
+        label, F.col("_h").alias("_ch"), F.col("_key").alias("_ck"))
+    joined = _of_label(hashed, cut, label, ["_ch", "_ck"], few)
     chosen = (F.col("_h") < F.col("_ch")) | ((F.col("_h") == F.col("_ch")) & (F.col(key).cast("string") <= F.col("_ck")))
     return joined.select(*df.columns, F.when(chosen, "validation").otherwise("train").alias("split"))
 
