@@ -127,3 +127,61 @@ def test_split_is_the_same_however_many_labels(spark, monkeypatch):
     few = sorted(map(tuple, dataset.stratified_split(df, ratio=0.3).collect()))
     monkeypatch.setattr(dataset, "MAX_BROADCAST_ROWS", 3)
     assert sorted(map(tuple, dataset.stratified_split(df, ratio=0.3).collect())) == few
+
+
+WORDS = {"neutral": "report about numbers", "negative": "terrible useless waste", "positive": "love great amazing"}
+
+
+@pytest.fixture(scope="module")
+def labelled_stages(spark):
+    rows = [(f"{l}{i}", f"{w} {i % 5} tools", FINAL_LABELS.index(l), l) for l, w in WORDS.items() for i in range(30)]
+    split = dataset.stratified_split(spark.createDataFrame(rows, "post_id string, text string, label int, label_name string"), ratio=0.4)
+    return dataset.derive_stage_rows(split).cache()
+
+
+@pytest.mark.parametrize("learner", ["counts", "epochs"])
+def test_stored_models_predict_as_they_were_trained(spark, labelled_stages, tmp_path, learner):
+    out = {r["stage"]: r for r in training.fit_hierarchy(labelled_stages, str(tmp_path), learner=learner).collect()}
+    assert {s: (r["train_rows"], r["validation_rows"]) for s, r in out.items()} == {"subjectivity": (54, 36), "polarity": (36, 24)}
+    assert out["polarity"]["macro_f1"] == 1.0
+    finals = labelled_stages.where("stage = 'final_label' and split = 'validation'").select("post_id", "text", "label_name")
+    assert training.predict_stored(finals, str(tmp_path)).where("final_label <> label_name").count() == 0
+    config = {r["stage"]: r for r in training.stored_config(spark, str(tmp_path)).collect()}
+    assert {s: r["decision_threshold"] for s, r in config.items()} == {s: r["selected_threshold"] for s, r in out.items()}
+    counts = {r["stage"]: r["total"] for r in spark.read.parquet(f"{tmp_path}/stage_counts").collect()}
+    assert counts == {"final_label": 90, "subjectivity": 90, "polarity": 60}
+
+
+def test_early_stopping_keeps_the_best_epoch(spark, labelled_stages):
+    from voxtide.operators import classifiers
+
+    rows = labelled_stages.where("stage = 'polarity'").select("text", "label_name", "split").cache()
+    train, validation = rows.where("split = 'train'"), rows.where("split = 'validation'")
+    model = classifiers.fit_epochs(train, validation, ["negative", "positive"], epochs=20, patience=2)
+    assert 0 < model.best_epoch <= model.epochs <= model.best_epoch + 2 < 20
+    # labels turned round on the validation rows: nothing is gained, the first model stays
+    turned = validation.withColumn("label_name", F.when(F.col("label_name") == "positive", "negative").otherwise("positive"))
+    model = classifiers.fit_epochs(train, turned, ["negative", "positive"], epochs=20, patience=2)
+    assert (model.epochs, model.best_epoch) == (2, 0) and not model.weights[:-1].any()
+    none = classifiers.fit_epochs(train.limit(0), validation, ["negative", "positive"])
+    assert none.epochs == 0 and not none.weights.any()
+
+
+def test_counted_scores_are_naive_bayes(spark):
+    from voxtide.operators import classifiers
+
+    train = spark.createDataFrame([("good good fun", "positive"), ("good day", "positive"), ("bad day", "negative"), (None, "negative")], "text string, label_name string")
+    model = classifiers.fit_counts(train, ["negative", "positive"])
+    rows = spark.createDataFrame([(1, "good day"), (2, "unseen words"), (3, ""), (4, None)], "post_id long, text string")
+    got = {r["post_id"]: r["scores"]["positive"] for r in model.scores(rows).collect()}
+    # 4 terms; positive: good 2, fun 1, day 1; negative: bad 1, day 1
+    p, n = (3 / 8) * (2 / 8), (1 / 6) * (2 / 6)
+    assert got == {1: round(p / (p + n), 6), 2: 0.5, 3: 0.5, 4: 0.5}
+
+
+def test_comparison_leaves_out_what_chose_the_models(spark, labelled_stages, tmp_path):
+    rows = training.held_apart(labelled_stages)
+    parts = {r[0]: r[1] for r in rows.where("stage = 'final_label'").groupBy("split").count().collect()}
+    assert parts["train"] == 54 and parts["validation"] + parts["test"] == 36 and min(parts.values()) > 5
+    out = {r["variant"]: r["accuracy"] for r in training.compare_on_test(labelled_stages, jobs.untrained_two_stage, str(tmp_path)).collect()}
+    assert out["hierarchical_trained"] == out["no_hierarchy"] == 1.0 >= out["no_training"]

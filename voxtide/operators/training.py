@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import os
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxtide.operators.labels import at_least, hierarchical_predict, score_map
+from voxtide.operators.classifiers import fit_counts, fit_epochs, load_model, read_config, save_model
+from voxtide.operators.dataset import label_anomalies, stage_counts
+from voxtide.operators.labels import at_least, hierarchical_predict, score_map, with_label_config
 from voxtide.operators.metrics import METRICS, binary_metrics, multiclass_metrics, side_by_side, tune_threshold
 from voxtide.schema import FINAL_LABELS, POLARITY_LABELS, SUBJECTIVITY_LABELS
 
@@ -126,3 +129,94 @@ def ablation_compare(stage_rows: DataFrame, untrained, **kwargs) -> DataFrame:
         multiclass_metrics(d, FINAL_LABELS).select(F.lit(v).alias("variant"), "accuracy", "macro_f1", "weighted_f1")
         for v, d in variants.items()
     ])
+
+
+# ---- stored models ------------------------------------------------------------------
+
+STAGES = {"subjectivity": (SUBJECTIVITY_LABELS, "opinionated"), "polarity": (POLARITY_LABELS, "positive")}
+
+
+def stage_score(model, labels: list[str], positive: str, rows: DataFrame) -> DataFrame:
+    """gold, predicted at 0.5 and score of the positive label of labelled rows."""
+    scored = model.scores(rows).select(F.col("label_name").alias("gold"), F.element_at("scores", positive).alias("score"))
+    other = next(l for l in labels if l != positive)
+    return scored.withColumn("predicted", F.when(at_least(F.col("score"), 0.5), positive).otherwise(other))
+
+
+def fit_stage(rows: DataFrame, stage: str, path: str, learner: str = "epochs", metric: str = "macro_f1", **kwargs) -> DataFrame:
+    """Train one two-class stage on its rows (post_id, text, label_name, split), choose
+    the threshold on the validation rows and write model, threshold and labels below
+    `path`. Returns one row: the stage, its counts, the share of the label most
+    validation rows have, the metrics at 0.5, the threshold chosen and the epochs."""
+    labels, positive = STAGES[stage]
+    train, validation = (rows.where(F.col("split") == s) for s in ("train", "validation"))
+    model = fit_epochs(train, validation, labels, metric, **kwargs) if learner == "epochs" else fit_counts(train, labels, **kwargs)
+    scored = stage_score(model, labels, positive, validation)
+    # two rows of numbers: found once, then kept as a row of literals
+    tuned = tune_threshold(scored, positive, metric).select("threshold", "metric_value").first()
+    save_model(model, path, rows.sparkSession, stage, positive, tuned["threshold"], metric, tuned["metric_value"])
+    counts = rows.agg(
+        F.count_if(F.col("split") == "train").alias("train_rows"), F.count_if(F.col("split") == "validation").alias("validation_rows"),
+        *[F.count_if((F.col("split") == "validation") & (F.col("label_name") == l)).alias(f"_n{i}") for i, l in enumerate(labels)])
+    counts = counts.select("train_rows", "validation_rows", (F.greatest("_n0", "_n1") / F.nullif("validation_rows", F.lit(0))).alias("majority_accuracy"))
+    out = side_by_side(counts, binary_metrics(scored, positive).select(*METRICS))
+    return out.select(
+        F.lit(stage).alias("stage"), "*", F.lit(tuned["threshold"]).alias("selected_threshold"),
+        F.lit(tuned["metric_value"]).alias("threshold_metric_value"), F.lit(model.epochs).alias("epochs"), F.lit(model.best_epoch).alias("best_epoch"))
+
+
+def fit_hierarchy(stage_rows: DataFrame, path: str, label_rows: DataFrame | None = None, learner: str = "epochs", **kwargs) -> DataFrame:
+    """Both stages from derived stage rows, each stored in a folder of its own below
+    `path`, next to `stage_counts` and, where the label rows are given, `anomalies`.
+    Returns the metrics, one row a stage."""
+    out = [fit_stage(stage_rows.where(F.col("stage") == s).drop("stage"), s, os.path.join(path, s), learner, **kwargs) for s in STAGES]
+    stage_counts(stage_rows).coalesce(1).write.mode("overwrite").parquet(os.path.join(path, "stage_counts"))
+    if label_rows is not None:
+        label_anomalies(label_rows).coalesce(1).write.mode("overwrite").parquet(os.path.join(path, "anomalies"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def stored_config(spark: SparkSession, path: str) -> DataFrame:
+    """Labels, positive label and threshold of the stages stored below `path`."""
+    stages = spark.createDataFrame([(s, *of) for s, of in STAGES.items()], "stage string, default_labels array<string>, default_positive string")
+    return with_label_config(stages, read_config(spark, *[os.path.join(path, s) for s in STAGES]))
+
+
+def predict_stored(rows: DataFrame, path: str) -> DataFrame:
+    """Two-stage labels of rows by the models and thresholds stored below `path`."""
+    spark = rows.sparkSession
+    config = {r["stage"]: r for r in stored_config(spark, path).collect()}  # two rows
+    models = {s: load_model(spark, os.path.join(path, s)) for s in STAGES}
+    one, two = config["subjectivity"], config["polarity"]
+    return hierarchical_predict(rows, models["subjectivity"].scores, models["polarity"].scores, one["decision_threshold"], two["decision_threshold"],
+                                one["labels"], one["positive_label"], two["labels"], two["positive_label"])
+
+
+def top_label(scores: str, labels: list[str]) -> Column:
+    """The label with the highest score, the first one on ties."""
+    best = F.greatest(*[F.element_at(scores, l) for l in labels])
+    return F.coalesce(*[F.when(F.element_at(scores, l) == best, l) for l in labels])
+
+
+def held_apart(rows: DataFrame, key: str = "post_id") -> DataFrame:
+    """Rows of a split whose validation half is cut in two by a hash of the key:
+    `validation` chooses models and thresholds, `test` is looked at once."""
+    odd = F.ascii(F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit(":test")).cast("binary")), 32, 1)) % 2 == 1
+    return rows.withColumn("split", F.when((F.col("split") == "validation") & odd, "test").otherwise(F.col("split")))
+
+
+def compare_on_test(stage_rows: DataFrame, untrained, path: str, learner: str = "counts", **kwargs) -> DataFrame:
+    """The variants of `ablation_compare` with stored models, measured on rows that
+    chose neither a model nor a threshold. variant, accuracy, macro_f1, weighted_f1."""
+    rows = held_apart(stage_rows)
+    finals = rows.where(F.col("stage") == "final_label").drop("stage")
+    test = finals.where(F.col("split") == "test").select("post_id", "text", "label_name")
+    fit_hierarchy(rows, path, learner=learner, **kwargs)
+    flat = fit_counts(finals.where(F.col("split") == "train"), FINAL_LABELS)
+    variants = {
+        "hierarchical_trained": predict_stored(test, path).select(F.col("label_name").alias("gold"), F.col("final_label").alias("predicted")),
+        "no_training": untrained(test),
+        "no_hierarchy": flat.scores(test).select(F.col("label_name").alias("gold"), top_label("scores", FINAL_LABELS).alias("predicted")),
+    }
+    return reduce(DataFrame.unionByName, [
+        multiclass_metrics(d, FINAL_LABELS).select(F.lit(v).alias("variant"), "accuracy", "macro_f1", "weighted_f1") for v, d in variants.items()])

@@ -7,7 +7,8 @@ import re
 from pyspark.sql import functions as F
 
 from voxtide.functions import vocab
-from voxtide.operators import agreement, dataset, labels, metrics, relevance, training
+from voxtide.functions.text import WORD_BODY
+from voxtide.operators import agreement, classifiers, dataset, labels, metrics, relevance, training
 from voxtide.operators.votes import argmax, softmax
 from voxtide.plans import jobs
 from voxtide.plans.catalog_text import D_SCORING, d_top, d_votes
@@ -511,18 +512,6 @@ def sarcasm_evaluation(spark, sf):
     return rounded(metrics.sarcasm_evaluation(scored(spark, sf), gold="sarcastic_gold", score="sarcastic_score"))
 
 
-@query("pretrained_vs_trained", f"""with a as (with {d_counts('gold', 'opinionated_score >= 0.5', 'opinionated', 'scored')}, {d_binary('cf')} select * from bm),
-  b as (with {d_counts('gold', 'positive_score >= 0.5', 'opinionated', 'scored')}, {d_binary('cf')} select * from bm)
-  select 'subjectivity' task, round(a.accuracy, 6) accuracy_a, round(a.macro_f1, 6) macro_f1_a, round(b.accuracy, 6) accuracy_b, round(b.macro_f1, 6) macro_f1_b,
-  round(b.accuracy - a.accuracy, 6) accuracy_gain, round(b.macro_f1 - a.macro_f1, 6) macro_f1_gain from a, b""")
-def pretrained_vs_trained(spark, sf):
-    sides = []
-    for score in ("opinionated_score", "positive_score"):
-        pred = scored(spark, sf).withColumn("predicted", labels.apply_threshold(score, "opinionated", SUBJECTIVITY_LABELS, 0.5))
-        sides.append(metrics.binary_metrics(pred, "opinionated").withColumn("task", F.lit("subjectivity")))
-    return rounded(metrics.compare_models(*sides))
-
-
 D_FINALS_VAL = f"{D_SPLIT}, fv as (select * from split_rows where split = 'validation')"
 
 
@@ -587,22 +576,160 @@ def stage_rows(spark, sf):
     return cut_lineage(dataset.derive_stage_rows(finals_split(spark, sf)))
 
 
-@query("train_stage")
+def d_counted(n: str, train: str, rows: str, labels: list[str]) -> str:
+    """Common table `n`: the rows of a source with p0.. of the count-based classifier
+    that another source trains; `n_words` has its weights."""
+    k = range(len(labels))
+    term = f"unnest(list_distinct(regexp_extract_all(lower(text), '[{WORD_BODY}]+'))) term"
+    return f"""{n}_n as (select {', '.join(f"ln(greatest(count(*) filter (label_name = '{l}'), 1)::double / ({' + '.join(f"greatest(count(*) filter (label_name = '{m}'), 1)" for m in labels)})) q{i}" for i, l in enumerate(labels))} from {train}),
+  {n}_c as (select term, {', '.join(f"count(*) filter (label_name = '{l}') c{i}" for i, l in enumerate(labels))} from (select label_name, {term} from {train}) group by term),
+  {n}_v as (select count(*) v, {', '.join(f'sum(c{i}) s{i}' for i in k)} from {n}_c),
+  {n}_words as (select term, {', '.join(f'ln((c{i} + 1)::double / (s{i} + v)::double) w{i}' for i in k)} from {n}_c, {n}_v),
+  {n}_s as (select post_id, {', '.join(f'sum(w{i}) w{i}' for i in k)} from (select post_id, {term} from {rows}) join {n}_words using (term) group by post_id),
+  {n}_z as (select r.*, {', '.join(f'q{i} + coalesce(w{i}, 0) z{i}' for i in k)} from {rows} r cross join {n}_n left join {n}_s using (post_id)),
+  {n}_e as (select *, {', '.join(f"exp(z{i} - greatest({', '.join(f'z{j}' for j in k)})) e{i}" for i in k)} from {n}_z),
+  {n} as (select * exclude ({', '.join(f'z{i}, e{i}' for i in k)}), {', '.join(f"round(e{i} / ({' + '.join(f'e{j}' for j in k)}), 6) p{i}" for i in k)} from {n}_e)"""
+
+
+def d_stage(stage: str, split: str, name: str, source: str = "stage_rows") -> str:
+    return f"{name} as (select post_id, text, label_name from {source} where stage = '{stage}' and split = '{split}')"
+
+
+def d_tuned(name: str, source: str, pos: str, metric: str = "macro_f1") -> str:
+    """Common table `name`: threshold t and metric m, best by the sweep over p1."""
+    return f"{name} as (with {d_sweep('label_name', 'p1', pos, source)} select t, {metric} m from bm order by {metric} desc, abs(t - 0.5::double), t limit 1)"
+
+
+def d_hierarchy(rows: str, source: str = "stage_rows") -> str:
+    """Common tables of the stored count-based hierarchy: `sub` and `pol` score `rows`,
+    `tsub` and `tpol` hold the thresholds."""
+    parts = []
+    for s, stage, labels, pos in (("sub", "subjectivity", SUBJECTIVITY_LABELS, "opinionated"), ("pol", "polarity", POLARITY_LABELS, "positive")):
+        parts += [d_stage(stage, "train", f"{s}_train", source), d_stage(stage, "validation", f"{s}_val", source),
+                  d_counted(f"{s}_check", f"{s}_train", f"{s}_val", labels), d_tuned(f"t{s}", f"{s}_check", pos), d_counted(s, f"{s}_train", rows, labels)]
+    return ", ".join(parts)
+
+
+MAJORITY = {"subjectivity": SUBJECTIVITY_LABELS, "polarity": POLARITY_LABELS}
+
+
+def d_trained(stage: str) -> str:
+    """One row: what is certain of a trained stage."""
+    a, b = (f"count(*) filter (split = 'validation' and label_name = '{l}')" for l in MAJORITY[stage])
+    return f"""select '{stage}' stage, count(*) filter (split = 'train') train_rows, count(*) filter (split = 'validation') validation_rows,
+  round(greatest({a}, {b}) / nullif(count(*) filter (split = 'validation'), 0)::double, 6) majority_accuracy,
+  true at_least_majority, true threshold_helps, true reloaded_equal from stage_rows where stage = '{stage}'"""
+
+
+def checked(spark, rows, trained, path, stage):
+    """The trained stage's row next to what its stored model gives when read back."""
+    names, positive = training.STAGES[stage]
+    model = classifiers.load_model(spark, path)
+    again = training.stage_score(model, names, positive, rows.where("split = 'validation'"))
+    again = metrics.binary_metrics(again, positive).select(F.col("macro_f1").alias("_again"))
+    config = classifiers.read_config(spark, path).select(F.col("decision_threshold").alias("_threshold"))
+    both = metrics.side_by_side(metrics.side_by_side(trained, again), config)
+    a = F.col("majority_accuracy")
+    return both.select(
+        "stage", "train_rows", "validation_rows", F.round(a, 6).alias("majority_accuracy"),
+        # the label most rows have alone: one F1 of 2a / (1 + a), the other 0
+        (F.col("macro_f1") >= a / (1 + a) - 1e-9).alias("at_least_majority"),
+        (F.col("threshold_metric_value") >= F.col("macro_f1")).alias("threshold_helps"),
+        ((F.abs(F.col("_again") - F.col("macro_f1")) < 1e-9) & (F.col("_threshold") == F.col("selected_threshold"))).alias("reloaded_equal"))
+
+
+@query("train_stage", f"with {D_STAGES} {d_trained('subjectivity')}")
 def train_stage(spark, sf):
     rows = stage_rows(spark, sf).where("stage = 'subjectivity'").drop("stage")
-    return training.train_stage(rows, SUBJECTIVITY_LABELS, "opinionated")[1]
+    path = shared_dir(spark, "stage")
+    return checked(spark, rows, training.fit_stage(rows, "subjectivity", path), path, "subjectivity")
 
 
-@query("train_hierarchical")
+@query("train_hierarchical", f"with {D_STAGES}, {d_hierarchy('pol_val')} "
+       "select 'subjectivity' stage, ['neutral', 'opinionated'] labels, 'opinionated' positive_label, t decision_threshold, round(m, 6) threshold_metric_value, "
+       "(select count(*) from stage_rows where stage = 'subjectivity') total, (select count(*) from stage_rows where stage = 'subjectivity' and split = 'train') train from tsub "
+       "union all select 'polarity', ['negative', 'positive'], 'positive', t, round(m, 6), (select count(*) from stage_rows where stage = 'polarity'), "
+       "(select count(*) from stage_rows where stage = 'polarity' and split = 'train') from tpol")
 def train_hierarchical(spark, sf):
-    return training.train_hierarchical(stage_rows(spark, sf))[1]
+    path = shared_dir(spark, "hierarchy")
+    training.fit_hierarchy(stage_rows(spark, sf), path, manual(spark, sf), learner="counts")
+    config = classifiers.read_config(spark, *[f"{path}/{s}" for s in training.STAGES])
+    counts = spark.read.parquet(f"{path}/stage_counts").select("stage", "total", "train")
+    return rounded(config.select("stage", "labels", "positive_label", "decision_threshold", "threshold_metric_value").join(F.broadcast(counts), "stage"))
+
+
+@query("predict_stored", f"""with {D_STAGES}, {d_stage('final_label', 'validation', 'fin')}, {d_hierarchy('fin')}
+  select sub.post_id, case when sub.p1 >= tsub.t then 'opinionated' else 'neutral' end stage1_label, round(case when sub.p1 >= tsub.t then sub.p1 else sub.p0 end, 6) stage1_score,
+    case when sub.p1 >= tsub.t then case when pol.p1 >= tpol.t then 'positive' else 'negative' end end stage2_label,
+    case when sub.p1 >= tsub.t then round(case when pol.p1 >= tpol.t then pol.p1 else pol.p0 end, 6) end stage2_score,
+    case when not sub.p1 >= tsub.t then 'neutral' when pol.p1 >= tpol.t then 'positive' else 'negative' end final_label
+  from sub join pol using (post_id), tsub, tpol""")
+def predict_stored(spark, sf):
+    path, rows = shared_dir(spark, "hierarchy"), stage_rows(spark, sf)
+    training.fit_hierarchy(rows, path, learner="counts")
+    finals = rows.where("stage = 'final_label' and split = 'validation'").select("post_id", "text")
+    return rounded(training.predict_stored(finals, path).select("post_id", "stage1_label", "stage1_score", "stage2_label", "stage2_score", "final_label"))
+
 
+D_FLAT = f"{d_stage('final_label', 'train', 'flat_train')}, {d_stage('final_label', 'validation', 'flat_val')}, {d_counted('flat', 'flat_train', 'flat_val', FINAL_LABELS)}"
+D_FLAT_TOP = f"{d_list(FINAL_LABELS)}[list_position([p0, p1, p2], greatest(p0, p1, p2))]"
 
-@query("train_flat")
+
+@query("train_flat", f"""with {D_STAGES}, {D_FLAT}, pr as (select label_name gold, {D_FLAT_TOP} predicted from flat), {d_multi('pr')}
+  select {', '.join(f'round({m}, 6) {m}' for m in M_MULTI)} from mm""")
 def train_flat(spark, sf):
-    return training.train_flat(stage_rows(spark, sf))[1]
+    finals = stage_rows(spark, sf).where("stage = 'final_label'")
+    model = classifiers.fit_counts(finals.where("split = 'train'"), FINAL_LABELS)
+    pred = model.scores(finals.where("split = 'validation'").select("post_id", "text", "label_name")).select(
+        F.col("label_name").alias("gold"), training.top_label("scores", FINAL_LABELS).alias("predicted"))
+    return rounded(metrics.multiclass_metrics(pred, FINAL_LABELS))
+
+
+@query("train_flat_weights", f"with {D_STAGES}, {D_FLAT} select term, round(w0, 6) w0, round(w1, 6) w1, round(w2, 6) w2 from flat_words")
+def train_flat_weights(spark, sf):
+    train = stage_rows(spark, sf).where("stage = 'final_label' and split = 'train'")
+    return rounded(classifiers.fit_counts(train, FINAL_LABELS).weights)
+
 
+# Rows that chose neither model nor threshold: the test part of the split.
+D_APART = """apart as (select * replace (case when split = 'validation' and ascii(substr(md5(post_id || ':test'), 32, 1)) % 2 = 1 then 'test' else split end as split) from stage_rows)"""
 
-@query("ablation_compare")
+
+def d_on_test(variant: str, source: str) -> str:
+    return f"(with {d_multi(source)} select '{variant}' variant, round(accuracy, 6) accuracy, round(macro_f1, 6) macro_f1, round(weighted_f1, 6) weighted_f1 from mm)"
+
+
+@query("ablation_compare", f"""with {D_STAGES}, {D_APART}, {d_stage('final_label', 'test', 'fin', 'apart')}, {d_hierarchy('fin', 'apart')},
+  {d_stage('final_label', 'train', 'flat_train', 'apart')}, {d_counted('flat', 'flat_train', 'fin', FINAL_LABELS)},
+  {d_votes(SUB, 'fin', 'text', name='va')}, {d_votes(POL, 'fin', 'text', name='vb')},
+  st as (select post_id, {d_top(SUB_LABELS)} s1 from va), sp as (select post_id, {d_top(POL_LABELS)} s2 from vb),
+  pr_two as (select sub.label_name gold, case when not sub.p1 >= tsub.t then 'neutral' when pol.p1 >= tpol.t then 'positive' else 'negative' end predicted from sub join pol using (post_id), tsub, tpol),
+  pr_none as (select label_name gold, case when s1 = 'neutral' then 'neutral' else s2 end predicted from fin join st using (post_id) join sp using (post_id)),
+  pr_flat as (select label_name gold, {D_FLAT_TOP} predicted from flat)
+  {d_on_test('hierarchical_trained', 'pr_two')} union all {d_on_test('no_training', 'pr_none')} union all {d_on_test('no_hierarchy', 'pr_flat')}""")
 def ablation_compare(spark, sf):
-    return training.ablation_compare(stage_rows(spark, sf), jobs.untrained_two_stage)
+    return rounded(training.compare_on_test(stage_rows(spark, sf), jobs.untrained_two_stage, shared_dir(spark, "ablation")))
+
+
+@query("pretrained_vs_trained", f"""with {D_STAGES}, {D_APART}, {d_stage('subjectivity', 'test', 'sv', 'apart')},
+  {d_votes(SUB, 'sv', 'text', name='va')}, pre as (select label_name gold, {d_top(SUB_LABELS)} predicted from va join sv using (post_id)),
+  {d_stage('subjectivity', 'train', 'sub_train', 'apart')}, {d_stage('subjectivity', 'validation', 'sub_val', 'apart')},
+  {d_counted('sub_check', 'sub_train', 'sub_val', SUBJECTIVITY_LABELS)}, {d_tuned('tsub', 'sub_check', 'opinionated')}, {d_counted('sub', 'sub_train', 'sv', SUBJECTIVITY_LABELS)},
+  own as (select label_name gold, case when p1 >= t then 'opinionated' else 'neutral' end predicted from sub, tsub),
+  a as (with {d_counts('gold', "predicted = 'opinionated'", 'opinionated', 'pre')}, {d_binary('cf')} select * from bm),
+  b as (with {d_counts('gold', "predicted = 'opinionated'", 'opinionated', 'own')}, {d_binary('cf')} select * from bm)
+  select 'subjectivity' task, round(a.accuracy, 6) accuracy_a, round(a.macro_f1, 6) macro_f1_a, round(b.accuracy, 6) accuracy_b, round(b.macro_f1, 6) macro_f1_b,
+  round(b.accuracy - a.accuracy, 6) accuracy_gain, round(b.macro_f1 - a.macro_f1, 6) macro_f1_gain from a, b""")
+def pretrained_vs_trained(spark, sf):
+    """Label scoring without training against the trained, stored stage, on rows neither has seen."""
+    rows = training.held_apart(stage_rows(spark, sf).where("stage = 'subjectivity'").drop("stage"))
+    path = shared_dir(spark, "stage")
+    training.fit_stage(rows, "subjectivity", path, learner="counts")
+    test = rows.where("split = 'test'").select("post_id", "text", "label_name")
+    untrained = relevance.candidate_scores(test, SUB, ["post_id", "label_name"], "text").select(
+        F.col("label_name").alias("gold"), relevance.top_label(SUB_LABELS).alias("predicted"))
+    threshold = classifiers.read_config(spark, path).select("decision_threshold").first()[0]
+    own = classifiers.load_model(spark, path).scores(test).select(F.col("label_name").alias("gold"), labels.apply_threshold(
+        F.element_at("scores", "opinionated"), "opinionated", SUBJECTIVITY_LABELS, threshold).alias("predicted"))
+    sides = [metrics.binary_metrics(d, "opinionated").withColumn("task", F.lit("subjectivity")) for d in (untrained, own)]
+    return rounded(metrics.compare_models(*sides))
