@@ -84,3 +84,31 @@ def test_entities_and_emoji(spark):
         "t", cleaning.demojize("t").alias("o")).collect()}
     assert named == {"ok \U0001F970\U0001F973!": "ok  smiling_face_with_smiling_eyes_and_three_hearts  face_with_party_horn_and_party_hat !",
                      "\U0001F600": " grinning_face ", "none": "none", None: None}
+
+
+def test_tags_end_outside_of_quotes(spark):
+    cases = {
+        '<a title="x > y">link</a>': " link ", "<img alt='a > b' src=i.png>z": " z", "<p>it's</p> 1 < 2 > 0": " it's  1 < 2 > 0", "a <b c=\"d>e": "a  e",
+        '<a x = "1>2" y=3 z>t': " t", "&lbrace;&Tab;&NotEqualTilde;": "{\t≂̸", "<br/><!-- > -->x": "  x", '<a x==">">y': ' ">y',
+        "<a " + "b=c " * 20_000 + "d='>'>e": " '>e", "<a " + "=" * 50_000: "<a " + "=" * 50_000,
+    }
+    df = spark.createDataFrame([(t,) for t in cases], "t string")
+    assert {r["t"]: r["o"] for r in df.select("t", cleaning.strip_html("t").alias("o")).collect()} == cases
+
+
+@pytest.mark.parametrize("emoji, name", [
+    ("\U0001F1E9\U0001F1EA", "flag_de"), ("⏰", "alarm_clock"), ("\U0001F469‍\U0001F4BB", "woman_technologist"), ("\U0001F44D\U0001F3FD", "thumbs_up_medium_skin_tone"),
+    ("1️⃣", "keycap_1"), ("#⃣", "keycap_#"), ("❤️", "red_heart"), ("\U0001F469\U0001F3FE‍\U0001F680", "woman_astronaut_medium-dark_skin_tone"),
+    ("\U0001F3F4\U000E0067\U000E0062\U000E0073\U000E0063\U000E0074\U000E007F", "flag_gbsct"), ("\U0001F9D1‍⚕️", "health_worker"),
+    ("\U0001F468‍\U0001F469‍\U0001F467", "man_woman_girl"), ("\U0001F3FF", "emoji_modifier_fitzpatrick_type-6"), ("™", "trade_mark_sign"),
+])
+def test_emoji_sequences_have_one_name(spark, emoji, name):
+    rows = [(f"a{emoji}b",), (emoji * 2,), (f"x {emoji}",)]
+    got = [r[0] for r in spark.createDataFrame(rows, "t string").select(cleaning.demojize("t")).collect()]
+    assert got == [f"a {name} b", f" {name}  {name} ", f"x  {name} "]
+
+
+def test_what_is_no_emoji_stays(spark):
+    rows = ["\U0001F1E9 a", "1 # *", "\U0001F1E6\U0001F1E9\U0001F1EA\U0001F1F8 \U0001F1E9\U0001F1EA", "‍", ""]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in rows], "t string").select(cleaning.demojize("t")).collect()]
+    assert got == ["\U0001F1E9 a", "1 # *", " flag_ad  flag_es   flag_de ", "‍", ""]

@@ -8,7 +8,7 @@ passing another table to the operator that takes it.
 from __future__ import annotations
 
 import unicodedata
-from html.entities import name2codepoint
+from html.entities import html5
 
 # ---- Fixed values ---------------------------------------------------------
 
@@ -58,8 +58,8 @@ KAPPA_BANDS = [(0.20, "slight"), (0.40, "fair"), (0.60, "moderate"), (0.80, "sub
 
 # ---- Seed vocabularies (own) ----------------------------------------------
 
-# Every named entity of HTML 4, from Python's own table; a hard space is a space.
-HTML_ENTITIES = {f"&{name};": chr(code) for name, code in sorted(name2codepoint.items())} | {"&apos;": "'", "&nbsp;": " "}
+# Every named entity of HTML 5 that ends in a semicolon, from Python's own table; a hard space is a space.
+HTML_ENTITIES = {f"&{name}": chars for name, chars in sorted(html5.items()) if name.endswith(";")} | {"&nbsp;": " "}
 
 # (pattern, replacement), applied in order to text that holds an apostrophe.
 CONTRACTION_RULES = [
@@ -91,10 +91,33 @@ EMOJI_NAMES = {
 
 # Where emoji stand in Unicode; names beyond those above follow the character's own.
 EMOJI_RANGES = [(0x2600, 0x27BF), (0x2B50, 0x2B50), (0x1F300, 0x1FAFF)]
-EMOJI_NAMES = {
-    chr(c): unicodedata.name(chr(c)).lower().replace(" ", "_").replace("'", "")
-    for low, high in EMOJI_RANGES for c in range(low, high + 1) if unicodedata.category(chr(c)) in ("So", "Sk")
-} | EMOJI_NAMES
+# Emoji among the signs of other blocks.
+EMOJI_SIGNS = [
+    (0xA9, 0xA9), (0xAE, 0xAE), (0x203C, 0x203C), (0x2049, 0x2049), (0x2122, 0x2122), (0x2139, 0x2139), (0x2194, 0x2199), (0x21A9, 0x21AA),
+    (0x231A, 0x231B), (0x2328, 0x2328), (0x23CF, 0x23CF), (0x23E9, 0x23F3), (0x23F8, 0x23FA), (0x24C2, 0x24C2), (0x25AA, 0x25AB), (0x25B6, 0x25B6),
+    (0x25C0, 0x25C0), (0x25FB, 0x25FE), (0x2934, 0x2935), (0x2B05, 0x2B07), (0x2B1B, 0x2B1C), (0x2B55, 0x2B55), (0x3030, 0x3030), (0x303D, 0x303D),
+    (0x3297, 0x3297), (0x3299, 0x3299), (0x1F004, 0x1F004), (0x1F0CF, 0x1F0CF), (0x1F170, 0x1F171), (0x1F17E, 0x1F17F), (0x1F18E, 0x1F18E),
+    (0x1F191, 0x1F19A), (0x1F201, 0x1F202), (0x1F21A, 0x1F21A), (0x1F22F, 0x1F22F), (0x1F232, 0x1F23A), (0x1F250, 0x1F251),
+]
+
+
+def _named(c: int) -> str:
+    return unicodedata.name(chr(c)).lower().replace(" ", "_").replace("'", "")
+
+
+# What a person joined with a thing is called.
+EMOJI_TRADES = {
+    "⚕": "health_worker", "⚖": "judge", "✈": "pilot", "🌾": "farmer", "🍳": "cook", "🎓": "student", "🎤": "singer", "🎨": "artist",
+    "🏫": "teacher", "🏭": "factory_worker", "💻": "technologist", "💼": "office_worker", "🔧": "mechanic", "🔬": "scientist", "🚀": "astronaut", "🚒": "firefighter",
+}
+SKIN_TONES = {"🏻": "light", "🏼": "medium-light", "🏽": "medium", "🏾": "medium-dark", "🏿": "dark"}
+EMOJI_NAMES = (
+    {chr(c): _named(c) for low, high in EMOJI_RANGES for c in range(low, high + 1) if unicodedata.category(chr(c)) in ("So", "Sk")}
+    | {chr(c): _named(c) for low, high in EMOJI_SIGNS for c in range(low, high + 1)}
+    | {f"{person}\u200d{thing}": f"{name}_{trade}" for person, name in (("👩", "woman"), ("👨", "man")) for thing, trade in EMOJI_TRADES.items()}
+    | {f"🧑\u200d{thing}": trade for thing, trade in EMOJI_TRADES.items()}
+    | EMOJI_NAMES
+)
 
 IRREGULAR_LEMMAS = {
     "men": "man", "women": "woman", "children": "child", "people": "people", "feet": "foot",

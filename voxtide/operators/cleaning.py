@@ -13,13 +13,25 @@ from pyspark.sql import functions as F
 from voxtide.functions import vocab
 from voxtide.functions.text import NOT_WS, as_col, collapse, contains_any, exact_hash, where_has, word_count
 from voxtide.operators.skew import attach_stats
-from voxtide.operators.votes import literal_map
+from voxtide.operators.votes import fixed_map, literal_map
 from voxtide.session import cut_lineage
 
 MARKUP_BODIES = "(?is)<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->"
+# A tag whose attribute values may hold `>` between quotes; at each place there is one way
+# on, so no engine searches back. What has more than 100 attributes is left to TAG.
+_VALUE = "[^\\s\"'>][^\\s>]*"
+QUOTED_TAG = f"</?[A-Za-z!][^>=]*(?:=\\s*(?:\"[^\"]*\"[^>=]*|'[^']*'[^>=]*|{_VALUE}\\s[^>=]*)){{0,100}}(?:=\\s*(?:{_VALUE})?)?>"
 TAG = "</?[A-Za-z!][^>]*>"
 ENTITY = "&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
-EMOJI_HINT = "[\\x{2600}-\\x{27BF}\\x{2B50}\\x{1F300}-\\x{1FAFF}]"
+# Emoji: flags of two letters or of tags, keycaps, and signs with their variants and joins.
+_LETTERS, _TAGS = "\\x{1F1E6}-\\x{1F1FF}", "\\x{E0020}-\\x{E007E}"
+_SIGNS = "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in [*vocab.EMOJI_RANGES, *vocab.EMOJI_SIGNS])
+SKIN = "[\\x{1F3FB}-\\x{1F3FF}]"
+_SIGN = f"(?:{SKIN}|[{_SIGNS}](?:\\x{{FE0F}}|{SKIN})?)"
+EMOJI = f"[{_LETTERS}]{{2}}|\\x{{1F3F4}}[{_TAGS}]+\\x{{E007F}}|[0-9#*]\\x{{FE0F}}?\\x{{20E3}}|{_SIGN}(?:\\x{{200D}}{_SIGN})*"
+EMOJI_HINT = f"[{_SIGNS}{_LETTERS}\\x{{20E3}}]"
+FLAG_LETTERS = "".join(chr(c) for c in range(0x1F1E6, 0x1F200))
+FLAG_TAGS = "".join(chr(c) for c in [*range(0xE0030, 0xE003A), *range(0xE0061, 0xE007B)])
 TOKEN = "#\\s*(?:\\w+(?:'\\w+)?|[^\\w\\s])|\\w+(?:'\\w+)?|[^\\w\\s]"
 # Patterns of bot author names.
 BOT_AUTHORS = [r"bot\b", r"\.bot$", r"automod"]
@@ -39,7 +51,7 @@ def decode_entities(text: Column | str) -> Column:
     """Named and numeric entities as the characters they stand for, in one pass:
     what an ampersand's own entity uncovers is not decoded again."""
     text = as_col(text)
-    names = literal_map(vocab.HTML_ENTITIES)
+    names = fixed_map(vocab.HTML_ENTITIES)
 
     def char(e: Column) -> Column:
         digits = F.when(e.rlike("^&#[xX]"), F.conv(F.substring(e, 4, 6), 16, 10)).otherwise(F.regexp_extract(e, "[0-9]+", 0))
@@ -56,9 +68,12 @@ def decode_entities(text: Column | str) -> Column:
 
 
 def strip_html(text: Column | str) -> Column:
-    """Markup out, a space in its place; entities decoded."""
+    """Markup out, a space in its place; entities decoded. A `>` between the quotes of
+    an attribute's value does not end the tag."""
     text = as_col(text)
-    return decode_entities(where_has(text, "<", F.regexp_replace(F.regexp_replace(text, MARKUP_BODIES, " "), TAG, " "), text))
+    bare = F.regexp_replace(text, MARKUP_BODIES, " ")
+    bare = F.regexp_replace(where_has(text, "=", F.regexp_replace(bare, QUOTED_TAG, " "), bare), TAG, " ")
+    return decode_entities(where_has(text, "<", bare, text))
 
 
 def expand_contractions(text: Column | str) -> Column:
@@ -70,12 +85,36 @@ def expand_contractions(text: Column | str) -> Column:
     return where_has(text, "'", out, text)
 
 
+def emoji_name(e: Column, names: dict[str, str] | None = None) -> Column:
+    """Name of one emoji sequence, or null. Variant selectors say nothing; skin tones
+    are named at the end; a join without a name of its own is named by its parts."""
+    table = fixed_map(names or vocab.EMOJI_NAMES)
+    skins = F.transform(F.regexp_extract_all(F.substring(e, 2, 100), F.lit(SKIN), F.lit(0)),
+                        lambda s: F.concat(F.lit("_"), F.element_at(literal_map(vocab.SKIN_TONES), s), F.lit("_skin_tone")))
+    # the first sign is kept even where it is a skin tone by itself
+    bare = F.concat(F.substring(e, 1, 1), F.regexp_replace(F.substring(e, 2, 100), f"\\x{{FE0F}}|{SKIN}", ""))
+    parts = F.transform(F.split(bare, "\\x{200D}"), lambda x: F.element_at(table, x))
+    joined = F.when(F.forall(parts, lambda x: x.isNotNull()), F.array_join(parts, "_"))
+    sign = F.concat(F.coalesce(F.element_at(table, bare), joined), F.array_join(skins, ""))
+    return (
+        F.when(e.rlike(f"^[{_LETTERS}]"), F.concat(F.lit("flag_"), F.translate(e, FLAG_LETTERS, "abcdefghijklmnopqrstuvwxyz")))
+        .when(e.rlike(f"[{_TAGS}]"), F.concat(F.lit("flag_"), F.translate(e, FLAG_TAGS + "\U0001F3F4\U000E007F", "0123456789abcdefghijklmnopqrstuvwxyz")))
+        .when(e.endswith("\u20e3"), F.concat(F.lit("keycap_"), F.substring(e, 1, 1)))
+        .otherwise(sign)
+    )
+
+
 def demojize(text: Column | str, names: dict[str, str] | None = None) -> Column:
-    """Emoji to ` name `; characters without a name stay."""
+    """Emoji to ` name `, the longest sequence at each place as one; what has no name
+    stays. The text is cut at its emoji and put together again in one pass."""
     text = as_col(text)
-    table = literal_map(names or vocab.EMOJI_NAMES)
-    name = lambda e: F.coalesce(F.concat(F.lit(" "), F.element_at(table, e), F.lit(" ")), e)
-    return let(text, lambda t: _replace_all(t, F.array_distinct(F.regexp_extract_all(t, F.lit(EMOJI_HINT), F.lit(0))), name))
+
+    def named(t: Column) -> Column:
+        found = F.transform(F.regexp_extract_all(t, F.lit(EMOJI), F.lit(0)),
+                            lambda e: F.coalesce(F.concat(F.lit(" "), emoji_name(e, names), F.lit(" ")), e))
+        return F.array_join(F.zip_with(F.split(t, EMOJI, -1), found, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+    return let(text, lambda t: F.when(t.rlike(EMOJI_HINT), named(t)).otherwise(t))
 
 
 def lowercase(text: Column | str) -> Column:

@@ -23,6 +23,13 @@ def literal_map(values: dict) -> Column:
     return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
 
 
+def fixed_map(values: dict[str, str]) -> Column:
+    """A map of strings as two literals, for tables of thousands of entries: Spark
+    makes the map once, while the plan is made."""
+    pairs = "\x1e".join(f"{k}\x1f{v}" for k, v in values.items())
+    return F.str_to_map(F.lit(pairs), F.lit("\x1e"), F.lit("\x1f"))
+
+
 def token_votes(df: DataFrame, tokens: Column, keys: list[str], weights: dict[str, dict[str, int]]) -> DataFrame:
     """keys plus v0..vn-1: summed weights of the row's tokens by class; no hit gives zeros."""
     terms = sorted({t for w in weights.values() for t in w})

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from voxtide.functions import vocab
 from voxtide.functions.text import fuzzy_hash
 from voxtide.operators import ingest, language, rules, threads
-from voxtide.operators.cleaning import ENTITY
+from voxtide.operators.cleaning import ENTITY, QUOTED_TAG
 from voxtide.plans import jobs
 from voxtide.plans.registry import (
     D_NWS, D_WORD, WORD_BODY, d_any, d_collapse, d_count, d_fuzzy, d_list, d_trim, d_values, query,
@@ -105,8 +105,8 @@ def comment_quality_gate(spark, sf):
 
 def d_strip(x: str) -> str:
     out = f"regexp_replace({x}, '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->', ' ', 'g')"
-    out = f"regexp_replace({out}, '</?[A-Za-z!][^>]*>', ' ', 'g')"
     quote = lambda t: "'" + t.replace("'", "''") + "'"
+    out = f"regexp_replace(regexp_replace({out}, {quote(QUOTED_TAG)}, ' ', 'g'), '</?[A-Za-z!][^>]*>', ' ', 'g')"
     names = "map {" + ", ".join(f"{quote(e)}: {quote(c)}" for e, c in vocab.HTML_ENTITIES.items()) + "}"
     code = "case when regexp_matches(e, '^&#[xX]') then cast('0x' || substr(e, 4, length(e) - 4) as bigint) else cast(regexp_extract(e, '[0-9]+') as bigint) end"
     char = f"""coalesce(case when starts_with(e, '&#') then case when {code} > 0 and {code} <= 1114111 and not {code} between 55296 and 57343 then chr(cast({code} as int)) end

@@ -29,9 +29,17 @@ def d_contract(x: str) -> str:
 
 
 def d_demojize(x: str) -> str:
-    names = "map {" + ", ".join(f"'{e}': ' {n} '" for e, n in vocab.EMOJI_NAMES.items()) + "}"
-    found = f"list_distinct(regexp_extract_all({x}, '{cleaning.EMOJI_HINT}'))"
-    return f"list_reduce(list_prepend({x}, {found}), lambda a, e: replace(a, e, coalesce({names}[e], e)))"
+    names = "map {" + ", ".join(f"'{e}': '{n}'" for e, n in vocab.EMOJI_NAMES.items()) + "}"
+    skins = "map {" + ", ".join(f"'{e}': '_{n}_skin_tone'" for e, n in vocab.SKIN_TONES.items()) + "}"
+    bare = f"(substr(e, 1, 1) || regexp_replace(substr(e, 2), '\\x{{FE0F}}|{cleaning.SKIN}', '', 'g'))"
+    parts = f"list_transform(string_split({bare}, '\u200d'), lambda s: {names}[s])"
+    name = f"""case when regexp_matches(e, '^[\\x{{1F1E6}}-\\x{{1F1FF}}]') then 'flag_' || translate(e, '{cleaning.FLAG_LETTERS}', 'abcdefghijklmnopqrstuvwxyz')
+      when regexp_matches(e, '[\\x{{E0020}}-\\x{{E007E}}]') then 'flag_' || translate(e, '{cleaning.FLAG_TAGS}\U0001F3F4\U000E007F', '0123456789abcdefghijklmnopqrstuvwxyz')
+      when ends_with(e, '\u20e3') then 'keycap_' || substr(e, 1, 1)
+      else coalesce({names}[{bare}], case when len(list_filter({parts}, lambda p: p is null)) = 0 then array_to_string({parts}, '_') end)
+        || array_to_string(list_transform(regexp_extract_all(substr(e, 2), '{cleaning.SKIN}'), lambda s: {skins}[s]), '') end"""
+    found = f"list_transform(regexp_extract_all({x}, '{cleaning.EMOJI}'), lambda e: coalesce(' ' || ({name}) || ' ', e))"
+    return f"array_to_string(list_transform(list_zip(regexp_split_to_array({x}, '{cleaning.EMOJI}'), {found}), lambda z: z[1] || coalesce(z[2], '')), '')"
 
 
 def d_lemma(t: str) -> str:

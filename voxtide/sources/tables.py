@@ -29,6 +29,8 @@ _TEXT = """case doc_id % 20
   when 9 then text || '!'
   when 10 then '  ' || text || ' '
   when 11 then text || ' https://a.example/x #ai # tools, it' || chr(39) || 's the women' || chr(39) || 's best stories but very slow??'
+  when 12 then '<a href="https://a.example/?a=1&amp;b=2" title="x > y">' || text || '</a> &lbrace; <img alt=' || chr(39) || '1 > 0' || chr(39) || ' src=i.png> &hellip;'
+  when 13 then '🇩🇪🇪🇸 ⏰ 👩‍💻 ' || text || ' 👍🏽👍 ❤️ 1️⃣ 🏃🏿‍♂️ 👩🏾‍🚀 🏴󠁧󠁢󠁳󠁣󠁴󠁿 🇩 ™'
   else text end"""
 
 OPINIONS = {
