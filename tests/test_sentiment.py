@@ -71,3 +71,27 @@ def test_language(spark):
     df = spark.createDataFrame([(1, "the dog of the house", None), (2, "der hund und die frau", None), (3, "???", None), (4, "x", "en")], "post_id long, text string, lang string")
     got = {r["post_id"]: r["detected"] for r in language.with_detected(df, profile).collect()}
     assert got == {1: "en", 2: "de", 3: None, 4: None}
+
+
+def test_joined_lexicon_scores_as_one_in_the_plan(spark):
+    texts = ["GREAT roses, but the coffee was not very good!!", "awful awful awful", "", None, "nothing known here", "I don't love it, really?", "good " * 500]
+    rows = [(1, t) for t in texts] * 2 + [(None, "good")]
+    df = spark.createDataFrame(rows, "post_id long, text string")
+    lexicon = lexicon_table(spark).unionByName(spark.createDataFrame([(None, 1.0), ("roses", None)], "term string, valence double"))
+    # 500,000 terms besides, none of them in the texts
+    many = lexicon.unionByName(spark.range(500_000).selectExpr("concat('w', id) as term", "1.0D as valence"))
+    small, joined, large = (sorted((str(r[0]), r[1]) for r in d.collect()) for d in (
+        lexicon_sentiment(df, lexicon, ["post_id"]), lexicon_sentiment(df, lexicon, ["post_id"], max_terms=0), lexicon_sentiment(df, many, ["post_id"])))
+    assert small == joined == large and len(small) == len(rows) and len({x for _, x in small}) > 4
+    empty = lexicon_sentiment(df, lexicon.limit(0), ["post_id"]).collect()
+    assert len(empty) == len(rows) and {r["sentiment_score"] for r in empty} == {0.0}
+
+
+def test_votes_from_a_table(spark):
+    weights = vocab.RELEVANCE_TERMS
+    table = spark.createDataFrame([(t, *[w.get(t, 0) for w in weights.values()]) for t in sorted({t for w in weights.values() for t in w})],
+                                  ["term", *[f"v{i}" for i in range(len(weights))]])
+    words = list(table.limit(5).toPandas()["term"])
+    df = spark.createDataFrame([(1, " ".join(words)), (1, words[0] * 1 + " x " + words[0]), (2, ""), (3, None)], "post_id long, text string")
+    a, b = (sorted(map(str, relevance.candidate_scores(df, w, ["post_id"], "text").collect())) for w in (weights, table))
+    assert a == b and len(a) == 4

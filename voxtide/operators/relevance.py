@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from voxtide.functions import vocab
 from voxtide.functions.text import as_col, blank_or, tokens
-from voxtide.operators.votes import argmax, softmax, token_votes, votes_array
+from voxtide.operators.votes import argmax, softmax, table_votes, token_votes, votes_array
 from voxtide.schema import RELEVANCE_LABELS
 
 
@@ -16,14 +16,15 @@ def scoring_text(cleaned: str = "cleaned_text", text: str = "text") -> Column:
     return blank_or(cleaned, text)
 
 
-def candidate_scores(df: DataFrame, weights: dict[str, dict[str, int]], keys: list[str], text: Column | str) -> DataFrame:
+def candidate_scores(df: DataFrame, weights: dict[str, dict[str, int]] | DataFrame, keys: list[str], text: Column | str) -> DataFrame:
     """keys plus `votes` (whole numbers) and `scores` (softmax), both in candidate order.
 
-    Texts without a known term get the same score for every label.
+    Texts without a known term get the same score for every label. Weights are a
+    vocabulary per label, or a table (term, v0, v1, ..) of any size.
     """
-    labels = list(weights)
-    votes = token_votes(df, tokens(F.lower(as_col(text))), keys, weights)
-    arr = votes_array(len(labels))
+    vote = table_votes if isinstance(weights, DataFrame) else token_votes
+    votes = vote(df, tokens(F.lower(as_col(text))), keys, weights)
+    arr = votes_array(len(votes.columns) - len(keys))
     return votes.select(*keys, arr.alias("votes"), softmax(F.transform(arr, lambda v: v / 1000.0)).alias("scores"))
 
 

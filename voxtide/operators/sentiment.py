@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from voxtide.functions import vocab
 from voxtide.functions.text import as_col, tokens
 from voxtide.operators.skew import top_n_per_key
-from voxtide.operators.votes import literal_map
+from voxtide.operators.votes import literal_map, looked_up, numbered
 
 
 def lexicon_table(spark: SparkSession, lexicon: dict[str, float] | None = None) -> DataFrame:
@@ -40,38 +40,50 @@ def _shouted(token: Column) -> Column:
 MAX_TERMS = 50_000
 
 
-def lexicon_sentiment(df: DataFrame, lexicon: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """keys plus sentiment_score in [-1, 1]; rows without a known word score 0.
+def lexicon_sentiment(df: DataFrame, lexicon: DataFrame, keys: list[str], text: str = "text", max_terms: int = MAX_TERMS) -> DataFrame:
+    """keys plus sentiment_score in [-1, 1]; rows without a known word score 0. Of a
+    term given twice the higher valence counts.
 
-    Scored inside the row: the places of lexicon words are picked by a hash-set
-    test, and each is valued with the three words before it. No shuffle, and rows
-    that share a key stay rows of their own. The lexicon becomes part of the plan;
-    one of more than MAX_TERMS words is refused.
+    A lexicon of at most max_terms words becomes part of the plan, and a row is scored
+    where it lies: the places of lexicon words are picked by a hash-set test, and each
+    is valued with the three words before it, without a shuffle. The words of a larger
+    one are found by a join; row numbers and words travel, texts do not. Rows that
+    share a key stay rows of their own.
     """
-    rows = lexicon.select("term", F.col("valence").cast("double")).limit(MAX_TERMS + 1).collect()
-    if len(rows) > MAX_TERMS:
-        raise ValueError(f"a lexicon has at most {MAX_TERMS} terms")
-    values = {r["term"]: r["valence"] for r in rows}
+    lexicon = lexicon.groupBy("term").agg(F.max(F.col("valence").cast("double")).alias("valence")).where("term is not null and valence is not null")
+    rows = lexicon.limit(max_terms + 1).collect()
+    values = {r["term"]: r["valence"] for r in rows} if len(rows) <= max_terms else None
     plain = F.replace(F.col(text), F.lit("’"), F.lit("'"))
     prepared = df.select(
         *keys, F.col(text).alias("_text"), F.coalesce(tokens(plain, "'"), F.array().cast("array<string>")).alias("_toks"),
     ).select(*keys, "_text", "_toks", F.transform("_toks", F.lower).alias("_low"))
-    place = F.filter(F.transform("_low", lambda t, i: F.when(t.isin(list(values)), i)), lambda i: i.isNotNull())
+    none = F.array().cast("array<struct<i: int, v: double>>")
+    if values is None:
+        prepared = numbered(prepared)
+        hits = looked_up(prepared, "_low", lexicon, ["valence"]).groupBy("_row").agg(
+            F.collect_list(F.struct(F.col("_place").alias("i"), F.col("valence").alias("v"))).alias("_hits"))
+        prepared = prepared.join(hits, "_row", "left")
+        found = F.coalesce("_hits", none)
+    elif not values:
+        found = none
+    else:
+        valence = literal_map(values)
+        place = F.filter(F.transform("_low", lambda t, i: F.when(t.isin(list(values)), i)), lambda i: i.isNotNull())
+        found = F.transform(place, lambda i: F.struct(i.alias("i"), F.element_at(valence, F.get("_low", i)).alias("v")))
     prepared = prepared.select(
-        *keys, "_toks", "_low", place.alias("_places"),
+        *keys, "_toks", "_low", found.alias("_found"),
         # a shouted word only counts where the text is not shouted as a whole
         F.col("_text").rlike("\\p{Ll}").alias("_mixed_case"),
         F.coalesce(F.array_position("_low", "but"), F.lit(0)).alias("_but"),
         F.least(_char_count("!"), F.lit(vocab.MAX_EXCLAIM)).alias("_bangs"),
         _char_count("?").alias("_asks"),
     )
-    valence = literal_map(values)
     factors = F.array(*[F.lit(round(vocab.NEGATE ** k, 6)) for k in range(4)])
 
-    def micro(i: Column) -> Column:
-        """Valence of the word at a place, in whole millionths."""
+    def micro(i: Column, v: Column) -> Column:
+        """What the word at a place adds, from its valence, in whole millionths."""
         before = [F.coalesce(F.get("_low", i - k), F.lit("")) for k in (1, 2, 3)]
-        word, v = F.get("_toks", i), F.element_at(valence, F.get("_low", i))
+        word = F.get("_toks", i)
         shouted = F.when(F.col("_mixed_case") & _shouted(word), vocab.CAPS).otherwise(0.0)
         push = sum((_booster(b) * F.lit(d) for b, d in zip(before, vocab.BOOST_DECAY)), F.lit(0.0))
         negators = sum((F.when(b.isin(vocab.NEGATIONS), 1).otherwise(0) for b in before), F.lit(0))
@@ -83,7 +95,7 @@ def lexicon_sentiment(df: DataFrame, lexicon: DataFrame, keys: list[str], text:
         )
         return F.round(signed * side * 1e6, 0).cast("bigint")
 
-    total = F.aggregate("_places", F.lit(0).cast("bigint"), lambda acc, i: acc + micro(i))
+    total = F.aggregate("_found", F.lit(0).cast("bigint"), lambda acc, x: acc + micro(x["i"], x["v"]))
     return prepared.select(*keys, compound(total, F.coalesce("_bangs", F.lit(0)), F.coalesce("_asks", F.lit(0))).alias("sentiment_score"))
 
 

@@ -3,6 +3,7 @@
 Tokens outside the vocabulary are dropped by a hash-set test, the weights of the
 rest are whole numbers and are added up by a higher-order function. Nothing is
 exploded, joined or shuffled, and rows that share a key stay rows of their own.
+Vocabularies too large for a plan are tables that the words are joined with.
 """
 
 from __future__ import annotations
@@ -10,6 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxtide.operators.skew import attach_lookup
+from voxtide.session import cut_lineage
+
 MAX_BROADCAST_ROWS = 200_000
 
 
@@ -19,6 +23,30 @@ def small_table(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """df plus `_row`, a number per row, kept in the shared folder: the numbers stay the
+    same however often the rows are read."""
+    return cut_lineage(df.withColumn("_row", F.monotonically_increasing_id()))
+
+
+def looked_up(rows: DataFrame, words: str, lexicon: DataFrame, payload: list[str]) -> DataFrame:
+    """_row, _place, _word and payload of those words of numbered rows (an array column)
+    that stand in a lexicon (term, payload) of any size with one row per term. Words
+    travel with row numbers alone; the most frequent ones are met by broadcast."""
+    each = rows.select("_row", F.posexplode(words).alias("_place", "_word"))
+    named = lexicon.select(F.col("term").alias("_word"), *payload)
+    return attach_lookup(each, named, "_word", payload).where(F.col(payload[0]).isNotNull())
+
+
+def table_votes(df: DataFrame, tokens: Column, keys: list[str], weights: DataFrame) -> DataFrame:
+    """token_votes for a table (term, v0..vn-1) of any size, one row per term, summed
+    by a join. Rows that share a key stay rows of their own."""
+    names = [c for c in weights.columns if c != "term"]
+    rows = numbered(df.select(*keys, F.coalesce(tokens, F.array().cast("array<string>")).alias("_toks")))
+    sums = looked_up(rows, "_toks", weights.select("term", *[F.coalesce(F.col(n).cast("bigint"), F.lit(0)).alias(n) for n in names]), names).groupBy("_row").agg(*[F.sum(n).alias(n) for n in names])
+    return rows.join(sums, "_row", "left").select(*keys, *[F.coalesce(F.col(n), F.lit(0)).alias(n) for n in names])
+
+
 def literal_map(values: dict) -> Column:
     return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
 

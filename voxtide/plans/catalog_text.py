@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voxtide.functions import vocab
-from voxtide.functions.text import word_count
+from voxtide.functions.text import tokens, word_count
 from voxtide.operators import cleaning, relevance, scoring, sentiment, state
 from voxtide.plans import jobs
 from voxtide.plans.catalog_ingest import d_reasons, d_strip, profile_of
@@ -402,12 +402,13 @@ def d_in(x: str, values: list[str]) -> str:
     return f"{x} in ({', '.join(chr(39) + v.replace(chr(39), chr(39) * 2) + chr(39) for v in values)})"
 
 
-def d_sentiment(source: str) -> str:
-    """Common table `sentiment`: post_id, score."""
+def d_sentiment(source: str, table: str | None = None) -> str:
+    """Common table `sentiment`: post_id, score; with the lexicon of a table, if given."""
     boost = lambda p: f"case when {d_in(p, vocab.BOOST_WORDS)} then {vocab.BOOST}::double when {d_in(p, vocab.DAMPEN_WORDS)} then {-vocab.BOOST}::double else 0.0::double end"
     neg = lambda p: f"(case when {d_in(p, vocab.NEGATIONS)} then 1 else 0 end)"
     push = " + ".join(f"({boost(p)}) * {d}::double" for p, d in zip(("p1", "p2", "p3"), vocab.BOOST_DECAY))
-    lex = d_values(sorted(vocab.SENTIMENT_LEXICON.items()))
+    lex = table or d_values(sorted(vocab.SENTIMENT_LEXICON.items()))
+    known = f"low[pos] in (select term from {table})" if table else d_in("low[pos]", list(vocab.SENTIMENT_LEXICON))
     powers = ", ".join(f"{round(vocab.NEGATE ** k, 6)}::double" for k in range(4))
     return f"""st as (select post_id, text, regexp_extract_all(replace(text, '’', ''''), '[{WORD_BODY}'']+') toks from {source}),
   sl as (select post_id, list_transform(toks, lambda t: lower(t)) low, toks, regexp_matches(text, '\\p{{Ll}}') mixed,
@@ -415,7 +416,7 @@ def d_sentiment(source: str) -> str:
   se as (select post_id, mixed, coalesce(list_position(low, 'but'), 0) but, unnest(range(1, len(toks) + 1)) pos, low, toks from sl),
   sw as (select post_id, mixed, but, pos, toks[pos] t, low[pos] term, case when pos > 1 then low[pos - 1] else '' end p1,
     case when pos > 2 then low[pos - 2] else '' end p2, case when pos > 3 then low[pos - 3] else '' end p3 from se
-    where {d_in('low[pos]', list(vocab.SENTIMENT_LEXICON))}),
+    where {known}),
   sh as (select post_id, (valence + sign(valence) * (case when mixed and upper(t) = t and lower(t) <> t then {vocab.CAPS}::double else 0.0::double end + ({push})))
     * ([{powers}])[{neg('p1')} + {neg('p2')} + {neg('p3')} + 1]
     * case when but > 0 and pos < but then 0.5::double when but > 0 and pos > but then 1.5::double else 1.0::double end v
@@ -435,6 +436,19 @@ def lexicon_sentiment(spark, sf):
     return sentiment.lexicon_sentiment(tables.opinions(spark, sf), sentiment.lexicon_table(spark), ["post_id"])
 
 
+# Every word of the posts as a lexicon, its valence from its hash: a table that grows with the input.
+D_ALL_WORDS = f"""words as (select distinct unnest(regexp_extract_all(lower(replace(text, '’', '''')), '[{WORD_BODY}'']+')) term from opinions),
+  lexicon as (select term, (strpos('0123456789abcdef', substr(md5(term), 1, 1)) - 8)::double / 4 valence from words)"""
+
+
+@query("table_lexicon_sentiment", f"with {D_ALL_WORDS}, {d_sentiment('opinions', 'lexicon')} select post_id, sentiment_score from sentiment")
+def table_lexicon_sentiment(spark, sf):
+    posts = tables.opinions(spark, sf)
+    words = posts.select(F.explode(tokens(F.lower(F.replace(F.col("text"), F.lit("’"), F.lit("'"))), "'")).alias("term")).distinct()
+    valence = (F.instr(F.lit("0123456789abcdef"), F.substring(F.md5(F.col("term").cast("binary")), 1, 1)) - 8) / 4
+    return sentiment.lexicon_sentiment(posts, words.withColumn("valence", valence), ["post_id"], max_terms=1000)
+
+
 @query("sentiment_label", f"with {d_sentiment('opinions')} select post_id, {D_LABEL} sentiment_label from sentiment")
 def sentiment_label(spark, sf):
     df = sentiment.lexicon_sentiment(tables.opinions(spark, sf), sentiment.lexicon_table(spark), ["post_id"])
