@@ -162,6 +162,65 @@ def test_license_rules(text, labels):
     assert got["labels"] == labels and 0 <= got["score"] <= 1 and (got["score"] > 0) == bool(labels)
 
 
+BODIES = {
+    "mit": 'Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software',
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.",
+    "0bsd": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+    "bsd": "Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions are met:\n * 1. Redistributions of source code must retain the above copyright",
+    "bsd-3-clause": "Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "bsd-4-clause": "All advertising materials mentioning features or use of this software must display the following acknowledgement:",
+    "zlib": "1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software.",
+    "apache-2.0": "you may not use this file except in compliance with the License. You may obtain a copy",
+    "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+    "agpl-3.0": "You should have received a copy of the GNU Affero General Public License along with this program.",
+    "mpl-2.0": "If a copy of the MPL was not distributed with this file, You can obtain one at",
+    "unlicense": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software",
+    "cc0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this file",
+    "cc-by-sa": "If you remix, transform, or build upon the material, you must distribute your contributions under the same license as the original.",
+    "proprietary": "Unauthorized copying of this file, via any medium, is strictly prohibited.",
+    "as-is": 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED',
+    "reserved": "No part of this book may be reproduced in any form",
+}
+
+
+@pytest.mark.parametrize("label", list(BODIES))
+def test_license_sentences(label):
+    text = "# " + BODIES[label].upper() + "\n\nint main() {}"
+    got = L.scan(text)
+    # the base phrases' labels stay whatever the sentence is
+    assert {d["label"] for d in got["detections"]} == {label} and got["score"] >= 0.6
+    assert set(got["labels"].split(",")) == {label} | set(filter(None, got["base_labels"].split(",")))
+    # its beginning alone says nothing
+    words = BODIES[label].split()
+    assert not L.scan(" ".join(words[: len(words) // 6]))["detections"]
+
+
+@pytest.mark.parametrize("text, labels", [
+    ("foo is MIT-licensed", "mit"), ("Released under MIT.", "mit"), ("available under the ISC", "isc"), ("License: GPLv3", "gpl-3.0"), ("license proprietary", ""), ("copyright.gov", ""),
+    ("A permit was licensed by the town under the bridge; the software is free of charge.", ""),
+])
+def test_license_short_forms(text, labels):
+    assert L.scan(text)["labels"] == labels
+
+
+def test_license_sentences_are_behind_their_gate():
+    """A sentence spelled out, gaps and alternatives filled in, holds one of its keywords."""
+    import re
+
+    def spelled(p):
+        while (q := re.sub(r"\(\?:([^()|]*)(?:\|[^()]*)?\)(?:\{0,\d+\}\??|\?)?", r"\1", re.sub(r"\(\?![^()]*\)", "", p))) != p:
+            p = q
+        return re.sub(r" +", " ", re.sub(r"\[(.)[^\]]*\]", r"\1", re.sub(r"([\w ])\?", r"\1", p)).replace(" * ", " some one ").replace(r"\S+", "word").replace(r"\S", "w")).strip()
+
+    seen = set()
+    for label, _, confidence, pattern in L.SENTENCES:
+        assert pattern not in seen and 0 < confidence <= 1
+        seen.add(pattern)
+        found = {d["label"] for d in L.scan(spelled(pattern))["detections"]}
+        assert label in found, (label, spelled(pattern))
+    assert len(seen) > 100
+
+
 def test_license_gate_and_suppression():
     rules, by_word = L.rules()
     assert len(rules) > 200 and all(by_word.values())
