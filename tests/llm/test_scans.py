@@ -129,6 +129,27 @@ def test_shards(request, table):
     assert order == sorted(order)
 
 
+def test_strings_are_cut_by_their_whole_value(spark):
+    from voxtide.llm.sharding import _string_level, string_cuts
+
+    rows = [(i, "x", f"common_crawl_202{3 + i % 2}") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = hilbert_shards(docs, dims=("source",), shards=2).join(docs, "doc_id").groupBy("shard").agg(F.countDistinct("source").alias("n")).collect()
+    assert [r.n for r in got] == [1, 1]
+    rnd = random.Random(5)
+    names = [None, "", "a", "hot"] + [f"https://host{i}.example/path" for i in range(40)] + ["ähnlich", "日本"]
+    values = [rnd.choice(names) if rnd.random() < 0.7 else "hot" for _ in range(1500)]
+    table = spark.createDataFrame([(v, rnd.choice("pq")) for v in values], "d0 string, d1 string")
+    key = lambda v: (v is not None, (v or "").encode())
+    for levels in (2, 16):
+        want = collections.Counter(sorted(values, key=key)[-(-k * len(values) // levels) - 1] for k in range(1, levels))
+        cuts = string_cuts(table, ["d0", "d1"], levels)
+        assert cuts["d0"] == sorted(want.items(), key=lambda x: key(x[0])) and sum(k for _, k in cuts["d1"]) == levels - 1
+        got = {r[0]: r[1] for r in table.select("d0", _string_level("d0", cuts["d0"])).distinct().collect()}
+        assert got == {v: sum(k for c, k in want.items() if key(c) < key(v)) for v in set(values)}
+    assert string_cuts(table.limit(0), ["d0"], 16) == {"d0": []} and string_cuts(table, [], 16) == {}
+
+
 def test_written_shards_prune(spark, given):
     from voxtide.session import shared_dir
 

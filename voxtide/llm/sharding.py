@@ -59,26 +59,59 @@ def hilbert_index(axes: list[Column], bits: int) -> Column:
     return let(let(state, gray), weave)
 
 
-def _number(docs: DataFrame, name: str) -> Column:
-    """A metadata column as a number that keeps its order (strings: their first
-    six bytes); null is -1."""
+def _ordered(docs: DataFrame, name: str) -> Column:
+    """A metadata column as a number or a string that keeps its order; a null number is -1."""
     kind = docs.schema[name].dataType
     if isinstance(kind, T.NumericType):
         value = F.col(name).cast("double")
     elif isinstance(kind, (T.DateType, T.TimestampType)):
         value = F.unix_timestamp(F.col(name).cast("timestamp")).cast("double")
     else:
-        value = F.conv(F.hex(F.substring(F.rpad(F.col(name).cast("string").cast("binary"), 6, F.lit(b"\0")), 1, 6)), 16, 10).cast("double")
+        return F.col(name).cast("string")
     return F.coalesce(F.when(F.isnan(value), None).otherwise(value), F.lit(-1.0))
 
 
+def string_cuts(rows: DataFrame, names: list[str], levels: int) -> dict[str, list[tuple[str | None, int]]]:
+    """For string columns, the values at the quantiles k / levels of the rows with the
+    number of quantiles each stands for, in order; whole values, nulls first.
+
+    Rows are counted by value, the values are sorted by many tasks, and ranks are
+    prefix sums over the tasks and within each. At most levels - 1 values a column
+    reach the driver."""
+    if not names:
+        return {}
+    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("dim"), F.col(n).alias("value")) for n in names]))
+    counts = rows.select(pairs.alias("r")).groupBy("r.dim", "r.value").agg(F.count("*").alias("n"))
+    ordered = cut_lineage(counts.orderBy("dim", F.asc_nulls_first("value")).withColumn("task", F.spark_partition_id()))
+    tasks = ordered.groupBy("dim", "task").agg(F.sum("n").alias("m"))
+    before = F.sum("m").over(W.partitionBy("dim").orderBy("task").rowsBetween(W.unboundedPreceding, -1))
+    tasks = tasks.select("dim", "task", F.coalesce(before, F.lit(0)).alias("before"), F.sum("m").over(W.partitionBy("dim")).alias("total"))
+    inner = F.sum("n").over(W.partitionBy("dim", "task").orderBy(F.asc_nulls_first("value")).rowsBetween(W.unboundedPreceding, 0))
+    ranked = ordered.withColumn("inner", inner).join(tasks, ["dim", "task"]).withColumn("upto", F.col("before") + F.col("inner"))
+
+    def reached(rank: Column) -> Column:
+        return F.least(F.floor(rank * levels / F.col("total")), F.lit(levels - 1))
+
+    found = ranked.withColumn("k", (reached(F.col("upto")) - reached(F.col("upto") - F.col("n"))).cast("int")).where("k > 0")
+    out: dict = {n: [] for n in names}
+    for r in found.select("dim", "upto", "value", "k").orderBy("dim", "upto").collect():
+        out[r.dim].append((r.value, r.k))
+    return out
+
+
+def _string_level(name: str, cuts: list[tuple[str | None, int]]) -> Column:
+    """Number of the quantiles below a string; null has none."""
+    above = [F.when(F.col(name).isNotNull() if c is None else F.col(name) > F.lit(c), k).otherwise(0) for c, k in cuts]
+    return functools.reduce(lambda a, b: a + b, above, F.lit(0))
+
+
 def hilbert_shards(docs: DataFrame, dims: tuple[str, ...] = ("lang", "source", "n_chars"), shards: int = 16, bits: int = 4,
                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row's shard, so that a shard is a run of the Hilbert curve and a file
     of it spans little of each metadata column.
 
-    Each of `dims` is quantised to 2**bits levels at its quantiles (a bounded
-    sketch over all rows). Rows are ordered by their cell's curve index, within a
+    Each of `dims` is quantised to 2**bits levels at its quantiles: numbers and times
+    by a bounded sketch over all rows, strings by exact counts of whole values. Rows are ordered by their cell's curve index, within a
     cell by a hash of the row, and the order is cut into `shards` runs whose row
     counts differ by one at most (law `rows`).
 
@@ -99,10 +132,20 @@ def hilbert_shards(docs: DataFrame, dims: tuple[str, ...] = ("lang", "source", "
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = cut_lineage(docs.select(
         F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.xxhash64(text).alias("th"), *[_number(docs, d).alias(f"d{i}") for i, d in enumerate(dims)]))
+        F.xxhash64(text).alias("th"), *[_ordered(docs, d).alias(f"d{i}") for i, d in enumerate(dims)]))
     steps = [k / (1 << bits) for k in range(1, 1 << bits)]
-    cuts = rows.agg(*[F.percentile_approx(f"d{i}", steps, 10_000).alias(f"d{i}") for i in range(len(dims))]).first()
-    levels = [F.lit(0) if not cuts[i] else functools.reduce(lambda a, b: a + b, [(F.col(f"d{i}") > c).cast("int") for c in cuts[i]]) for i in range(len(dims))]
+    kinds = dict(rows.dtypes)
+    names = [f"d{i}" for i in range(len(dims))]
+    numbers = [n for n in names if kinds[n] == "double"]
+    words = string_cuts(rows, [n for n in names if n not in numbers], 1 << bits)
+    cuts = rows.agg(*[F.percentile_approx(n, steps, 10_000).alias(n) for n in numbers]).first() if numbers else {}
+
+    def level(n: str) -> Column:
+        if n in words:
+            return _string_level(n, words[n])
+        return functools.reduce(lambda a, b: a + b, [(F.col(n) > c).cast("int") for c in cuts[n] or []], F.lit(0))
+
+    levels = [level(n) for n in names]
     placed = rows.select("id", "size", "text_crc32", hilbert_index(levels, bits).alias("curve"),
                          F.xxhash64("id", "th").alias("h")).withColumn("part", F.pmod("h", F.lit(PARTS)))
     counts = cut_lineage(placed.groupBy("curve", "part").agg(F.count("*").alias("n")))
