@@ -97,6 +97,15 @@ def test_each_stratum_is_certified_by_its_own_good_rows(spark):
     assert {r.doc_id for r in Q.quality_rules(docs, known).where("not kept").collect()} == {i for i in range(0, 8000, 5)}
 
 
+def test_every_stratum_that_can_pass_is_tested(spark):
+    strata, good = 1100, 80
+    rows = spark.range(strata * (good + 20)).selectExpr("id", f"concat('s', cast(id % {strata} as string)) stratum", f"cast(id < {strata * good} as int) quality")
+    counts = rows.select("id", "stratum", *[F.lit(60 if c == "n_words" else 0).cast("long").alias(c) for c in Q.COUNTS if c != "n_symbols"],
+                         F.when(F.col("quality") == 0, 60).otherwise(0).cast("long").alias("n_symbols"))
+    cuts = Q.thresholds(counts, rows.select(F.col("id").alias("doc_id"), "quality"), risk=Q.Risk(reject=0.5)).collect()
+    assert len(cuts) == strata and all(r.cut_symbols == Q.GRID[0] and r.cut_bangs is None for r in cuts)
+
+
 def test_keep_good_matches_verdicts(edge, spark):
     labels = labels_of(spark, [(4, 1, 0, ""), (12, 0, 0, "")])
     kept = Q.keep_good(edge, labels)
