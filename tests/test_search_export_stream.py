@@ -64,6 +64,33 @@ def test_phrases_match_a_scan(spark):
         assert ids(search.phrase_match(df, q, index=index)) == want
 
 
+def test_postings_are_made_where_documents_lie(spark):
+    rng = random.Random(5)
+    text = lambda: " ".join(rng.choice("abcd") for _ in range(rng.randrange(0, 9)))
+    rows = [(rng.choice([f"k{i}", f"k{i}", "twice", None]), text(), rng.choice([None, "", text()])) for i in range(60)]
+    schema = "post_id string, text string, cleaned_text string"
+    want, docs_of = {}, {}
+    for k, *texts in rows:
+        for field, t in zip(search.FIELDS, texts):
+            for pos, term in enumerate((t or "").split()):
+                want.setdefault((field, term, k), []).append(pos)
+                docs_of.setdefault((field, term), set()).update({k} - {None})
+    df = spark.createDataFrame(rows, schema).repartition(3)
+    got = {(r.field, r.term, r.post_id): (r.positions, r.tf) for r in search.index_documents(df).collect()}
+    assert got == {k: (sorted(v), len(v)) for k, v in want.items()}
+    index = search.Index(shared_dir(spark, "index"), 4)
+    search.write_index(df, index.path, term_buckets=4)
+    counts = {(r.field, r.term): r.n_docs for r in index.read(spark, "terms").collect()}
+    assert counts == {k: len(v) for k, v in docs_of.items()}
+    read = {}
+    for r in index.occurrences(spark, list("abcd")).collect():
+        read.setdefault((r.field, r.term, r.post_id), []).append(r.pos)
+    assert {k: sorted(v) for k, v in read.items()} == {k: sorted(v) for k, v in want.items()}
+    # keys of their own: no posting is shuffled
+    own = search.index_documents(spark.createDataFrame([("a", "x y x", None), ("b", "y", "x")], schema))
+    assert "Exchange" not in own._jdf.queryExecution().executedPlan().toString() and own.count() == 4
+
+
 def test_search_call(spark):
     result = search.search(table(spark), "ai tools", sort="likes", rows=2)
     assert [r["post_id"] for r in result.docs.collect()] == ["d", "a"]

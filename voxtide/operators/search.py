@@ -4,16 +4,23 @@ A phrase is matched by votes: an occurrence of the i-th query term at position p
 votes for a phrase that starts at p - i; a start with as many votes as the query
 has terms is a hit. That is one grouped count with map-side combine, whatever the
 number of terms, and only occurrences of query terms are shuffled.
+
+Occurrences are grouped into postings inside the task that reads a document: what is
+shuffled for an index are blocks of postings, a term and field once for all the
+documents of a batch.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,17 +58,108 @@ def occurrences(df: DataFrame, fields: list[str] = FIELDS, key: str = "post_id")
     return per_field.select("field", key, F.posexplode_outer("toks").alias("pos", "term")).where(F.col("term").isNotNull())
 
 
+def repeated_keys(df: DataFrame, key: str = "post_id") -> DataFrame | None:
+    """_key of the keys (null is one) that several rows of df have; None if there are
+    none. Keys alone are shuffled."""
+    many = cut_lineage(df.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select("_key", F.lit(True).alias("_again")))
+    return None if many.isEmpty() else many
+
+
+def marked(df: DataFrame, many: DataFrame | None, key: str = "post_id") -> DataFrame:
+    """df plus `_again`: another row has the same key."""
+    if many is None:
+        return df.withColumn("_again", F.lit(False))
+    joined = df.join(many, F.col(key).eqNullSafe(F.col("_key")), "left")
+    return joined.select(*df.columns, F.coalesce("_again", F.lit(False)).alias("_again"))
+
+
+BLOCK_TOKENS = 1 << 22
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with about BLOCK_TOKENS tokens at a time."""
+    for batch in batches:
+        ends = np.cumsum(pc.list_value_length(batch["toks"]).to_numpy())
+        at = 0
+        while at < batch.num_rows:
+            limit = BLOCK_TOKENS + (ends[at - 1] if at else 0)
+            to = max(at + 1, int(np.searchsorted(ends, limit, side="right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
+def _postings(batch: pa.RecordBatch, part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """One entry per row and term, by part (a number per row), term and row: number of
+    the row, of the term, and where its positions begin; the positions, and the terms."""
+    lens = pc.list_value_length(batch["toks"]).to_numpy().astype(np.int64)
+    words = batch["toks"].flatten().dictionary_encode()
+    row, code = np.repeat(np.arange(len(lens)), lens), words.indices.to_numpy().astype(np.int64)
+    pos = np.arange(len(row)) - np.repeat(np.cumsum(lens) - lens, lens)
+    group = (part[row] * len(words.dictionary) + code) * len(lens) + row
+    order = np.argsort(group, kind="stable")
+    first = np.flatnonzero(np.diff(group[order], prepend=-1))
+    return row[order[first]], code[order[first]], first, pos[order], words.dictionary
+
+
+def _lists(first: np.ndarray, values: pa.Array) -> pa.ListArray:
+    """Lists that begin at `first`, one after the other."""
+    return pa.ListArray.from_arrays(pa.array(np.append(first, len(values)), pa.int32()), values)
+
+
+def document_postings(df: DataFrame, fields: list[str] = FIELDS, key: str = "post_id") -> DataFrame:
+    """field, term, post_id, positions, tf of each row of df by itself; nothing is shuffled."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            row, code, first, pos, terms = _postings(batch, np.arange(batch.num_rows))
+            at, positions = pa.array(row), _lists(first, pa.array(pos, pa.int32()))
+            yield pa.record_batch({"field": batch["field"].take(at), "term": terms.take(pa.array(code)), key: batch[key].take(at),
+                                   "positions": positions, "tf": pc.list_value_length(positions).cast(pa.int64())})
+
+    kind = df.schema[key].dataType.simpleString()
+    return field_tokens(df, fields, key).mapInArrow(run, f"field string, term string, `{key}` {kind}, positions array<int>, tf bigint")
+
+
 def index_documents(df: DataFrame, fields: list[str] = FIELDS, key: str = "post_id") -> DataFrame:
-    """field, term, post_id, positions, tf. A list never grows beyond one document."""
-    occ = occurrences(df, fields, key)
-    return occ.groupBy("field", "term", key).agg(
-        F.sort_array(F.collect_list("pos")).alias("positions"), F.count(F.lit(1)).alias("tf"))
+    """field, term, post_id, positions, tf. A list never grows beyond one document.
+    Only documents that share their key are brought together; the others have their
+    lists made where they lie."""
+    many = repeated_keys(df, key)
+    if many is None:
+        return document_postings(df, fields, key)
+    rows = marked(df, many, key)
+    several = document_postings(rows.where("_again"), fields, key).groupBy("field", "term", key).agg(
+        F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"), F.sum("tf").alias("tf"))
+    return document_postings(rows.where("not _again"), fields, key).unionByName(several)
+
+
+def posting_blocks(df: DataFrame, fields: list[str] = FIELDS, key: str = "post_id") -> DataFrame:
+    """field, term, again, keys, lens, starts, positions, n_own: for each batch of documents
+    those that hold a term, apart by whether other rows have their key; by document the
+    length of the field and where its positions start in those of the block. n_own is
+    how many have a key that is theirs alone."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            part = batch["field"].dictionary_encode().indices.to_numpy().astype(np.int64) * 2 + batch["_again"].to_numpy(zero_copy_only=False)
+            row, code, starts, pos, terms = _postings(batch, part)
+            first = np.flatnonzero(np.diff(part[row] * len(terms) + code, prepend=-1))
+            keys, again = batch[key].take(pa.array(row)), batch["_again"].to_numpy(zero_copy_only=False)[row]
+            own = np.add.reduceat(keys.is_valid().to_numpy(zero_copy_only=False) & ~again, first, dtype=np.int64)
+            within = starts - np.repeat(starts[first], np.diff(np.append(first, len(row))))
+            at = pa.array(row[first])
+            yield pa.record_batch({
+                "field": batch["field"].take(at), "term": terms.take(pa.array(code[first])), "again": pa.array(again[first]), "keys": _lists(first, keys),
+                "lens": _lists(first, batch["len"].take(pa.array(row)).cast(pa.int32())), "starts": _lists(first, pa.array(within, pa.int32())),
+                "positions": _lists(starts[first], pa.array(pos, pa.int32())), "n_own": pa.array(own)})
+
+    kind = df.schema[key].dataType.simpleString()
+    schema = f"field string, term string, again boolean, keys array<{kind}>, lens array<int>, starts array<int>, positions array<int>, n_own bigint"
+    return field_tokens(df, fields, key, ["_again"]).mapInArrow(run, schema)
 
 
 def field_stats(df: DataFrame, fields: list[str] = FIELDS) -> DataFrame:
     """field, n_docs, avg_len, total_len over documents whose field is not empty."""
     sizes = F.array(*[
-        F.struct(F.lit(f).alias("field"), F.size(analyze(F.coalesce(f, F.lit("")))).alias("len")) for f in fields
+        F.struct(F.lit(f).alias("field"), F.regexp_count(F.lower(F.coalesce(f, F.lit(""))), F.lit(f"[{WORD_BODY}]+")).alias("len")) for f in fields
     ])
     flat = df.select(F.explode_outer(sizes).alias("s")).select("s.*").where(F.col("len") > 0)
     return flat.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"), F.sum("len").alias("total_len"))
@@ -73,20 +171,22 @@ def _bucket(term_buckets: int) -> Column:
 
 def write_index(df: DataFrame, path: str, fields: list[str] = FIELDS, term_buckets: int = 256,
                 key: str = "post_id") -> None:
-    """Postings, one row per occurrence with the length of its field, laid out by a
-    hash of the term: a search opens the folders of its own terms only, and inside
-    them the sort order lets Parquet skip the other terms. A frequent term is spread
-    over 64 parts. Beside them, in how many documents each term stands, and the
-    number and mean length of the fields."""
-    lengths = field_tokens(df, fields, key)
-    occ = lengths.select("field", key, F.col("len"), F.posexplode_outer("toks").alias("pos", "term")).where(F.col("term").isNotNull())
-    (occ.withColumn("bucket", _bucket(term_buckets))
-     .repartition("bucket", F.pmod(F.xxhash64(key), F.lit(64)))
-     .sortWithinPartitions("bucket", "term", key, "field", "pos")
+    """Postings in blocks, laid out by a hash of the term: a search opens the folders of
+    its own terms only, and inside them the sort order lets Parquet skip the other
+    terms. The blocks of a frequent term are spread over 64 parts. Beside them, in how
+    many documents each term stands, and the number and mean length of the fields."""
+    many = repeated_keys(df, key)
+    blocks = posting_blocks(marked(df, many, key), fields, key)
+    (blocks.withColumn("bucket", _bucket(term_buckets))
+     .repartition("bucket", F.pmod(F.xxhash64(F.get("keys", F.lit(0))), F.lit(64)))
+     .sortWithinPartitions("bucket", "term")
      .write.partitionBy("bucket").parquet(f"{path}/postings"))
-    postings = df.sparkSession.read.parquet(f"{path}/postings")
-    (postings.groupBy("bucket", "term", "field").agg(F.countDistinct(key).alias("n_docs"))
-     .repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/terms"))
+    postings, term = df.sparkSession.read.parquet(f"{path}/postings"), ["bucket", "term", "field"]
+    counted = postings.groupBy(*term).agg(F.sum("n_own").alias("n_docs"))
+    if many is not None:
+        shared = postings.where("again").select(*term, F.explode("keys").alias("k")).groupBy(*term).agg(F.countDistinct("k").alias("n_docs"))
+        counted = counted.unionByName(shared).groupBy(*term).agg(F.sum("n_docs").alias("n_docs"))
+    counted.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/terms")
     field_stats(df, fields).write.parquet(f"{path}/fields")
 
 
@@ -97,6 +197,7 @@ class Index:
     path: str
     term_buckets: int = 256
     segments: tuple[str, ...] = ()
+    key: str = "post_id"
 
     def read(self, spark: SparkSession, table: str) -> DataFrame:
         return reduce(DataFrame.unionByName, [spark.read.parquet(f"{p}/{table}") for p in self.segments or (self.path,)])
@@ -108,7 +209,11 @@ class Index:
 
     def occurrences(self, spark: SparkSession, terms: list[str]) -> DataFrame:
         """field, post_id, len, pos, term of the given terms."""
-        return self._of_terms(spark, "postings", terms)
+        end = lambda i: F.coalesce(F.get("starts", i + 1), F.size("positions"))
+        docs = F.transform("keys", lambda k, i: F.struct(k.alias(self.key), F.get("lens", i).cast("bigint").alias("len"),
+                           F.slice("positions", F.get("starts", i) + 1, end(i) - F.get("starts", i)).alias("positions")))
+        each = self._of_terms(spark, "postings", terms).select("field", "term", F.inline(docs))
+        return each.select("field", self.key, "len", F.explode("positions").alias("pos"), "term")
 
     def statistics(self, spark: SparkSession, terms: list[str]) -> DataFrame:
         """field, n_docs, avg_len, df0, df1, ... for the given terms in order: one row per field."""
@@ -165,7 +270,7 @@ def refresh_index(source: DataFrame, view: Callable[[DataFrame], DataFrame], pat
     known = {x for f in whole.values() for x in f}
     fresh = {x: v for x, v in now.items() if x not in known}
     if whole == segments and not fresh and version:
-        return Index(path, term_buckets, tuple(f"{path}/{s}" for s in sorted(whole)))
+        return Index(path, term_buckets, tuple(f"{path}/{s}" for s in sorted(whole)), key)
     if len(whole) + 1 > MAX_SEGMENTS:
         whole, fresh = {}, now
     if fresh:
@@ -174,7 +279,7 @@ def refresh_index(source: DataFrame, view: Callable[[DataFrame], DataFrame], pat
         whole[name] = fresh
     rows = [(s, term_buckets, x, *v, version + 1) for s, f in whole.items() for x, v in f.items()]
     spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("append").parquet(f"{path}/manifest")
-    return Index(path, term_buckets, tuple(f"{path}/{s}" for s in sorted(whole)))
+    return Index(path, term_buckets, tuple(f"{path}/{s}" for s in sorted(whole)), key)
 
 
 def phrase_hits(occ: DataFrame, terms: list[str], key: str = "post_id") -> DataFrame:
@@ -193,13 +298,13 @@ def phrase_hits(occ: DataFrame, terms: list[str], key: str = "post_id") -> DataF
     return starts.groupBy("field", key, "len").agg(F.count(F.lit(1)).alias("freq"))
 
 
-def field_tokens(df: DataFrame, fields: list[str] = FIELDS, key: str = "post_id") -> DataFrame:
-    """post_id, field, toks, len of the fields that hold any token."""
+def field_tokens(df: DataFrame, fields: list[str] = FIELDS, key: str = "post_id", carry: list[str] = []) -> DataFrame:
+    """post_id, field, toks, len of the fields that hold any token, and the carried columns."""
     docs = F.array(*[
         F.struct(F.lit(f).alias("field"), analyze(F.coalesce(f, F.lit(""))).alias("toks")) for f in fields
     ])
-    flat = df.select(key, F.explode_outer(docs).alias("f")).select(
-        key, "f.field", F.col("f.toks").alias("toks"), F.size("f.toks").cast("bigint").alias("len"))
+    flat = df.select(key, *carry, F.explode_outer(docs).alias("f")).select(
+        key, "f.field", F.col("f.toks").alias("toks"), F.size("f.toks").cast("bigint").alias("len"), *carry)
     return flat.where(F.col("len") > 0)
 
 
