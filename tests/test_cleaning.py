@@ -112,3 +112,22 @@ def test_what_is_no_emoji_stays(spark):
     rows = ["\U0001F1E9 a", "1 # *", "\U0001F1E6\U0001F1E9\U0001F1EA\U0001F1F8 \U0001F1E9\U0001F1EA", "‍", ""]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in rows], "t string").select(cleaning.demojize("t")).collect()]
     assert got == ["\U0001F1E9 a", "1 # *", " flag_ad  flag_es   flag_de ", "‍", ""]
+
+
+def test_quick_patterns_find_the_same():
+    """All signs, letters and keys at the start of what is found stand in the ranges looked at first."""
+    import re
+
+    near = re.compile("[" + re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: chr(int(m[1], 16)), cleaning._NEAR) + "]")
+    signs = [chr(c) for low, high in [*vocab.EMOJI_RANGES, *vocab.EMOJI_SIGNS, (0x1F1E6, 0x1F1FF), (0x20E3, 0x20E3)] for c in range(low, high + 1)]
+    assert all(near.match(c) for c in signs) and not near.search("aé1#字かж한")
+    assert not any(p == cleaning.EMOJI for p in (cleaning.EMOJI_FAST, cleaning.EMOJI_HINT_FAST))
+
+
+def test_runs_of_white_space_become_one_space(spark):
+    import random
+
+    rnd = random.Random(6)
+    texts = ["".join(rnd.choice("ab  \n\t\xa0\u3000") for _ in range(rnd.randrange(12))) for _ in range(300)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, t string").select("i", cleaning.normalize_whitespace("t").alias("o")).collect()
+    assert all(r.o == " ".join(texts[r.i].split()) for r in rows)

@@ -38,7 +38,8 @@ def word_count(c: Column | str) -> Column:
 
 def collapse(c: Column | str) -> Column:
     """Runs of white space become one space; ends are cut."""
-    return utrim(F.regexp_replace(as_col(c), f"{WS}+", " "))
+    # most runs are one space already
+    return utrim(F.regexp_replace(as_col(c), f" {WS}+|(?! ){WS}+", " "))
 
 
 def pattern_count(c: Column | str, pattern: str) -> Column:
