@@ -198,6 +198,25 @@ def test_json_arrays_are_bounded(spark):
     assert written(df.where("false")) == ["[]"]
 
 
+def test_json_arrays_are_held_once():
+    import json
+    import tracemalloc
+
+    import pyarrow as pa
+
+    text, most = "\U0001F600 words " * 1000, 4 << 20
+    batch = pa.record_batch({"value": [json.dumps({"i": i, "t": text}, ensure_ascii=False) for i in range(1000)]})
+    got = []
+    tracemalloc.start()
+    for out in export.json_arrays(iter([batch]), 100_000, most):
+        assert out.num_rows == 1 and out["value"].nbytes < most + 64
+        got.append(bytes(memoryview(out["value"][0].as_buffer())[:9]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 3 and peak < 3 * most
+    assert [r["i"] for out in export.json_arrays(iter([batch]), 300, 1 << 30) for r in json.loads(out["value"][0].as_py())] == list(range(1000))
+
+
 def test_stream_first_wins_and_restart(spark):
     landed, stored, check = (shared_dir(spark, n) for n in ("landed", "stored", "check"))
     schema = "ingest_seq long, post_id string, text string"

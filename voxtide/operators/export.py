@@ -5,8 +5,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,27 +73,36 @@ def export_jsonl(df: DataFrame, path: str) -> None:
 MAX_FILE_BYTES = 64 << 20
 
 
+def json_arrays(batches: Iterator[pa.RecordBatch], rows_per_array: int, max_bytes: int) -> Iterator[pa.RecordBatch]:
+    """The objects of one column put together as arrays, in UTF-8: an array is held once,
+    in as many bytes as its file has."""
+    part, rows = bytearray(b"["), 0
+
+    def done() -> pa.RecordBatch:
+        part.extend(b"]")
+        ends = pa.py_buffer(np.array([0, len(part)], np.int32))
+        return pa.record_batch({"value": pa.StringArray.from_buffers(1, ends, pa.py_buffer(part))})
+
+    for batch in batches:
+        for body in batch.column(0):
+            body = memoryview(body.as_buffer())
+            if rows and (rows == rows_per_array or len(part) + len(body) + 2 > max_bytes):
+                yield done()
+                part, rows = bytearray(b"["), 0
+            part.extend(b"," if rows else b"")
+            part.extend(body)
+            rows += 1
+    if rows:
+        yield done()
+
+
 def export_json(df: DataFrame, path: str, rows_per_array: int = 100_000, max_bytes: int = MAX_FILE_BYTES) -> None:
     """JSON arrays, each in a file of its own, of at most rows_per_array objects and
     max_bytes bytes (an object that is larger alone has a file to itself). Every task
     cuts its own rows as they come, so nothing is shuffled and a task holds one array
     at most. Missing values are spelled out as null. No rows give one empty array."""
-    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[str] = []
-        size = 2  # the brackets
-        for batch in batches:
-            sizes = pc.binary_length(batch.column(0).cast(pa.large_binary())).to_pylist()
-            for body, n in zip(batch.column(0), sizes):
-                if parts and (len(parts) == rows_per_array or size + n + 1 > max_bytes):
-                    yield pa.record_batch({"value": pa.array([f"[{','.join(parts)}]"], pa.string())})
-                    parts, size = [], 2
-                parts.append(body.as_py())
-                size += n + (len(parts) > 1)
-        if parts:
-            yield pa.record_batch({"value": pa.array([f"[{','.join(parts)}]"], pa.string())})
-
     body = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
-    lines = df.select(body.alias("value")).mapInArrow(arrays, "value string")
+    lines = df.select(body.alias("value")).mapInArrow(lambda batches: json_arrays(batches, rows_per_array, max_bytes), "value string")
     if df.isEmpty():
         lines = df.sparkSession.createDataFrame([("[]",)], "value string")
     lines.write.option("maxRecordsPerFile", 1).text(path)
