@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,13 +44,13 @@ class Detector:
         bucket of it is known. Row by row: no shuffle, rows with one key stay apart."""
         weights, names = self.weights, self.languages
 
-        @F.pandas_udf("string")
-        def pick(texts: pd.Series) -> pd.Series:
+        @F.arrow_udf("string")
+        def pick(texts: pa.Array) -> pa.Array:
             out = []
-            for x in texts:
-                votes = weights[trigram_buckets(x)].sum(axis=0)
+            for x in texts:  # one text at a time as a Python string
+                votes = weights[trigram_buckets(x.as_py())].sum(axis=0)
                 out.append(names[int(votes.argmax())] if votes[0] < 0 else None)
-            return pd.Series(out, dtype=object)
+            return pa.array(out, pa.string())
 
         return pick(letters(text))
 
@@ -63,18 +63,18 @@ def language_profile(df: DataFrame, languages: list[str], text: str = "text", la
     """Log-probabilities (thousandths, add-one smoothed over the buckets that any
     text has; 0 where none has). All rows with one of the languages count; each task
     sums its rows before the shuffle, and at most BUCKETS rows reach the driver."""
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((len(languages), BUCKETS), np.int64)
-        for pdf in batches:
-            for name, own in zip(pdf["lang"], pdf["letters"]):
-                found, n = np.unique(trigram_buckets(own), return_counts=True)
-                sums[languages.index(name), found] += n
+        for batch in batches:
+            for name, own in zip(batch["lang"], batch["letters"]):
+                found, n = np.unique(trigram_buckets(own.as_py()), return_counts=True)
+                sums[languages.index(name.as_py()), found] += n
         used = np.flatnonzero(sums.any(axis=0))
-        yield pd.DataFrame({"bucket": used, **{f"n{i}": sums[i, used] for i in range(len(languages))}})
+        yield pa.record_batch({"bucket": pa.array(used, pa.int64()), **{f"n{i}": pa.array(sums[i, used]) for i in range(len(languages))}})
 
     fields = [f"n{i}" for i in range(len(languages))]
     rows = df.where(F.col(lang).isin(languages)).select(F.col(lang).alias("lang"), letters(text).alias("letters"))
-    parts = rows.mapInPandas(count, "bucket long, " + ", ".join(f"{f} long" for f in fields))
+    parts = rows.mapInArrow(count, "bucket long, " + ", ".join(f"{f} long" for f in fields))
     counts = np.zeros((BUCKETS, len(languages)), np.int64)
     for r in parts.groupBy("bucket").agg(*[F.sum(f).alias(f) for f in fields]).collect():
         counts[r["bucket"]] = r[1:]
