@@ -5,8 +5,9 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from voxtide.functions import vocab
 from voxtide.functions.vocab import SARCASM_HYPOTHESES
-from voxtide.operators import labels, scoring, state
+from voxtide.operators import labels, relevance, scoring, state
 from voxtide.schema import POLARITY_LABELS, SUBJECTIVITY_LABELS
 
 
@@ -174,3 +175,14 @@ def test_label_store_shuffles_no_text(spark):
         state.put_labels(spark, store, likes.withColumn("clean_status", F.lit("x")), ["likes", "clean_status"])
     state.drop_store(spark, store)
     assert not spark.catalog.tableExists(store.posts)
+
+
+def test_a_filter_on_a_score_reads_the_text_once(spark):
+    """The filter goes below the projections with the whole expression of the score."""
+    words = list(vocab.POLARITY_TERMS["positive"])[:3]
+    df = spark.createDataFrame([("a", " ".join(words)), ("b", ""), ("c", None)], "post_id string, text string")
+    scores = relevance.candidate_scores(df, vocab.POLARITY_TERMS, ["post_id"], "text")
+    out = scores.withColumn("p", F.round(F.get("scores", F.lit(list(vocab.POLARITY_TERMS).index("positive"))), 6)).where("p > 0.5").select("post_id")
+    assert [r["post_id"] for r in out.collect()] == ["a"]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 1
+    assert len(scores.collect()) == 3

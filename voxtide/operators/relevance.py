@@ -22,10 +22,13 @@ def candidate_scores(df: DataFrame, weights: dict[str, dict[str, int]] | DataFra
     Texts without a known term get the same score for every label. Weights are a
     vocabulary per label, or a table (term, v0, v1, ..) of any size.
     """
-    vote = table_votes if isinstance(weights, DataFrame) else token_votes
-    votes = vote(df, tokens(F.lower(as_col(text))), keys, weights)
-    arr = votes_array(len(votes.columns) - len(keys))
-    return votes.select(*keys, arr.alias("votes"), softmax(F.transform(arr, lambda v: v / 1000.0)).alias("scores"))
+    words = tokens(F.lower(as_col(text)))
+    if isinstance(weights, DataFrame):
+        votes = table_votes(df, words, keys, weights)
+        votes = votes.select(*keys, votes_array(len(votes.columns) - len(keys)).alias("votes"))
+    else:
+        votes = token_votes(df, words, keys, weights)
+    return votes.select(*keys, "votes", softmax(F.transform("votes", lambda v: v / 1000.0)).alias("scores"))
 
 
 def top_label(labels: list[str]) -> Column:

@@ -8,6 +8,8 @@ Vocabularies too large for a plan are tables that the words are joined with.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,8 +41,8 @@ def looked_up(rows: DataFrame, words: str, lexicon: DataFrame, payload: list[str
 
 
 def table_votes(df: DataFrame, tokens: Column, keys: list[str], weights: DataFrame) -> DataFrame:
-    """token_votes for a table (term, v0..vn-1) of any size, one row per term, summed
-    by a join. Rows that share a key stay rows of their own."""
+    """token_votes for a table (term, v0..vn-1) of any size, one row per term, as columns
+    of the table's names, summed by a join. Rows that share a key stay rows of their own."""
     names = [c for c in weights.columns if c != "term"]
     rows = numbered(df.select(*keys, F.coalesce(tokens, F.array().cast("array<string>")).alias("_toks")))
     sums = looked_up(rows, "_toks", weights.select("term", *[F.coalesce(F.col(n).cast("bigint"), F.lit(0)).alias(n) for n in names]), names).groupBy("_row").agg(*[F.sum(n).alias(n) for n in names])
@@ -58,16 +60,23 @@ def fixed_map(values: dict[str, str]) -> Column:
     return F.str_to_map(F.lit(pairs), F.lit("\x1e"), F.lit("\x1f"))
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """`then` of a value, as one expression that holds the value once however often `then`
+    names it. Spark copies a column's expression to every place that names it when it moves
+    a filter below the projection; inside a lambda the copies are computed per element."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def token_votes(df: DataFrame, tokens: Column, keys: list[str], weights: dict[str, dict[str, int]]) -> DataFrame:
-    """keys plus v0..vn-1: summed weights of the row's tokens by class; no hit gives zeros."""
+    """keys plus `votes`: summed weights of the row's tokens by class; no hit gives zeros."""
     terms = sorted({t for w in weights.values() for t in w})
-    hits = df.select(*keys, F.filter(F.coalesce(tokens, F.array().cast("array<string>")), lambda t: t.isin(terms)).alias("_hits"))
 
-    def votes(own: dict[str, int]) -> Column:
+    def votes(hits: Column, own: dict[str, int]) -> Column:
         table = literal_map({t: own.get(t, 0) for t in terms})
-        return F.aggregate("_hits", F.lit(0).cast("long"), lambda acc, t: acc + F.element_at(table, t).cast("long"))
+        return F.aggregate(hits, F.lit(0).cast("long"), lambda acc, t: acc + F.element_at(table, t).cast("long"))
 
-    return hits.select(*keys, *[votes(own).alias(f"v{i}") for i, own in enumerate(weights.values())])
+    hits = F.filter(F.coalesce(tokens, F.array().cast("array<string>")), lambda t: t.isin(terms))
+    return df.select(*keys, once(hits, lambda h: F.array(*[votes(h, own) for own in weights.values()])).alias("votes"))
 
 
 def votes_array(n: int) -> Column:
@@ -76,10 +85,10 @@ def votes_array(n: int) -> Column:
 
 def softmax(scores: Column) -> Column:
     """Softmax over an array of doubles."""
-    top = F.array_max(scores)
-    exps = F.transform(scores, lambda x: F.exp(x - top))
-    total = F.aggregate(exps, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(exps, lambda e: e / total)
+    def shares(exps: Column) -> Column:
+        return once(F.aggregate(exps, F.lit(0.0), lambda a, x: a + x), lambda total: F.transform(exps, lambda e: e / total))
+
+    return once(scores, lambda s: once(F.array_max(s), lambda top: once(F.transform(s, lambda x: F.exp(x - top)), shares)))
 
 
 def argmax(scores: Column) -> Column:
