@@ -271,6 +271,22 @@ def test_stream_cost_does_not_follow_what_is_stored(spark):
     assert streams.older_keys(spark, f"{stored}_keys", "2020-01-01", 99, list(range(streams.BUCKETS))).count() == 0
 
 
+def test_stream_keys_are_looked_up_without_python(spark):
+    """One group of a few rows per key cost milliseconds of Python; the first row of a
+    batch is the first of all its files, whole, with nested values and nulls."""
+    landed, stored, check = (shared_dir(spark, n) for n in ("landed", "stored", "check"))
+    rows = spark.range(3000).selectExpr("id ingest_seq", "concat('k', id % 500) post_id", "if(id % 7 = 0, null, concat('t', id)) text",
+                                        "map('a', array(id, null)) m", "cast(id / 8 as decimal(20, 3)) d")
+    for low in (2000, 0, 1000):
+        rows.where(f"ingest_seq between {low} and {low + 999}").repartition(2).write.mode("append").parquet(landed)
+    query = streams.dedup_ingest(streams.file_stream(spark, landed, rows.schema, 99), stored, check)
+    streams.run_to_end(query)
+    assert [p.stateOperators[0].operatorName for p in query.recentProgress][0] == "dedupeWithinWatermark"
+    assert max(p.stateOperators[0].numRowsTotal for p in query.recentProgress) == 500
+    got = spark.read.schema(rows.schema).parquet(stored)
+    assert sorted(map(str, got.select(rows.columns).collect())) == sorted(map(str, rows.where("ingest_seq < 500").collect()))
+
+
 def test_stream_watermark_variant(spark):
     landed, out, check = (shared_dir(spark, n) for n in ("landed", "out", "check"))
     rows = [(i % 5, f"2026-01-01 00:00:{i:02d}") for i in range(20)]

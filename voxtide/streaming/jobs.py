@@ -11,7 +11,6 @@ from collections.abc import Callable, Iterator
 from datetime import date, timedelta
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
@@ -19,12 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from voxtide.session import cut_lineage
 
-STAMP = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
-
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
@@ -32,52 +28,43 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_
 
 BUCKETS = 64
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Groups that the rows of a micro-batch are dealt into to find the first of each key.
+PARTS = 1024
 
 
 def _packed(stream: DataFrame, key: str, order: str) -> DataFrame:
-    """key, order and the whole row as JSON; types and microseconds come back from it.
+    """_key, _order and the whole row as _row, the first row of every key of a micro-batch.
+
+    Rows are trimmed in every Arrow batch before they are shuffled, so a key that floods
+    the stream does not travel whole. They meet in PARTS groups by the key's hash: a group
+    holds that part of one micro-batch, however many keys there are."""
+    def firsts(rows: pa.Table) -> pa.Table:
+        at = pc.sort_indices(rows, sort_keys=[("_key", "ascending"), ("_order", "ascending")])
+        keys = rows.column("_key").take(at)
+        new = np.ones(len(at), bool)
+        if len(at) > 1:
+            new[1:] = np.asarray(pc.not_equal(keys[1:], keys[:-1]))
+        return rows.take(at.filter(pa.array(new)))
 
-    Within each Arrow batch only the first row of a key is kept, so a key that floods
-    the stream is trimmed before it is shuffled."""
     def trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, first = batch.column("_key"), pc.sort_indices(batch, sort_keys=[("_key", "ascending"), ("_order", "ascending")])
-            sorted_keys = keys.take(first)
-            new = np.ones(len(first), bool)
-            if len(first) > 1:
-                new[1:] = pc.fill_null(pc.not_equal(sorted_keys[1:], sorted_keys[:-1]), True).to_numpy(zero_copy_only=False)
-            yield batch.take(first.filter(pa.array(new)))
+            yield from firsts(pa.Table.from_batches([batch])).to_batches()
 
-    row = F.to_json(F.struct(*stream.columns), {"timestampFormat": STAMP, "ignoreNullFields": "false"})
-    keyed = stream.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("_key"), F.col(order).cast("long").alias("_order"), row.alias("_row"))
-    return keyed.mapInArrow(trim, "_key string, _order long, _row string").withColumn("_arrived", F.current_timestamp())
+    keyed = stream.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("_key"), F.col(order).cast("long").alias("_order"), F.struct(*stream.columns).alias("_row"))
+    part = F.pmod(F.xxhash64("_key"), F.lit(PARTS))
+    return keyed.mapInArrow(trim, keyed.schema).groupBy(part).applyInArrow(firsts, keyed.schema)
 
 
 def first_in_window(stream: DataFrame, key: str = "post_id", order: str = "ingest_seq", days: int = 7) -> DataFrame:
     """The first row by `order` of every key that the state store does not hold.
 
-    The store holds the keys seen in the last `days` of processing time: a lookup costs
-    the same however many rows are stored, and what the store keeps is bounded by the
-    window. Rows of one key meet in one group of a few rows, read as a stream."""
-    def first(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        known = state.exists
-        best: tuple | None = None
-        for part in parts:
-            if not known and len(part):
-                at = part["_order"].to_numpy().argmin()
-                if best is None or part["_order"].iloc[at] < best[0]:
-                    best = (part["_order"].iloc[at], part["_row"].iloc[at])
-        state.update((True,))
-        # the watermark follows the time of arrival `days` behind, so no row is ever late
-        state.setTimeoutTimestamp(max(state.getCurrentProcessingTimeMs(), state.getCurrentWatermarkMs() + 1))
-        if best is not None:
-            yield pd.DataFrame({"_key": [group[0]], "_row": [best[1]]})
-
-    arriving = _packed(stream, key, order).withWatermark("_arrived", f"{days} days")
-    return arriving.groupBy("_key").applyInPandasWithState(first, "_key string, _row string", "seen boolean", "append", GroupStateTimeout.EventTimeTimeout)
+    The store holds the keys first seen in the last `days` of processing time and nothing
+    else: a lookup costs the same however many rows are stored, and what the store keeps
+    is bounded by the window. Keys are looked up by Spark itself, without Python."""
+    # a key leaves the store when the watermark, one delay behind the time of arrival, is
+    # one delay past the key; no row is ever late
+    arriving = _packed(stream, key, order).withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", f"{days * 12} hours")
+    return arriving.dropDuplicatesWithinWatermark(["_key"]).select("_key", "_row")
 
 
 def older_keys(spark: SparkSession, path: str, before: str, batch: int, buckets: list[int]) -> DataFrame | None:
@@ -110,7 +97,7 @@ def dedup_ingest(stream: DataFrame, path: str, checkpoint: str, key: str = "post
     batch before, so the same rows come out.
     """
     spark = stream.sparkSession
-    schema, keys = stream.schema, f"{path}_keys"
+    keys = f"{path}_keys"
     if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "").endswith("HDFSBackedStateStoreProvider"):
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
 
@@ -122,8 +109,7 @@ def dedup_ingest(stream: DataFrame, path: str, checkpoint: str, key: str = "post
         touched = [r.bucket for r in found.select("bucket").distinct().collect()]  # BUCKETS at most
         old = older_keys(spark, keys, left, batch_id, touched)
         new = found if old is None else found.join(old, ["_key", "bucket"], "left_anti")
-        row = F.from_json("_row", schema, {"timestampFormat": STAMP})
-        new.select(row.alias("r")).select("r.*").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        new.select("_row.*").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
         found.select("_key", "bucket").repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{keys}/day={now}/batch={batch_id}")
 
     return first_in_window(stream, key, order, days).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
