@@ -1,7 +1,7 @@
 """Sentiment, relevance and language."""
 
 from voxtide.functions import vocab
-from voxtide.operators import language, relevance, sentiment
+from voxtide.operators import language, relevance, sentiment, votes
 from voxtide.operators.sentiment import lexicon_sentiment, lexicon_table
 
 
@@ -95,3 +95,19 @@ def test_votes_from_a_table(spark):
     df = spark.createDataFrame([(1, " ".join(words)), (1, words[0] * 1 + " x " + words[0]), (2, ""), (3, None)], "post_id long, text string")
     a, b = (sorted(map(str, relevance.candidate_scores(df, w, ["post_id"], "text").collect())) for w in (weights, table))
     assert a == b and len(a) == 4
+
+
+def test_a_block_asks_for_a_word_once(spark):
+    """A word in every row comes to the join once per block of rows, and rows, places and
+    values come back whole, also from blocks without a known word."""
+    words = lambda i: ["the", "very", None, f"w{i % 7}", "the"] if i % 5 and i < 4000 else []
+    rows = votes.numbered(spark.createDataFrame([(i, words(i)) for i in range(5000)] + [(-1, None)], "id long, words array<string>").coalesce(1))
+    lexicon = spark.createDataFrame([("the", 1, 0.5), ("w3", 2, None), ("w999", 3, 1.5)], "term string, a long, b double")
+    out = votes.looked_up(rows, "words", lexicon, ["a", "b"])
+    values = {"the": (1, 0.5), "w3": (2, None)}
+    want = {i: [(k, *values[w]) for k, w in enumerate(words(i)) if w in values] for i in range(5000)} | {-1: []}
+    assert {r.id: [tuple(h) for h in r["_hits"]] for r in out.collect()} == want
+    none = votes.looked_up(rows, "words", lexicon.limit(0), ["a", "b"])
+    assert none.count() == 5001 and none.where("size(_hits) > 0").count() == 0
+    asked = votes.asked(rows, "words").groupBy("_word").count().where("_word = 'the'").first()
+    assert asked["count"] <= 5001 / 2 ** votes.BLOCK_BITS + 1

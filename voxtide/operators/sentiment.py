@@ -29,6 +29,16 @@ def _booster(token: Column) -> Column:
     )
 
 
+def _negator(token: Column) -> Column:
+    return F.when(token.isin(vocab.NEGATIONS), 1).otherwise(0)
+
+
+def _flags(token: Column, low: Column) -> Column:
+    """1 for a booster, 2 for a dampener, 4 for a negation, 8 for a shouted word, added up."""
+    flags = [low.isin(vocab.BOOST_WORDS), low.isin(vocab.DAMPEN_WORDS), low.isin(vocab.NEGATIONS), _shouted(token)]
+    return sum((F.when(f, 1 << b).otherwise(0) for b, f in enumerate(flags)), F.lit(0)).cast("tinyint")
+
+
 def _char_count(char: str) -> Column:
     return F.length("_text") - F.length(F.replace(F.col("_text"), F.lit(char)))
 
@@ -47,8 +57,8 @@ def lexicon_sentiment(df: DataFrame, lexicon: DataFrame, keys: list[str], text:
     A lexicon of at most max_terms words becomes part of the plan, and a row is scored
     where it lies: the places of lexicon words are picked by a hash-set test, and each
     is valued with the three words before it, without a shuffle. The words of a larger
-    one are found by a join; row numbers and words travel, texts do not. Rows that
-    share a key stay rows of their own.
+    one are found by a join with the distinct words of blocks of rows. Rows that share a
+    key stay rows of their own.
     """
     lexicon = lexicon.groupBy("term").agg(F.max(F.col("valence").cast("double")).alias("valence")).where("term is not null and valence is not null")
     rows = lexicon.limit(max_terms + 1).collect()
@@ -57,36 +67,40 @@ def lexicon_sentiment(df: DataFrame, lexicon: DataFrame, keys: list[str], text:
     prepared = df.select(
         *keys, F.col(text).alias("_text"), F.coalesce(tokens(plain, "'"), F.array().cast("array<string>")).alias("_toks"),
     ).select(*keys, "_text", "_toks", F.transform("_toks", F.lower).alias("_low"))
-    none = F.array().cast("array<struct<i: int, v: double>>")
-    if values is None:
-        prepared = numbered(prepared)
-        hits = looked_up(prepared, "_low", lexicon, ["valence"]).groupBy("_row").agg(
-            F.collect_list(F.struct(F.col("_place").alias("i"), F.col("valence").alias("v"))).alias("_hits"))
-        prepared = prepared.join(hits, "_row", "left")
-        found = F.coalesce("_hits", none)
-    elif not values:
-        found = none
-    else:
-        valence = literal_map(values)
-        place = F.filter(F.transform("_low", lambda t, i: F.when(t.isin(list(values)), i)), lambda i: i.isNotNull())
-        found = F.transform(place, lambda i: F.struct(i.alias("i"), F.element_at(valence, F.get("_low", i)).alias("v")))
-    prepared = prepared.select(
-        *keys, "_toks", "_low", found.alias("_found"),
-        # a shouted word only counts where the text is not shouted as a whole
+    # a shouted word only counts where the text is not shouted as a whole
+    marks = [
         F.col("_text").rlike("\\p{Ll}").alias("_mixed_case"),
         F.coalesce(F.array_position("_low", "but"), F.lit(0)).alias("_but"),
         F.least(_char_count("!"), F.lit(vocab.MAX_EXCLAIM)).alias("_bangs"),
         _char_count("?").alias("_asks"),
-    )
+    ]
+    if values is None:
+        # nearly every word may be known, so each is judged once; the flags stand for the words
+        rows = numbered(prepared.select(*keys, "_low", F.zip_with("_toks", "_low", _flags).alias("_flags"), *marks))
+        prepared = looked_up(rows, "_low", lexicon.withColumnRenamed("valence", "v"), ["v"]).withColumnRenamed("_hits", "_found")
+        shout = lambda i: F.get("_flags", i) >= 8
+        boost = lambda i: F.element_at(pushes, F.coalesce(F.get("_flags", i), F.lit(0)) % 4 + 1)
+        negator = lambda i: F.when(F.coalesce(F.get("_flags", i), F.lit(0)) % 8 >= 4, 1).otherwise(0)
+    else:
+        found = F.array().cast("array<struct<i: int, v: double>>")
+        if values:
+            valence = literal_map(values)
+            place = F.filter(F.transform("_low", lambda t, i: F.when(t.isin(list(values)), i)), lambda i: i.isNotNull())
+            found = F.transform(place, lambda i: F.struct(i.alias("i"), F.element_at(valence, F.get("_low", i)).alias("v")))
+        prepared = prepared.select(*keys, "_toks", "_low", found.alias("_found"), *marks)
+        word = lambda i: F.coalesce(F.get("_low", i), F.lit(""))
+        shout = lambda i: _shouted(F.get("_toks", i))
+        boost = lambda i: _booster(word(i))
+        negator = lambda i: _negator(word(i))
+    pushes = F.array(*[F.lit(x) for x in (0.0, vocab.BOOST, -vocab.BOOST, vocab.BOOST)])
     factors = F.array(*[F.lit(round(vocab.NEGATE ** k, 6)) for k in range(4)])
 
     def micro(i: Column, v: Column) -> Column:
         """What the word at a place adds, from its valence, in whole millionths."""
-        before = [F.coalesce(F.get("_low", i - k), F.lit("")) for k in (1, 2, 3)]
-        word = F.get("_toks", i)
-        shouted = F.when(F.col("_mixed_case") & _shouted(word), vocab.CAPS).otherwise(0.0)
-        push = sum((_booster(b) * F.lit(d) for b, d in zip(before, vocab.BOOST_DECAY)), F.lit(0.0))
-        negators = sum((F.when(b.isin(vocab.NEGATIONS), 1).otherwise(0) for b in before), F.lit(0))
+        before = [i - k for k in (1, 2, 3)]
+        shouted = F.when(F.col("_mixed_case") & shout(i), vocab.CAPS).otherwise(0.0)
+        push = sum((boost(b) * F.lit(d) for b, d in zip(before, vocab.BOOST_DECAY)), F.lit(0.0))
+        negators = sum((negator(b) for b in before), F.lit(0))
         signed = (v + F.signum(v) * (shouted + push)) * F.element_at(factors, negators + 1)
         side = (
             F.when((F.col("_but") > 0) & (i + 1 < F.col("_but")), vocab.BUT_BEFORE)

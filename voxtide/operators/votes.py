@@ -10,10 +10,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from voxtide.operators.skew import attach_lookup
 from voxtide.session import cut_lineage
 
 MAX_BROADCAST_ROWS = 200_000
@@ -31,22 +34,56 @@ def numbered(df: DataFrame) -> DataFrame:
     return cut_lineage(df.withColumn("_row", F.monotonically_increasing_id()))
 
 
+#: Rows that ask for their words together.
+BLOCK_BITS = 8
+
+
+def asked(rows: DataFrame, words: str) -> DataFrame:
+    """_block and _word: the distinct words of blocks of numbered rows."""
+    return rows.select(F.shiftright("_row", BLOCK_BITS).alias("_block"), F.explode(words).alias("_word")).distinct()
+
+
 def looked_up(rows: DataFrame, words: str, lexicon: DataFrame, payload: list[str]) -> DataFrame:
-    """_row, _place, _word and payload of those words of numbered rows (an array column)
-    that stand in a lexicon (term, payload) of any size with one row per term. Words
-    travel with row numbers alone; the most frequent ones are met by broadcast."""
-    each = rows.select("_row", F.posexplode(words).alias("_place", "_word"))
-    named = lexicon.select(F.col("term").alias("_word"), *payload)
-    return attach_lookup(each, named, "_word", payload).where(F.col(payload[0]).isNotNull())
+    """Numbered rows plus `_hits`: place (`i`) and payload of those of a row's words (an array
+    column) that stand in a lexicon (term, payload) of any size with one row per term.
+
+    Rows of neighbouring numbers are a block. A block asks for each of its words once, so
+    a frequent word has one row per block in the join, and what travels are a block's
+    distinct words and each row once."""
+    blocks = rows.withColumn("_block", F.shiftright("_row", BLOCK_BITS))
+    known = asked(rows, words).join(lexicon.select(F.col("term").alias("_word"), *payload), "_word")
+
+    def fill(block: pa.Table, known: pa.Table) -> pa.Table:
+        block = block.drop_columns(["_block"])
+        if not block.num_rows:
+            return block.append_column("_hits", pa.array([], pa.list_(pa.struct([("i", pa.int32()), *[(p, known.schema.field(p).type) for p in payload]]))))
+        listed = block.column(words)
+        n = pc.fill_null(pc.list_value_length(listed), 0).to_numpy().astype(np.int64)
+        at = pc.index_in(pc.list_flatten(listed).combine_chunks(), value_set=known.column("_word").combine_chunks())
+        hit = pc.is_valid(at).to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(n)), n)
+        place = (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n))[hit]
+        picked = known.take(at.drop_null())
+        values = pa.StructArray.from_arrays([pa.array(place, pa.int32()), *[picked.column(p).combine_chunks() for p in payload]], ["i", *payload])
+        ends = np.cumsum(np.bincount(row[hit], minlength=len(n)))
+        return block.append_column("_hits", pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), values))
+
+    kinds = lexicon.schema
+    hits = T.ArrayType(T.StructType([T.StructField("i", T.IntegerType()), *[T.StructField(p, kinds[p].dataType) for p in payload]]))
+    return blocks.groupBy("_block").cogroup(known.groupBy("_block")).applyInArrow(fill, T.StructType([*rows.schema.fields, T.StructField("_hits", hits)]))
 
 
 def table_votes(df: DataFrame, tokens: Column, keys: list[str], weights: DataFrame) -> DataFrame:
     """token_votes for a table (term, v0..vn-1) of any size, one row per term, as columns
-    of the table's names, summed by a join. Rows that share a key stay rows of their own."""
+    of the table's names, looked up by blocks. Rows that share a key stay rows of their own."""
     names = [c for c in weights.columns if c != "term"]
     rows = numbered(df.select(*keys, F.coalesce(tokens, F.array().cast("array<string>")).alias("_toks")))
-    sums = looked_up(rows, "_toks", weights.select("term", *[F.coalesce(F.col(n).cast("bigint"), F.lit(0)).alias(n) for n in names]), names).groupBy("_row").agg(*[F.sum(n).alias(n) for n in names])
-    return rows.join(sums, "_row", "left").select(*keys, *[F.coalesce(F.col(n), F.lit(0)).alias(n) for n in names])
+    found = looked_up(rows, "_toks", weights.select("term", *[F.coalesce(F.col(n).cast("bigint"), F.lit(0)).alias(n) for n in names]), names)
+
+    def total(name: str) -> Column:
+        return F.aggregate("_hits", F.lit(0).cast("bigint"), lambda acc, x: acc + x[name])
+
+    return found.select(*keys, *[total(n).alias(n) for n in names])
 
 
 def literal_map(values: dict) -> Column:

@@ -11,6 +11,7 @@ from voxtide.plans import jobs
 from voxtide.plans.catalog_ingest import d_reasons, d_strip, profile_of
 from voxtide.plans.registry import D_NWS, WORD_BODY, d_any, d_collapse, d_list, d_trim, d_values, d_words, query
 from voxtide.schema import CLEAN_STATUSES
+from voxtide.session import cut_lineage
 from voxtide.sources import tables
 
 # ---- cleaning --------------------------------------------------------------------
@@ -446,7 +447,7 @@ def table_lexicon_sentiment(spark, sf):
     posts = tables.opinions(spark, sf)
     words = posts.select(F.explode(tokens(F.lower(F.replace(F.col("text"), F.lit("’"), F.lit("'"))), "'")).alias("term")).distinct()
     valence = (F.instr(F.lit("0123456789abcdef"), F.substring(F.md5(F.col("term").cast("binary")), 1, 1)) - 8) / 4
-    return sentiment.lexicon_sentiment(posts, words.withColumn("valence", valence), ["post_id"], max_terms=1000)
+    return sentiment.lexicon_sentiment(posts, cut_lineage(words.withColumn("valence", valence)), ["post_id"], max_terms=1000)
 
 
 @query("sentiment_label", f"with {d_sentiment('opinions')} select post_id, {D_LABEL} sentiment_label from sentiment")
