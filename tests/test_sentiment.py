@@ -1,5 +1,8 @@
 """Sentiment, relevance and language."""
 
+import pyarrow as pa
+from pyspark.sql import types as T
+
 from voxtide.functions import vocab
 from voxtide.operators import language, relevance, sentiment, votes
 from voxtide.operators.sentiment import lexicon_sentiment, lexicon_table
@@ -103,11 +106,22 @@ def test_a_block_asks_for_a_word_once(spark):
     words = lambda i: ["the", "very", None, f"w{i % 7}", "the"] if i % 5 and i < 4000 else []
     rows = votes.numbered(spark.createDataFrame([(i, words(i)) for i in range(5000)] + [(-1, None)], "id long, words array<string>").coalesce(1))
     lexicon = spark.createDataFrame([("the", 1, 0.5), ("w3", 2, None), ("w999", 3, 1.5)], "term string, a long, b double")
-    out = votes.looked_up(rows, "words", lexicon, ["a", "b"])
+
+    def places(block, row, places, found):
+        hits = [[] for _ in range(block.num_rows)]
+        starts = [0]
+        for w in block["words"].to_pylist():
+            starts.append(starts[-1] + len(w or []))
+        for r, at, f in zip(row, places, found.to_pylist()):
+            hits[r].append(f"{at - starts[r]} {f['a']} {f['b']}")
+        return block.select(["id"]).append_column("hits", pa.array([" ".join(h) for h in hits], pa.string()))
+
+    kind = T.StructType().add("id", "long").add("hits", "string")
+    out = votes.looked_up(rows, "words", lexicon, ["a", "b"], kind, places)
     values = {"the": (1, 0.5), "w3": (2, None)}
-    want = {i: [(k, *values[w]) for k, w in enumerate(words(i)) if w in values] for i in range(5000)} | {-1: []}
-    assert {r.id: [tuple(h) for h in r["_hits"]] for r in out.collect()} == want
-    none = votes.looked_up(rows, "words", lexicon.limit(0), ["a", "b"])
-    assert none.count() == 5001 and none.where("size(_hits) > 0").count() == 0
+    want = {i: " ".join(f"{k} {values[w][0]} {values[w][1]}" for k, w in enumerate(words(i)) if w in values) for i in range(5000)} | {-1: ""}
+    assert {r.id: r.hits for r in out.collect()} == want
+    none = votes.looked_up(rows, "words", lexicon.limit(0), ["a", "b"], kind, places)
+    assert none.count() == 5001 and none.where("hits <> ''").count() == 0
     asked = votes.asked(rows, "words").groupBy("_word").count().where("_word = 'the'").first()
     assert asked["count"] <= 5001 / 2 ** votes.BLOCK_BITS + 1

@@ -43,34 +43,27 @@ def asked(rows: DataFrame, words: str) -> DataFrame:
     return rows.select(F.shiftright("_row", BLOCK_BITS).alias("_block"), F.explode(words).alias("_word")).distinct()
 
 
-def looked_up(rows: DataFrame, words: str, lexicon: DataFrame, payload: list[str]) -> DataFrame:
-    """Numbered rows plus `_hits`: place (`i`) and payload of those of a row's words (an array
-    column) that stand in a lexicon (term, payload) of any size with one row per term.
+def looked_up(rows: DataFrame, words: str, lexicon: DataFrame, payload: list[str], out: T.StructType,
+              then: Callable[[pa.Table, np.ndarray, np.ndarray, pa.Table], pa.Table]) -> DataFrame:
+    """What `then` makes of numbered rows and those of their words (an array column) that
+    stand in a lexicon (term, payload) of any size with one row per term. It gets a block of
+    rows, and of each known word, by row and place: the row's number in the block, the place
+    among all words of the block, and the payload.
 
     Rows of neighbouring numbers are a block. A block asks for each of its words once, so
     a frequent word has one row per block in the join, and what travels are a block's
     distinct words and each row once."""
-    blocks = rows.withColumn("_block", F.shiftright("_row", BLOCK_BITS))
     known = asked(rows, words).join(lexicon.select(F.col("term").alias("_word"), *payload), "_word")
 
     def fill(block: pa.Table, known: pa.Table) -> pa.Table:
-        block = block.drop_columns(["_block"])
-        if not block.num_rows:
-            return block.append_column("_hits", pa.array([], pa.list_(pa.struct([("i", pa.int32()), *[(p, known.schema.field(p).type) for p in payload]]))))
-        listed = block.column(words)
-        n = pc.fill_null(pc.list_value_length(listed), 0).to_numpy().astype(np.int64)
-        at = pc.index_in(pc.list_flatten(listed).combine_chunks(), value_set=known.column("_word").combine_chunks())
-        hit = pc.is_valid(at).to_numpy(zero_copy_only=False)
-        row = np.repeat(np.arange(len(n)), n)
-        place = (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n))[hit]
-        picked = known.take(at.drop_null())
-        values = pa.StructArray.from_arrays([pa.array(place, pa.int32()), *[picked.column(p).combine_chunks() for p in payload]], ["i", *payload])
-        ends = np.cumsum(np.bincount(row[hit], minlength=len(n)))
-        return block.append_column("_hits", pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), values))
-
-    kinds = lexicon.schema
-    hits = T.ArrayType(T.StructType([T.StructField("i", T.IntegerType()), *[T.StructField(p, kinds[p].dataType) for p in payload]]))
-    return blocks.groupBy("_block").cogroup(known.groupBy("_block")).applyInArrow(fill, T.StructType([*rows.schema.fields, T.StructField("_hits", hits)]))
+        listed = block.column(words).combine_chunks()
+        n = pc.fill_null(pc.list_value_length(listed), 0).to_numpy(zero_copy_only=False)
+        at = pc.index_in(pc.list_flatten(listed), value_set=known.column("_word").combine_chunks())
+        places = np.flatnonzero(pc.is_valid(at).to_numpy(zero_copy_only=False))
+        return then(block, np.repeat(np.arange(len(n)), n)[places], places, known.select(payload).take(at.drop_null()))
+
+    blocks = rows.withColumn("_block", F.shiftright("_row", BLOCK_BITS))
+    return blocks.groupBy("_block").cogroup(known.groupBy("_block")).applyInArrow(fill, out)
 
 
 def table_votes(df: DataFrame, tokens: Column, keys: list[str], weights: DataFrame) -> DataFrame:
@@ -78,12 +71,17 @@ def table_votes(df: DataFrame, tokens: Column, keys: list[str], weights: DataFra
     of the table's names, looked up by blocks. Rows that share a key stay rows of their own."""
     names = [c for c in weights.columns if c != "term"]
     rows = numbered(df.select(*keys, F.coalesce(tokens, F.array().cast("array<string>")).alias("_toks")))
-    found = looked_up(rows, "_toks", weights.select("term", *[F.coalesce(F.col(n).cast("bigint"), F.lit(0)).alias(n) for n in names]), names)
+    out = T.StructType([*rows.select(*keys).schema.fields, *[T.StructField(n, T.LongType()) for n in names]])
 
-    def total(name: str) -> Column:
-        return F.aggregate("_hits", F.lit(0).cast("bigint"), lambda acc, x: acc + x[name])
+    def sums(block: pa.Table, row: np.ndarray, places: np.ndarray, votes: pa.Table) -> pa.Table:
+        found = block.select(keys)
+        for n in names:
+            total = np.zeros(block.num_rows, np.int64)
+            np.add.at(total, row, votes.column(n).to_numpy())
+            found = found.append_column(n, pa.array(total))
+        return found
 
-    return found.select(*keys, *[total(n).alias(n) for n in names])
+    return looked_up(rows, "_toks", weights.select("term", *[F.coalesce(F.col(n).cast("bigint"), F.lit(0)).alias(n) for n in names]), names, out, sums)
 
 
 def literal_map(values: dict) -> Column:
