@@ -8,7 +8,7 @@ Vocabularies too large for a plan are tables that the words are joined with.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +35,20 @@ def numbered(df: DataFrame) -> DataFrame:
 
 
 #: Rows that ask for their words together.
-BLOCK_BITS = 8
+BLOCK_BITS = 10
 
 
 def asked(rows: DataFrame, words: str) -> DataFrame:
-    """_block and _word: the distinct words of blocks of numbered rows."""
-    return rows.select(F.shiftright("_row", BLOCK_BITS).alias("_block"), F.explode(words).alias("_word")).distinct()
+    """_block and _word: the distinct words of blocks of numbered rows. A block that
+    stands in two Arrow batches may ask for a word twice."""
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            listed = batch.column("_words")
+            n = pc.fill_null(pc.list_value_length(listed), 0).to_numpy(zero_copy_only=False)
+            pairs = pa.table({"_block": np.repeat(batch.column("_block").to_numpy(), n), "_word": pc.list_flatten(listed)})
+            yield from pairs.group_by(["_block", "_word"], use_threads=False).aggregate([]).select(["_block", "_word"]).to_batches()
+
+    return rows.select(F.shiftright("_row", BLOCK_BITS).alias("_block"), F.col(words).alias("_words")).mapInArrow(distinct, "_block long, _word string")
 
 
 def looked_up(rows: DataFrame, words: str, lexicon: DataFrame, payload: list[str], out: T.StructType,
